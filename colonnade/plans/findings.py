@@ -1,0 +1,275 @@
+"""The ranked report of a set of datasets, as plain tables.
+
+`analyse` reads each dataset a fixed number of times and keeps the results as small tables with one
+row per column, metric or segment; every report table is derived from those.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from colonnade import config
+from colonnade.functions import scalars as S
+from colonnade.functions.columns import SOURCE, categorical_columns, string_columns
+from colonnade.operators import outliers, profile, quality, segments, statistics, trends
+from colonnade.operators.aggregates import segment_breakdown
+from colonnade.operators.cleaning import lenient_numeric_coercion
+from colonnade.operators.compare import gap_of_stats, source_comparison
+from colonnade.session import settle
+
+SEGMENT_SCHEMA = "segment string, count long, sum double, mean double, median double, share double"
+SECTIONS = ("overview", "findings", "quality", "summary")
+
+
+@dataclass
+class DatasetFindings:
+    """Small tables about one dataset."""
+
+    name: str
+    rows: int
+    cols: int
+    date_column: str | None
+    roles: DataFrame
+    nulls: DataFrame
+    stats: DataFrame
+    spikes: DataFrame
+    trends: DataFrame
+    labels: DataFrame
+    primary: str | None
+    dimension: str | None
+    segments: DataFrame
+
+
+@dataclass
+class Analysis:
+    domain: str
+    datasets: dict[str, DatasetFindings]
+    gaps: DataFrame
+    sources: dict[str, DataFrame]
+
+    def _all(self, table: str) -> DataFrame:
+        """One table of every dataset, tagged with the dataset's name and position."""
+        parts = [
+            getattr(d, table).select(F.lit(i).alias("position"), F.lit(d.name).alias("dataset"), "*")
+            for i, d in enumerate(self.datasets.values())
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+
+def dataset_findings(
+    name: str,
+    df: DataFrame,
+    key: str,
+    domain: str,
+    measures: Sequence[str] | None = None,
+    *,
+    direct_rows: int = config.DIRECT_ROWS,
+) -> DatasetFindings:
+    """`measures` names the metrics; by default every numeric column but rates and epochs is one.
+    `key` orders rows of equal date.  Segments follow the primary metric."""
+    session = df.sparkSession
+    date_column = profile.detect_date_column(df)
+    roles = settle(profile.column_roles(df, date_column))
+    kpis = [r["column"] for r in roles.where("role = 'kpi'").orderBy("ordinal").collect()]
+    if measures is not None:
+        kpis = [c for c in measures if c in kpis]
+    labelled = [c for c in categorical_columns(df) if c != date_column]
+    nulls = settle(statistics.null_report(df))
+    labels = settle(quality.near_duplicate_labels(df, [c for c in string_columns(df) if c != date_column]))
+    stats = session.createDataFrame([], statistics.STATS_SCHEMA)
+    spikes = session.createDataFrame([], outliers.SPIKE_SCHEMA)
+    moves = session.createDataFrame([], trends.TREND_SCHEMA)
+    if kpis:
+        stats = settle(statistics.column_stats(df, kpis, direct_rows=direct_rows))
+        spikes = settle(outliers.spike_value(df, kpis, direct_rows=direct_rows))
+    if kpis and date_column:
+        moves = settle(trends.half_split_trend(df, date_column, key, kpis, direct_rows=direct_rows))
+    best = segments.primary_kpi(stats, domain).first()
+    primary = best["column"] if best else None
+    chosen = segments.primary_dimension(df, labelled).first() if labelled else None
+    dimension = chosen["column"] if chosen else None
+    if dimension and primary:
+        parts = settle(
+            segment_breakdown(df, dimension, primary, direct_rows=direct_rows).withColumn(
+                "segment", F.col("segment").cast("string")
+            )
+        )
+    else:
+        parts = session.createDataFrame([], SEGMENT_SCHEMA)
+    return DatasetFindings(
+        name, df.count(), len(df.columns), date_column, roles, nulls, stats, spikes, moves, labels,
+        primary, dimension, parts,
+    )
+
+
+def analyse(
+    datasets: dict[str, DataFrame],
+    keys: dict[str, str],
+    measures: dict[str, Sequence[str]] | None = None,
+    raw: dict[str, DataFrame] | None = None,
+    *,
+    domain: str | None = None,
+    direct_rows: int = config.DIRECT_ROWS,
+) -> Analysis:
+    frames = {n: lenient_numeric_coercion(df) for n, df in datasets.items()}
+    domain = domain or profile.detect_domain(frames)
+    found = {
+        n: dataset_findings(n, df, keys[n], domain, (measures or {}).get(n), direct_rows=direct_rows)
+        for n, df in frames.items()
+    }
+    tagged = [d.stats.withColumn("dataset", F.lit(n)) for n, d in found.items()]
+    # A gap needs two datasets to lie between.
+    gaps = settle(gap_of_stats(reduce(DataFrame.unionByName, tagged), max(2, len(found))))
+    sources = {
+        n: settle(source_comparison(df, found[n].primary, raw, direct_rows=direct_rows))
+        for n, df in frames.items()
+        if SOURCE in df.columns and found[n].primary
+    }
+    return Analysis(domain, found, gaps, sources)
+
+
+def _candidate(
+    rows: DataFrame, kind: str, order: int, score: Column, column: Column, value: Column
+) -> DataFrame:
+    return rows.select(
+        "position", "dataset", F.lit(order).alias("order"), F.col("ordinal").cast("int").alias("ordinal"),
+        F.lit(kind).alias("kind"), column.alias("column"), value.cast("double").alias("value"), score.alias("score"),
+    )
+
+
+def _unfavourable_bonus(points: float) -> Column:
+    return F.when(segments.is_unfavourable(F.col("column"), F.col("direction")), points).otherwise(0.0)
+
+
+def headline_candidates(a: Analysis) -> DataFrame:
+    """Everything that could be the headline, with its score.  A gap or a plain mean counts only
+    where no dataset has a spike, trend or concentration."""
+    dominant = []
+    for i, d in enumerate(a.datasets.values()):
+        top = segments.concentration(d.segments).withColumns(
+            {"position": F.lit(i), "dataset": F.lit(d.name), "ordinal": F.lit(0)}
+        )
+        dominant.append(
+            _candidate(top, "concentration", 2, F.col("share"), F.lit(d.primary).cast("string"), F.col("share"))
+        )
+    strong = [
+        _candidate(a._all("spikes"), "spike", 0, F.col("distance_iqr") * 8, F.col("column"), F.col("value")),
+        _candidate(
+            a._all("trends"), "trend", 1, F.abs("change_pct") + _unfavourable_bonus(15.0),
+            F.col("column"), F.col("change_pct"),
+        ),
+        *dominant,
+    ]
+    gaps = a.gaps.where("gap_ratio <> 0").withColumns(
+        {"position": F.lit(0), "dataset": F.lit(None).cast("string"), "ordinal": F.lit(0)}
+    )
+    gap = _candidate(gaps, "gap", 3, F.col("gap_ratio"), F.col("column"), F.col("gap_ratio"))
+    means = []
+    for i, d in enumerate(a.datasets.values()):
+        first = segments.primary_kpi(d.stats, a.domain).withColumns(
+            {"position": F.lit(i), "dataset": F.lit(d.name)}
+        )
+        means.append(_candidate(first, "mean", 4, F.lit(1.0), F.col("column"), F.col("mean")))
+    tiers = [(0, strong), (1, [gap]), (2, means)]
+    parts = [p.withColumn("tier", F.lit(t)) for t, ps in tiers for p in ps]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def headline(a: Analysis) -> DataFrame:
+    """The one best candidate: by tier, then score; the first found wins ties."""
+    return (
+        headline_candidates(a)
+        .orderBy("tier", F.desc("score"), "position", "order", "ordinal", "column")
+        .limit(1)
+        .select("dataset", "kind", "column", "value", "score")
+    )
+
+
+def _fact(rows: DataFrame, section: str, metric: str, value: Column, column: Column | None = None, text: Column | None = None) -> DataFrame:
+    return rows.select(
+        "dataset", F.lit(section).alias("section"), F.lit(metric).alias("metric"),
+        (F.lit(None).cast("string") if column is None else column).alias("column"),
+        value.cast("double").alias("value"),
+        (F.lit(None).cast("string") if text is None else text).alias("text"),
+    )
+
+
+def findings_table(a: Analysis, ranked: int = 3) -> DataFrame:
+    """The report as (dataset, section, metric, column, value, text) rows."""
+    session = next(iter(a.datasets.values())).stats.sparkSession
+    blank = F.lit(None).cast("double")
+    parts = []
+    for d in a.datasets.values():
+        one = session.createDataFrame([(d.name, d.rows, d.cols)], "dataset string, rows long, cols int")
+        tag = F.lit(d.name).alias("dataset")
+        roles = d.roles.select(tag, "*")
+        parts += [
+            _fact(one, "overview", "rows", F.col("rows")),
+            _fact(one, "overview", "columns", F.col("cols")),
+            _fact(one, "overview", "domain", blank, text=F.lit(a.domain)),
+            _fact(one, "overview", "dimension", blank, F.lit(d.dimension).cast("string")),
+            _fact(one, "overview", "date_column", blank, F.lit(d.date_column).cast("string")),
+            _fact(roles, "overview", "role", blank, F.col("column"), F.col("role")),
+        ]
+        top = segments.rank_kpis(d.stats, d.trends, d.spikes, a.domain, ranked).select("column")
+        stats = d.stats.join(top, "column").select(tag, "*")
+        cv = S.variation(F.col("std"), F.col("mean"))
+        for m in ("mean", "median", "n", "min", "max", "iqr", "std"):
+            parts.append(_fact(stats, "findings", m, F.col(m), F.col("column")))
+        parts += [
+            _fact(stats.where("abs(skew) >= 0.5"), "findings", "skew", F.col("skew"), F.col("column"),
+                  S.skew_class(F.col("skew"))),
+            _fact(stats, "findings", "cv", cv, F.col("column"), S.volatility_band(cv)),
+            _fact(stats, "findings", "direction", blank, F.col("column"), segments.metric_direction(F.col("column"))),
+            _fact(stats.where(segments.is_volumetric(F.col("column"), a.domain)), "findings", "volumetric", blank, F.col("column")),
+            _fact(d.spikes.join(top, "column").select(tag, "*"), "findings", "spike", F.col("value"), F.col("column")),
+            _fact(d.trends.join(top, "column").select(tag, "*"), "findings", "trend", F.col("change_pct"),
+                  F.col("column"), F.col("direction")),
+            _fact(d.segments.select(tag, "*"), "findings", "segment_share", F.col("share"), F.lit(d.primary).cast("string"), F.col("segment")),
+            _fact(segments.concentration(d.segments).select(tag, "*"), "findings", "concentration", F.col("share"),
+                  F.lit(d.primary).cast("string"), F.col("segment")),
+        ]
+        severity = F.when(F.col("distance_iqr") > 5, "severe").otherwise("moderate")
+        rating = quality.quality_rating(d.name, d.nulls, d.spikes, d.labels)
+        parts += [
+            _fact(d.nulls.select(tag, "*"), "quality", "nulls", F.col("nulls"), F.col("column")),
+            _fact(d.labels.select(tag, "*"), "quality", "near_duplicate", F.col("edits"), F.col("column"),
+                  F.concat_ws(" | ", "a", "b")),
+            _fact(d.spikes.select(tag, "*"), "quality", "outliers", F.col("count"), F.col("column"), severity),
+            _fact(statistics.high_variability(d.stats).select(tag, "*"), "quality", "high_variability", F.col("cv"), F.col("column")),
+            _fact(rating, "quality", "rating", F.col("issues"), text=F.col("rating")),
+        ]
+        if d.name in a.sources:
+            per = a.sources[d.name].select(tag, "*")
+            parts.append(_fact(per, "findings", "source_share", F.col("share"), F.lit(d.primary), F.col("source")))
+    totals = summary_totals(a)
+    for m in totals.columns:
+        parts.append(_fact(totals.withColumn("dataset", F.lit(None).cast("string")), "summary", m, F.col(m).cast("double")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def summary_totals(a: Analysis) -> DataFrame:
+    """Counts over all datasets, the strongest concentration and the widest gap."""
+    found = list(a.datasets.values())
+    session = found[0].stats.sparkSession
+    base = session.createDataFrame(
+        [(len(found), sum(d.rows for d in found))], "datasets int, records long"
+    )
+    spikes = a._all("spikes")
+    shares = a._all("segments").groupBy("position").agg(F.max_by("share", "sum").alias("share"))
+    return base.select(
+        "datasets", "records",
+        a._all("stats").agg(F.count(F.lit(1))).scalar().alias("kpis"),
+        a._all("trends").agg(F.count(F.lit(1))).scalar().alias("trends"),
+        spikes.agg(F.count(F.lit(1))).scalar().alias("metrics_with_outliers"),
+        spikes.agg(F.coalesce(F.sum("count"), F.lit(0))).scalar().alias("records_flagged"),
+        spikes.agg(F.count_if(F.col("distance_iqr") > 5)).scalar().alias("severe"),
+        shares.agg(F.max(F.when(F.col("share") >= 50, F.col("share")))).scalar().alias("top_concentration"),
+        a._all("labels").agg(F.count(F.lit(1))).scalar().alias("duplicate_labels"),
+        a.gaps.agg(F.max(F.when(F.col("gap_ratio") > 3, F.col("gap_ratio")))).scalar().alias("max_gap"),
+    )
