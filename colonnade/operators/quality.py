@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colonnade import config
@@ -31,28 +31,31 @@ def label_counts(df: DataFrame, columns: Sequence[str], max_labels: int | None)
     )
 
 
+def _part(text: Column, length: Column, part: Column, shift: Column) -> Column:
+    """The text where the given third of a label of that length would stand, moved by `shift`."""
+    third = F.floor(length / 3).cast("int")
+    size = F.when(part < 2, third).otherwise(length - 2 * third)
+    return F.substring(text, F.greatest(F.lit(1), part * third + 1 + shift), size)
+
+
 def _pieces(labels: DataFrame) -> DataFrame:
-    """Each label cut into three parts, as (column, length, part, text)."""
-    third = F.expr("length(label) div 3")
-    cut = F.expr("transform(sequence(0, 2), i -> named_struct('part', i, 'text', "
-                 "substring(label, i * third + 1, if(i < 2, third, length(label) - 2 * third))))")
-    return labels.withColumn("third", third).select(
-        "ordinal", "column", "label", "n", F.length("label").alias("length"), F.inline(cut)
-    )
+    """Each label cut into three parts."""
+    cut = labels.select("*", F.length("label").alias("length"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("part"))
+    return cut.withColumn("text", _part(F.col("label"), F.col("length"), F.col("part"), F.lit(0)))
 
 
 def _probes(labels: DataFrame) -> DataFrame:
     """For each label the texts its near neighbours may share: the same part of a label up to two
-    characters shorter or longer, shifted by up to two."""
-    spots = F.expr(
-        "array_distinct(flatten(flatten(transform(sequence(-2, 2), d -> transform(sequence(0, 2), i -> "
-        "transform(sequence(-2, 2), s -> named_struct('length', length(label) + d, 'part', i, 'text', "
-        "substring(label, greatest(1, i * ((length(label) + d) div 3) + 1 + s), "
-        "if(i < 2, (length(label) + d) div 3, length(label) + d - 2 * ((length(label) + d) div 3)))))))))"
-    )
-    return labels.select(
-        "column", F.col("label").alias("other"), F.col("n").alias("n_other"), F.inline(spots)
+    characters shorter or longer, moved by up to two."""
+    near = F.sequence(F.lit(-MAX_EDITS), F.lit(MAX_EDITS))
+    spots = (
+        labels.select("column", F.col("label").alias("other"), F.col("n").alias("n_other"), F.explode(near).alias("longer"))
+        .withColumn("length", F.length("other") + F.col("longer"))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(2))))
+        .withColumn("shift", F.explode(near))
     )
+    text = _part(F.col("other"), F.col("length"), F.col("part"), F.col("shift"))
+    return spots.select("column", "other", "n_other", "length", "part", text.alias("text")).distinct()
 
 
 def near_duplicate_labels(

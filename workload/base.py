@@ -184,6 +184,7 @@ DATED_TEXT = """SELECT o_orderkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS ord
 
 
 def energy_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders read as meter readings whose emissions rise over the years."""
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("reading"),
         F.col("o_orderpriority").alias("site"),
@@ -191,14 +192,17 @@ def energy_mix(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise("solar").alias("fuel"),
         F.col("o_totalprice").alias("consumption_kwh"),
         F.floor(F.col("o_totalprice") / 1000).cast("double").alias("toe"),
+        (F.col("o_totalprice") * (F.year("o_orderdate") - 1990)).alias("emission"),
         F.year("o_orderdate").alias("year"),
+        F.col("o_orderdate").alias("read_on"),
     )
 
 
 ENERGY_MIX = """SELECT o_orderkey AS reading, o_orderpriority AS site,
  CASE o_orderstatus WHEN 'F' THEN 'natural gas' WHEN 'O' THEN 'coal' ELSE 'solar' END AS fuel,
  o_totalprice AS consumption_kwh, CAST(floor(o_totalprice / 1000) AS DOUBLE) AS toe,
- CAST(year(o_orderdate) AS INT) AS "year" FROM orders"""
+ o_totalprice * (year(o_orderdate) - 1990) AS emission, CAST(year(o_orderdate) AS INT) AS "year",
+ o_orderdate AS read_on FROM orders"""
 
 
 # ---- SQL pieces ---------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from workload import (  # noqa: F401
     cleaning_queries,
+    findings_queries,
+    profile_queries,
     sources_queries,
     statistics_queries,
 )

@@ -256,18 +256,18 @@ def pie_agg(spark, sf):
 def _hist_sql(measure: str, source: str, x: str, empty: str) -> str:
     return f"""WITH r AS (SELECT min({x}) AS lo, max({x}) AS hi, (max({x}) - min({x})) / 40 AS w FROM {source}),
  b AS (SELECT CAST(least(39, floor(({x} - lo) / w)) AS INT) AS bin, {measure} AS m FROM {source}, r WHERE {x} IS NOT NULL GROUP BY 1)
- SELECT CAST(g.i AS INT) AS bin, round(lo + g.i * w, 4) AS low, round(lo + (g.i + 1) * w, 4) AS high, {empty}
+ SELECT CAST(g.i AS INT) AS bin, round(lo + g.i * w, 6) AS low, round(lo + (g.i + 1) * w, 6) AS high, {empty}
  FROM range(40) g(i) CROSS JOIN r LEFT JOIN b ON b.bin = g.i"""
 
 
 @B.query("histogram", _hist_sql("count(*)", "events", '"value"', 'coalesce(m, 0) AS "count"'))
 def histogram(spark, sf):
-    return B.shown(charts.histogram(B.table(spark, sf, "events"), "value"))
+    return B.shown(charts.histogram(B.table(spark, sf, "events"), "value"), 6)
 
 
 @B.query("histogram_agg", _hist_sql("avg(user_id)", "events", '"value"', 'round(m, 4) AS "value"'))
 def histogram_agg(spark, sf):
-    return B.shown(charts.histogram_agg(B.table(spark, sf, "events"), "value", "user_id", "median"))
+    return B.shown(charts.histogram_agg(B.table(spark, sf, "events"), "value", "user_id", "median"), low=6, high=6)
 
 
 def _box_sql(source: str, x: str, group: str | None) -> str:
