@@ -20,9 +20,11 @@ LABEL_PAIRS_SHOWN = 5
 FOREST_TREES = 100
 FOREST_SAMPLE = 256
 
-# Largest number of rows whose distinct values one aggregation buffer or one window partition may
-# hold.  Past it the exact quantiles switch from the built-in `percentile` to bracket refinement.
-DIRECT_ROWS = 500_000
+# Up to this many rows, quantiles come from the built-in `percentile`, which holds every distinct
+# value in one buffer; past it, from bracket refinement, which is faster there and holds little.
+DIRECT_ROWS = 100_000
+# The same per group.  A task may keep buffers of a hundred groups before it falls back to sorting.
+GROUP_DIRECT_ROWS = 100_000
 
 # Buckets per bracket and pass in the refinement.
 REFINE_BUCKETS = 4096

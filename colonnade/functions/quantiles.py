@@ -1,15 +1,16 @@
 """Exact quantiles that hold at any size.
 
 The built-in `percentile` keeps every distinct value of a group in one aggregation buffer, so it is
-used only for groups of at most `direct_rows` rows.  A larger group is narrowed down instead: each
-pass counts the group's rows in equal-width buckets between a lower and an upper bound, keeps the
-bucket holding the wanted rank and tightens the bounds to the values seen in it.  A pass is one
-column-pruned scan with map-side partial counts; the group's rows are neither shuffled nor sorted.
-Once at most `direct_rows` rows lie between the bounds, the last pass counts single values.
+used only for groups of few rows.  A larger group is narrowed down instead: each pass counts the
+group's rows in equal-width buckets between a lower and an upper bound, keeps the bucket holding the
+wanted rank and tightens the bounds to the values seen in it.  A pass is one column-pruned scan with
+map-side partial counts; the group's rows are neither shuffled nor sorted.  Once few rows lie between
+the bounds, the last pass counts single values.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Sequence
 
@@ -18,10 +19,15 @@ from pyspark.sql import functions as F
 
 from colonnade import config
 from colonnade.functions.columns import as_double, quoted
-from colonnade.session import stage
+from colonnade.session import local_table, stage
 
 _HUGE = sys.float_info.max
-_QUARTILES = (0.25, 0.5, 0.75)
+QUARTILES = (0.25, 0.5, 0.75)
+# Up to this many large groups their bounds are kept on the driver.
+_FEW_GROUPS = 1_000
+
+# lo and hi enclose the values that may hold the rank; `below` rows lie under them, `inside` within.
+Bounds = dict[str, tuple[int, float, float]]
 
 
 def _bounded(value: Column) -> Column:
@@ -29,18 +35,14 @@ def _bounded(value: Column) -> Column:
     return F.greatest(F.lit(-_HUGE), F.least(F.lit(_HUGE), value))
 
 
-def _unbounded(value: Column) -> Column:
-    return (
-        F.when(value >= _HUGE, F.lit(float("inf")))
-        .when(value <= -_HUGE, F.lit(float("-inf")))
-        .otherwise(value)
-    )
+def _unbounded(value: float) -> float:
+    return math.copysign(math.inf, value) if abs(value) >= _HUGE else value
 
 
-def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str], by_value: bool) -> DataFrame:
-    """One pass: `targets` (keys, probe, rank, lo, hi, below, inside) with tighter bounds."""
-    spans = targets.select(*keys, "lo", "hi", "below").distinct()
-    # One row per wanted rank of each large group: at most a few per `direct_rows` rows.
+def _narrow(rows: DataFrame, spans: DataFrame, targets: DataFrame, keys: list[str], by_value: bool) -> DataFrame:
+    """One pass: `targets` (keys, probe, rank, lo, below) with tighter bounds.  `spans` are the
+    different bounds (keys, lo, hi) among them; within a group they do not overlap, so a lower bound
+    names its span."""
     hits = rows.join(F.broadcast(spans), keys).where(F.col("v").between(F.col("lo"), F.col("hi")))
     if by_value:
         bucket = F.col("v")
@@ -49,79 +51,121 @@ def _narrow(rows: DataFrame, targets: DataFrame, keys: list[str], by_value: bool
         width = F.col("hi") / buckets - F.col("lo") / buckets
         width = F.when(width > 0, width).otherwise(F.col("hi") - F.col("lo"))
         place = F.try_divide(F.col("v") / 2 - F.col("lo") / 2, width / 2)
-        bucket = F.least(F.lit(buckets - 1.0), F.floor(F.coalesce(place, F.lit(0.0))).cast("double"))
-    bins = (
-        hits.groupBy(*keys, "lo", "hi", "below", bucket.alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("m"), F.min("v").alias("lo2"), F.max("v").alias("hi2"))
+        bucket = F.least(F.lit(buckets - 1), F.floor(F.coalesce(place, F.lit(0.0))).cast("int"))
+    bins = hits.groupBy(*keys, "lo", bucket.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("inside"), F.min("v").alias("lo2"), F.max("v").alias("hi2")
     )
-    # A window partition holds one bracket's buckets: at most REFINE_BUCKETS or direct_rows rows.
-    run = Window.partitionBy(*keys, "lo", "hi", "below").orderBy("bucket")
-    bins = bins.withColumn("start", F.col("below") + F.sum("m").over(run) - F.col("m"))
-    picked = targets.drop("inside").join(bins, [*keys, "lo", "hi", "below"]).where(
-        (F.col("start") <= F.col("rank")) & (F.col("rank") < F.col("start") + F.col("m"))
+    # A window partition holds the buckets or the last few values between one pair of bounds.
+    run = Window.partitionBy(*keys, "lo").orderBy("bucket")
+    bins = bins.withColumn("before", F.sum("inside").over(run) - F.col("inside"))
+    start = F.col("below") + F.col("before")
+    picked = bins.join(F.broadcast(targets), [*keys, "lo"]).where(
+        (start <= F.col("rank")) & (F.col("rank") < start + F.col("inside"))
     )
     return picked.select(
-        *keys, "probe", "rank",
-        F.col("lo2").alias("lo"), F.col("hi2").alias("hi"),
-        F.col("start").alias("below"), F.col("m").alias("inside"),
+        *keys, "probe", "rank", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), start.alias("below"), "inside"
     )
 
 
-def values_at_ranks(
-    rows: DataFrame, targets: DataFrame, keys: list[str], direct_rows: int = config.DIRECT_ROWS
-) -> DataFrame:
-    """Exact order statistics.  `rows` has the keys and a non-null, finite double `v`; `targets` has
-    (keys, probe, rank, lo, hi, below, inside), starting from each group's minimum and maximum.
-    Returns (keys, probe, rank, lo, hi, below, inside) with lo = hi = the value at the rank, `below`
-    rows under it and `inside` rows equal to it."""
-    targets = stage(targets)
-    while True:
-        widest = targets.where("lo < hi").agg(F.max("inside")).first()[0]
-        if widest is None:
-            return targets
-        settled = targets.where("lo >= hi")
-        open_ones = targets.where("lo < hi")
-        targets = stage(
-            settled.unionByName(_narrow(rows, open_ones, keys, by_value=widest <= direct_rows))
-        )
+_TARGET = "g int, probe int, rank long, lo double, below long"
+_SPAN = "g int, lo double, hi double"
 
 
-def _rank_columns(n: Column, probs: Sequence[float]) -> list[Column]:
-    ranks = []
-    for p in probs:
-        place = F.lit(float(p)) * (n - 1)
-        ranks += [F.floor(place).cast("long"), F.ceil(place).cast("long")]
-    return ranks
+def _search(rows: DataFrame, targets: list[dict], direct_rows: int) -> list[dict]:
+    """Order statistics of few groups.  `rows` has a group number `g` and a finite double `v`; a target
+    has g, probe, rank, lo, hi, below, inside and comes back with lo = hi = the value at its rank,
+    `below` rows under it and `inside` rows equal to it."""
+    spark = rows.sparkSession
+    while open_ones := [t for t in targets if t["lo"] < t["hi"]]:
+        settled = [t for t in targets if t["lo"] >= t["hi"]]
+        by_value = max(t["inside"] for t in open_ones) <= direct_rows
+        wanted = {c: [t[c] for t in open_ones] for c in ("g", "probe", "rank", "lo", "below")}
+        different = sorted({(t["g"], t["lo"], t["hi"]) for t in open_ones})
+        spans = dict(zip(("g", "lo", "hi"), map(list, zip(*different))))
+        tables = local_table(spark, spans, _SPAN), local_table(spark, wanted, _TARGET)
+        found = _narrow(rows, *tables, ["g"], by_value)
+        targets = settled + [r.asDict() for r in found.collect()]
+    return targets
 
 
-def _refined(rows: DataFrame, keys: list[str], probs: Sequence[float], direct_rows: int) -> DataFrame:
-    rows = rows.select(*keys, _bounded(F.col("v")).alias("v"))
+def _few_quantiles(
+    rows: DataFrame, bounds: dict[int, tuple[int, float, float]], probs: Sequence[float], direct_rows: int
+) -> dict[int, list[float]]:
+    """Quantiles per group number, from each group's (count, minimum, maximum)."""
+    targets = []
+    for g, (n, low, high) in bounds.items():
+        for i, p in enumerate(probs):
+            place = p * (n - 1)
+            for side, rank in ((0, math.floor(place)), (1, math.ceil(place))):
+                targets.append(
+                    {"g": g, "probe": 2 * i + side, "rank": rank, "lo": low, "hi": high, "below": 0, "inside": n}
+                )
+    at = {(t["g"], t["probe"]): _unbounded(t["lo"]) for t in _search(rows, targets, direct_rows)}
+    out = {}
+    for g, (n, _, _) in bounds.items():
+        out[g] = []
+        for i, p in enumerate(probs):
+            part = p * (n - 1) % 1
+            low, high = at[g, 2 * i], at[g, 2 * i + 1]
+            out[g].append(low * (1 - part) + high * part if part else low)
+    return out
+
+
+def _many_quantiles(rows: DataFrame, keys: list[str], probs: Sequence[float], direct_rows: int) -> DataFrame:
+    """Quantiles of many large groups: the bounds live in checkpointed tables.  There is less than one
+    large group per `direct_rows` rows, so the bounds may be broadcast."""
     sizes = stage(
-        rows.groupBy(*keys).agg(
-            F.count("v").alias("inside"), F.min("v").alias("lo"), F.max("v").alias("hi")
-        )
+        rows.groupBy(*keys).agg(F.count("v").alias("inside"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
-    ranks = F.array(*_rank_columns(F.col("inside"), probs))
+    places = [F.lit(float(p)) * (F.col("inside") - 1) for p in probs]
+    ranks = F.array(*[f(x).cast("long") for x in places for f in (F.floor, F.ceil)])
     targets = sizes.select(
-        *keys, F.posexplode(ranks).alias("probe", "rank"), "lo", "hi",
-        F.lit(0).cast("long").alias("below"), "inside",
+        *keys, F.posexplode(ranks).alias("probe", "rank"), "lo", "hi", F.lit(0).cast("long").alias("below"), "inside"
     )
-    found = values_at_ranks(rows, targets, keys, direct_rows)
-    picks = [F.max(F.when(F.col("probe") == i, F.col("lo"))).alias(f"v{i}") for i in range(2 * len(probs))]
-    table = found.groupBy(*keys).agg(*picks).join(sizes.select(*keys, F.col("inside").alias("n")), keys)
+    targets = stage(targets)
+    while widest := targets.where("lo < hi").agg(F.max("inside")).first()[0]:
+        open_ones = targets.where("lo < hi")
+        spans = open_ones.select(*keys, "lo", "hi").distinct()
+        narrowed = _narrow(
+            rows, spans, open_ones.drop("hi", "inside"), keys, by_value=widest <= direct_rows
+        )
+        targets = stage(targets.where("lo >= hi").unionByName(narrowed))
+    value = F.when(F.abs("lo") >= _HUGE, F.signum("lo") * float("inf")).otherwise(F.col("lo"))
+    picks = [F.max(F.when(F.col("probe") == i, value)).alias(f"v{i}") for i in range(2 * len(probs))]
+    table = targets.groupBy(*keys).agg(*picks).join(sizes.select(*keys, "inside"), keys)
     out = []
-    for i, p in enumerate(probs):
-        place = F.lit(float(p)) * (F.col("n") - 1)
-        part = place - F.floor(place)
-        low, high = _unbounded(F.col(f"v{2 * i}")), _unbounded(F.col(f"v{2 * i + 1}"))
+    for i, place in enumerate(places):
+        part, low, high = place - F.floor(place), F.col(f"v{2 * i}"), F.col(f"v{2 * i + 1}")
         out.append(F.when(part > 0, low * (1 - part) + high * part).otherwise(low).alias(f"q{i}"))
     return table.select(*keys, *out)
 
 
+def _refined(
+    df: DataFrame, names: list[str], probs: Sequence[float], bounds: Bounds | None, direct_rows: int
+) -> dict[str, list[float | None]]:
+    if bounds is None:
+        parts = [x for c in names for x in (F.count(as_double(df, c)), F.min(as_double(df, c)), F.max(as_double(df, c)))]
+        row = df.agg(*[x.alias(f"b{i}") for i, x in enumerate(parts)]).first()
+        bounds = {c: tuple(row[3 * i:3 * i + 3]) for i, c in enumerate(names)}
+    values = F.array(*[_bounded(as_double(df, c)) for c in names])
+    long = df.select(F.posexplode(values).alias("g", "v")).where("v is not null")
+    clipped = {
+        i: (n, max(low, -_HUGE), min(high, _HUGE))
+        for i, (n, low, high) in enumerate(bounds[c] for c in names) if n
+    }
+    found = _few_quantiles(long, clipped, probs, direct_rows)
+    return {c: found.get(i, [None] * len(probs)) for i, c in enumerate(names)}
+
+
+def _built_in(df: DataFrame, names: list[str], probs: Sequence[float]) -> dict[str, list[Column]]:
+    points = F.array(*[F.lit(float(p)) for p in probs])
+    return {c: [F.percentile(as_double(df, c), points)[i] for i in range(len(probs))] for c in names}
+
+
 def quantile_columns(
     df: DataFrame,
     names: Sequence[str],
-    probs: Sequence[float] = _QUARTILES,
+    probs: Sequence[float] = QUARTILES,
     *,
     rows: int | None = None,
     direct_rows: int = config.DIRECT_ROWS,
@@ -131,81 +175,98 @@ def quantile_columns(
     names = list(names)
     if not names:
         return {}
-    rows = df.count() if rows is None else rows
-    if rows <= direct_rows:
-        points = F.array(*[F.lit(float(p)) for p in probs])
-        return {
-            c: [F.percentile(as_double(df, c), points)[i] for i in range(len(probs))] for c in names
-        }
-    values = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(names)])
-    long = values.unpivot([], list(values.columns), "k", "v").where("v is not null")
-    found = {r["k"]: r for r in _refined(long, ["k"], probs, direct_rows).collect()}
-    out = {}
-    for i, c in enumerate(names):
-        row = found.get(f"c{i}")
-        out[c] = [F.lit(row[f"q{j}"] if row else None).cast("double") for j in range(len(probs))]
-    return out
+    if (df.count() if rows is None else rows) <= direct_rows:
+        return _built_in(df, names, probs)
+    found = _refined(df, names, probs, None, direct_rows)
+    return {c: [F.lit(q).cast("double") for q in qs] for c, qs in found.items()}
 
 
 def quantiles(
-    df: DataFrame, names: Sequence[str], probs: Sequence[float] = _QUARTILES, **options
+    df: DataFrame,
+    names: Sequence[str],
+    probs: Sequence[float] = QUARTILES,
+    *,
+    rows: int | None = None,
+    bounds: Bounds | None = None,
+    direct_rows: int = config.DIRECT_ROWS,
 ) -> dict[str, list[float | None]]:
-    """The quantiles as numbers: one small row per call."""
-    columns = quantile_columns(df, names, probs, **options)
-    if not columns:
+    """Per column, the quantiles as numbers.  `bounds` are the (count, minimum, maximum) of the columns
+    where they are known; they save a pass over a large frame."""
+    names = list(names)
+    if not names:
         return {}
-    flat = [q for qs in columns.values() for q in qs]
+    if (df.count() if rows is None else rows) > direct_rows:
+        return _refined(df, names, probs, bounds, direct_rows)
+    flat = [q for qs in _built_in(df, names, probs).values() for q in qs]
     row = df.agg(*[q.alias(f"q{i}") for i, q in enumerate(flat)]).first()
     width = len(probs)
-    return {c: list(row[i * width:(i + 1) * width]) for i, c in enumerate(columns)}
+    return {c: list(row[i * width:(i + 1) * width]) for i, c in enumerate(names)}
+
+
+def _all_present(keys: Sequence[str]) -> Column:
+    held = F.lit(True)
+    for k in keys:
+        held = held & quoted(k).isNotNull()
+    return held
 
 
 def group_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
-    probs: Sequence[float] = _QUARTILES,
+    probs: Sequence[float] = QUARTILES,
     *,
     extra: Sequence[Column] = (),
-    direct_rows: int = config.DIRECT_ROWS,
+    direct_rows: int = config.GROUP_DIRECT_ROWS,
 ) -> DataFrame:
     """(keys, extra aggregates, q0, q1, ...) per group; groups with a null key are left out."""
     keys = list(keys)
-    df = df.where(F.lit(True) if not keys else _all_present(keys))
-    sizes = df.groupBy(*keys).agg(F.count(as_double(df, value)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
+    df = df.where(_all_present(keys))
+    v = as_double(df, value)
     points = F.array(*[F.lit(float(p)) for p in probs])
-    every = F.percentile(as_double(df, value), points)
-    direct = [every[i].alias(f"q{i}") for i in range(len(probs))]
-    if largest <= direct_rows:
+    direct = [F.percentile(v, points)[i].alias(f"q{i}") for i in range(len(probs))]
+    sizes = df.groupBy(*keys).agg(
+        F.count(v).alias("n"), F.min(_bounded(v)).alias("lo"), F.max(_bounded(v)).alias("hi")
+    )
+    largest = sizes.orderBy(F.desc("n")).limit(_FEW_GROUPS + 1).toArrow()
+    counts = largest["n"].to_pylist()
+    if not counts or counts[0] <= direct_rows:
         return df.groupBy(*keys).agg(*extra, *direct)
-    # Fewer than total rows / direct_rows groups are this large, so their keys may be broadcast.
-    large = stage(sizes.where(F.col("n") > direct_rows).select(*keys))
-    small_part = df.join(F.broadcast(large), keys, "left_anti").groupBy(*keys).agg(*direct)
-    values = df.select(*keys, as_double(df, value).alias("v")).where("v is not null")
-    large_part = _refined(values.join(F.broadcast(large), keys), keys, probs, direct_rows)
-    found = small_part.unionByName(large_part)
-    if not extra:
-        return found
-    return df.groupBy(*keys).agg(*extra).join(found, keys)
-
-
-def _all_present(keys: Sequence[str]) -> Column:
-    held = F.lit(True)
-    for k in keys:
-        held = held & quoted(k).isNotNull()
-    return held
+    big = sum(n > direct_rows for n in counts)
+    values = df.select(*keys, _bounded(v).alias("v")).where("v is not null")
+    if big <= _FEW_GROUPS:
+        spark = df.sparkSession
+        head = largest.slice(0, big)
+        numbers = list(range(big))
+        numbered = spark.createDataFrame(head.select(keys).append_column("g", [numbers]))
+        bounds = dict(zip(numbers, zip(counts, head["lo"].to_pylist(), head["hi"].to_pylist())))
+        rows = values.join(F.broadcast(numbered), keys).select(F.col("g").cast("int").alias("g"), "v")
+        found = _few_quantiles(rows, bounds, probs, direct_rows)
+        table = {"g": numbers} | {f"q{i}": [found[g][i] for g in numbers] for i in range(len(probs))}
+        schema = "g long, " + ", ".join(f"q{i} double" for i in range(len(probs)))
+        large_part = numbered.join(F.broadcast(local_table(spark, table, schema)), "g").drop("g")
+        large = numbered.select(*keys)
+    else:
+        large = stage(sizes.where(F.col("n") > direct_rows).select(*keys))
+        large_part = _many_quantiles(values.join(F.broadcast(large), keys), keys, probs, direct_rows)
+    if big < len(counts):
+        small = df.join(F.broadcast(large), keys, "left_anti").groupBy(*keys).agg(*direct)
+        large_part = small.unionByName(large_part)
+    return df.groupBy(*keys).agg(*extra).join(large_part, keys) if extra else large_part
 
 
 def order_statistic(
-    df: DataFrame, value: Column, rank: int, direct_rows: int = config.DIRECT_ROWS
+    df: DataFrame,
+    value: Column,
+    rank: int,
+    bounds: tuple[int, float | None, float | None],
+    direct_rows: int = config.DIRECT_ROWS,
 ) -> tuple[float, int, int]:
-    """(value at 0-based `rank`, rows below it, rows equal to it) over the non-null values."""
-    rows = df.select(F.lit(0).alias("k"), _bounded(value.cast("double")).alias("v")).where("v is not null")
-    start = rows.groupBy("k").agg(
-        F.lit(0).alias("probe"), F.lit(rank).cast("long").alias("rank"),
-        F.min("v").alias("lo"), F.max("v").alias("hi"),
-        F.lit(0).cast("long").alias("below"), F.count("v").alias("inside"),
-    )
-    row = values_at_ranks(rows, start, ["k"], direct_rows).first()
-    return row["lo"], row["below"], row["inside"]
+    """(value at 0-based `rank`, rows below it, rows equal to it) over the non-null values, given their
+    (count, minimum, maximum); the extremes may be None where the rows are few."""
+    values = df.select(F.lit(0).alias("g"), _bounded(value.cast("double")).alias("v")).where("v is not null")
+    rows, low, high = bounds
+    low, high = (-_HUGE if low is None else low), (_HUGE if high is None else high)
+    start = {"g": 0, "probe": 0, "rank": rank, "lo": low, "hi": high, "below": 0, "inside": rows}
+    (found,) = _search(values, [start], direct_rows)
+    return found["lo"], found["below"], found["inside"]

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from colonnade import config
 
 # Text forms read as a number, text read as missing, currency and unit marks removed.
-NUMBER_PATTERN = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+NUMBER_PATTERN = (
+    r"^\s*[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+)
 WHOLE_PATTERN = r"^\s*[+-]?[0-9]{1,18}\s*$"
-INFINITY_PATTERN = r"^\s*[+-]?([iI][nN][fF]|[iI][nN][fF][iI][nN][iI][tT][yY])\s*$"
 MISSING_TOKENS = ("nan", "None", "", "NaN")
 MONEY_MARKS = r"[,\s$€£¥%]"
 
@@ -41,7 +42,7 @@ def normalize_label(col: Column) -> Column:
 
 
 def is_number_text(col: Column) -> Column:
-    return col.rlike(NUMBER_PATTERN) | col.rlike(INFINITY_PATTERN)
+    return col.rlike(NUMBER_PATTERN)
 
 
 def is_whole_text(col: Column) -> Column:

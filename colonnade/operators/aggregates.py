@@ -22,7 +22,7 @@ def group_agg(
     func: str = "mean",
     limit: int | None = None,
     *,
-    direct_rows: int = config.DIRECT_ROWS,
+    direct_rows: int = config.GROUP_DIRECT_ROWS,
 ) -> DataFrame:
     """(x, value): y aggregated per x, largest value first.  Null groups are dropped; a function
     outside the six known ones means the mean."""
@@ -80,7 +80,8 @@ def segment_breakdown(
     kpi: str,
     limit: int = config.SEGMENT_TOP_N,
     *,
-    direct_rows: int = config.DIRECT_ROWS,
+    row_count: int | None = None,
+    direct_rows: int = config.GROUP_DIRECT_ROWS,
 ) -> DataFrame:
     """Top segments by sum: count, sum, mean, median and share in percent of the total over all
     rows, those without a segment included."""
@@ -93,7 +94,7 @@ def segment_breakdown(
         F.avg("_y").alias("mean"),
     ]
     named = rows.where("segment is not null")
-    if df.count() <= direct_rows:
+    if (df.count() if row_count is None else row_count) <= direct_rows:
         grouped = named.groupBy("segment").agg(*sums, F.percentile("_y", F.lit(0.5)).alias("median"))
         top = topk_groups(grouped, "segment", "sum", limit)
     else:

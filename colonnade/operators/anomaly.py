@@ -27,7 +27,7 @@ STATUS = "status"
 ANOMALY, NORMAL = "Anomaly", "Normal"
 
 _EULER = 0.5772156649015329
-_NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, depth double"
+_NODE_SCHEMA = "tree int, slot int, feature int, split double, depth double"
 
 
 def mean_path(n: int) -> float:
@@ -39,33 +39,56 @@ def mean_path(n: int) -> float:
     return 2.0 * (math.log(n - 1.0) + _EULER) - 2.0 * (n - 1.0) / n
 
 
-def grow_tree(x: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tuple]:
-    """(node, feature, split, left, right, depth) rows; a leaf points to itself and its depth counts
-    the path its points would still need."""
+def grow_tree(x: np.ndarray, rng: np.random.Generator, levels: int) -> list[tuple]:
+    """(slot, feature, split, depth) rows of a tree laid out as a complete binary tree: the children of
+    slot i are 2i + 1, for values up to the split, and 2i + 2.  A leaf stands at the leftmost slot of
+    the last level below it, with the path its points would still need added to its depth; the unset
+    slots on the way pass everything to the left."""
     nodes: list[tuple] = []
     waiting = [(0, np.arange(len(x)), 0)]
-    created = 1
     while waiting:
-        node, members, depth = waiting.pop()
+        slot, members, depth = waiting.pop()
         part = x[members]
         low, high = part.min(axis=0), part.max(axis=0)
         varied = np.flatnonzero(high > low)
-        if depth >= max_depth or len(members) <= 1 or len(varied) == 0:
-            nodes.append((node, 0, 0.0, node, node, depth + mean_path(len(members))))
+        if depth >= levels or len(members) <= 1 or len(varied) == 0:
+            last = (slot + 1) * 2 ** (levels - depth) - 1
+            nodes.append((last, 0, math.inf, depth + mean_path(len(members))))
             continue
         feature = int(rng.choice(varied))
         split = float(rng.uniform(low[feature], high[feature]))
-        goes_left = part[:, feature] <= split
-        if goes_left.all():
+        if split >= high[feature]:
             split = float(low[feature])
-            goes_left = part[:, feature] <= split
-        nodes.append((node, feature, split, created, created + 1, 0.0))
-        waiting.append((created, members[goes_left], depth + 1))
-        waiting.append((created + 1, members[~goes_left], depth + 1))
-        created += 2
+        goes_left = part[:, feature] <= split
+        nodes.append((slot, feature, split, 0.0))
+        waiting.append((2 * slot + 1, members[goes_left], depth + 1))
+        waiting.append((2 * slot + 2, members[~goes_left], depth + 1))
     return nodes
 
 
+def lay_out(nodes: pd.DataFrame, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, split, depth) by slot."""
+    slots = 2 ** (levels + 1) - 1
+    feature = np.zeros(slots, dtype=np.int32)
+    split, depth = np.full(slots, np.inf), np.zeros(slots)
+    at = nodes["slot"].to_numpy()
+    feature[at], split[at], depth[at] = nodes["feature"], nodes["split"], nodes["depth"]
+    return feature, split, depth
+
+
+def path_lengths(x: np.ndarray, trees: list, levels: int) -> np.ndarray:
+    """Summed path length of each row over the trees."""
+    flat, start = x.ravel(), np.arange(len(x), dtype=np.int32) * x.shape[1]
+    total = np.zeros(len(x))
+    for feature, split, depth in trees:
+        slot = np.zeros(len(x), dtype=np.int32)
+        for _ in range(levels):
+            right = flat.take(start + feature.take(slot)) > split.take(slot)
+            slot = 2 * slot + 1 + right
+        total += depth.take(slot)
+    return total
+
+
 def _draw(rows: DataFrame, key: Column, names: list[str], n: int, trees: int, sample: int, seed: int) -> DataFrame:
     """(tree, h, features): up to `sample` rows per tree.  Membership hangs on the row key alone, so
     neither the partitioning nor a retry changes it."""
@@ -124,48 +147,36 @@ def isolation_forest(
     if n == 0:
         return rows.withColumns({SCORE: F.lit(0.0), STATUS: F.lit(NORMAL)})
     width = len(inputs)
+    levels = math.ceil(math.log2(max(min(sample, n), 2)))
+    expected = mean_path(min(sample, n))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("r")
         tree = int(pdf["tree"].iloc[0])
         x = pdf[[f"x{i}" for i in range(width)]].to_numpy(dtype=float)
-        depth = math.ceil(math.log2(max(len(x), 2)))
-        grown = grow_tree(x, np.random.default_rng([seed, tree]), depth)
-        out = pd.DataFrame(grown, columns=["node", "feature", "split", "left", "right", "depth"])
+        grown = grow_tree(x, np.random.default_rng([seed, tree]), levels)
+        out = pd.DataFrame(grown, columns=["slot", "feature", "split", "depth"])
         out.insert(0, "tree", tree)
         return out
 
     drawn = _draw(plain, F.col(KEY), inputs, n, trees, sample, seed)
-    nodes = drawn.groupBy("tree").applyInPandas(train, _NODE_SCHEMA)
     # At most 2 * sample nodes per tree: the whole forest is a few megabytes at any data size.
-    forest = nodes.toPandas().sort_values(["tree", "node"])
-    packed = [
-        tuple(g[c].to_numpy() for c in ("feature", "split", "left", "right", "depth"))
-        for _, g in forest.groupby("tree")
-    ]
-    steps = math.ceil(math.log2(max(min(sample, n), 2)))
-    expected = mean_path(min(sample, n))
+    forest = drawn.groupBy("tree").applyInPandas(train, _NODE_SCHEMA).toPandas()
+    packed = [lay_out(nodes, levels) for _, nodes in forest.groupby("tree")]
     shared = df.sparkSession.sparkContext.broadcast(packed)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
             x = batch.to_numpy(dtype=float)
-            at = np.arange(len(x))
-            total = np.zeros(len(x))
-            for feature, split, left, right, depth in shared.value:
-                node = np.zeros(len(x), dtype=np.int64)
-                for _ in range(steps):
-                    lower = x[at, feature[node]] <= split[node]
-                    node = np.where(lower, left[node], right[node])
-                total += depth[node]
-            mean_depth = total / len(shared.value)
-            yield pd.Series(np.exp2(-mean_depth / expected) if expected > 0 else np.full(len(x), 0.5))
+            depth = path_lengths(x, shared.value, levels) / len(shared.value)
+            yield pd.Series(np.exp2(-depth / expected) if expected > 0 else np.full(len(x), 0.5))
 
     # Scoring is the costly step and its result is needed by the threshold and by the caller.
     point = F.struct(*[as_double(df, c).alias(f"f{i}") for i, c in enumerate(names)])
     scored = stage(rows.withColumn(SCORE, score(point)))
-    limit = quantiles(scored, [SCORE], (1 - contamination,), rows=n, direct_rows=direct_rows)[SCORE][0]
+    spread = {SCORE: (n, 0.0, 1.0)}
+    limit = quantiles(scored, [SCORE], (1 - contamination,), rows=n, bounds=spread, direct_rows=direct_rows)[SCORE][0]
     return scored.withColumn(STATUS, F.when(F.col(SCORE) > F.lit(limit), ANOMALY).otherwise(NORMAL))
 
 

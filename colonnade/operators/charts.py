@@ -25,6 +25,7 @@ from colonnade.functions.quantiles import group_quantiles, quantiles
 from colonnade.operators.aggregates import AGGREGATES, group_agg, value_counts
 from colonnade.operators.projections import sort_xy
 from colonnade.operators.statistics import bias_corrected_skew, tidy
+from colonnade.session import empty_table
 
 CHARTS = ("histogram", "box", "bar", "line", "scatter", "pie")
 
@@ -65,7 +66,7 @@ def _binned(df: DataFrame, x: str, bins: int) -> tuple[Column, DataFrame]:
     v = as_double(df, x)
     low, high = df.agg(F.min(v), F.max(v)).first()
     if low is None:
-        return F.lit(None).cast("int"), df.sparkSession.createDataFrame([], "bin int, low double, high double")
+        return F.lit(None).cast("int"), empty_table(df.sparkSession, "bin int, low double, high double")
     width = (high - low) / bins
     place = F.floor((v - low) / width).cast("int") if width > 0 else F.when(v.isNotNull(), F.lit(0))
     edges = df.sparkSession.range(bins).select(
@@ -118,7 +119,7 @@ def box_stats(df: DataFrame, x: str, *, direct_rows: int = config.DIRECT_ROWS) -
     )
 
 
-def box_by_group(df: DataFrame, x: str, y: str, *, direct_rows: int = config.DIRECT_ROWS) -> DataFrame:
+def box_by_group(df: DataFrame, x: str, y: str, *, direct_rows: int = config.GROUP_DIRECT_ROWS) -> DataFrame:
     """The box of y for each x."""
     require(df, [x, y])
     rows = df.select(present(df, x).alias("group"), as_double(df, y).alias("v")).na.drop()

@@ -26,7 +26,7 @@ from colonnade.functions.columns import (
 )
 from colonnade.functions.quantiles import quantiles
 from colonnade.operators.aggregates import mode_values
-from colonnade.session import stage
+from colonnade.session import empty_table, local_table, stage
 
 NO_MODE = "Unknown"
 
@@ -159,6 +159,11 @@ class Fence:
     def iqr(self) -> float:
         return self.q3 - self.q1
 
+    @classmethod
+    def around(cls, q1: float, median: float, q3: float, multiplier: float = config.FENCE_MULTIPLIER) -> Fence:
+        reach = multiplier * (q3 - q1)
+        return cls(q1, median, q3, q1 - reach, q3 + reach)
+
     def outside(self, value: Column) -> Column:
         return (value < F.lit(self.low)) | (value > F.lit(self.high))
 
@@ -171,13 +176,11 @@ def iqr_fences(
 ) -> dict[str, Fence]:
     """Quartile fences of every numeric column with a non-zero interquartile range."""
     names = list(columns) if columns is not None else numeric_columns(df)
-    fences = {}
-    for c, (q1, q2, q3) in quantiles(df, names, **options).items():
-        if q1 is None or q3 - q1 == 0:
-            continue
-        reach = multiplier * (q3 - q1)
-        fences[c] = Fence(q1, q2, q3, q1 - reach, q3 + reach)
-    return fences
+    return {
+        c: Fence.around(*qs, multiplier)
+        for c, qs in quantiles(df, names, **options).items()
+        if qs[0] is not None and qs[2] - qs[0] != 0
+    }
 
 
 def cap_columns(df: DataFrame, fences: dict[str, Fence]) -> DataFrame:
@@ -248,23 +251,29 @@ def prep_report(df: DataFrame, **options) -> DataFrame:
         ("final_columns", None, log.columns, None),
         ("final_nulls", None, log.nulls_left, None),
     ]
-    return df.sparkSession.createDataFrame(
-        [(i, *r) for i, r in enumerate(rows)],
-        "ordinal int, step string, column string, n long, value string",
+    listed = [list(x) for x in zip(*[(i, *r) for i, r in enumerate(rows)])]
+    names = ("ordinal", "step", "column", "n", "value")
+    return local_table(
+        df.sparkSession, dict(zip(names, listed)), "ordinal int, step string, column string, n long, value string"
     )
 
 
+def lenient_counts(names: Sequence[str]) -> list[Column]:
+    """Per text column the number of real values and of those that become numbers."""
+    counts = []
+    for c in names:
+        text = F.trim(quoted(c))
+        counts += [F.count(S.null_tokens(text)), F.count(S.clean_number(text))]
+    return counts
+
+
 def lenient_numeric_columns(df: DataFrame, share: float = 0.8) -> list[str]:
     """Text columns in which at least `share` of the real values become numbers once separators and
     currency marks are gone."""
     names = string_columns(df)
     if not names:
         return []
-    counts = []
-    for c in names:
-        text = F.trim(quoted(c))
-        counts += [F.count(S.null_tokens(text)), F.count(S.clean_number(text))]
-    row = df.agg(*[x.alias(f"n{i}") for i, x in enumerate(counts)]).first()
+    row = df.agg(*[x.alias(f"n{i}") for i, x in enumerate(lenient_counts(names))]).first()
     return [
         c for i, c in enumerate(names) if row[2 * i] > 0 and row[2 * i + 1] / row[2 * i] >= share
     ]
@@ -288,7 +297,7 @@ def capping_audit(raw: DataFrame, cleaned: DataFrame, key: str) -> DataFrame:
     ]
     schema = "column string, changed long"
     if not shared:
-        return raw.sparkSession.createDataFrame([], schema)
+        return empty_table(raw.sparkSession, schema)
     a = raw.select(key, *[as_double(raw, c).alias(f"a{i}") for i, c in enumerate(shared)])
     b = cleaned.select(key, *[as_double(cleaned, c).alias(f"b{i}") for i, c in enumerate(shared)])
     both = a.join(b, key)

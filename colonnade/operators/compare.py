@@ -49,7 +49,7 @@ def source_comparison(
     kpi: str,
     raw: dict[str, DataFrame] | None = None,
     *,
-    direct_rows: int = config.DIRECT_ROWS,
+    direct_rows: int = config.GROUP_DIRECT_ROWS,
 ) -> DataFrame:
     """Per source n, mean, median, sum, max and share of the grand sum of the metric, and mean and sum
     of the energy unit where the raw datasets have one.  Values come from the raw dataset of the

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from colonnade import config
 from colonnade.functions.columns import as_double, numeric_columns
-from colonnade.operators.cleaning import iqr_fences
+from colonnade.operators.cleaning import Fence, iqr_fences
 from colonnade.operators.statistics import tidy
+from colonnade.session import empty_table
 
 OUTLIER_SCHEMA = "dataset string, column string, outliers long"
 SPIKE_SCHEMA = (
@@ -41,7 +42,7 @@ def iqr_outlier_counts(datasets: dict[str, DataFrame], *, direct_rows: int = con
         out = counted if out is None else out.unionByName(counted)
     if out is None:
         session = next(iter(datasets.values())).sparkSession
-        return session.createDataFrame([], OUTLIER_SCHEMA)
+        return empty_table(session, OUTLIER_SCHEMA)
     return out.where("outliers > 0")
 
 
@@ -50,15 +51,17 @@ def spike_value(
     columns: Sequence[str] | None = None,
     *,
     min_values: int = 10,
+    fences: dict[str, Fence] | None = None,
     direct_rows: int = config.DIRECT_ROWS,
 ) -> DataFrame:
     """Per column with at least `min_values` values, the outlier furthest from the median, how many
     outliers there are, and the distance in interquartile ranges (one decimal).  Of two equally far
-    outliers the higher one is reported."""
+    outliers the higher one is reported.  Fences that are known already save the quartile passes."""
     names = list(columns) if columns is not None else numeric_columns(df)
-    fences = iqr_fences(df, names, direct_rows=direct_rows)
+    if fences is None:
+        fences = iqr_fences(df, names, direct_rows=direct_rows)
     if not fences:
-        return df.sparkSession.createDataFrame([], SPIKE_SCHEMA)
+        return empty_table(df.sparkSession, SPIKE_SCHEMA)
     metrics = {}
     for c, f in fences.items():
         v = as_double(df, c)

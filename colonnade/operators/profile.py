@@ -14,7 +14,6 @@ from colonnade.functions import scalars as S
 from colonnade.functions import vocabulary as V
 from colonnade.functions.columns import (
     as_double,
-    is_numeric,
     numeric_columns,
     present,
     profiled_columns,
@@ -24,6 +23,7 @@ from colonnade.functions.columns import (
 )
 from colonnade.functions.quantiles import quantile_columns
 from colonnade.operators.statistics import moment_metrics, tidy
+from colonnade.session import empty_table, local_table
 
 # A numeric column whose mean passes this is taken for epoch milli- or nanoseconds.
 EPOCH_MEAN = 1e11
@@ -130,7 +130,7 @@ def date_range(df: DataFrame, column: str | None = None) -> DataFrame:
     """(column, first, last) of the date column."""
     column = column or detect_date_column(df)
     if column is None:
-        return df.sparkSession.createDataFrame([], "column string, first date, last date")
+        return empty_table(df.sparkSession, "column string, first date, last date")
     d = as_date(df, column)
     return df.agg(F.min(d).alias("a"), F.max(d).alias("b")).select(
         F.lit(column).alias("column"), F.to_date("a").alias("first"), F.to_date("b").alias("last")
@@ -154,25 +154,38 @@ def detect_rate_columns(df: DataFrame) -> list[str]:
     return [c for c in numeric_columns(df) if is_rate_name(c)]
 
 
-def column_roles(df: DataFrame, date_column: str | None = None) -> DataFrame:
-    """(ordinal, column, role): date, timestamp, rate, kpi or category."""
-    date_column = date_column or detect_date_column(df)
+def column_facts(df: DataFrame) -> DataFrame:
+    """(ordinal, column, rows, nulls, mean) of every column in one pass; no mean for labels."""
+    numbers = set(numeric_columns(df))
+    return tidy(
+        df,
+        {
+            c: {
+                "rows": F.count(F.lit(1)),
+                "nulls": F.count_if(present(df, c).isNull()),
+                "mean": F.avg(as_double(df, c)) if c in numbers else F.lit(None).cast("double"),
+            }
+            for c in profiled_columns(df)
+        },
+    )
+
+
+def column_roles(df: DataFrame, date_column: str | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """(ordinal, column, role): date, timestamp, rate, kpi or category.  With the facts at hand the date
+    column is taken as given."""
+    if facts is None:
+        facts, date_column = column_facts(df), date_column or detect_date_column(df)
     numbers = [c for c in numeric_columns(df) if c != date_column]
-    means = {c: {"mean": F.avg(as_double(df, c))} for c in numbers}
-    epoch = F.coalesce(F.col("mean") > EPOCH_MEAN, F.lit(False))
-    blank = {"mean": F.lit(None).cast("double")}
-    names = profiled_columns(df)
-    table = tidy(df, {c: means.get(c, blank) for c in names})
-    number = F.col("column").isin(numbers) if numbers else F.lit(False)
-    rates = [c for c in numbers if is_rate_name(c)]
+    number = F.col("column").isin(numbers)
+    rate = F.col("column").isin([c for c in numbers if is_rate_name(c)])
     role = (
         F.when(F.col("column") == F.lit(date_column), "date")
-        .when(number & epoch, "timestamp")
-        .when(F.col("column").isin(rates) if rates else F.lit(False), "rate")
+        .when(number & (F.col("mean") > EPOCH_MEAN), "timestamp")
+        .when(rate, "rate")
         .when(number, "kpi")
         .otherwise("category")
     )
-    return table.select("ordinal", "column", role.alias("role"))
+    return facts.select("ordinal", "column", role.alias("role"))
 
 
 def year_span(df: DataFrame) -> DataFrame:
@@ -180,7 +193,7 @@ def year_span(df: DataFrame) -> DataFrame:
     are years."""
     names = [c for c in numeric_columns(df) if "year" in c.lower()]
     if not names:
-        return df.sparkSession.createDataFrame([], "ordinal int, column string, first int, last int")
+        return empty_table(df.sparkSession, "ordinal int, column string, first int, last int")
     metrics = {}
     for c in names:
         v = as_double(df, c)
@@ -210,7 +223,7 @@ def keyword_hits(datasets: dict[str, DataFrame], sample_keys: dict[str, str] | N
         texts = string_columns(df)
         heading = " ".join(c.lower() for c in df.columns)
         named = [w for w in words if w in heading]
-        found = df.sparkSession.createDataFrame([(w,) for w in named], "keyword string")
+        found = local_table(df.sparkSession, {"keyword": named}, "keyword string")
         if sample_keys and name in sample_keys and texts:
             samples = [concat_values(df, c, sample_keys[name]) for c in texts]
             rows, text = reduce(DataFrame.unionByName, samples), F.lower("text")
@@ -220,7 +233,7 @@ def keyword_hits(datasets: dict[str, DataFrame], sample_keys: dict[str, str] | N
         unnamed = [w for w in words if w not in named]
         if texts and unnamed:
             hits = F.array_compact(F.array(*[F.when(F.col("text").contains(w), w) for w in unnamed]))
-            seen = rows.select(text.alias("text")).distinct().select(F.explode(hits).alias("keyword"))
+            seen = rows.select(text.alias("text")).select(F.explode(hits).alias("keyword"))
             found = found.unionByName(seen.distinct())
         parts.append(found.select(F.lit(name).alias("dataset"), "keyword"))
     return reduce(DataFrame.unionByName, parts)
@@ -229,8 +242,10 @@ def keyword_hits(datasets: dict[str, DataFrame], sample_keys: dict[str, str] | N
 def domain_scores(datasets: dict[str, DataFrame], sample_keys: dict[str, str] | None = None) -> DataFrame:
     """(ordinal, domain, score): keyword hits per domain over all datasets."""
     hits = keyword_hits(datasets, sample_keys)
-    table = hits.sparkSession.createDataFrame(
-        [(i, d, w) for i, (d, ws) in enumerate(V.DOMAIN_KEYWORDS.items()) for w in ws],
+    listed = [(i, d, w) for i, (d, ws) in enumerate(V.DOMAIN_KEYWORDS.items()) for w in ws]
+    table = local_table(
+        hits.sparkSession,
+        dict(zip(("ordinal", "domain", "keyword"), map(list, zip(*listed)))),
         "ordinal int, domain string, keyword string",
     )
     return table.join(hits, "keyword", "left").groupBy("ordinal", "domain").agg(F.count("dataset").alias("score"))

@@ -3,32 +3,43 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade import config
 from colonnade.functions import scalars as S
-from colonnade.functions.columns import SOURCE, quoted, string_columns
+from colonnade.functions.columns import SOURCE, present, string_columns
 from colonnade.operators.statistics import more_labels_than
+from colonnade.session import empty_table, local_table
 
 MAX_EDITS = 2
 MIN_LABEL = 5
-PAIR_SCHEMA = "column string, a string, b string, rows_a long, rows_b long, edits int"
+SEVERE_IQR = 5.0
+LABEL_SCHEMA = "ordinal int, column string, label string, n long"
 
 
 def label_counts(df: DataFrame, columns: Sequence[str], max_labels: int | None) -> DataFrame:
-    """(ordinal, column, label, n) of the columns with 2 to `max_labels` labels."""
-    texts = df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    """(ordinal, column, label, n) of the columns with at most `max_labels` labels.  Columns proven to
+    have more by their hashes are left out before any label is counted."""
+    names = list(columns)
+    if max_labels is not None:
+        crowded = more_labels_than(df, names, max_labels)
+        names = [c for c in names if c not in crowded]
+    if not names:
+        return empty_table(df.sparkSession, LABEL_SCHEMA)
+    texts = df.select(*[present(df, c).cast("string").alias(f"c{i}") for i, c in enumerate(names)])
     long = texts.unpivot([], list(texts.columns), "k", "label").where("label is not null")
     counted = long.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n"))
-    sizes = counted.groupBy("k").agg(F.count(F.lit(1)).alias("labels"))
-    fits = F.col("labels") >= 2 if max_labels is None else F.col("labels").between(2, max_labels)
-    names = F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(f"c{i}"), F.lit(c))])
-    # One row per column of the dataset.
-    return counted.join(F.broadcast(sizes.where(fits)), "k").select(
-        F.substring("k", 2, 9).cast("int").alias("ordinal"), names[F.col("k")].alias("column"), "label", "n"
-    )
+    place = F.create_map(
+        *[x for i, c in enumerate(names) for x in (F.lit(f"c{i}"), F.struct(F.lit(list(columns).index(c)).alias("i"), F.lit(c).alias("c")))]
+    )[F.col("k")]
+    if max_labels is not None:
+        # The proof leaves columns of about `max_labels` labels; each is one window partition.
+        size = F.count(F.lit(1)).over(Window.partitionBy("k"))
+        counted = counted.withColumn("labels", size).where(F.col("labels") <= max_labels)
+    return counted.select(place["i"].alias("ordinal"), place["c"].alias("column"), "label", "n")
 
 
 def _part(text: Column, length: Column, part: Column, shift: Column) -> Column:
@@ -58,57 +69,61 @@ def _probes(labels: DataFrame) -> DataFrame:
     return spots.select("column", "other", "n_other", "length", "part", text.alias("text")).distinct()
 
 
-def near_duplicate_labels(
-    df: DataFrame,
-    columns: Sequence[str] | None = None,
-    *,
-    max_labels: int | None = config.LABEL_CAP,
-    limit: int | None = config.LABEL_PAIRS_SHOWN,
-) -> DataFrame:
-    """Pairs of labels of one column, five characters or longer, at most two edits apart.
+def near_pairs(labels: DataFrame, limit: int | None = config.LABEL_PAIRS_SHOWN) -> DataFrame:
+    """Pairs of labels of one column, five characters or longer, at most two edits apart, the more
+    frequent label first.
 
     Two edits leave at least one of three parts of a label intact, so only labels that share such a
     part are compared; no other pair can qualify."""
-    names = [c for c in (columns if columns is not None else string_columns(df)) if c.lower() != SOURCE]
-    if max_labels is not None:
-        crowded = more_labels_than(df, names, max_labels)
-        names = [c for c in names if c not in crowded]
-    if not names:
-        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    labels = label_counts(df, names, max_labels).where(F.length("label") >= MIN_LABEL)
+    labels = labels.where(F.length("label") >= MIN_LABEL)
     first = (F.col("n") > F.col("n_other")) | ((F.col("n") == F.col("n_other")) & (F.col("label") < F.col("other")))
     pairs = (
         _pieces(labels)
         .join(_probes(labels), ["column", "length", "part", "text"])
         .where(F.col("label") != F.col("other"))
-        .select("ordinal", "column", "label", "other", "n", "n_other", first.alias("first"))
-        # Both directions are probed; each pair is kept once, the more frequent label first.
         .select(
             "ordinal", "column",
-            F.when(F.col("first"), F.col("label")).otherwise(F.col("other")).alias("a"),
-            F.when(F.col("first"), F.col("other")).otherwise(F.col("label")).alias("b"),
+            F.when(first, F.col("label")).otherwise(F.col("other")).alias("a"),
+            F.when(first, F.col("other")).otherwise(F.col("label")).alias("b"),
             F.greatest("n", "n_other").alias("rows_a"), F.least("n", "n_other").alias("rows_b"),
         )
+        # Several parts and both directions may lead to one pair.
         .distinct()
         .withColumn("edits", S.edit_distance(F.col("a"), F.col("b"), MAX_EDITS))
         .where(F.col("edits").between(1, MAX_EDITS))
     )
-    order = ["ordinal", F.desc("rows_a"), "a", F.desc("rows_b"), "b"]
-    shown = pairs.orderBy(*order)
+    shown = pairs.orderBy("ordinal", F.desc("rows_a"), "a", F.desc("rows_b"), "b")
     return (shown.limit(limit) if limit else shown).select("column", "a", "b", "rows_a", "rows_b", "edits")
 
 
-def quality_rating(name: str, nulls: DataFrame, spikes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Issue counts and reliability of one dataset from its null report, spikes and label pairs."""
-    far = F.col("distance_iqr") > 5
-    row = spikes.agg(
-        F.count_if(far).alias("severe"), F.count_if(~far).alias("moderate")
-    ).select(
-        F.lit(name).alias("dataset"),
-        nulls.agg(F.count(F.lit(1))).scalar().alias("null_columns"),
-        "severe", "moderate",
-        labels.agg(F.count(F.lit(1))).scalar().alias("duplicate_labels"),
+def near_duplicate_labels(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    *,
+    max_labels: int | None = config.LABEL_CAP,
+    limit: int | None = config.LABEL_PAIRS_SHOWN,
+) -> DataFrame:
+    """Labels of a text column that are probably one value mistyped.  Columns with more than
+    `max_labels` labels are taken for free text and left out."""
+    names = [c for c in (columns if columns is not None else string_columns(df)) if c.lower() != SOURCE]
+    return near_pairs(label_counts(df, names, max_labels), limit)
+
+
+def issue_counts(nulls: DataFrame, spikes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per dataset the columns with gaps, severe and moderate spikes, and label pairs."""
+    kinds = [
+        nulls.select("dataset", F.lit("null").alias("kind")),
+        spikes.select("dataset", F.when(F.col("distance_iqr") > SEVERE_IQR, "severe").otherwise("moderate").alias("kind")),
+        labels.select("dataset", F.lit("label").alias("kind")),
+    ]
+    counted = [("null_columns", "null"), ("severe", "severe"), ("moderate", "moderate"), ("duplicate_labels", "label")]
+    return reduce(DataFrame.unionByName, kinds).groupBy("dataset").agg(
+        *[F.count_if(F.col("kind") == kind).alias(name) for name, kind in counted]
     )
+
+
+def rate(counts: DataFrame) -> DataFrame:
+    """Issues and reliability from the issue counts."""
     issues = (
         F.col("null_columns") + F.col("severe") + F.when(F.col("moderate") > 0, 1).otherwise(0)
         + F.col("duplicate_labels")
@@ -119,4 +134,12 @@ def quality_rating(name: str, nulls: DataFrame, spikes: DataFrame, labels: DataF
         .when(F.col("issues") <= 2, "Medium")
         .otherwise("Low")
     )
-    return row.withColumn("issues", issues.cast("long")).withColumn("rating", rating)
+    return counts.withColumn("issues", issues.cast("long")).withColumn("rating", rating)
+
+
+def quality_rating(name: str, nulls: DataFrame, spikes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Issue counts and reliability of one dataset from its null report, spikes and label pairs."""
+    tag = F.lit(name).alias("dataset")
+    counts = issue_counts(*[t.select(tag, "*") for t in (nulls, spikes, labels)])
+    one = local_table(counts.sparkSession, {"dataset": [name]}, "dataset string")
+    return rate(one.join(counts, "dataset", "left").na.fill(0))

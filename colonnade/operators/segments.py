@@ -4,34 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.functions import scalars as S
 from colonnade.functions import vocabulary as V
 from colonnade.functions.columns import SOURCE, categorical_columns
-from colonnade.operators.statistics import more_labels_than, nunique
+from colonnade.operators.quality import label_counts
 
 # Most labels of a dimension, and the label count a dimension is best near to.
 DIMENSION_MAX = 50
 DIMENSION_IDEAL = 8
 
 
-def dimension_candidates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, nunique, preferred, usable) of the label columns that could be a dimension.  Columns
-    proven to have too many labels by their hashes are not counted exactly."""
+def dimension_candidates(
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    *,
+    labels: DataFrame | None = None,
+    rows: int | None = None,
+) -> DataFrame:
+    """(ordinal, column, nunique, preferred, usable) of the label columns that could be a dimension.
+    Label counts that are known already save the pass over the data."""
     names = list(columns) if columns is not None else categorical_columns(df)
     names = [c for c in names if c.lower() != SOURCE]
-    crowded = more_labels_than(df, names, DIMENSION_MAX)
-    names = [c for c in names if c not in crowded]
-    if not names:
-        return df.sparkSession.createDataFrame(
-            [], "ordinal int, column string, nunique long, preferred boolean, usable boolean"
-        )
+    if labels is None:
+        labels = label_counts(df, names, DIMENSION_MAX)
     # At most half as many labels as rows, though two are always allowed.
-    cap = min(DIMENSION_MAX, max(2, df.count() // 2))
-    counted = nunique(df, names).where(F.col("nunique").between(2, DIMENSION_MAX))
-    return counted.withColumns(
+    cap = min(DIMENSION_MAX, max(2, (df.count() if rows is None else rows) // 2))
+    counted = labels.where(F.col("column").isin(names)).groupBy("ordinal", "column").agg(
+        F.count(F.lit(1)).alias("nunique")
+    )
+    return counted.where(F.col("nunique").between(2, DIMENSION_MAX)).withColumns(
         {
             "preferred": S.contains_any(F.lower("column"), V.DIMENSION_WORDS),
             "usable": F.col("nunique") <= cap,
@@ -39,10 +43,10 @@ def dimension_candidates(df: DataFrame, columns: Sequence[str] | None = None) ->
     )
 
 
-def primary_dimension(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def primary_dimension(df: DataFrame, columns: Sequence[str] | None = None, **known) -> DataFrame:
     """The dimension to break a dataset down by: listed names first, then near eight labels, then the
     last name; where none is small enough for the data, the first with up to fifty labels."""
-    c = dimension_candidates(df, columns)
+    c = dimension_candidates(df, columns, **known)
     near = F.abs(F.col("nunique") - DIMENSION_IDEAL)
     return c.orderBy(
         F.desc("usable"),
@@ -69,26 +73,35 @@ def primary_kpi(stats: DataFrame, domain: str | None = None) -> DataFrame:
     return stats.orderBy(*kpi_order(domain)).limit(1)
 
 
-def rank_kpis(
+def rank_kpis_by_dataset(
     stats: DataFrame, trends: DataFrame, spikes: DataFrame, domain: str | None = None, limit: int = 3
 ) -> DataFrame:
-    """(rank, column): the primary metric, then the others by trend, outlier distance and variation."""
-    first = primary_kpi(stats, domain).select("column", F.lit(True).alias("primary"))
+    """(dataset, rank, column, ...) over tables of several datasets.  A window partition holds the
+    metrics of one dataset."""
+    first = F.row_number().over(Window.partitionBy("dataset").orderBy(*kpi_order(domain))) == 1
+    on = ["dataset", "column"]
     signals = (
-        stats.join(trends.select("column", F.abs("change_pct").alias("trend")), "column", "left")
-        .join(spikes.select("column", "distance_iqr"), "column", "left")
-        .join(first, "column", "left")
+        stats.withColumn("primary", first)
+        .join(trends.select(*on, F.abs("change_pct").alias("trend")), on, "left")
+        .join(spikes.select(*on, "distance_iqr"), on, "left")
         .select(
-            "column", "ordinal",
-            F.coalesce("primary", F.lit(False)).alias("primary"),
+            "dataset", "column", "ordinal", "primary",
             F.coalesce("trend", F.lit(0.0)).alias("trend"),
             F.coalesce("distance_iqr", F.lit(0.0)).alias("distance_iqr"),
             S.variation(F.col("std"), F.col("mean")).alias("cv"),
         )
     )
-    return signals.orderBy(
-        F.desc("primary"), F.desc("trend"), F.desc("distance_iqr"), F.desc("cv"), "ordinal"
-    ).limit(limit)
+    order = [F.desc("primary"), F.desc("trend"), F.desc("distance_iqr"), F.desc("cv"), "ordinal"]
+    place = F.row_number().over(Window.partitionBy("dataset").orderBy(*order))
+    return signals.withColumn("rank", place).where(F.col("rank") <= limit)
+
+
+def rank_kpis(
+    stats: DataFrame, trends: DataFrame, spikes: DataFrame, domain: str | None = None, limit: int = 3
+) -> DataFrame:
+    """The primary metric, then the others by trend, outlier distance and variation."""
+    one = [t.withColumn("dataset", F.lit("")) for t in (stats, trends, spikes)]
+    return rank_kpis_by_dataset(*one, domain, limit).drop("dataset")
 
 
 def metric_direction(column: Column) -> Column:
@@ -113,8 +126,16 @@ def is_volumetric(column: Column, domain: str) -> Column:
     return F.lit(domain == V.ENERGY) & ~is_energy_unit(column)
 
 
+def leading_segments(segments: DataFrame) -> DataFrame:
+    """The largest segment of each dataset and how many are reported, over segment tables."""
+    order = Window.partitionBy("dataset").orderBy(F.desc("sum"), "segment")
+    placed = segments.withColumns(
+        {"place": F.row_number().over(order), "reported": F.count(F.lit(1)).over(Window.partitionBy("dataset"))}
+    )
+    return placed.where("place = 1").drop("place")
+
+
 def concentration(segments: DataFrame, share: float = 50.0) -> DataFrame:
     """The leading segment, when it holds at least `share` percent and is not alone."""
-    total = segments.agg(F.count(F.lit(1))).scalar()
-    top = segments.orderBy(F.desc("sum"), "segment").limit(1)
-    return top.where((F.col("share") >= share) & (total > 1)).select("segment", "share")
+    top = leading_segments(segments.withColumn("dataset", F.lit("")))
+    return top.where((F.col("share") >= share) & (F.col("reported") > 1)).select("segment", "share")

@@ -15,13 +15,16 @@ from colonnade.functions.columns import (
     present,
     profiled_columns,
 )
-from colonnade.functions.quantiles import quantile_columns
+from colonnade.functions.quantiles import quantile_columns, quantiles
+from colonnade.session import local_table, settle
 
 STATS_SCHEMA = (
     "ordinal int, column string, n long, sum double, mean double, std double, min double, max double, "
     "skew double, q1 double, median double, q3 double, iqr double"
 )
 
+_QUARTS = ("q1", "median", "q3")
+
 
 def tidy(df: DataFrame, metrics: dict[str, dict[str, Column]]) -> DataFrame:
     """One aggregation holding every metric of every column, then one row per column."""
@@ -69,18 +72,26 @@ def column_stats(
     columns: Sequence[str] | None = None,
     *,
     min_values: int = 3,
+    rows: int | None = None,
     direct_rows: int = config.DIRECT_ROWS,
 ) -> DataFrame:
     """Per numeric column with at least `min_values` values: n, sum, mean, std, min, max, skew, q1,
     median, q3, iqr."""
     names = list(columns) if columns is not None else numeric_columns(df)
-    quarts = quantile_columns(df, names, direct_rows=direct_rows)
-    metrics = {}
-    for c in names:
-        q1, q2, q3 = quarts[c]
-        metrics[c] = {**moment_metrics(df, c), "q1": q1, "median": q2, "q3": q3}
-    table = tidy(df, metrics).where(F.col("n") >= min_values)
-    return table.withColumn("iqr", F.col("q3") - F.col("q1"))
+    rows = df.count() if rows is None else rows
+    moments = {c: moment_metrics(df, c) for c in names}
+    if rows <= direct_rows:
+        quarts = quantile_columns(df, names, rows=rows, direct_rows=direct_rows)
+        table = tidy(df, {c: moments[c] | dict(zip(_QUARTS, quarts[c])) for c in names})
+    else:
+        # The moments are one pass, and its counts and extremes start the search for the quartiles.
+        known = settle(tidy(df, moments))
+        bounds = {r["column"]: (r["n"], r["min"], r["max"]) for r in known.collect()}
+        found = quantiles(df, names, rows=rows, bounds=bounds, direct_rows=direct_rows)
+        values = {"column": names} | {q: [found[c][i] for c in names] for i, q in enumerate(_QUARTS)}
+        quarts = local_table(df.sparkSession, values, "column string, q1 double, median double, q3 double")
+        table = known.join(F.broadcast(quarts), "column").select("ordinal", "column", *list(moments[names[0]]), *_QUARTS)
+    return table.where(F.col("n") >= min_values).withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

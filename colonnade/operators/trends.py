@@ -14,6 +14,7 @@ from colonnade.functions.columns import as_double, numeric_columns, quoted
 from colonnade.functions.quantiles import order_statistic
 from colonnade.operators.profile import as_date
 from colonnade.operators.statistics import tidy
+from colonnade.session import empty_table
 
 TREND_SCHEMA = (
     "ordinal int, column string, first_avg double, second_avg double, change_pct double, direction string"
@@ -44,19 +45,22 @@ def earlier_half(
     those: no row is numbered or sorted."""
     moment = _micros(as_date(df, date_column))
     at, key_at = moment, _position(df, key)
-    rows, dated = df.agg(F.count(F.lit(1)), F.count(at)).first()
+    rows, dated, first, last = df.agg(F.count(F.lit(1)), F.count(at), F.min(at), F.max(at)).first()
     half = rows // 2
     if half == 0:
         return None
     if half <= dated:
-        value, below, equal = order_statistic(df, at, half - 1, direct_rows)
+        value, below, equal = order_statistic(df, at, half - 1, (dated, first, last), direct_rows)
         if below + equal == half:
             return F.coalesce(at <= F.lit(value), F.lit(False))
-        tied, before, taken = at == F.lit(value), at < F.lit(value), below
+        tied, before, taken, ties = at == F.lit(value), at < F.lit(value), below, equal
     else:
-        tied, before, taken = at.isNull(), at.isNotNull(), dated
-    last = order_statistic(df.where(tied), key_at, half - taken - 1, direct_rows)[0]
-    return F.coalesce(before, F.lit(False)) | F.coalesce(tied & (key_at <= F.lit(last)), F.lit(False))
+        tied, before, taken, ties = at.isNull(), at.isNotNull(), dated, rows - dated
+    extremes = (None, None)
+    if ties > direct_rows:
+        extremes = df.where(tied).agg(F.min(key_at), F.max(key_at)).first()
+    cut = order_statistic(df.where(tied), key_at, half - taken - 1, (ties, *extremes), direct_rows)[0]
+    return F.coalesce(before, F.lit(False)) | F.coalesce(tied & (key_at <= F.lit(cut)), F.lit(False))
 
 
 def half_split_trend(
@@ -73,7 +77,7 @@ def half_split_trend(
     names = list(columns) if columns is not None else [c for c in numeric_columns(df) if c != key]
     first = earlier_half(df, date_column, key, direct_rows=direct_rows)
     if first is None or not names:
-        return df.sparkSession.createDataFrame([], TREND_SCHEMA)
+        return empty_table(df.sparkSession, TREND_SCHEMA)
     halves = {
         c: {
             "first_avg": F.avg(F.when(first, as_double(df, c))),

@@ -1,7 +1,7 @@
 """The ranked report of a set of datasets, as plain tables.
 
-`analyse` reads each dataset a fixed number of times and keeps the results as small tables with one
-row per column, metric or segment; every report table is derived from those.
+`analyse` makes a fixed number of passes over each dataset and keeps the results as small tables with
+one row per column, metric, label or segment; every report table is derived from those.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade import config
@@ -18,12 +18,11 @@ from colonnade.functions import scalars as S
 from colonnade.functions.columns import SOURCE, categorical_columns, string_columns
 from colonnade.operators import outliers, profile, quality, segments, statistics, trends
 from colonnade.operators.aggregates import segment_breakdown
-from colonnade.operators.cleaning import lenient_numeric_coercion
+from colonnade.operators.cleaning import Fence, lenient_numeric_coercion
 from colonnade.operators.compare import gap_of_stats, source_comparison
-from colonnade.session import settle
+from colonnade.session import empty_table, local_table, settle
 
 SEGMENT_SCHEMA = "segment string, count long, sum double, mean double, median double, share double"
-SECTIONS = ("overview", "findings", "quality", "summary")
 
 
 @dataclass
@@ -47,12 +46,13 @@ class DatasetFindings:
 
 @dataclass
 class Analysis:
+    spark: SparkSession
     domain: str
     datasets: dict[str, DatasetFindings]
     gaps: DataFrame
     sources: dict[str, DataFrame]
 
-    def _all(self, table: str) -> DataFrame:
+    def every(self, table: str) -> DataFrame:
         """One table of every dataset, tagged with the dataset's name and position."""
         parts = [
             getattr(d, table).select(F.lit(i).alias("position"), F.lit(d.name).alias("dataset"), "*")
@@ -60,6 +60,22 @@ class Analysis:
         ]
         return reduce(DataFrame.unionByName, parts)
 
+    def overview(self) -> DataFrame:
+        found = list(self.datasets.values())
+        return local_table(
+            self.spark,
+            {
+                "position": list(range(len(found))),
+                "dataset": [d.name for d in found],
+                "rows": [d.rows for d in found],
+                "cols": [d.cols for d in found],
+                "date_column": [d.date_column for d in found],
+                "dimension": [d.dimension for d in found],
+                "primary": [d.primary for d in found],
+            },
+            "position int, dataset string, rows long, cols int, date_column string, dimension string, primary string",
+        )
+
 
 def dataset_findings(
     name: str,
@@ -72,38 +88,40 @@ def dataset_findings(
 ) -> DatasetFindings:
     """`measures` names the metrics; by default every numeric column but rates and epochs is one.
     `key` orders rows of equal date.  Segments follow the primary metric."""
-    session = df.sparkSession
+    spark = df.sparkSession
+    facts = settle(profile.column_facts(df))
+    rows = facts.first()["rows"]
     date_column = profile.detect_date_column(df)
-    roles = settle(profile.column_roles(df, date_column))
-    kpis = [r["column"] for r in roles.where("role = 'kpi'").orderBy("ordinal").collect()]
+    roles = profile.column_roles(df, date_column, facts)
+    kpis = [r["column"] for r in roles.orderBy("ordinal").collect() if r["role"] == "kpi"]
     if measures is not None:
         kpis = [c for c in measures if c in kpis]
-    labelled = [c for c in categorical_columns(df) if c != date_column]
-    nulls = settle(statistics.null_report(df))
-    labels = settle(quality.near_duplicate_labels(df, [c for c in string_columns(df) if c != date_column]))
-    stats = session.createDataFrame([], statistics.STATS_SCHEMA)
-    spikes = session.createDataFrame([], outliers.SPIKE_SCHEMA)
-    moves = session.createDataFrame([], trends.TREND_SCHEMA)
+    stats = empty_table(spark, statistics.STATS_SCHEMA)
+    spikes = empty_table(spark, outliers.SPIKE_SCHEMA)
+    moves = empty_table(spark, trends.TREND_SCHEMA)
     if kpis:
-        stats = settle(statistics.column_stats(df, kpis, direct_rows=direct_rows))
-        spikes = settle(outliers.spike_value(df, kpis, direct_rows=direct_rows))
+        stats = settle(statistics.column_stats(df, kpis, rows=rows, direct_rows=direct_rows))
+        fences = {
+            r["column"]: Fence.around(r["q1"], r["median"], r["q3"]) for r in stats.where("iqr <> 0").collect()
+        }
+        spikes = settle(outliers.spike_value(df, kpis, fences=fences))
     if kpis and date_column:
         moves = settle(trends.half_split_trend(df, date_column, key, kpis, direct_rows=direct_rows))
     best = segments.primary_kpi(stats, domain).first()
     primary = best["column"] if best else None
-    chosen = segments.primary_dimension(df, labelled).first() if labelled else None
+    labelled = [c for c in categorical_columns(df) if c not in (date_column, SOURCE)]
+    labels = settle(quality.label_counts(df, labelled, config.LABEL_CAP))
+    texts = [c for c in labelled if c in string_columns(df)]
+    pairs = settle(quality.near_pairs(labels.where(F.col("column").isin(texts))))
+    chosen = segments.primary_dimension(df, labelled, labels=labels, rows=rows).first()
     dimension = chosen["column"] if chosen else None
+    parts = empty_table(spark, SEGMENT_SCHEMA)
     if dimension and primary:
-        parts = settle(
-            segment_breakdown(df, dimension, primary, direct_rows=direct_rows).withColumn(
-                "segment", F.col("segment").cast("string")
-            )
-        )
-    else:
-        parts = session.createDataFrame([], SEGMENT_SCHEMA)
+        split = segment_breakdown(df, dimension, primary, row_count=rows, direct_rows=direct_rows)
+        parts = settle(split.withColumn("segment", F.col("segment").cast("string")))
     return DatasetFindings(
-        name, df.count(), len(df.columns), date_column, roles, nulls, stats, spikes, moves, labels,
-        primary, dimension, parts,
+        name, rows, len(df.columns), date_column, roles, facts.where("nulls > 0").select("ordinal", "column", "nulls"),
+        stats, spikes, moves, pairs, primary, dimension, parts,
     )
 
 
@@ -130,53 +148,45 @@ def analyse(
         for n, df in frames.items()
         if SOURCE in df.columns and found[n].primary
     }
-    return Analysis(domain, found, gaps, sources)
+    return Analysis(gaps.sparkSession, domain, found, gaps, sources)
+
+
+def _concentrations(a: Analysis, share: float = 50.0) -> DataFrame:
+    top = segments.leading_segments(a.every("segments"))
+    held = top.where((F.col("share") >= share) & (F.col("reported") > 1))
+    return held.join(a.overview().select("dataset", "primary"), "dataset")
 
 
 def _candidate(
-    rows: DataFrame, kind: str, order: int, score: Column, column: Column, value: Column
+    rows: DataFrame, tier: int, kind: str, order: int, score: Column, column: Column, value: Column
 ) -> DataFrame:
     return rows.select(
-        "position", "dataset", F.lit(order).alias("order"), F.col("ordinal").cast("int").alias("ordinal"),
-        F.lit(kind).alias("kind"), column.alias("column"), value.cast("double").alias("value"), score.alias("score"),
+        F.lit(tier).alias("tier"), "position", "dataset", F.lit(order).alias("order"),
+        F.col("ordinal").cast("int").alias("ordinal"), F.lit(kind).alias("kind"), column.alias("column"),
+        value.cast("double").alias("value"), score.cast("double").alias("score"),
     )
 
 
-def _unfavourable_bonus(points: float) -> Column:
-    return F.when(segments.is_unfavourable(F.col("column"), F.col("direction")), points).otherwise(0.0)
-
-
 def headline_candidates(a: Analysis) -> DataFrame:
-    """Everything that could be the headline, with its score.  A gap or a plain mean counts only
-    where no dataset has a spike, trend or concentration."""
-    dominant = []
-    for i, d in enumerate(a.datasets.values()):
-        top = segments.concentration(d.segments).withColumns(
-            {"position": F.lit(i), "dataset": F.lit(d.name), "ordinal": F.lit(0)}
-        )
-        dominant.append(
-            _candidate(top, "concentration", 2, F.col("share"), F.lit(d.primary).cast("string"), F.col("share"))
-        )
-    strong = [
-        _candidate(a._all("spikes"), "spike", 0, F.col("distance_iqr") * 8, F.col("column"), F.col("value")),
-        _candidate(
-            a._all("trends"), "trend", 1, F.abs("change_pct") + _unfavourable_bonus(15.0),
-            F.col("column"), F.col("change_pct"),
-        ),
-        *dominant,
-    ]
-    gaps = a.gaps.where("gap_ratio <> 0").withColumns(
-        {"position": F.lit(0), "dataset": F.lit(None).cast("string"), "ordinal": F.lit(0)}
+    """Everything that could be the headline, with its score.  A gap counts only where no dataset has
+    a spike, trend or concentration, and a plain mean only where there is no gap either."""
+    column = F.col("column")
+    bonus = F.when(segments.is_unfavourable(column, F.col("direction")), 15.0).otherwise(0.0)
+    first = F.lit(0).alias("ordinal")
+    heads = _concentrations(a).select("*", first)
+    gaps = a.gaps.where("gap_ratio <> 0").select(
+        "*", F.lit(0).alias("position"), F.lit(None).cast("string").alias("dataset"), first
     )
-    gap = _candidate(gaps, "gap", 3, F.col("gap_ratio"), F.col("column"), F.col("gap_ratio"))
-    means = []
-    for i, d in enumerate(a.datasets.values()):
-        first = segments.primary_kpi(d.stats, a.domain).withColumns(
-            {"position": F.lit(i), "dataset": F.lit(d.name)}
-        )
-        means.append(_candidate(first, "mean", 4, F.lit(1.0), F.col("column"), F.col("mean")))
-    tiers = [(0, strong), (1, [gap]), (2, means)]
-    parts = [p.withColumn("tier", F.lit(t)) for t, ps in tiers for p in ps]
+    leads = a.every("stats").join(
+        a.overview().select("dataset", F.col("primary").alias("column")), ["dataset", "column"]
+    )
+    parts = [
+        _candidate(a.every("spikes"), 0, "spike", 0, F.col("distance_iqr") * 8, column, F.col("value")),
+        _candidate(a.every("trends"), 0, "trend", 1, F.abs("change_pct") + bonus, column, F.col("change_pct")),
+        _candidate(heads, 0, "concentration", 2, F.col("share"), F.col("primary"), F.col("share")),
+        _candidate(gaps, 1, "gap", 3, F.col("gap_ratio"), column, F.col("gap_ratio")),
+        _candidate(leads, 2, "mean", 4, F.lit(1.0), column, F.col("mean")),
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -190,86 +200,127 @@ def headline(a: Analysis) -> DataFrame:
     )
 
 
-def _fact(rows: DataFrame, section: str, metric: str, value: Column, column: Column | None = None, text: Column | None = None) -> DataFrame:
-    return rows.select(
-        "dataset", F.lit(section).alias("section"), F.lit(metric).alias("metric"),
-        (F.lit(None).cast("string") if column is None else column).alias("column"),
-        value.cast("double").alias("value"),
-        (F.lit(None).cast("string") if text is None else text).alias("text"),
+def _fact(
+    section: str, metric: str, value=None, column=None, text=None, when: Column | None = None
+) -> Column:
+    name = F.lit(metric) if when is None else F.when(when, metric)
+    return F.struct(
+        F.lit(section).alias("section"), name.alias("metric"),
+        F.lit(column).cast("string").alias("column"),
+        F.lit(value).cast("double").alias("value"),
+        F.lit(text).cast("string").alias("text"),
     )
 
 
+def _facts(rows: DataFrame, *facts: Column) -> DataFrame:
+    """The facts that hold of each row, one output row each."""
+    return rows.select("dataset", F.inline(F.array(*facts))).where("metric is not null")
+
+
 def findings_table(a: Analysis, ranked: int = 3) -> DataFrame:
     """The report as (dataset, section, metric, column, value, text) rows."""
-    session = next(iter(a.datasets.values())).stats.sparkSession
-    blank = F.lit(None).cast("double")
-    parts = []
-    for d in a.datasets.values():
-        one = session.createDataFrame([(d.name, d.rows, d.cols)], "dataset string, rows long, cols int")
-        tag = F.lit(d.name).alias("dataset")
-        roles = d.roles.select(tag, "*")
-        parts += [
-            _fact(one, "overview", "rows", F.col("rows")),
-            _fact(one, "overview", "columns", F.col("cols")),
-            _fact(one, "overview", "domain", blank, text=F.lit(a.domain)),
-            _fact(one, "overview", "dimension", blank, F.lit(d.dimension).cast("string")),
-            _fact(one, "overview", "date_column", blank, F.lit(d.date_column).cast("string")),
-            _fact(roles, "overview", "role", blank, F.col("column"), F.col("role")),
-        ]
-        top = segments.rank_kpis(d.stats, d.trends, d.spikes, a.domain, ranked).select("column")
-        stats = d.stats.join(top, "column").select(tag, "*")
-        cv = S.variation(F.col("std"), F.col("mean"))
-        for m in ("mean", "median", "n", "min", "max", "iqr", "std"):
-            parts.append(_fact(stats, "findings", m, F.col(m), F.col("column")))
-        parts += [
-            _fact(stats.where("abs(skew) >= 0.5"), "findings", "skew", F.col("skew"), F.col("column"),
-                  S.skew_class(F.col("skew"))),
-            _fact(stats, "findings", "cv", cv, F.col("column"), S.volatility_band(cv)),
-            _fact(stats, "findings", "direction", blank, F.col("column"), segments.metric_direction(F.col("column"))),
-            _fact(stats.where(segments.is_volumetric(F.col("column"), a.domain)), "findings", "volumetric", blank, F.col("column")),
-            _fact(d.spikes.join(top, "column").select(tag, "*"), "findings", "spike", F.col("value"), F.col("column")),
-            _fact(d.trends.join(top, "column").select(tag, "*"), "findings", "trend", F.col("change_pct"),
-                  F.col("column"), F.col("direction")),
-            _fact(d.segments.select(tag, "*"), "findings", "segment_share", F.col("share"), F.lit(d.primary).cast("string"), F.col("segment")),
-            _fact(segments.concentration(d.segments).select(tag, "*"), "findings", "concentration", F.col("share"),
-                  F.lit(d.primary).cast("string"), F.col("segment")),
-        ]
-        severity = F.when(F.col("distance_iqr") > 5, "severe").otherwise("moderate")
-        rating = quality.quality_rating(d.name, d.nulls, d.spikes, d.labels)
-        parts += [
-            _fact(d.nulls.select(tag, "*"), "quality", "nulls", F.col("nulls"), F.col("column")),
-            _fact(d.labels.select(tag, "*"), "quality", "near_duplicate", F.col("edits"), F.col("column"),
-                  F.concat_ws(" | ", "a", "b")),
-            _fact(d.spikes.select(tag, "*"), "quality", "outliers", F.col("count"), F.col("column"), severity),
-            _fact(statistics.high_variability(d.stats).select(tag, "*"), "quality", "high_variability", F.col("cv"), F.col("column")),
-            _fact(rating, "quality", "rating", F.col("issues"), text=F.col("rating")),
-        ]
-        if d.name in a.sources:
-            per = a.sources[d.name].select(tag, "*")
-            parts.append(_fact(per, "findings", "source_share", F.col("share"), F.lit(d.primary), F.col("source")))
+    column = F.col("column")
+    overview = a.overview()
+    spikes, moves, stats = a.every("spikes"), a.every("trends"), a.every("stats")
+    top = segments.rank_kpis_by_dataset(stats, moves, spikes, a.domain, ranked).select(
+        "dataset", "column", F.lit(True).alias("ranked")
+    )
+    stats, spikes, moves = (t.join(top, ["dataset", "column"], "left") for t in (stats, spikes, moves))
+    in_top = F.coalesce("ranked", F.lit(False))
+    cv = S.variation(F.col("std"), F.col("mean"))
+    severity = F.when(F.col("distance_iqr") > quality.SEVERE_IQR, "severe").otherwise("moderate")
+    every = overview.select("dataset")
+    issues = quality.issue_counts(a.every("nulls"), a.every("spikes"), a.every("labels"))
+    ratings = quality.rate(every.join(issues, "dataset", "left").na.fill(0))
+    parts = [
+        _facts(
+            overview,
+            _fact("overview", "rows", F.col("rows")),
+            _fact("overview", "columns", F.col("cols")),
+            _fact("overview", "domain", text=a.domain),
+            _fact("overview", "dimension", column=F.col("dimension")),
+            _fact("overview", "date_column", column=F.col("date_column")),
+        ),
+        _facts(a.every("roles"), _fact("overview", "role", column=column, text=F.col("role"))),
+        _facts(
+            stats,
+            *[_fact("findings", m, F.col(m), column, when=in_top) for m in ("mean", "median", "n", "min", "max", "iqr", "std")],
+            _fact("findings", "skew", F.col("skew"), column, S.skew_class(F.col("skew")),
+                  in_top & (F.abs("skew") >= config.SKEW_NORMAL)),
+            _fact("findings", "cv", cv, column, S.volatility_band(cv), in_top),
+            _fact("findings", "direction", None, column, segments.metric_direction(column), in_top),
+            _fact("findings", "volumetric", None, column, None, in_top & segments.is_volumetric(column, a.domain)),
+            _fact("quality", "high_variability", cv, column, None, (F.col("mean") != 0) & (cv > 50)),
+        ),
+        _facts(
+            spikes,
+            _fact("findings", "spike", F.col("value"), column, None, in_top),
+            _fact("quality", "outliers", F.col("count"), column, severity),
+        ),
+        _facts(moves, _fact("findings", "trend", F.col("change_pct"), column, F.col("direction"), in_top)),
+        _facts(
+            a.every("segments").join(overview.select("dataset", "primary"), "dataset"),
+            _fact("findings", "segment_share", F.col("share"), F.col("primary"), F.col("segment")),
+        ),
+        _facts(
+            _concentrations(a),
+            _fact("findings", "concentration", F.col("share"), F.col("primary"), F.col("segment")),
+        ),
+        _facts(a.every("nulls"), _fact("quality", "nulls", F.col("nulls"), column)),
+        _facts(a.every("labels"), _fact("quality", "near_duplicate", F.col("edits"), column, F.concat_ws(" | ", "a", "b"))),
+        _facts(ratings, _fact("quality", "rating", F.col("issues"), None, F.col("rating"))),
+    ]
+    for name, per in a.sources.items():
+        parts.append(
+            _facts(
+                per.withColumn("dataset", F.lit(name)),
+                _fact("findings", "source_share", F.col("share"), a.datasets[name].primary, F.col("source")),
+            )
+        )
+    gaps = a.gaps.where("gap_ratio <> 0").withColumn("dataset", F.lit(None).cast("string"))
+    parts.append(_facts(gaps, _fact("findings", "cross_dataset_gap", F.col("gap_ratio"), column)))
     totals = summary_totals(a)
-    for m in totals.columns:
-        parts.append(_fact(totals.withColumn("dataset", F.lit(None).cast("string")), "summary", m, F.col(m).cast("double")))
+    parts.append(
+        _facts(
+            totals.withColumn("dataset", F.lit(None).cast("string")),
+            *[_fact("summary", m, F.col(m).cast("double")) for m in totals.columns],
+        )
+    )
     return reduce(DataFrame.unionByName, parts)
 
 
 def summary_totals(a: Analysis) -> DataFrame:
     """Counts over all datasets, the strongest concentration and the widest gap."""
-    found = list(a.datasets.values())
-    session = found[0].stats.sparkSession
-    base = session.createDataFrame(
-        [(len(found), sum(d.rows for d in found))], "datasets int, records long"
-    )
-    spikes = a._all("spikes")
-    shares = a._all("segments").groupBy("position").agg(F.max_by("share", "sum").alias("share"))
-    return base.select(
-        "datasets", "records",
-        a._all("stats").agg(F.count(F.lit(1))).scalar().alias("kpis"),
-        a._all("trends").agg(F.count(F.lit(1))).scalar().alias("trends"),
-        spikes.agg(F.count(F.lit(1))).scalar().alias("metrics_with_outliers"),
-        spikes.agg(F.coalesce(F.sum("count"), F.lit(0))).scalar().alias("records_flagged"),
-        spikes.agg(F.count_if(F.col("distance_iqr") > 5)).scalar().alias("severe"),
-        shares.agg(F.max(F.when(F.col("share") >= 50, F.col("share")))).scalar().alias("top_concentration"),
-        a._all("labels").agg(F.count(F.lit(1))).scalar().alias("duplicate_labels"),
-        a.gaps.agg(F.max(F.when(F.col("gap_ratio") > 3, F.col("gap_ratio")))).scalar().alias("max_gap"),
+    blank = F.lit(None).cast("double")
+    tops = segments.leading_segments(a.every("segments"))
+    rows = [
+        a.overview().select(F.lit("dataset").alias("kind"), F.col("rows").cast("double").alias("x")),
+        a.every("stats").select(F.lit("kpi").alias("kind"), blank.alias("x")),
+        a.every("trends").select(F.lit("trend").alias("kind"), blank.alias("x")),
+        a.every("spikes").select(
+            F.when(F.col("distance_iqr") > quality.SEVERE_IQR, "severe").otherwise("moderate").alias("kind"),
+            F.col("count").cast("double").alias("x"),
+        ),
+        tops.where("share >= 50").select(F.lit("share").alias("kind"), F.col("share").alias("x")),
+        a.every("labels").select(F.lit("label").alias("kind"), blank.alias("x")),
+        a.gaps.where("gap_ratio > 3").select(F.lit("gap").alias("kind"), F.col("gap_ratio").alias("x")),
+    ]
+
+    def count(*kinds: str) -> Column:
+        return F.count_if(F.col("kind").isin(*kinds))
+
+    def of(*kinds: str) -> Column:
+        return F.when(F.col("kind").isin(*kinds), F.col("x"))
+
+    return reduce(DataFrame.unionByName, rows).agg(
+        count("dataset").cast("int").alias("datasets"),
+        F.sum(of("dataset")).cast("long").alias("records"),
+        count("kpi").alias("kpis"),
+        count("trend").alias("trends"),
+        count("severe", "moderate").alias("metrics_with_outliers"),
+        F.coalesce(F.sum(of("severe", "moderate")), F.lit(0)).cast("long").alias("records_flagged"),
+        count("severe").alias("severe"),
+        F.max(of("share")).alias("top_concentration"),
+        count("label").alias("duplicate_labels"),
+        F.max(of("gap")).alias("max_gap"),
     )

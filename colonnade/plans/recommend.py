@@ -11,11 +11,12 @@ from colonnade.functions import scalars as S
 from colonnade.functions import vocabulary as V
 from colonnade.operators import segments
 from colonnade.plans.findings import Analysis
+from colonnade.session import local_table
 
 
 def recommendation_candidates(a: Analysis) -> DataFrame:
     """(score, kind, title, dataset, column, value) of everything worth recommending."""
-    spikes, trends, stats, nulls = (a._all(t) for t in ("spikes", "trends", "stats", "nulls"))
+    spikes, trends, stats, nulls = (a.every(t) for t in ("spikes", "trends", "stats", "nulls"))
     name = F.concat(F.lit("`"), F.col("column"), F.lit("`"))
     cv = S.variation(F.col("std"), F.col("mean"))
 
@@ -57,8 +58,9 @@ def recommendations(a: Analysis, limit: int = 4) -> DataFrame:
     best_first = [F.desc("score"), "position", "order", "ordinal"]
     same_title = Window.partitionBy("title").orderBy(*best_first)
     kept = found.withColumn("nth", F.row_number().over(same_title)).where("nth = 1").drop("nth")
-    fillers = kept.sparkSession.createDataFrame(
-        [(i, t) for i, (t, _) in enumerate(V.FILLER_RECOMMENDATIONS)], "ordinal int, title string"
+    titles = [t for t, _ in V.FILLER_RECOMMENDATIONS]
+    fillers = local_table(
+        kept.sparkSession, {"ordinal": list(range(len(titles))), "title": titles}, "ordinal int, title string"
     ).select(
         F.lit(None).cast("int").alias("position"), F.lit(9).alias("order"), "ordinal",
         F.lit(None).cast("string").alias("dataset"), F.lit("standing").alias("kind"), "title",

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(app_name: str = "colonnade", master: str | None = None, **conf: str) -> SparkSession:
@@ -15,6 +18,7 @@ def build_session(app_name: str = "colonnade", master: str | None = None, **conf
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if master:
         builder = builder.master(master)
@@ -47,4 +51,16 @@ def stage(df: DataFrame) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Compute a frame with one row per column, metric or reported group now, and keep its rows as a
     local table.  For such small frames only: their size does not grow with the data."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    return df.sparkSession.createDataFrame(df.toArrow())
+
+
+def local_table(spark: SparkSession, columns: dict[str, list], schema: str) -> DataFrame:
+    """A small constant table, column by column."""
+    fields = T.StructType.fromDDL(schema).fields
+    table = spark.createDataFrame(pa.table({f.name: pa.array(columns[f.name]) for f in fields}))
+    return table.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def empty_table(spark: SparkSession, schema: str) -> DataFrame:
+    fields = T.StructType.fromDDL(schema).fields
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])

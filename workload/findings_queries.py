@@ -227,7 +227,7 @@ def rank_kpis(spark, sf):
         outliers.spike_value(df, _KPIS),
         V.ENERGY,
     )
-    return B.shown(ranked.drop("ordinal"))
+    return B.shown(ranked.drop("ordinal", "rank"))
 
 
 _DIRECTIONS = {"consumption_kwh": "higher_is_bad", "toe": "higher_is_bad", "emission": "higher_is_bad", "year": "neutral"}
