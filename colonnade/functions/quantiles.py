@@ -249,7 +249,8 @@ def group_quantiles(
     else:
         large = stage(sizes.where(F.col("n") > direct_rows).select(*keys))
         large_part = _many_quantiles(values.join(F.broadcast(large), keys), keys, probs, direct_rows)
-    if big < len(counts):
+    # Unless all groups were listed and all are large, the others go the built-in way.
+    if big < len(counts) or len(counts) > _FEW_GROUPS:
         small = df.join(F.broadcast(large), keys, "left_anti").groupBy(*keys).agg(*direct)
         large_part = small.unionByName(large_part)
     return df.groupBy(*keys).agg(*extra).join(large_part, keys) if extra else large_part

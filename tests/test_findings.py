@@ -1,0 +1,64 @@
+from pyspark.sql import functions as F
+
+from colonnade.operators import compare, sets
+from colonnade.plans import findings, recommend
+
+
+def test_without_metrics(spark):
+    df = spark.createDataFrame([(f"k{i}", "x") for i in range(5)], "key string, label string")
+    a = findings.analyse({"d": df}, {"d": "key"})
+    assert a.domain == "General Business" and findings.headline(a).count() == 0
+    assert [r["kind"] for r in recommend.recommendations(a).collect()] == ["standing"] * 4
+    assert findings.summary_totals(a).first()["kpis"] == 0
+    assert findings.findings_table(a).where("metric = 'rating'").first()["text"] == "High"
+
+
+def test_headline_tiers(spark):
+    flat = spark.createDataFrame([(i, 10.0) for i in range(20)], "key int, amount double")
+    more = spark.createDataFrame([(i, 40.0) for i in range(20)], "key int, amount double")
+    keys = {"a": "key", "b": "key"}
+    measures = {"a": ["amount"], "b": ["amount"]}
+    one = findings.headline(findings.analyse({"a": flat}, keys, measures)).first()
+    assert (one["kind"], one["value"]) == ("mean", 10.0)
+    two = findings.analyse({"a": flat, "b": more}, keys, measures)
+    top = findings.headline(two).first()
+    assert (top["kind"], top["column"], top["value"]) == ("gap", "amount", 4.0)
+    assert findings.summary_totals(two).first()["max_gap"] == 4.0
+    spiky = flat.withColumn("amount", F.col("key") * 1.0 + F.when(F.col("key") == 3, 500).otherwise(0))
+    assert findings.headline(findings.analyse({"a": spiky, "b": more}, keys, measures)).first()["kind"] == "spike"
+
+
+def test_recommendations(spark):
+    df = spark.createDataFrame(
+        [(i, f"2020-01-{1 + i % 28:02d}", 10.0 + (5 if i % 28 >= 14 else 0) + i * 0.001, None if i < 30 else 1.0) for i in range(280)],
+        "key int, order_date string, unit_cost double, gappy double",
+    )
+    a = findings.analyse({"d": df}, {"d": "key"}, {"d": ["unit_cost", "gappy"]})
+    recs = recommend.recommendations(a).collect()
+    assert [r["rank"] for r in recs] == [1, 2, 3, 4]
+    assert recs[0]["kind"] == "trend" and recs[0]["title"] == "Address the increase in `unit_cost`"
+    assert (recs[1]["kind"], recs[1]["column"], recs[1]["score"]) == ("missing", "gappy", 18.0)
+    assert [r["kind"] for r in recs[2:]] == ["standing", "standing"]
+
+
+def test_one_recommendation_per_title(spark):
+    df = spark.createDataFrame([(i, float(i if i else 9000)) for i in range(40)], "key int, amount double")
+    a = findings.analyse({"x": df, "y": df}, {"x": "key", "y": "key"}, {"x": ["amount"], "y": ["amount"]})
+    titles = [r["title"] for r in recommend.recommendations(a).collect()]
+    assert len(titles) == len(set(titles)) == 4 and "Triage the outlier in `amount`" in titles
+
+
+def test_pooled_view_compares_sources(spark):
+    a = spark.createDataFrame([(i, 10.0) for i in range(12)], "key int, amount double")
+    b = spark.createDataFrame([(i, 30.0) for i in range(12)], "key int, amount double")
+    pooled = sets.tagged_union(a, b, "a.csv", "b.csv")
+    report = findings.analyse({"both": pooled}, {"both": "key"}, {"both": ["amount"]})
+    shares = {r["text"]: r["value"] for r in findings.findings_table(report).where("metric = 'source_share'").collect()}
+    assert shares == {"a": 25.0, "b": 75.0}
+
+
+def test_gap_of_zero_mean(spark):
+    a = spark.createDataFrame([(0.0,)] * 3, "x double")
+    b = spark.createDataFrame([(4.0,)] * 3, "x double")
+    row = compare.cross_dataset_gap({"a": a, "b": b}).first()
+    assert (row["lowest"], row["highest"], row["gap_ratio"]) == (0.0, 4.0, None)
