@@ -60,6 +60,19 @@ def present(df: DataFrame, name: str) -> Column:
     return col
 
 
+def is_present(df: DataFrame, name: str) -> Column:
+    """Condition for rows that have the column; its null test reaches the file scan."""
+    col = quoted(name)
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return col.isNotNull() & ~F.isnan(col)
+    return col.isNotNull()
+
+
+def numbers_of(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The columns as doubles with NaN read as missing, worked out once per row."""
+    return df.select(*[as_double(df, c).alias(c) for c in names])
+
+
 def as_double(df: DataFrame, name: str) -> Column:
     return present(df, name).cast("double")
 

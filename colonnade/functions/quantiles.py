@@ -25,6 +25,8 @@ _HUGE = sys.float_info.max
 QUARTILES = (0.25, 0.5, 0.75)
 # Up to this many large groups their bounds are kept on the driver.
 _FEW_GROUPS = 1_000
+# Up to this many rows a table of bounds is handed to every task; more are joined by a shuffle.
+_BROADCAST_ROWS = 500_000
 
 # lo and hi enclose the values that may hold the rank; `below` rows lie under them, `inside` within.
 Bounds = dict[str, tuple[int, float, float]]
@@ -39,11 +41,15 @@ def _unbounded(value: float) -> float:
     return math.copysign(math.inf, value) if abs(value) >= _HUGE else value
 
 
+def _small_side(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= _BROADCAST_ROWS else df
+
+
 def _narrow(rows: DataFrame, spans: DataFrame, targets: DataFrame, keys: list[str], by_value: bool) -> DataFrame:
     """One pass: `targets` (keys, probe, rank, lo, below) with tighter bounds.  `spans` are the
     different bounds (keys, lo, hi) among them; within a group they do not overlap, so a lower bound
     names its span."""
-    hits = rows.join(F.broadcast(spans), keys).where(F.col("v").between(F.col("lo"), F.col("hi")))
+    hits = rows.join(spans, keys).where(F.col("v").between(F.col("lo"), F.col("hi")))
     if by_value:
         bucket = F.col("v")
     else:
@@ -59,7 +65,7 @@ def _narrow(rows: DataFrame, spans: DataFrame, targets: DataFrame, keys: list[st
     run = Window.partitionBy(*keys, "lo").orderBy("bucket")
     bins = bins.withColumn("before", F.sum("inside").over(run) - F.col("inside"))
     start = F.col("below") + F.col("before")
-    picked = bins.join(F.broadcast(targets), [*keys, "lo"]).where(
+    picked = bins.join(targets, [*keys, "lo"]).where(
         (start <= F.col("rank")) & (F.col("rank") < start + F.col("inside"))
     )
     return picked.select(
@@ -83,7 +89,7 @@ def _search(rows: DataFrame, targets: list[dict], direct_rows: int) -> list[dict
         different = sorted({(t["g"], t["lo"], t["hi"]) for t in open_ones})
         spans = dict(zip(("g", "lo", "hi"), map(list, zip(*different))))
         tables = local_table(spark, spans, _SPAN), local_table(spark, wanted, _TARGET)
-        found = _narrow(rows, *tables, ["g"], by_value)
+        found = _narrow(rows, *map(F.broadcast, tables), ["g"], by_value)
         targets = settled + [r.asDict() for r in found.collect()]
     return targets
 
@@ -112,8 +118,7 @@ def _few_quantiles(
 
 
 def _many_quantiles(rows: DataFrame, keys: list[str], probs: Sequence[float], direct_rows: int) -> DataFrame:
-    """Quantiles of many large groups: the bounds live in checkpointed tables.  There is less than one
-    large group per `direct_rows` rows, so the bounds may be broadcast."""
+    """Quantiles of many large groups: the bounds live in staged tables."""
     sizes = stage(
         rows.groupBy(*keys).agg(F.count("v").alias("inside"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     )
@@ -123,12 +128,14 @@ def _many_quantiles(rows: DataFrame, keys: list[str], probs: Sequence[float], di
         *keys, F.posexplode(ranks).alias("probe", "rank"), "lo", "hi", F.lit(0).cast("long").alias("below"), "inside"
     )
     targets = stage(targets)
-    while widest := targets.where("lo < hi").agg(F.max("inside")).first()[0]:
+    while True:
         open_ones = targets.where("lo < hi")
-        spans = open_ones.select(*keys, "lo", "hi").distinct()
-        narrowed = _narrow(
-            rows, spans, open_ones.drop("hi", "inside"), keys, by_value=widest <= direct_rows
-        )
+        widest, waiting = open_ones.agg(F.max("inside"), F.count(F.lit(1))).first()
+        if not waiting:
+            break
+        spans = _small_side(open_ones.select(*keys, "lo", "hi").distinct(), waiting)
+        wanted = _small_side(open_ones.drop("hi", "inside"), waiting)
+        narrowed = _narrow(rows, spans, wanted, keys, by_value=widest <= direct_rows)
         targets = stage(targets.where("lo >= hi").unionByName(narrowed))
     value = F.when(F.abs("lo") >= _HUGE, F.signum("lo") * float("inf")).otherwise(F.col("lo"))
     picks = [F.max(F.when(F.col("probe") == i, value)).alias(f"v{i}") for i in range(2 * len(probs))]
@@ -245,13 +252,14 @@ def group_quantiles(
         table = {"g": numbers} | {f"q{i}": [found[g][i] for g in numbers] for i in range(len(probs))}
         schema = "g long, " + ", ".join(f"q{i} double" for i in range(len(probs)))
         large_part = numbered.join(F.broadcast(local_table(spark, table, schema)), "g").drop("g")
-        large = numbered.select(*keys)
+        large = F.broadcast(numbered.select(*keys))
     else:
         large = stage(sizes.where(F.col("n") > direct_rows).select(*keys))
-        large_part = _many_quantiles(values.join(F.broadcast(large), keys), keys, probs, direct_rows)
+        large = _small_side(large, large.count())
+        large_part = _many_quantiles(values.join(large, keys), keys, probs, direct_rows)
     # Unless all groups were listed and all are large, the others go the built-in way.
     if big < len(counts) or len(counts) > _FEW_GROUPS:
-        small = df.join(F.broadcast(large), keys, "left_anti").groupBy(*keys).agg(*direct)
+        small = df.join(large, keys, "left_anti").groupBy(*keys).agg(*direct)
         large_part = small.unionByName(large_part)
     return df.groupBy(*keys).agg(*extra).join(large_part, keys) if extra else large_part
 

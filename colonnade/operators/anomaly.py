@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade import config
-from colonnade.functions.columns import SOURCE, as_double, nan_to_null, numeric_columns, quoted
+from colonnade.functions.columns import SOURCE, as_double, is_present, nan_to_null, numeric_columns, quoted
 from colonnade.functions.quantiles import quantiles
 from colonnade.session import stage
 
@@ -114,9 +115,14 @@ def _draw(rows: DataFrame, key: Column, names: list[str], n: int, trees: int, sa
                 "h": uniform(F.lit("order"), key),
             }
         )
-    drawn = drawn.select("tree", "h", *features)
-    order = Window.partitionBy("tree").orderBy("h", *[f"x{i}" for i in range(len(names))])
-    return drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
+    # Rows that share their key and values are drawn together.  They are counted before any tree is
+    # gathered and come back as at most `sample` copies, so repeats cannot flood a tree.
+    points = [f"x{i}" for i in range(len(names))]
+    counted = drawn.select("tree", "h", *features).groupBy("tree", "h", *points).agg(F.count(F.lit(1)).alias("m"))
+    copies = F.explode(F.sequence(F.lit(1), F.least(F.col("m"), F.lit(sample)).cast("int")))
+    order = Window.partitionBy("tree").orderBy("h", *points, "copy")
+    spread = counted.withColumn("copy", copies).drop("m")
+    return spread.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
 
 
 def isolation_forest(
@@ -136,7 +142,7 @@ def isolation_forest(
     names = list(features) if features is not None else [c for c in numeric_columns(df) if c not in keys]
     if not names:
         raise ValueError("no numeric feature")
-    held = reduce(lambda a, b: a & b, [as_double(df, c).isNotNull() for c in names])
+    held = reduce(and_, [is_present(df, c) for c in names])
     rows = df.where(held)
     plain = rows.select(
         *[F.xxhash64(*[quoted(k) for k in keys]).alias(KEY)],
@@ -184,8 +190,12 @@ def _numeric_part(name: str, df: DataFrame, key: str | Sequence[str] | None) ->
     names = [c for c in numeric_columns(df) if c != SOURCE]
     if not names:
         return None
-    keys = names if key is None else [key] if isinstance(key, str) else list(key)
-    tag = F.xxhash64(F.lit(name), *[quoted(k) for k in keys]).alias(KEY)
+    if key is None:
+        # Without a key equal rows could not be told apart, and the draw would take all or none.
+        told_apart = [F.monotonically_increasing_id()]
+    else:
+        told_apart = [quoted(k) for k in ([key] if isinstance(key, str) else key)]
+    tag = F.xxhash64(F.lit(name), *told_apart).alias(KEY)
     part = nan_to_null(df.select(tag, *[quoted(c) for c in names])).na.drop(subset=names)
     return part.withColumn(SOURCE, F.lit(name))
 
@@ -194,8 +204,8 @@ def unified_anomaly(
     datasets: dict[str, DataFrame], keys: dict[str, str | Sequence[str]] | None = None, **options
 ) -> tuple[DataFrame, list[str]]:
     """The numeric rows of all datasets, complete within their dataset, scored by one forest on the
-    columns common to all; or by a forest per dataset where none is common.  Without a key a row is
-    known by its numeric values.  Returns the scored rows and the common columns."""
+    columns common to all; or by a forest per dataset where none is common.  Without a key rows are
+    told apart by their place in the input.  Returns the scored rows and the common columns."""
     keys = keys or {}
     parts = {n: _numeric_part(n, df, keys.get(n)) for n, df in datasets.items()}
     parts = {n: p for n, p in parts.items() if p is not None}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colonnade import config
-from colonnade.functions.columns import as_double, numeric_columns
+from colonnade.functions.columns import as_double, is_present, numeric_columns, quoted
 from colonnade.operators.cleaning import Fence, iqr_fences
 from colonnade.operators.statistics import tidy
 from colonnade.session import empty_table
@@ -26,7 +26,7 @@ def outlier_rows(df: DataFrame, column: str, *, direct_rows: int = config.DIRECT
     fence = iqr_fences(df, [column], direct_rows=direct_rows).get(column)
     if fence is None:
         return df.limit(0)
-    return df.where(fence.outside(as_double(df, column)))
+    return df.where(is_present(df, column) & fence.outside(quoted(column)))
 
 
 def iqr_outlier_counts(datasets: dict[str, DataFrame], *, direct_rows: int = config.DIRECT_ROWS) -> DataFrame:

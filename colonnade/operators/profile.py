@@ -42,7 +42,7 @@ def dataset_profile(df: DataFrame, *, direct_rows: int = config.DIRECT_ROWS) ->
     for c in profiled_columns(df):
         held = {"rows": F.count(F.lit(1)), "nulls": F.count_if(present(df, c).isNull())}
         if c in quarts:
-            m = moment_metrics(df, c)
+            m = moment_metrics(as_double(df, c))
             m.pop("n"), m.pop("sum")
             m.update(zip(("p25", "p50", "p75"), quarts[c]))
         else:

@@ -36,8 +36,10 @@ def drop_nulls_pair(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def sort_xy(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Pairs in x order, ties in y order; sorting by both also splits a frequent x over tasks."""
-    return drop_nulls_pair(df, x, y).orderBy(quoted(x), quoted(y))
+    """Pairs in x order, ties in y order.  The place in the input, as the last sort key, lets the sort
+    spread many equal pairs over several tasks."""
+    pairs = drop_nulls_pair(df, x, y)
+    return pairs.orderBy(quoted(x), quoted(y), F.monotonically_increasing_id())
 
 
 def status_filter(scored: DataFrame, status: str) -> DataFrame:

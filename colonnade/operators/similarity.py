@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colonnade import config
-from colonnade.functions.columns import as_double, numeric_columns, quoted
+from colonnade.functions.columns import as_double, is_present, numeric_columns, quoted
 
 
 def similar_rows(
@@ -27,7 +27,7 @@ def similar_rows(
     names = list(columns) if columns is not None else [c for c in numeric_columns(df) if c != key]
     if not names:
         raise ValueError("no numeric column to compare by")
-    complete = reduce(lambda a, b: a & b, [as_double(df, c).isNotNull() for c in names])
+    complete = reduce(and_, [is_present(df, c) for c in names])
     rows = df.where(complete)
     centre = rows.agg(
         *[F.avg(as_double(df, c)).alias(f"m{i}") for i, c in enumerate(names)],
@@ -49,5 +49,10 @@ def similar_rows(
     cosine = F.coalesce(F.try_divide(dot, norm), F.lit(0.0))
     others = rows.where(quoted(key) != F.lit(key_value)).select(cosine.alias("similarity_score"), "*")
     # Nine decimals keep equal directions equal whatever the order of additions was.
-    best = others.orderBy(F.desc(F.round("similarity_score", 9)), quoted(key)).limit(top_n)
-    return best.withColumn("similarity_score", F.round("similarity_score", 4))
+    order = [F.desc(F.round("similarity_score", 9)), quoted(key)]
+    # The ranking reads the key and the features only; the other columns are read for the best rows,
+    # whose keys reach the scan.
+    best = others.select("similarity_score", quoted(key)).orderBy(*order).limit(top_n)
+    keys = sorted({r[1] for r in best.collect()})
+    found = others.where(quoted(key).isin(keys)).orderBy(*order).limit(top_n)
+    return found.withColumn("similarity_score", F.round("similarity_score", 4))

@@ -11,9 +11,11 @@ from colonnade import config
 from colonnade.functions import scalars as S
 from colonnade.functions.columns import (
     as_double,
+    numbers_of,
     numeric_columns,
     present,
     profiled_columns,
+    quoted,
 )
 from colonnade.functions.quantiles import quantile_columns, quantiles
 from colonnade.session import local_table, settle
@@ -54,8 +56,7 @@ def bias_corrected_skew(x: Column) -> Column:
     return F.when(n >= 3, F.coalesce(F.nanvl(g1, F.lit(0.0)), F.lit(0.0)))
 
 
-def moment_metrics(df: DataFrame, name: str) -> dict[str, Column]:
-    x = as_double(df, name)
+def moment_metrics(x: Column) -> dict[str, Column]:
     return {
         "n": F.count(x),
         "sum": F.sum(x),
@@ -79,17 +80,18 @@ def column_stats(
     median, q3, iqr."""
     names = list(columns) if columns is not None else numeric_columns(df)
     rows = df.count() if rows is None else rows
-    moments = {c: moment_metrics(df, c) for c in names}
+    values = numbers_of(df, names)
+    moments = {c: moment_metrics(quoted(c)) for c in names}
     if rows <= direct_rows:
-        quarts = quantile_columns(df, names, rows=rows, direct_rows=direct_rows)
-        table = tidy(df, {c: moments[c] | dict(zip(_QUARTS, quarts[c])) for c in names})
+        quarts = quantile_columns(values, names, rows=rows, direct_rows=direct_rows)
+        table = tidy(values, {c: moments[c] | dict(zip(_QUARTS, quarts[c])) for c in names})
     else:
         # The moments are one pass, and its counts and extremes start the search for the quartiles.
-        known = settle(tidy(df, moments))
+        known = settle(tidy(values, moments))
         bounds = {r["column"]: (r["n"], r["min"], r["max"]) for r in known.collect()}
         found = quantiles(df, names, rows=rows, bounds=bounds, direct_rows=direct_rows)
-        values = {"column": names} | {q: [found[c][i] for c in names] for i, q in enumerate(_QUARTS)}
-        quarts = local_table(df.sparkSession, values, "column string, q1 double, median double, q3 double")
+        found_rows = {"column": names} | {q: [found[c][i] for c in names] for i, q in enumerate(_QUARTS)}
+        quarts = local_table(df.sparkSession, found_rows, "column string, q1 double, median double, q3 double")
         table = known.join(F.broadcast(quarts), "column").select("ordinal", "column", *list(moments[names[0]]), *_QUARTS)
     return table.where(F.col("n") >= min_values).withColumn("iqr", F.col("q3") - F.col("q1"))
 

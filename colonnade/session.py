@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,25 +28,25 @@ def build_session(app_name: str = "colonnade", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; a folder of our own only where none is configured and the
-    session is local, as in tests."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; one of our own only where none is configured and the session is
+    local, as in tests."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="colonnade-ckpt-")
-    context.setCheckpointDir(shared)
+        folder = tempfile.mkdtemp(prefix="colonnade-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write `df` once to the checkpoint folder, so later passes read it instead of recomputing it.
-    The copy survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` once as a table in the shared folder and read it back: later passes read only the
+    columns they need instead of recomputing, and the copy survives the loss of executors."""
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def settle(df: DataFrame) -> DataFrame:

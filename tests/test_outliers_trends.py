@@ -34,6 +34,15 @@ def test_outlier_filter_reaches_the_scan(spark, tmp_path):
     assert [r["v"] for r in found.collect()] == [10**6]
 
 
+def test_nan_in_parquet(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([(i, float(i)) for i in range(20)] + [(20, float("nan")), (21, 900.0)], "k int, v double").write.parquet(path)
+    df = spark.read.parquet(path)
+    assert [r["k"] for r in outliers.outlier_rows(df, "v").collect()] == [21]
+    assert outliers.spike_value(df, ["v"]).first()["value"] == 900.0
+    assert 20 not in [r["k"] for r in similarity.similar_rows(df, "k", 3, 30, ["v"]).collect()]
+
+
 def brute_trend(data, date, key, column):
     ordered = data.sort_values([date, key], na_position="last", kind="stable")
     half = len(ordered) // 2

@@ -58,6 +58,13 @@ def test_preview_keeps_nulls(spark):
     assert [r["record"] for r in writers.preview(df, "k", 2).collect()] == ['{"k":1,"v":"x"}', '{"k":2,"v":null}']
 
 
+def test_first_rows_with_ties_and_nulls(spark):
+    df = spark.createDataFrame([(k, i) for i, k in enumerate([None, 3, 1, 2, 2, 9, None])], "k int, v int")
+    assert [r["k"] for r in writers.first_rows(df, ["k"], 4).collect()] == [None, None, 1, 2]
+    assert [r["k"] for r in writers.first_rows(df, ["k"], 1).collect()] == [None]
+    assert writers.first_rows(df, ["k"], 50).count() == 7
+
+
 def test_catalog_hides_the_tag(spark):
     df = spark.createDataFrame([(1, "a")], "n int, _source string")
     assert [r["column"] for r in catalog.dataset_catalog({"d": df}).collect()] == ["n"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from colonnade.session import shared_folder
 from colonnade.sources.readers import load_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,11 +47,8 @@ def shown(df: DataFrame, digits: int = 4, **other: int) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder for a round trip: in the cluster's shared folder, or a local one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        return f"{shared.rstrip('/')}/{uuid.uuid4().hex}/{name}"
-    return f"{tempfile.mkdtemp(prefix='colonnade-')}/{name}"
+    """A fresh path in the shared folder for a round trip."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 # ---- frames with gaps, repeats and untidy texts, by the same recipe in Spark and in SQL ----------

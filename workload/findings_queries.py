@@ -330,7 +330,7 @@ def quality_rating(spark, sf):
 @B.query(
     "source_comparison",
     f"""SELECT _source AS source, count(acctbal) AS n, round(avg(acctbal), 4) AS mean, round(quantile_cont(acctbal, 0.5), 4) AS median,
- round(sum(acctbal), 2) AS "sum", max(acctbal) AS "max", NULL AS toe_mean, NULL AS toe_sum,
+ round(sum(acctbal), 2) AS "sum", max(acctbal) AS "max", CAST(NULL AS DOUBLE) AS toe_mean, CAST(NULL AS DOUBLE) AS toe_sum,
  round(sum(acctbal) / (SELECT sum(acctbal) FROM ({B.SHARED_UNION})) * 100, 4) AS share FROM ({B.SHARED_UNION}) GROUP BY _source""",
 )
 def source_comparison(spark, sf):
