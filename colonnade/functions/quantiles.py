@@ -224,17 +224,19 @@ def group_quantiles(
     probs: Sequence[float] = QUARTILES,
     *,
     extra: Sequence[Column] = (),
+    sizes: DataFrame | None = None,
     direct_rows: int = config.GROUP_DIRECT_ROWS,
 ) -> DataFrame:
-    """(keys, extra aggregates, q0, q1, ...) per group; groups with a null key are left out."""
+    """(keys, extra aggregates, q0, q1, ...) per group; groups with a null key are left out.  `sizes`
+    (keys, n, lo, hi) are the count, minimum and maximum per group; where known they save a pass."""
     keys = list(keys)
     df = df.where(_all_present(keys))
     v = as_double(df, value)
     points = F.array(*[F.lit(float(p)) for p in probs])
     direct = [F.percentile(v, points)[i].alias(f"q{i}") for i in range(len(probs))]
-    sizes = df.groupBy(*keys).agg(
-        F.count(v).alias("n"), F.min(_bounded(v)).alias("lo"), F.max(_bounded(v)).alias("hi")
-    )
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    sizes = sizes.withColumns({"lo": _bounded(F.col("lo")), "hi": _bounded(F.col("hi"))})
     largest = sizes.orderBy(F.desc("n")).limit(_FEW_GROUPS + 1).toArrow()
     counts = largest["n"].to_pylist()
     if not counts or counts[0] <= direct_rows:

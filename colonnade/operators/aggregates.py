@@ -99,9 +99,11 @@ def segment_breakdown(
         top = topk_groups(grouped, "segment", "sum", limit)
     else:
         # Only `limit` segments are reported, so medians are worked out for those alone.
-        best = settle(topk_groups(named.groupBy("segment").agg(*sums), "segment", "sum", limit))
+        span = [F.min("_y").alias("lo"), F.max("_y").alias("hi")]
+        best = settle(topk_groups(named.groupBy("segment").agg(*sums, *span), "segment", "sum", limit))
         kept = named.where(F.col("segment").isin([r["segment"] for r in best.collect()]))
-        medians = group_quantiles(kept, ["segment"], "_y", (0.5,), direct_rows=direct_rows)
+        sizes = best.select("segment", F.col("count").alias("n"), "lo", "hi")
+        medians = group_quantiles(kept, ["segment"], "_y", (0.5,), sizes=sizes, direct_rows=direct_rows)
         top = best.join(medians.withColumnRenamed("q0", "median"), "segment")
     share = F.coalesce(F.try_divide(F.col("sum"), total) * 100, F.lit(0.0))
     return top.select("segment", "count", "sum", "mean", "median", share.alias("share")).orderBy(

@@ -279,10 +279,13 @@ def lenient_numeric_columns(df: DataFrame, share: float = 0.8) -> list[str]:
     ]
 
 
+def as_lenient_numbers(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    return df.withColumns({c: S.clean_number(F.trim(quoted(c))) for c in names}) if names else df
+
+
 def lenient_numeric_coercion(df: DataFrame, share: float = 0.8) -> DataFrame:
     """Mostly numeric text columns as doubles; their remaining values become NULL."""
-    names = lenient_numeric_columns(df, share)
-    return df.withColumns({c: S.clean_number(F.trim(quoted(c))) for c in names}) if names else df
+    return as_lenient_numbers(df, lenient_numeric_columns(df, share))
 
 
 def capping_audit(raw: DataFrame, cleaned: DataFrame, key: str) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +23,9 @@ from colonnade.functions.columns import (
     temporal_columns,
 )
 from colonnade.functions.quantiles import quantile_columns
+from colonnade.operators.cleaning import as_lenient_numbers, lenient_counts
 from colonnade.operators.statistics import moment_metrics, tidy
-from colonnade.session import empty_table, local_table
+from colonnade.session import empty_table, local_table, settle
 
 # A numeric column whose mean passes this is taken for epoch milli- or nanoseconds.
 EPOCH_MEAN = 1e11
@@ -80,6 +82,16 @@ def is_time_like(df: DataFrame) -> bool:
     return bool(temporal_columns(df))
 
 
+def date_share(column: str) -> Column:
+    """Share of the present values of a text column that read as dates."""
+    text = quoted(column)
+    return F.avg(F.when(text.isNotNull(), S.parse_date(text).isNotNull().cast("int")))
+
+
+def date_share_needed(name: Column) -> Column:
+    return F.when(S.contains_any(F.lower(name), V.DATE_WORDS), DATE_SHARE_NAMED).otherwise(DATE_SHARE)
+
+
 def date_candidates(df: DataFrame, sample: int | None = None, key: str | None = None) -> DataFrame:
     """Per text column the share of its present values that read as dates, and the share needed.
     All values are read; `sample` reads only the first values by `key`."""
@@ -87,10 +99,7 @@ def date_candidates(df: DataFrame, sample: int | None = None, key: str | None =
     if not names:
         raise ValueError("no text column")
     if sample is None:
-        shares = tidy(
-            df, {c: {"share": F.avg(F.when(quoted(c).isNotNull(), S.parse_date(quoted(c)).isNotNull().cast("int")))}
-                 for c in names}
-        )
+        shares = tidy(df, {c: {"share": date_share(c)} for c in names})
     else:
         parts = []
         for i, c in enumerate(names):
@@ -102,7 +111,7 @@ def date_candidates(df: DataFrame, sample: int | None = None, key: str | None =
                 )
             )
         shares = reduce(DataFrame.unionByName, parts)
-    needed = F.when(S.contains_any(F.lower("column"), V.DATE_WORDS), DATE_SHARE_NAMED).otherwise(DATE_SHARE)
+    needed = date_share_needed(F.col("column"))
     return shares.withColumn("needed", needed).withColumn(
         "is_date", F.coalesce(F.col("share") >= F.col("needed"), F.lit(False))
     )
@@ -170,6 +179,45 @@ def column_facts(df: DataFrame) -> DataFrame:
     )
 
 
+@dataclass
+class Survey:
+    """What one pass tells of a dataset: the frame with its mostly numeric texts read as numbers, its
+    facts, rows and date column."""
+
+    df: DataFrame
+    facts: DataFrame
+    rows: int
+    date_column: str | None
+
+
+def survey(df: DataFrame, share: float = 0.8) -> Survey:
+    """Facts, number texts and date texts from the same pass; a second one only where texts turn into
+    numbers."""
+    numbers, texts = set(numeric_columns(df)), set(string_columns(df))
+    blank = F.lit(None).cast("double")
+    metrics = {}
+    for c in profiled_columns(df):
+        real, parsed = lenient_counts([c]) if c in texts else (F.lit(0).cast("long"), F.lit(0).cast("long"))
+        metrics[c] = {
+            "rows": F.count(F.lit(1)),
+            "nulls": F.count_if(present(df, c).isNull()),
+            "mean": F.avg(as_double(df, c)) if c in numbers else blank,
+            "real": real,
+            "parsed": parsed,
+            "dated": date_share(c) if c in texts else blank,
+        }
+    facts = settle(tidy(df, metrics).withColumn("needed", date_share_needed(F.col("column"))))
+    rows = facts.orderBy("ordinal").collect()
+    coerced = [r["column"] for r in rows if r["real"] and r["parsed"] / r["real"] >= share]
+    dates = temporal_columns(df) or [
+        r["column"] for r in rows if r["column"] not in coerced and r["dated"] is not None and r["dated"] >= r["needed"]
+    ]
+    if coerced:
+        df = as_lenient_numbers(df, coerced)
+        facts = settle(column_facts(df))
+    return Survey(df, facts, rows[0]["rows"], dates[0] if dates else None)
+
+
 def column_roles(df: DataFrame, date_column: str | None = None, facts: DataFrame | None = None) -> DataFrame:
     """(ordinal, column, role): date, timestamp, rate, kpi or category.  With the facts at hand the date
     column is taken as given."""

@@ -7,7 +7,7 @@ one row per column, metric, label or segment; every report table is derived from
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +18,7 @@ from colonnade.functions import scalars as S
 from colonnade.functions.columns import SOURCE, categorical_columns, string_columns
 from colonnade.operators import outliers, profile, quality, segments, statistics, trends
 from colonnade.operators.aggregates import segment_breakdown
-from colonnade.operators.cleaning import Fence, lenient_numeric_coercion
+from colonnade.operators.cleaning import Fence
 from colonnade.operators.compare import gap_of_stats, source_comparison
 from colonnade.session import empty_table, local_table, settle
 
@@ -51,14 +51,17 @@ class Analysis:
     datasets: dict[str, DatasetFindings]
     gaps: DataFrame
     sources: dict[str, DataFrame]
+    _every: dict[str, DataFrame] = field(default_factory=dict)
 
     def every(self, table: str) -> DataFrame:
         """One table of every dataset, tagged with the dataset's name and position."""
-        parts = [
-            getattr(d, table).select(F.lit(i).alias("position"), F.lit(d.name).alias("dataset"), "*")
-            for i, d in enumerate(self.datasets.values())
-        ]
-        return reduce(DataFrame.unionByName, parts)
+        if table not in self._every:
+            parts = [
+                getattr(d, table).select(F.lit(i).alias("position"), F.lit(d.name).alias("dataset"), "*")
+                for i, d in enumerate(self.datasets.values())
+            ]
+            self._every[table] = reduce(DataFrame.unionByName, parts)
+        return self._every[table]
 
     def overview(self) -> DataFrame:
         found = list(self.datasets.values())
@@ -79,7 +82,7 @@ class Analysis:
 
 def dataset_findings(
     name: str,
-    df: DataFrame,
+    about: profile.Survey,
     key: str,
     domain: str,
     measures: Sequence[str] | None = None,
@@ -88,10 +91,8 @@ def dataset_findings(
 ) -> DatasetFindings:
     """`measures` names the metrics; by default every numeric column but rates and epochs is one.
     `key` orders rows of equal date.  Segments follow the primary metric."""
+    df, facts, rows, date_column = about.df, about.facts, about.rows, about.date_column
     spark = df.sparkSession
-    facts = settle(profile.column_facts(df))
-    rows = facts.first()["rows"]
-    date_column = profile.detect_date_column(df)
     roles = profile.column_roles(df, date_column, facts)
     kpis = [r["column"] for r in roles.orderBy("ordinal").collect() if r["role"] == "kpi"]
     if measures is not None:
@@ -134,11 +135,12 @@ def analyse(
     domain: str | None = None,
     direct_rows: int = config.DIRECT_ROWS,
 ) -> Analysis:
-    frames = {n: lenient_numeric_coercion(df) for n, df in datasets.items()}
+    surveys = {n: profile.survey(df) for n, df in datasets.items()}
+    frames = {n: s.df for n, s in surveys.items()}
     domain = domain or profile.detect_domain(frames)
     found = {
-        n: dataset_findings(n, df, keys[n], domain, (measures or {}).get(n), direct_rows=direct_rows)
-        for n, df in frames.items()
+        n: dataset_findings(n, s, keys[n], domain, (measures or {}).get(n), direct_rows=direct_rows)
+        for n, s in surveys.items()
     }
     tagged = [d.stats.withColumn("dataset", F.lit(n)) for n, d in found.items()]
     # A gap needs two datasets to lie between.

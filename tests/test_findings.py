@@ -13,6 +13,13 @@ def test_without_metrics(spark):
     assert findings.findings_table(a).where("metric = 'rating'").first()["text"] == "High"
 
 
+def test_number_texts_become_metrics(spark):
+    df = spark.createDataFrame([(i, f"$ {i},000", "n/a" if i % 2 else str(i)) for i in range(20)], "key int, amount string, mixed string")
+    a = findings.analyse({"d": df}, {"d": "key"})
+    assert a.datasets["d"].primary == "amount"
+    assert {r["column"]: r["role"] for r in a.datasets["d"].roles.collect()} == {"key": "kpi", "amount": "kpi", "mixed": "category"}
+
+
 def test_headline_tiers(spark):
     flat = spark.createDataFrame([(i, 10.0) for i in range(20)], "key int, amount double")
     more = spark.createDataFrame([(i, 40.0) for i in range(20)], "key int, amount double")
