@@ -147,13 +147,17 @@ def _many_quantiles(rows: DataFrame, keys: list[str], probs: Sequence[float], di
     return table.select(*keys, *out)
 
 
+def extremes(df: DataFrame, names: Sequence[str]) -> Bounds:
+    """(count, minimum, maximum) of each column."""
+    parts = [f(as_double(df, c)) for c in names for f in (F.count, F.min, F.max)]
+    row = df.agg(*[x.alias(f"b{i}") for i, x in enumerate(parts)]).first()
+    return {c: tuple(row[3 * i:3 * i + 3]) for i, c in enumerate(names)}
+
+
 def _refined(
     df: DataFrame, names: list[str], probs: Sequence[float], bounds: Bounds | None, direct_rows: int
 ) -> dict[str, list[float | None]]:
-    if bounds is None:
-        parts = [x for c in names for x in (F.count(as_double(df, c)), F.min(as_double(df, c)), F.max(as_double(df, c)))]
-        row = df.agg(*[x.alias(f"b{i}") for i, x in enumerate(parts)]).first()
-        bounds = {c: tuple(row[3 * i:3 * i + 3]) for i, c in enumerate(names)}
+    bounds = extremes(df, names) if bounds is None else bounds
     values = F.array(*[_bounded(as_double(df, c)) for c in names])
     long = df.select(F.posexplode(values).alias("g", "v")).where("v is not null")
     clipped = {

@@ -6,6 +6,7 @@ single lazy projection over the (deduplicated) input.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -21,10 +22,11 @@ from colonnade.functions.columns import (
     nan_to_null,
     numeric_columns,
     present,
+    profiled_columns,
     quoted,
     string_columns,
 )
-from colonnade.functions.quantiles import quantiles
+from colonnade.functions.quantiles import Bounds, extremes, quantiles
 from colonnade.operators.aggregates import mode_values
 from colonnade.session import empty_table, local_table, stage
 
@@ -112,22 +114,29 @@ def _as_numbers(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def impute_values(df: DataFrame, *, direct_rows: int = config.DIRECT_ROWS) -> tuple[DataFrame, dict]:
+def gap_facts(df: DataFrame) -> tuple[int, dict[str, int], Bounds]:
+    """Rows, missing values per column that has some, and the extremes of the numeric columns."""
+    names, numbers = profiled_columns(df), numeric_columns(df)
+    parts = [F.count_if(present(df, c).isNull()) for c in names]
+    parts += [f(as_double(df, c)) for c in numbers for f in (F.count, F.min, F.max)]
+    row = df.agg(F.count(F.lit(1)), *[x.alias(f"n{i}") for i, x in enumerate(parts)]).first()
+    missing = {c: row[i + 1] for i, c in enumerate(names) if row[i + 1]}
+    first = len(names) + 1
+    bounds = {c: tuple(row[first + 3 * i:first + 3 * i + 3]) for i, c in enumerate(numbers)}
+    return row[0], missing, bounds
+
+
+def impute_values(
+    df: DataFrame, facts: tuple | None = None, *, direct_rows: int = config.DIRECT_ROWS
+) -> tuple[DataFrame, dict]:
     """Fill numeric gaps with the column's median and other gaps with its smallest most frequent
     value.  Returns the frame and {column: (missing, method, value)}."""
-    profiled = [f for f in df.schema if is_profiled(f.dataType)]
-    if not profiled:
-        return df, {}
-    row = df.agg(
-        F.count(F.lit(1)),
-        *[F.count_if(present(df, f.name).isNull()).alias(f"n{i}") for i, f in enumerate(profiled)],
-    ).first()
-    rows, missing = row[0], {f.name: row[i + 1] for i, f in enumerate(profiled) if row[i + 1]}
+    rows, missing, bounds = gap_facts(df) if facts is None else facts
     if not missing:
         return df, {}
-    numbers = [f.name for f in profiled if f.name in missing and is_numeric(f.dataType)]
-    others = [f.name for f in profiled if f.name in missing and not is_numeric(f.dataType)]
-    middle = quantiles(df, numbers, (0.5,), rows=rows, direct_rows=direct_rows)
+    numbers = [c for c in missing if is_numeric(df.schema[c].dataType)]
+    others = [c for c in missing if c not in numbers]
+    middle = quantiles(df, numbers, (0.5,), rows=rows, bounds=bounds, direct_rows=direct_rows)
     usual = {r["column"]: r["value"] for r in mode_values(df, others).collect()} if others else {}
     done, new = {}, {}
     for c in numbers:
@@ -154,15 +163,24 @@ class Fence:
     q3: float
     low: float
     high: float
+    lowest: float = -math.inf
+    highest: float = math.inf
 
     @property
     def iqr(self) -> float:
         return self.q3 - self.q1
 
+    @property
+    def crossed(self) -> bool:
+        """Whether the extremes, where they are known, lie outside."""
+        return self.lowest < self.low or self.highest > self.high
+
     @classmethod
-    def around(cls, q1: float, median: float, q3: float, multiplier: float = config.FENCE_MULTIPLIER) -> Fence:
+    def around(
+        cls, q1: float, median: float, q3: float, *extremes: float, multiplier: float = config.FENCE_MULTIPLIER
+    ) -> Fence:
         reach = multiplier * (q3 - q1)
-        return cls(q1, median, q3, q1 - reach, q3 + reach)
+        return cls(q1, median, q3, q1 - reach, q3 + reach, *extremes)
 
     def outside(self, value: Column) -> Column:
         return (value < F.lit(self.low)) | (value > F.lit(self.high))
@@ -172,13 +190,25 @@ def iqr_fences(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     multiplier: float = config.FENCE_MULTIPLIER,
-    **options,
+    *,
+    rows: int | None = None,
+    bounds: Bounds | None = None,
+    direct_rows: int = config.DIRECT_ROWS,
 ) -> dict[str, Fence]:
-    """Quartile fences of every numeric column with a non-zero interquartile range."""
+    """Quartile fences of every numeric column with a non-zero interquartile range, and the extremes
+    of the column."""
     names = list(columns) if columns is not None else numeric_columns(df)
+    rows = df.count() if rows is None else rows
+    if bounds is None and names and rows > direct_rows:
+        bounds = extremes(df, names)
+    if bounds is None:
+        found = quantiles(df, names, (0.25, 0.5, 0.75, 0.0, 1.0), rows=rows, direct_rows=direct_rows)
+    else:
+        quarts = quantiles(df, names, rows=rows, bounds=bounds, direct_rows=direct_rows)
+        found = {c: [*qs, *bounds[c][1:]] for c, qs in quarts.items()}
     return {
-        c: Fence.around(*qs, multiplier)
-        for c, qs in quantiles(df, names, **options).items()
+        c: Fence.around(*qs, multiplier=multiplier)
+        for c, qs in found.items()
         if qs[0] is not None and qs[2] - qs[0] != 0
     }
 
@@ -196,6 +226,7 @@ def iqr_cap(df: DataFrame, *, direct_rows: int = config.DIRECT_ROWS) -> DataFram
 
 
 def _outlier_counts(df: DataFrame, fences: dict[str, Fence]) -> dict[str, int]:
+    fences = {c: f for c, f in fences.items() if f.crossed}
     if not fences:
         return {}
     row = df.agg(
@@ -224,8 +255,11 @@ def clean(df: DataFrame, *, direct_rows: int = config.DIRECT_ROWS) -> tuple[Data
     kinds = numeric_text_columns(df)
     log.converted = list(kinds)
     df = _as_numbers(df, kinds)
-    df, log.filled = impute_values(df, direct_rows=direct_rows)
-    fences = iqr_fences(df, rows=log.rows, direct_rows=direct_rows)
+    rows, missing, bounds = gap_facts(df)
+    df, log.filled = impute_values(df, (rows, missing, bounds), direct_rows=direct_rows)
+    # A median lies between the extremes, so filling changes the counts only.
+    bounds = {c: (rows if n else 0, low, high) for c, (n, low, high) in bounds.items()}
+    fences = iqr_fences(df, list(bounds), rows=rows, bounds=bounds, direct_rows=direct_rows)
     log.capped = _outlier_counts(df, fences)
     df = cap_columns(df, {c: f for c, f in fences.items() if c in log.capped})
     log.columns = len(df.columns)
@@ -233,7 +267,7 @@ def clean(df: DataFrame, *, direct_rows: int = config.DIRECT_ROWS) -> tuple[Data
     return df, log
 
 
-def clean_pipeline(df: DataFrame, **options) -> DataFrame:
+def clean_table(df: DataFrame, **options) -> DataFrame:
     return clean(df, **options)[0]
 
 

@@ -24,7 +24,7 @@ def outlier_rows(df: DataFrame, column: str, *, direct_rows: int = config.DIRECT
     """Rows whose value lies outside the fences.  The fences are constants by the time the rows are
     read, so the comparison reaches the file scan."""
     fence = iqr_fences(df, [column], direct_rows=direct_rows).get(column)
-    if fence is None:
+    if fence is None or not fence.crossed:
         return df.limit(0)
     return df.where(is_present(df, column) & fence.outside(quoted(column)))
 
@@ -33,7 +33,7 @@ def iqr_outlier_counts(datasets: dict[str, DataFrame], *, direct_rows: int = con
     """(dataset, column, outliers) for the columns that have some."""
     out = None
     for name, df in datasets.items():
-        fences = iqr_fences(df, direct_rows=direct_rows)
+        fences = {c: f for c, f in iqr_fences(df, direct_rows=direct_rows).items() if f.crossed}
         if not fences:
             continue
         counted = tidy(
@@ -60,6 +60,7 @@ def spike_value(
     names = list(columns) if columns is not None else numeric_columns(df)
     if fences is None:
         fences = iqr_fences(df, names, direct_rows=direct_rows)
+    fences = {c: f for c, f in fences.items() if f.crossed}
     if not fences:
         return empty_table(df.sparkSession, SPIKE_SCHEMA)
     metrics = {}

@@ -103,7 +103,7 @@ def dataset_findings(
     if kpis:
         stats = settle(statistics.column_stats(df, kpis, rows=rows, direct_rows=direct_rows))
         fences = {
-            r["column"]: Fence.around(r["q1"], r["median"], r["q3"]) for r in stats.where("iqr <> 0").collect()
+            r["column"]: Fence.around(r["q1"], r["median"], r["q3"], r["min"], r["max"]) for r in stats.where("iqr <> 0").collect()
         }
         spikes = settle(outliers.spike_value(df, kpis, fences=fences))
     if kpis and date_column:

@@ -58,7 +58,7 @@ def recommendations(a: Analysis, limit: int = 4) -> DataFrame:
     best_first = [F.desc("score"), "position", "order", "ordinal"]
     same_title = Window.partitionBy("title").orderBy(*best_first)
     kept = found.withColumn("nth", F.row_number().over(same_title)).where("nth = 1").drop("nth")
-    titles = [t for t, _ in V.FILLER_RECOMMENDATIONS]
+    titles = list(V.FILLER_RECOMMENDATIONS)
     fillers = local_table(
         kept.sparkSession, {"ordinal": list(range(len(titles))), "title": titles}, "ordinal int, title string"
     ).select(

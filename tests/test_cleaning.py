@@ -105,8 +105,8 @@ def test_large_and_small_ways_agree(spark):
         "s": rng.choice(["a", "b", None], 3000),
     })
     df = spark.createDataFrame(data)
-    near = cleaning.clean_pipeline(df).orderBy("k").toPandas()
-    far = cleaning.clean_pipeline(df, direct_rows=50).orderBy("k").toPandas()
+    near = cleaning.clean_table(df).orderBy("k").toPandas()
+    far = cleaning.clean_table(df, direct_rows=50).orderBy("k").toPandas()
     pd.testing.assert_frame_equal(near, far)
     filled = data["v"].fillna(data["v"].median())
     q1, q3 = filled.quantile(0.25), filled.quantile(0.75)

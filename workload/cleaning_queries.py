@@ -102,14 +102,14 @@ _CLEAN_EVENTS = _cleaned_sql(
 )
 
 
-@B.query("clean_pipeline", _CLEAN_EVENTS)
-def clean_pipeline(spark, sf):
-    cleaned = cleaning.clean_pipeline(_event_rows(spark, sf))
+@B.query("clean_table", _CLEAN_EVENTS)
+def clean_table(spark, sf):
+    cleaned = cleaning.clean_table(_event_rows(spark, sf))
     return B.shown(cleaned.withColumn("user_id", F.col("user_id").cast("double")))
 
 
 @B.query(
-    "clean_pipeline_orders",
+    "clean_table_orders",
     _cleaned_sql(
         f"SELECT DISTINCT * FROM ({B.ORDER_GAPS})",
         {"o_orderkey": "CAST(o_orderkey AS DOUBLE)", "price": "price"},
@@ -117,9 +117,9 @@ def clean_pipeline(spark, sf):
         "",
     ),
 )
-def clean_pipeline_orders(spark, sf):
+def clean_table_orders(spark, sf):
     """No repeats here, so nothing is shuffled or written; quartiles go through bracket refinement."""
-    cleaned = cleaning.clean_pipeline(B.order_gaps(spark, sf), direct_rows=1000)
+    cleaned = cleaning.clean_table(B.order_gaps(spark, sf), direct_rows=1000)
     return B.shown(cleaned.withColumn("o_orderkey", F.col("o_orderkey").cast("double")))
 
 
@@ -159,4 +159,4 @@ def lenient_numeric_coercion(spark, sf):
 )
 def capping_audit(spark, sf):
     events = B.table(spark, sf, "events").select("event_id", "user_id", "value")
-    return cleaning.capping_audit(events, cleaning.clean_pipeline(events), "event_id")
+    return cleaning.capping_audit(events, cleaning.clean_table(events), "event_id")

@@ -510,7 +510,7 @@ def findings_table(spark, sf):
     return B.shown(findings.findings_table(analysis(spark, sf)), 2)
 
 
-_FILLERS = ", ".join(f"({i}, '{t}')" for i, (t, _) in enumerate(V.FILLER_RECOMMENDATIONS))
+_FILLERS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(V.FILLER_RECOMMENDATIONS))
 
 
 @B.query(
