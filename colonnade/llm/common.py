@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+
 
 def column(name: str):
     """The column of that very name, dots and all."""
@@ -47,3 +52,33 @@ def portions(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.Re
     each = max(1, rows * most_bytes // max(batch.nbytes, 1))
     for start in range(0, rows, each):
         yield batch.slice(start, each)
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, the same on every machine."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    return pd.util.hash_array(np.array(words, dtype=object), categorize=False)
+
+
+def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each n neighbours in order; empty if there are fewer."""
+    count = len(hashes) - n + 1
+    if count <= 0:
+        return hashes[:0]
+    with np.errstate(over="ignore"):
+        out = hashes[:count].copy()
+        for k in range(1, n):
+            out = out * _FACTOR + hashes[k : k + count]
+        out ^= out >> np.uint64(31)
+        out *= _MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def covered(starts: np.ndarray, width: int, length: int) -> np.ndarray:
+    """Which of `length` places lie in a stretch of `width` from one of the starts."""
+    edge = np.zeros(length + 1, np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, np.minimum(starts + width, length), -1)
+    return np.cumsum(edge[:-1]) > 0

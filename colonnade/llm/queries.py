@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import packing, tokens
+from colonnade.llm import decontaminate, packing, quality_rules, secrets, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,3 +44,35 @@ def op1_packing(spark, sf):
 @query("op6_token_counts")
 def op6_token_counts(spark, sf):
     return tokens.count_tokens(table(spark, sf, "documents"), tokenizer_path())
+
+
+@query("op9_secret_scan")
+def op9_secret_scan(spark, sf):
+    return secrets.scan_secrets(table(spark, sf, "documents"))
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark, sf):
+    docs = table(spark, sf, "documents")
+    return quality_rules.judge(docs, quality_rules.train(docs, table(spark, sf, "labels")))
+
+
+OP4 = r"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+ 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+ 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, pos, pos + least(10, len(w)) - 1), ' ') AS g
+ FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS pos FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, pos, array_to_string(list_slice(w, pos, pos + n - 1), ' ') AS g FROM (SELECT doc_id, w, n,
+ unnest(range(1, len(w) - n + 2)) AS pos FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+met AS (SELECT doc_id, item_id, pos, n FROM dw JOIN iw USING (n, g)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM met) GROUP BY doc_id),
+named AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM met GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+ sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+@query("op4_decontamination", OP4)
+def op4_decontamination(spark, sf):
+    return decontaminate.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("items")
