@@ -149,17 +149,17 @@ def _windows(rows: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
     """A row per window of each size: its first place, its size and 128 bits of hash of its words."""
     word = F.col("words")
 
-    def window(at, size):
-        words = F.slice(word, at, size)
-        return F.struct(
-            at.alias("at"), F.lit(size).alias("size"), F.xxhash64(words).alias("low"), F.xxhash64(F.lit(1), words).alias("high")
-        )
+    def each(size: int):
+        def window(at):
+            words = F.slice(word, at, size)
+            return F.struct(
+                at.alias("at"), F.lit(size).alias("size"), F.xxhash64(words).alias("low"),
+                F.xxhash64(F.lit(1), words).alias("high"),
+            )
+
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(word) - size + 1, F.lit(1))), window)
 
-    each = [
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(word) - size + 1, F.lit(1))), lambda at, size=size: window(at, size))
-        for size in sizes
-    ]
-    found = rows.select(*keep, F.size(word).alias("n"), F.explode(F.concat(*each)).alias("w"))
+    found = rows.select(*keep, F.size(word).alias("n"), F.explode(F.concat(*map(each, sizes))).alias("w"))
     return found.filter("w.size <= n").select(*keep, "w.*")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import decontaminate, packing, quality_rules, secrets, tokens
+from colonnade.llm import attention, decontaminate, packing, quality_rules, secrets, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,3 +76,9 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 @query("op4_decontamination", OP4)
 def op4_decontamination(spark, sf):
     return decontaminate.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("items")
+
+
+@query("op7_attention_quality")
+def op7_attention_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    return attention.score(docs, attention.train(docs, table(spark, sf, "labels")))
