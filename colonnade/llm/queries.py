@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colonnade.llm import attention, decontaminate, packing, quality_rules, secrets, tokens
+from colonnade.llm import attention, decontaminate, packing, quality_rules, secrets, tokens, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,3 +82,30 @@ def op4_decontamination(spark, sf):
 def op7_attention_quality(spark, sf):
     docs = table(spark, sf, "documents")
     return attention.score(docs, attention.train(docs, table(spark, sf, "labels")))
+
+
+HOST_RULES = [
+    url_filter.host_rule(*rule)
+    for rule in (
+        ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+        ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+    )
+]
+
+
+def _url_sql() -> str:
+    rules = HOST_RULES + [url_filter.pattern_rule(p) for p in url_filter.PATTERNS]
+    values = ", ".join(f"('{r.name}', '{r.verdict}', '{r.regex}', {r.of_host}, {len(r.name)})" for r in rules)
+    return rf"""WITH p AS (SELECT row_number() OVER () AS row, page_id, translate(regexp_extract(coalesce(url, ''),
+ '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+ regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(name, verdict, regex, of_host, length) AS (VALUES {values}),
+f AS (SELECT p.row, max(row(of_host, length, verdict, name)) AS best FROM p JOIN r
+ ON regexp_matches(host || path, regex) GROUP BY p.row)
+SELECT page_id, host, path, CASE WHEN best[1] THEN best[4] END AS rule, coalesce(best[3], 'allow') AS verdict,
+ CASE WHEN NOT best[1] THEN best[4] END AS pattern FROM p LEFT JOIN f USING (row)"""
+
+
+@query("op2_url_filter", _url_sql())
+def op2_url_filter(spark, sf):
+    return url_filter.judge_urls(table(spark, sf, "pages"), HOST_RULES)
