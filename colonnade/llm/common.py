@@ -82,3 +82,12 @@ def covered(starts: np.ndarray, width: int, length: int) -> np.ndarray:
     np.add.at(edge, starts, 1)
     np.add.at(edge, np.minimum(starts + width, length), -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], by: list[str], salts: int = 8) -> DataFrame:
+    """`many` joined with one row per key of `few`, a key's rows dealt over `salts` parts by the columns `by`.
+
+    Copying the few rows also makes Spark shuffle them for this join, so that it can split parts still too large."""
+    each = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = many.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    return dealt.join(each, [*keys, "__salt"]).drop("__salt")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colonnade.llm import attention, decontaminate, packing, quality_rules, secrets, tokens, url_filter
+from colonnade.llm import attention, decontaminate, line_dedup, packing, quality_rules, secrets, tokens, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,3 +110,28 @@ SELECT page_id, host, path, CASE WHEN best[1] THEN best[4] END AS rule, coalesce
 @query("op2_url_filter", _url_sql())
 def op2_url_filter(spark, sf):
     return url_filter.judge_urls(table(spark, sf, "pages"), HOST_RULES)
+
+
+OP3 = r"""WITH l AS (SELECT doc_id, line, trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS x FROM (SELECT doc_id,
+ unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)),
+f AS (SELECT doc_id, line, x, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos FROM l WHERE x <> ''),
+u AS (SELECT a.doc_id, a.pos, 3 AS n, a.x || chr(10) || b.x || chr(10) || c.x AS run FROM f a
+ JOIN f b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN f c ON c.doc_id = a.doc_id AND c.pos = a.pos + 2
+ UNION ALL SELECT doc_id, pos, 1, x FROM f WHERE length(x) >= 200),
+again AS (SELECT doc_id, pos, n FROM u QUALIFY row_number() OVER (PARTITION BY n, run ORDER BY doc_id, pos) > 1),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM again, (SELECT unnest(range(3)) AS k) WHERE k < n),
+kept AS (SELECT l.doc_id, string_agg(d.x, chr(10) ORDER BY l.line) AS rest, count(*) AS n_kept
+ FROM l JOIN (SELECT doc_id, unnest(string_split(text, chr(10))) AS x,
+ generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) d USING (doc_id, line)
+ LEFT JOIN f ON f.doc_id = l.doc_id AND f.line = l.line LEFT JOIN gone g ON g.doc_id = f.doc_id AND g.pos = f.pos
+ WHERE g.pos IS NULL GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,
+ (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_removed,
+ sha256(coalesce(kept.rest, '')) AS kept_sha256 FROM documents d LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op3_line_dedup", OP3)
+def op3_line_dedup(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    kept = line_dedup.dedup_lines(docs, count_columns=("n_lines", "n_removed"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
