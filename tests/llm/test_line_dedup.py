@@ -16,7 +16,7 @@ def brute(docs, size, long_line):
         full = [(k, x.strip(BLANKS)) for k, x in enumerate((text or "").split("\n")) if x.strip(BLANKS)]
         units = [(i, tuple(x for _, x in full[i : i + size])) for i in range(len(full) - size + 1)]
         units += [(i, (x,)) for i, (_, x) in enumerate(full) if len(x) >= long_line]
-        for i, unit in sorted(units):
+        for i, unit in sorted(set(units)):
             if unit in seen:
                 gone.setdefault(key, set()).update(full[i + k][0] for k in range(len(unit)))
             seen.add(unit)
