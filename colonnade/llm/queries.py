@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import attention, decontaminate, line_dedup, packing, quality_rules, secrets, tokens, url_filter
+from colonnade.llm import attention, decontaminate, line_dedup, near_dedup, packing, quality_rules, secrets, tokens, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -135,3 +135,21 @@ def op3_line_dedup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     kept = line_dedup.dedup_lines(docs, count_columns=("n_lines", "n_removed"))
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP5 = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+ 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS g FROM (SELECT doc_id, w,
+ unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM pairs JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.v, r.root FROM r JOIN l ON l.u = r.doc_id),
+m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+ FROM d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)"""
+
+
+@query("op5_minhash_near_dedup", OP5)
+def op5_minhash_near_dedup(spark, sf):
+    return near_dedup.near_duplicates(table(spark, sf, "documents")).drop("mark")
