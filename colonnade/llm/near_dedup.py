@@ -89,19 +89,20 @@ def _split(texts: list[str]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]
 
 
 def describe(docs: DataFrame, id_column: str, text_column: str, n: int) -> DataFrame:
-    """`id`, `mark` (a hash of the text as it is), `n_shingles`, `print` (128 bits of the words, null without any),
+    """`id`, `mark` (a hash of the text as it is), `bytes` (of it), `n_shingles`, `print` (128 bits of the words, null without any),
     `node` (its first 64), `signature`."""
     text = F.coalesce(column(text_column).cast("string"), F.lit(""))
     rows = docs.select(column(id_column).alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     schema = (
-        f"id {rows.schema['id'].dataType.simpleString()}, mark long, n_shingles long, print binary, node long, "
-        "signature binary"
+        f"id {rows.schema['id'].dataType.simpleString()}, mark long, bytes long, n_shingles long, print binary, "
+        "node long, signature binary"
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in portions(whole):
-                split, hashes, starts = _split(part.column(2).to_pylist())
+                texts = part.column(2).to_pylist()
+                split, hashes, starts = _split(texts)
                 sizes, prints, signatures = [], [], []
                 for k, words in enumerate(split):
                     found = shingles(hashes[starts[k] : starts[k + 1]], n)
@@ -110,9 +111,9 @@ def describe(docs: DataFrame, id_column: str, text_column: str, n: int) -> DataF
                     signatures.append(signature(found).tobytes() if words else None)
                 nodes = [p and int.from_bytes(p[:8], "little", signed=True) for p in prints]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()),
+                    [part.column(0), part.column(1), pa.array([len(t.encode()) for t in texts]), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()),
                      pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary())],
-                    ["id", "mark", "n_shingles", "print", "node", "signature"],
+                    ["id", "mark", "bytes", "n_shingles", "print", "node", "signature"],
                 )
 
     return rows.mapInArrow(run, schema)
@@ -148,22 +149,22 @@ def _by_group(rows: DataFrame, group: str, compute, schema: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            waiting.append(batch)
             values = [batch.column(names.index(k)).to_numpy(zero_copy_only=False) for k in keys]
             change = np.zeros(batch.num_rows, bool)
+            change[0] = last is not None and last != [v[0].item() for v in values]
             for v in values:
                 change[1:] |= v[1:] != v[:-1]
-            first = [b.column(names.index(k))[0].as_py() for b in waiting[:1] for k in keys]
             last = [v[-1].item() for v in values]
-            if first == last:
-                continue  # one group so far
-            cut = int(np.flatnonzero(change)[-1])
-            ended = pa.Table.from_batches([*waiting[:-1], batch.slice(0, cut)])
-            waiting = [batch.slice(cut)]
-            yield from compute(ended)
+            waiting.append(batch)
+            if change.any():  # what stands before the last change is whole
+                cut = int(np.flatnonzero(change)[-1])
+                ended = pa.Table.from_batches([*waiting[:-1], batch.slice(0, cut)])
+                waiting = [batch.slice(cut)]
+                yield from compute(ended)
         if waiting:
             yield from compute(pa.Table.from_batches(waiting))
 
@@ -224,9 +225,7 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     keys = _keys(classes)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = spread_join(keys, shared, ["key"], ["node"])
-    # 8 of the 16 bits tell distances: pairs can only come closer.
-    short = F.col("signature")
-    rows = met.join(classes.select("node", short.alias("signature")), "node")
+    rows = met.join(classes.select("node", "signature"), "node")
     blocked = _in_blocks(rows, "key", F.ceil(F.col("n") / BLOCK_ROWS)).select(
         "key", "left", "right", "block", "node", "signature"
     )
@@ -321,22 +320,23 @@ def near_duplicates(
     told = stage(describe(docs, id_column, text_column, n))
     handle = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("handle")
     classes = stage(
-        told.filter("print is not null").groupBy("print", "node", "signature").agg(handle, F.count("*").alias("copies"))
+        told.filter("print is not null").groupBy("print", "node", "signature")
+        .agg(handle, F.max("bytes").alias("bytes"), F.count("*").alias("copies"))
     )
     clusters = connected(candidate_edges(classes))
     members = clusters.select("node", F.col("root").alias("cluster")).union(
         clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct()
     )
-    members = stage(members.join(classes.select("node", "print", "signature", "handle"), "node"))
+    members = stage(members.join(classes.select("node", "print", "signature", "handle", "bytes"), "node"))
     # One text for each class in a cluster.
     wanted = members.select("node", "cluster", "print", "signature", F.col("handle.id").alias("rid"), F.col("handle.mark").alias("rmark"))
     wanted = F.broadcast(wanted) if members.count() <= broadcast_rows else wanted
     text = F.coalesce(column(text_column).cast("string"), F.lit(""))
     full = docs.select(column(id_column).alias("id"), text.alias("text"))
     found = full.join(wanted, F.col("id").eqNullSafe(F.col("rid")) & (F.xxhash64("text") == F.col("rmark")))
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     found = spread_join(found.select("node", "cluster", "print", "signature", "text"), sizes, ["cluster"], ["node"])
-    blocks = F.ceil(F.col("n") / BLOCK_ROWS)
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES, F.lit(1)))
     texts = _in_blocks(found, "cluster", blocks).select(
         "cluster", "left", "right", "block", "blocks", "node", "signature", "text"
     )
@@ -364,7 +364,7 @@ def _resolved(told: DataFrame, classes: DataFrame, roots: DataFrame, id_column:
 
 
 def drop_near_duplicates(
-    docs: DataFrame, percent: int = 80, n: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text",
+    docs: DataFrame, percent: int = 85, n: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text",
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """`docs` without the documents that `near_duplicates` doesn't keep; rows and columns that stay are as they were."""
