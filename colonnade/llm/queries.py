@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import attention, decontaminate, line_dedup, near_dedup, packing, quality_rules, secrets, tokens, url_filter
+from colonnade.llm import attention, decontaminate, line_dedup, near_dedup, packing, quality_rules, secrets, substring_dedup, tokens, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,3 +153,13 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.co
 @query("op5_minhash_near_dedup", OP5)
 def op5_minhash_near_dedup(spark, sf):
     return near_dedup.near_duplicates(table(spark, sf, "documents")).drop("mark")
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark, sf):
+    found = substring_dedup.find_repeats(table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
