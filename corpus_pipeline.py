@@ -9,17 +9,40 @@ from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from colonnade.llm import packing  # noqa: E402
-from colonnade.llm.queries import tokenizer_path  # noqa: E402
+from colonnade.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules  # noqa: E402
+from colonnade.llm.queries import table, tokenizer_path  # noqa: E402
 from colonnade.session import stage  # noqa: E402
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep: enough words, little repetition, and a good calibrated score."""
+    return quality_rules.keep_good(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without runs of lines that stood in an earlier text or place; documents of which nothing is left go."""
+    return line_dedup.dedup_lines(docs, drop_emptied=True)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of benchmark items; documents that mostly are such passages go."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents that are left, as pieces of training sequences."""
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality rules", quality), ("line dedup", lines), ("near duplicates", near_duplicates),
+    ("benchmark decontamination", benchmark), ("packing", pack),
+]
 
 #: The first stage asks a trained classifier, which SQL cannot state.
 ORACLE_SQL = None
@@ -27,7 +50,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over the whole of `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for number, (_, step) in enumerate(STAGES, 1):
         docs = step(spark, docs, sf_dir)
         if number < len(STAGES):
