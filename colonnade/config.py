@@ -13,8 +13,6 @@ BAR_MAX_NUMERIC_UNIQUES = 20
 HISTOGRAM_MIN_UNIQUES = 6
 BAR_TOP_N = 20
 SEGMENT_TOP_N = 8
-LABEL_CAP = 80
-LABEL_PAIRS_SHOWN = 5
 
 # Isolation forest defaults of Liu, Ting and Zhou (2008).
 FOREST_TREES = 100
@@ -28,6 +26,3 @@ GROUP_DIRECT_ROWS = 100_000
 
 # Buckets per bracket and pass in the refinement.
 REFINE_BUCKETS = 4096
-
-# Most points a line or scatter query returns before it is reduced.
-POINT_BUDGET = 5_000

@@ -32,6 +32,9 @@ DATE_LAYOUTS = {
     "MMM d, yyyy": r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$",
 }
 
+# Fixed value: date and time with a fraction, a `Z` or an offset, of which at least one is there.
+ISO_TIME = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{2}:\d{2}:\d{2}(\.\d{1,9}|(\.\d{1,9})? ?(Z|[+-]\d{2}:?\d{2}))$"
+
 
 def normalize_name(name: object) -> str:
     return str(name).strip().lower().replace(" ", "_")
@@ -79,11 +82,13 @@ def edit_distance(a: Column, b: Column, limit: int = 2) -> Column:
 
 
 def parse_date(col: Column, layouts: dict[str, str] = DATE_LAYOUTS) -> Column:
-    """Text to timestamp by the first layout that reads it, else NULL.  The shape test keeps long
-    texts away from the parser."""
+    """Text to timestamp by the first layout that reads it, else NULL; a time with an offset becomes the
+    session's time.  The shape test keeps other texts away from the parser."""
     text = F.trim(col)
     tries = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f))) for f, shape in layouts.items()]
-    return F.when(F.length(text) <= 30, F.coalesce(*tries))
+    plain = F.regexp_replace(F.regexp_replace(text, r" ?([+-]\d{2}):?(\d{2})$", "$1:$2"), r" Z$", "Z")
+    iso = F.when(text.rlike(ISO_TIME), plain.try_cast("timestamp"))
+    return F.coalesce(*tries, iso)
 
 
 def clip(col: Column, low: Column, high: Column) -> Column:

@@ -53,12 +53,16 @@ def source_comparison(
 ) -> DataFrame:
     """Per source n, mean, median, sum, max and share of the grand sum of the metric, and mean and sum
     of the energy unit where the raw datasets have one.  Values come from the raw dataset of the
-    source's name where there is one."""
+    source's name where there is one; raw datasets that are no source of `df` are left out, and a frame
+    of fewer than two sources gives no rows."""
     values = df.select(
         quoted(SOURCE).alias(SOURCE), as_double(df, kpi).alias("v"), F.lit(None).cast("double").alias("unit")
     )
     if raw:
-        known = [short_name(n) for n in raw]
+        found = values.select(SOURCE).where(quoted(SOURCE).isin([short_name(n) for n in raw])).distinct().collect()
+        known = [r[SOURCE] for r in found]
+        raw = {n: d for n, d in raw.items() if short_name(n) in known}
+    if raw:
         values = values.where(~quoted(SOURCE).isin(known)).unionByName(_raw_values(raw, kpi))
     measures = [
         F.count("v").alias("n"),
@@ -68,6 +72,8 @@ def source_comparison(
         F.avg("unit").alias("toe_mean"),
         F.sum("unit").alias("toe_sum"),
     ]
+    if values.select(SOURCE).where(quoted(SOURCE).isNotNull()).distinct().limit(2).count() < 2:
+        values = values.limit(0)
     per = group_quantiles(values, [SOURCE], "v", (0.5,), extra=measures, direct_rows=direct_rows)
     total = values.where(quoted(SOURCE).isNotNull()).agg(F.sum("v")).scalar()
     return per.select(

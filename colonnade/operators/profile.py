@@ -92,39 +92,26 @@ def date_share_needed(name: Column) -> Column:
     return F.when(S.contains_any(F.lower(name), V.DATE_WORDS), DATE_SHARE_NAMED).otherwise(DATE_SHARE)
 
 
-def date_candidates(df: DataFrame, sample: int | None = None, key: str | None = None) -> DataFrame:
-    """Per text column the share of its present values that read as dates, and the share needed.
-    All values are read; `sample` reads only the first values by `key`."""
+def date_candidates(df: DataFrame) -> DataFrame:
+    """Per text column the share of its present values that read as dates, and the share needed."""
     names = string_columns(df)
     if not names:
         raise ValueError("no text column")
-    if sample is None:
-        shares = tidy(df, {c: {"share": date_share(c)} for c in names})
-    else:
-        parts = []
-        for i, c in enumerate(names):
-            head = df.where(quoted(c).isNotNull())
-            head = (head.orderBy(quoted(key)) if key else head).limit(sample)
-            parts.append(
-                head.agg(F.avg(S.parse_date(quoted(c)).isNotNull().cast("int")).alias("share")).select(
-                    F.lit(i).alias("ordinal"), F.lit(c).alias("column"), "share"
-                )
-            )
-        shares = reduce(DataFrame.unionByName, parts)
+    shares = tidy(df, {c: {"share": date_share(c)} for c in names})
     needed = date_share_needed(F.col("column"))
     return shares.withColumn("needed", needed).withColumn(
         "is_date", F.coalesce(F.col("share") >= F.col("needed"), F.lit(False))
     )
 
 
-def detect_date_column(df: DataFrame, sample: int | None = None, key: str | None = None) -> str | None:
+def detect_date_column(df: DataFrame) -> str | None:
     """The first date or timestamp column, else the first text column that reads as dates."""
     typed = temporal_columns(df)
     if typed:
         return typed[0]
     if not string_columns(df):
         return None
-    row = date_candidates(df, sample, key).where("is_date").orderBy("ordinal").first()
+    row = date_candidates(df).where("is_date").orderBy("ordinal").first()
     return row["column"] if row else None
 
 
@@ -253,18 +240,9 @@ def year_span(df: DataFrame) -> DataFrame:
     return tidy(df, metrics).where("share > 0.8").drop("share")
 
 
-def concat_values(df: DataFrame, column: str, key: str, max_chars: int = 2000) -> DataFrame:
-    """The first characters of a text column's values joined by blanks, in key order.  Every value
-    adds at least one character, so no more than `max_chars` + 1 rows are gathered."""
-    head = df.where(quoted(column).isNotNull()).orderBy(quoted(key)).limit(max_chars + 1)
-    pairs = F.array_sort(F.collect_list(F.struct(quoted(key).alias("k"), quoted(column).cast("string").alias("t"))))
-    joined = F.array_join(F.transform(pairs, lambda p: p["t"]), " ")
-    return head.agg(F.substring(joined, 1, max_chars).alias("text")).select(F.lit(column).alias("column"), "text")
-
-
-def keyword_hits(datasets: dict[str, DataFrame], sample_keys: dict[str, str] | None = None) -> DataFrame:
+def keyword_hits(datasets: dict[str, DataFrame]) -> DataFrame:
     """(dataset, keyword) for every keyword found in a column name or text value.  Whole columns are
-    read; with `sample_keys` (dataset -> key column) only the first 2000 characters of each."""
+    read."""
     words = sorted({w for ws in V.DOMAIN_KEYWORDS.values() for w in ws})
     parts = []
     for name, df in datasets.items():
@@ -272,24 +250,20 @@ def keyword_hits(datasets: dict[str, DataFrame], sample_keys: dict[str, str] | N
         heading = " ".join(c.lower() for c in df.columns)
         named = [w for w in words if w in heading]
         found = local_table(df.sparkSession, {"keyword": named}, "keyword string")
-        if sample_keys and name in sample_keys and texts:
-            samples = [concat_values(df, c, sample_keys[name]) for c in texts]
-            rows, text = reduce(DataFrame.unionByName, samples), F.lower("text")
-        else:
-            # A blank between the values cannot make a keyword, as no keyword holds one.
-            rows, text = df, F.lower(F.concat_ws(" ", *[quoted(c) for c in texts]))
+        # A blank between the values cannot make a keyword, as no keyword holds one.
+        text = F.lower(F.concat_ws(" ", *[quoted(c) for c in texts]))
         unnamed = [w for w in words if w not in named]
         if texts and unnamed:
             hits = F.array_compact(F.array(*[F.when(F.col("text").contains(w), w) for w in unnamed]))
-            seen = rows.select(text.alias("text")).select(F.explode(hits).alias("keyword"))
+            seen = df.select(text.alias("text")).select(F.explode(hits).alias("keyword"))
             found = found.unionByName(seen.distinct())
         parts.append(found.select(F.lit(name).alias("dataset"), "keyword"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def domain_scores(datasets: dict[str, DataFrame], sample_keys: dict[str, str] | None = None) -> DataFrame:
+def domain_scores(datasets: dict[str, DataFrame]) -> DataFrame:
     """(ordinal, domain, score): keyword hits per domain over all datasets."""
-    hits = keyword_hits(datasets, sample_keys)
+    hits = keyword_hits(datasets)
     listed = [(i, d, w) for i, (d, ws) in enumerate(V.DOMAIN_KEYWORDS.items()) for w in ws]
     table = local_table(
         hits.sparkSession,
@@ -299,7 +273,7 @@ def domain_scores(datasets: dict[str, DataFrame], sample_keys: dict[str, str] |
     return table.join(hits, "keyword", "left").groupBy("ordinal", "domain").agg(F.count("dataset").alias("score"))
 
 
-def detect_domain(datasets: dict[str, DataFrame], sample_keys: dict[str, str] | None = None) -> str:
+def detect_domain(datasets: dict[str, DataFrame]) -> str:
     """The domain with most hits, the first listed on ties."""
-    best = domain_scores(datasets, sample_keys).orderBy(F.desc("score"), "ordinal").first()
+    best = domain_scores(datasets).orderBy(F.desc("score"), "ordinal").first()
     return best["domain"] if best["score"] > 0 else V.NO_DOMAIN

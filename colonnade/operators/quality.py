@@ -4,109 +4,124 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colonnade import config
 from colonnade.functions import scalars as S
 from colonnade.functions.columns import SOURCE, present, string_columns
-from colonnade.operators.statistics import more_labels_than
-from colonnade.session import empty_table, local_table
+from colonnade.session import empty_table, local_table, stage
 
 MAX_EDITS = 2
 MIN_LABEL = 5
+# Labels up to SHORT_LABEL meet by deletions, those from LONG_LABEL on by parts; labels two characters apart
+# in length are always together in one of them.
+SHORT_LABEL = 32
+LONG_LABEL = 31
 SEVERE_IQR = 5.0
 LABEL_SCHEMA = "ordinal int, column string, label string, n long"
 
 
-def label_counts(df: DataFrame, columns: Sequence[str], max_labels: int | None) -> DataFrame:
-    """(ordinal, column, label, n) of the columns with at most `max_labels` labels.  Columns proven to
-    have more by their hashes are left out before any label is counted."""
+def label_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(ordinal, column, label, n) of all labels of the columns."""
     names = list(columns)
-    if max_labels is not None:
-        crowded = more_labels_than(df, names, max_labels)
-        names = [c for c in names if c not in crowded]
     if not names:
         return empty_table(df.sparkSession, LABEL_SCHEMA)
     texts = df.select(*[present(df, c).cast("string").alias(f"c{i}") for i, c in enumerate(names)])
     long = texts.unpivot([], list(texts.columns), "k", "label").where("label is not null")
     counted = long.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n"))
     place = F.create_map(
-        *[x for i, c in enumerate(names) for x in (F.lit(f"c{i}"), F.struct(F.lit(list(columns).index(c)).alias("i"), F.lit(c).alias("c")))]
+        *[x for i, c in enumerate(names) for x in (F.lit(f"c{i}"), F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")))]
     )[F.col("k")]
-    if max_labels is not None:
-        # The proof leaves columns of about `max_labels` labels; each is one window partition.
-        size = F.count(F.lit(1)).over(Window.partitionBy("k"))
-        counted = counted.withColumn("labels", size).where(F.col("labels") <= max_labels)
     return counted.select(place["i"].alias("ordinal"), place["c"].alias("column"), "label", "n")
 
 
-def _part(text: Column, length: Column, part: Column, shift: Column) -> Column:
-    """The text where the given third of a label of that length would stand, moved by `shift`."""
-    third = F.floor(length / 3).cast("int")
-    size = F.when(part < 2, third).otherwise(length - 2 * third)
-    return F.substring(text, F.greatest(F.lit(1), part * third + 1 + shift), size)
-
-
-def _pieces(labels: DataFrame) -> DataFrame:
-    """Each label cut into three parts."""
-    cut = labels.select("*", F.length("label").alias("length"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("part"))
-    return cut.withColumn("text", _part(F.col("label"), F.col("length"), F.col("part"), F.lit(0)))
-
-
-def _probes(labels: DataFrame) -> DataFrame:
-    """For each label the texts its near neighbours may share: the same part of a label up to two
-    characters shorter or longer, moved by up to two."""
-    near = F.sequence(F.lit(-MAX_EDITS), F.lit(MAX_EDITS))
-    spots = (
-        labels.select("column", F.col("label").alias("other"), F.col("n").alias("n_other"), F.explode(near).alias("longer"))
-        .withColumn("length", F.length("other") + F.col("longer"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(2))))
-        .withColumn("shift", F.explode(near))
+def _without(text: Column, place: Column) -> Column:
+    """The text without the character at the place; whole where the place is 0."""
+    return F.when(place == 0, text).otherwise(
+        F.concat(F.substring(text, F.lit(1), place - 1), F.substring(text, place + 1, F.length(text)))
     )
-    text = _part(F.col("other"), F.col("length"), F.col("part"), F.col("shift"))
-    return spots.select("column", "other", "n_other", "length", "part", text.alias("text")).distinct()
 
 
-def near_pairs(labels: DataFrame, limit: int | None = config.LABEL_PAIRS_SHOWN) -> DataFrame:
+def _deletions(labels: DataFrame) -> DataFrame:
+    """For short labels a hash of every text that is left when up to two characters go.  Two labels at most two
+    edits apart have one in common: leave out what either has changed, inserted or lost."""
+    spots = F.sequence(F.lit(0), F.length("label"))
+    once = F.array_distinct(F.transform(spots, lambda k: _without(F.col("label"), k)))
+    short = labels.where(F.length("label") <= SHORT_LABEL).select("column", "label", F.explode(once).alias("text"))
+    again = F.transform(F.sequence(F.lit(0), F.length("text")), lambda k: F.xxhash64(_without(F.col("text"), k)))
+    return short.select("column", "label", F.explode(F.array_distinct(again)).alias("mark")).distinct()
+
+
+def _part(text: Column, length: Column, part: Column, shift: Column) -> Column:
+    """The text where the given fourth of a label of that length would stand, moved by `shift`."""
+    fourth = F.floor(length / 4).cast("int")
+    size = F.when(part < 3, fourth).otherwise(length - 3 * fourth)
+    return F.substring(text, F.greatest(F.lit(1), part * fourth + 1 + shift), size)
+
+
+# Two of four parts, and how far each may have moved by two edits.
+_SHIFTS = range(-MAX_EDITS, MAX_EDITS + 1)
+_PLACES = [
+    (a, b, s, t) for a, b in combinations(range(4), 2) for s in _SHIFTS for t in _SHIFTS if abs(s) + abs(t - s) <= MAX_EDITS
+]
+
+
+def _two_parts(labels: DataFrame, longer: Sequence[int], places: Sequence[tuple[int, ...]]) -> DataFrame:
+    """A hash of two of four parts of a label, with its length: as they stand in the label, or as they would in
+    others that are longer by so many characters, where the parts stand moved."""
+    each = F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(p, "abst")]) for p in places])
+    spots = labels.select(
+        "column", "label", F.explode(F.array(*map(F.lit, longer))).alias("longer")
+    ).select("*", F.explode(each).alias("p"), (F.length("label") + F.col("longer")).alias("length"))
+    first, second = (_part(F.col("label"), F.col("length"), F.col(f"p.{k}"), F.col(f"p.{m}")) for k, m in ("as", "bt"))
+    mark = F.xxhash64("length", "p.a", "p.b", first, second)
+    return spots.where(F.col("length") >= LONG_LABEL).select("column", "label", mark.alias("mark")).distinct()
+
+
+def near_pairs(labels: DataFrame, limit: int | None = None) -> DataFrame:
     """Pairs of labels of one column, five characters or longer, at most two edits apart, the more
-    frequent label first.
+    frequent label first; all of them unless a display `limit` is asked for.
 
-    Two edits leave at least one of three parts of a label intact, so only labels that share such a
-    part are compared; no other pair can qualify."""
+    Short labels meet by what is left without two characters, long ones by two intact parts of four: a common
+    start alone brings no two labels together, and no pair can be missed."""
     labels = labels.where(F.length("label") >= MIN_LABEL)
-    first = (F.col("n") > F.col("n_other")) | ((F.col("n") == F.col("n_other")) & (F.col("label") < F.col("other")))
-    pairs = (
-        _pieces(labels)
-        .join(_probes(labels), ["column", "length", "part", "text"])
-        .where(F.col("label") != F.col("other"))
-        .select(
-            "ordinal", "column",
-            F.when(first, F.col("label")).otherwise(F.col("other")).alias("a"),
-            F.when(first, F.col("other")).otherwise(F.col("label")).alias("b"),
-            F.greatest("n", "n_other").alias("rows_a"), F.least("n", "n_other").alias("rows_b"),
-        )
-        # Several parts and both directions may lead to one pair.
-        .distinct()
-        .withColumn("edits", S.edit_distance(F.col("a"), F.col("b"), MAX_EDITS))
+    marks = _deletions(labels)
+    short = marks.alias("x").join(marks.alias("y"), ["column", "mark"]).where("x.label < y.label").select(
+        "column", F.col("x.label").alias("p"), F.col("y.label").alias("q")
+    )
+    long = labels.where(F.length("label") >= LONG_LABEL - MAX_EDITS)
+    here = _two_parts(long, [0], [p for p in _PLACES if p[2] == p[3] == 0])
+    probes = _two_parts(long, _SHIFTS, _PLACES).withColumnRenamed("label", "other")
+    long = here.join(probes, ["column", "mark"]).where("label <> other").select(
+        "column", F.least("label", "other").alias("p"), F.greatest("label", "other").alias("q")
+    )
+    # Several marks and both directions may lead to one pair.
+    near = (
+        short.union(long).distinct()
+        .withColumn("edits", S.edit_distance(F.col("p"), F.col("q"), MAX_EDITS))
         .where(F.col("edits").between(1, MAX_EDITS))
     )
+    counts = labels.select("column", "label", "n", "ordinal")
+    near = near.join(counts.withColumnsRenamed({"label": "p", "n": "n_p"}), ["column", "p"])
+    near = near.join(counts.drop("ordinal").withColumnsRenamed({"label": "q", "n": "n_q"}), ["column", "q"])
+    first = F.col("n_p") >= F.col("n_q")
+    pairs = near.select(
+        "ordinal", "column", F.when(first, F.col("p")).otherwise(F.col("q")).alias("a"),
+        F.when(first, F.col("q")).otherwise(F.col("p")).alias("b"),
+        F.greatest("n_p", "n_q").alias("rows_a"), F.least("n_p", "n_q").alias("rows_b"), "edits",
+    )
     shown = pairs.orderBy("ordinal", F.desc("rows_a"), "a", F.desc("rows_b"), "b")
     return (shown.limit(limit) if limit else shown).select("column", "a", "b", "rows_a", "rows_b", "edits")
 
 
 def near_duplicate_labels(
-    df: DataFrame,
-    columns: Sequence[str] | None = None,
-    *,
-    max_labels: int | None = config.LABEL_CAP,
-    limit: int | None = config.LABEL_PAIRS_SHOWN,
+    df: DataFrame, columns: Sequence[str] | None = None, *, limit: int | None = None
 ) -> DataFrame:
-    """Labels of a text column that are probably one value mistyped.  Columns with more than
-    `max_labels` labels are taken for free text and left out."""
+    """Labels of a text column that are probably one value mistyped, in all text columns or the given ones."""
     names = [c for c in (columns if columns is not None else string_columns(df)) if c.lower() != SOURCE]
-    return near_pairs(label_counts(df, names, max_labels), limit)
+    return near_pairs(stage(label_counts(df, names)), limit)
 
 
 def issue_counts(nulls: DataFrame, spikes: DataFrame, labels: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from colonnade.functions import scalars as S
 from colonnade.functions import vocabulary as V
 from colonnade.functions.columns import SOURCE, categorical_columns
 from colonnade.operators.quality import label_counts
+from colonnade.operators.statistics import more_labels_than
 
 # Most labels of a dimension, and the label count a dimension is best near to.
 DIMENSION_MAX = 50
@@ -29,7 +30,11 @@ def dimension_candidates(
     names = list(columns) if columns is not None else categorical_columns(df)
     names = [c for c in names if c.lower() != SOURCE]
     if labels is None:
-        labels = label_counts(df, names, DIMENSION_MAX)
+        # Columns proven to have more labels by their hashes are left out before any label is counted.
+        crowded = more_labels_than(df, names, DIMENSION_MAX)
+        places = F.create_map(*[x for i, c in enumerate(names) for x in (F.lit(c), F.lit(i))]) if names else F.lit(None)
+        labels = label_counts(df, [c for c in names if c not in crowded])
+        labels = labels.withColumn("ordinal", places[F.col("column")]) if names else labels
     # At most half as many labels as rows, though two are always allowed.
     cap = min(DIMENSION_MAX, max(2, (df.count() if rows is None else rows) // 2))
     counted = labels.where(F.col("column").isin(names)).groupBy("ordinal", "column").agg(

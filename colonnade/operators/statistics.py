@@ -174,11 +174,10 @@ def kpi_cards(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def quick_summary(df: DataFrame, name: str, limit: int = 5) -> DataFrame:
-    """Rows, numeric columns and missing values, with mean, median and maximum of the first numeric
-    columns."""
+def quick_summary(df: DataFrame, name: str) -> DataFrame:
+    """Rows, numeric columns and missing values, with mean, median and maximum of every numeric column."""
     head = kpi_cards(df, name).select("dataset", "rows", "numeric_cols", "nulls")
-    first = numeric_columns(df)[:limit]
+    first = numeric_columns(df)
     if not first:
         return head.select("*", *[F.lit(None).cast(t).alias(c) for c, t in
                                   (("column", "string"), ("mean", "double"), ("median", "double"), ("max", "double"))])

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,46 +22,73 @@ TREND_SCHEMA = (
 )
 
 
-def _position(df: DataFrame, column: str) -> Column:
-    """A date or key as a double that keeps its order.  Texts get a hash order: it only decides which
-    rows of one date count as earlier."""
-    kind = df.schema[column].dataType
+# Whole numbers up to this size are exact as doubles.
+_EXACT = 1 << 53
+_TEXT_STEP = 6
+
+
+def _halves(number: Column) -> list[Column]:
+    """A bigint as two doubles that order it, the first being the greater part."""
+    return [F.shiftright(number, 32).cast("double"), number.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")).cast("double")]
+
+
+def _key_parts(df: DataFrame, key: str) -> Iterator[Column]:
+    """Doubles without nulls that order rows by key one after the other, null keys last."""
+    kind, col = df.schema[key].dataType, quoted(key)
+    yield col.isNull().cast("double")
     if isinstance(kind, T.StringType):
-        return F.shiftright(F.xxhash64(quoted(column)), 11).cast("double")
-    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return _micros(quoted(column))
-    return as_double(df, column)
+        raw = F.encode(F.coalesce(col, F.lit("")), "utf-8")
+        longest = df.agg(F.max(F.octet_length(col))).first()[0] or 0
+        for at in range(0, longest, _TEXT_STEP):
+            part = F.substring(raw, at + 1, _TEXT_STEP)
+            # Texts that end here are padded, and come before those that go on with zero bytes.
+            yield F.conv(F.rpad(F.hex(part), 2 * _TEXT_STEP, "0"), 16, 10).cast("double")
+            yield F.octet_length(part).cast("double")
+    elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        yield from _halves(F.coalesce(_micros(col), F.lit(0).cast("long")))
+    elif isinstance(kind, T.LongType):
+        yield from _halves(F.coalesce(col, F.lit(0).cast("long")))
+    else:
+        yield F.coalesce(as_double(df, key), F.lit(0.0))
 
 
 def _micros(moment: Column) -> Column:
-    return F.unix_micros(moment.cast("timestamp")).cast("double")
+    return F.unix_micros(moment.cast("timestamp"))
 
 
 def earlier_half(
     df: DataFrame, date_column: str, key: str, *, direct_rows: int = config.DIRECT_ROWS
 ) -> Column | None:
-    """Condition that holds for the first n // 2 rows by (date, key), null dates last.
+    """Condition that holds for the first n // 2 rows by (date, key), null dates and null keys last.
 
     The dividing date is found as an order statistic, and where rows share it the dividing key among
-    those: no row is numbered or sorted."""
-    moment = _micros(as_date(df, date_column))
-    at, key_at = moment, _position(df, key)
+    those, part by part: no row is numbered or sorted.  Rows equal in date and key cannot be told apart;
+    where the middle falls between such rows this raises."""
+    at = _micros(as_date(df, date_column))
     rows, dated, first, last = df.agg(F.count(F.lit(1)), F.count(at), F.min(at), F.max(at)).first()
     half = rows // 2
     if half == 0:
         return None
     if half <= dated:
-        value, below, equal = order_statistic(df, at, half - 1, (dated, first, last), direct_rows)
-        if below + equal == half:
-            return F.coalesce(at <= F.lit(value), F.lit(False))
-        tied, before, taken, ties = at == F.lit(value), at < F.lit(value), below, equal
+        before, tied, ties, wanted = F.lit(False), at.isNotNull(), dated, half
+        small = max(abs(first), abs(last)) < _EXACT
+        dates = [(at.cast("double"), (float(first), float(last)))] if small else [(p, None) for p in _halves(at)]
     else:
-        tied, before, taken, ties = at.isNull(), at.isNotNull(), dated, rows - dated
-    extremes = (None, None)
-    if ties > direct_rows:
-        extremes = df.where(tied).agg(F.min(key_at), F.max(key_at)).first()
-    cut = order_statistic(df.where(tied), key_at, half - taken - 1, (ties, *extremes), direct_rows)[0]
-    return F.coalesce(before, F.lit(False)) | F.coalesce(tied & (key_at <= F.lit(cut)), F.lit(False))
+        before, tied, ties, wanted = at.isNotNull(), at.isNull(), rows - dated, half - dated
+        dates = []
+    parts = chain(dates, ((p, None) for p in _key_parts(df, key)))
+    while wanted < ties:
+        part, ends = next(parts, (None, None))
+        if part is None:
+            raise ValueError(f"{ties} rows in the middle are equal in {date_column} and {key}; give a key that tells them apart")
+        among = df.where(tied)
+        if ends is None:
+            ends = among.agg(F.min(part), F.max(part)).first() if ties > direct_rows else (None, None)
+        value, below, equal = order_statistic(among, part, wanted - 1, (ties, *ends), direct_rows)
+        before = before | (tied & (part < F.lit(value)))
+        tied = tied & (part == F.lit(value))
+        ties, wanted = equal, wanted - below
+    return F.coalesce(before | tied, F.lit(False))
 
 
 def half_split_trend(

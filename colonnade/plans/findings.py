@@ -20,7 +20,7 @@ from colonnade.operators import outliers, profile, quality, segments, statistics
 from colonnade.operators.aggregates import segment_breakdown
 from colonnade.operators.cleaning import Fence
 from colonnade.operators.compare import gap_of_stats, source_comparison
-from colonnade.session import empty_table, local_table, settle
+from colonnade.session import empty_table, local_table, settle, stage
 
 SEGMENT_SCHEMA = "segment string, count long, sum double, mean double, median double, share double"
 
@@ -111,9 +111,9 @@ def dataset_findings(
     best = segments.primary_kpi(stats, domain).first()
     primary = best["column"] if best else None
     labelled = [c for c in categorical_columns(df) if c not in (date_column, SOURCE)]
-    labels = settle(quality.label_counts(df, labelled, config.LABEL_CAP))
+    labels = stage(quality.label_counts(df, labelled))
     texts = [c for c in labelled if c in string_columns(df)]
-    pairs = settle(quality.near_pairs(labels.where(F.col("column").isin(texts))))
+    pairs = stage(quality.near_pairs(labels.where(F.col("column").isin(texts))))
     chosen = segments.primary_dimension(df, labelled, labels=labels, rows=rows).first()
     dimension = chosen["column"] if chosen else None
     parts = empty_table(spark, SEGMENT_SCHEMA)

@@ -8,22 +8,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.functions import scalars as S
-from colonnade.functions import vocabulary as V
 from colonnade.operators import segments
 from colonnade.plans.findings import Analysis
-from colonnade.session import local_table
 
 
 def recommendation_candidates(a: Analysis) -> DataFrame:
-    """(score, kind, title, dataset, column, value) of everything worth recommending."""
+    """(score, kind, dataset, column, direction, value) of everything worth recommending."""
     spikes, trends, stats, nulls = (a.every(t) for t in ("spikes", "trends", "stats", "nulls"))
-    name = F.concat(F.lit("`"), F.col("column"), F.lit("`"))
+    none = F.lit(None).cast("string")
     cv = S.variation(F.col("std"), F.col("mean"))
 
-    def rows(df, order, kind, score, title, column, value):
+    def rows(df, order, kind, score, column, value, direction=none):
         return df.select(
             "position", F.lit(order).alias("order"), F.col("ordinal").cast("int").alias("ordinal"), "dataset",
-            F.lit(kind).alias("kind"), title.alias("title"), column.alias("column"),
+            F.lit(kind).alias("kind"), column.alias("column"), direction.alias("direction"),
             value.cast("double").alias("value"), score.cast("double").alias("score"),
         )
 
@@ -33,42 +31,32 @@ def recommendation_candidates(a: Analysis) -> DataFrame:
     parts = [
         rows(
             spikes.where("distance_iqr > 3"), 0, "outlier", F.col("distance_iqr") * 10,
-            F.concat(F.lit("Triage the outlier in "), name), F.col("column"), F.col("value"),
+            F.col("column"), F.col("value"),
         ),
         rows(
             trends.where(segments.is_unfavourable(F.col("column"), F.col("direction")) & (F.abs("change_pct") >= 5)),
             1, "trend", F.abs("change_pct") + 20,
-            F.concat(F.lit("Address the "), F.col("direction"), F.lit(" in "), name), F.col("column"), F.col("change_pct"),
+            F.col("column"), F.col("change_pct"), F.col("direction"),
         ),
         rows(
             stats.where((F.col("mean") != 0) & (cv > 80)), 2, "volatility", cv / 2,
-            F.concat(F.lit("Stabilise volatility in "), name), F.col("column"), cv,
+            F.col("column"), cv,
         ),
         rows(
             gaps, 3, "missing", 15 + F.least(F.col("total"), F.lit(100)) / 10,
-            F.concat(F.lit("Close data gaps in *"), F.col("dataset"), F.lit("*")), F.col("worst"), F.col("total"),
+            F.col("worst"), F.col("total"),
         ),
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def recommendations(a: Analysis, limit: int = 4) -> DataFrame:
-    """The best candidates, one per title, filled up with standing advice to `limit` rows."""
+    """The best `limit` candidates, one for each kind and column: rank, score, kind, dataset, column, direction of
+    a trend, value."""
     found = recommendation_candidates(a)
     best_first = [F.desc("score"), "position", "order", "ordinal"]
-    same_title = Window.partitionBy("title").orderBy(*best_first)
-    kept = found.withColumn("nth", F.row_number().over(same_title)).where("nth = 1").drop("nth")
-    titles = list(V.FILLER_RECOMMENDATIONS)
-    fillers = local_table(
-        kept.sparkSession, {"ordinal": list(range(len(titles))), "title": titles}, "ordinal int, title string"
-    ).select(
-        F.lit(None).cast("int").alias("position"), F.lit(9).alias("order"), "ordinal",
-        F.lit(None).cast("string").alias("dataset"), F.lit("standing").alias("kind"), "title",
-        F.lit(None).cast("string").alias("column"), F.lit(None).cast("double").alias("value"),
-        F.lit(0.0).alias("score"),
-    )
-    every = kept.unionByName(fillers.join(kept.select("title"), "title", "left_anti").select(kept.columns))
-    top = every.orderBy((F.col("kind") == "standing"), *best_first).limit(limit)
+    alike = Window.partitionBy("kind", "column").orderBy(*best_first)
+    kept = found.withColumn("nth", F.row_number().over(alike)).where("nth = 1")
     # `limit` rows: numbering them needs one task.
-    rank = Window.orderBy((F.col("kind") == "standing"), *best_first)
-    return top.select(F.row_number().over(rank).alias("rank"), "score", "kind", "title", "dataset", "column", "value")
+    rank = F.row_number().over(Window.orderBy(*best_first)).alias("rank")
+    return kept.orderBy(*best_first).limit(limit).select(rank, "score", "kind", "dataset", "column", "direction", "value")

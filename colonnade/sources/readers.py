@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colonnade.functions.columns import nan_to_null, quoted, string_columns
 from colonnade.operators.cleaning import type_columns
@@ -14,6 +15,9 @@ NA_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
+# Takes what stands behind the last column of the header.
+_SURPLUS = "__surplus"
+
 EXTENSIONS = ("csv", "txt", "json", "xml", "parquet")
 
 
@@ -32,16 +36,22 @@ def load_csv(
     *,
     schema: str | None = None,
     infer: bool = True,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Comma-separated text with a header.  Columns come in as text and turn numeric only where every
-    value is a number; dates stay text.  With a `schema` the typing pass is skipped, and files with
-    no line break inside quotes (`multi_line` off) are read in parallel splits."""
+    value is a number; dates stay text.  Short rows are padded; a row with more fields than the header
+    raises when it is read.  With a `schema` the typing pass is skipped and rows must have just its fields.
+    Files known to hold no line break inside quotes can be read in parallel splits (`multi_line` off)."""
     # The reader quotes with a doubled quote, as spreadsheets write it.
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
     if schema:
         return nan_to_null(reader.option("mode", "FAILFAST").schema(schema).csv(path))
-    df = _tokens_to_null(reader.option("inferSchema", False).csv(path))
+    names = reader.option("inferSchema", False).csv(path).columns
+    text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SURPLUS]])
+    wide = reader.option("enforceSchema", True).schema(text).csv(path)
+    surplus = F.raise_error(F.lit(f"a row has more fields than the header of {path}")).cast("boolean")
+    df = wide.where(F.when(F.col(_SURPLUS).isNotNull(), surplus).otherwise(True)).drop(_SURPLUS)
+    df = _tokens_to_null(df)
     return type_columns(df) if infer else df
 
 

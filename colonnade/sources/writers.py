@@ -43,4 +43,6 @@ def write_result(df: DataFrame, path: str, kind: str = "parquet", mode: str = "e
     writer = df.write.mode(mode)
     if kind == "csv":
         writer = writer.option("header", True).option("escape", '"')
+        for side in ("Leading", "Trailing"):
+            writer = writer.option(f"ignore{side}WhiteSpace", False)
     writer.format(kind).save(path)

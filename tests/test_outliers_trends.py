@@ -103,3 +103,27 @@ def test_similar_rows(spark):
 def test_zero_vector_scores_zero(spark):
     df = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, -1.0)], "k int, a double")
     assert {r["similarity_score"] for r in similarity.similar_rows(df, "k", 0).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("direct", [1_000_000, 5])
+def test_halves_by_any_key(spark, direct):
+    """Large whole numbers, texts with common starts and missing keys divide the rows of one date in key order."""
+    many = spark.range(1_000).selectExpr("'2024-01-05' AS day", "id + 1152921504606846976 AS k", "id", "double(id) AS v")
+    frames = {
+        "big": many,
+        "text": many.selectExpr("day", "concat('customer-', repeat('x', int(id % 3)), format_string('%05d', id)) AS k", "id", "v"),
+        "null": many.where("id < 12").selectExpr("day", "if(id = 3, null, id) AS k", "id", "v"),
+        "mixed": many.selectExpr("if(id % 7 = 0, null, if(id % 5 = 0, '2024-01-04', day)) AS day", "k", "id", "v"),
+    }
+    for df in frames.values():
+        rows = df.collect()
+        order = sorted(rows, key=lambda r: (r["day"] is None, r["day"] or "", r["k"] is None, r["k"] if r["k"] is not None else 0))
+        want = {r["id"] for r in order[: len(rows) // 2]}
+        early = trends.earlier_half(df, "day", "k", direct_rows=direct)
+        assert {r["id"] for r in df.where(early).collect()} == want
+
+
+def test_rows_that_cannot_be_told_apart(spark):
+    same = spark.createDataFrame([("2024-01-05", 1, 2.0)] * 4, "day string, k int, v double")
+    with pytest.raises(ValueError, match="equal"):
+        trends.earlier_half(same, "day", "k")

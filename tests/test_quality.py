@@ -17,7 +17,7 @@ def test_pairs_equal_brute_force(spark):
     """Short and long labels, random edits of common stems, more labels than the usual cap."""
     rnd = random.Random(4)
     labels = set()
-    for stem in ["alpha", "betamax", "compressor unit", "x" * 40, "pump"]:
+    for stem in ["alpha", "betamax", "compressor unit", "x" * 40, "pump", "of about thirty-one characters.", "a long label, " * 5]:
         for _ in range(40):
             t = list(stem)
             for _ in range(rnd.randint(0, 3)):
@@ -32,7 +32,7 @@ def test_pairs_equal_brute_force(spark):
             labels.add("".join(t))
     labels = sorted(labels)
     df = spark.createDataFrame([(t,) for t in labels for _ in range(1 + len(t) % 3)], "label string")
-    found = quality.near_duplicate_labels(df, max_labels=None, limit=None).collect()
+    found = quality.near_duplicate_labels(df).collect()
     got = {(frozenset((r["a"], r["b"])), r["edits"]) for r in found}
     want = {
         (frozenset((a, b)), distance(a, b))
@@ -43,10 +43,21 @@ def test_pairs_equal_brute_force(spark):
     assert all((-r["rows_a"], r["a"]) < (-r["rows_b"], r["b"]) for r in found)
 
 
-def test_label_cap(spark):
-    many = spark.createDataFrame([(f"label{i:03d}",) for i in range(81)], "label string")
-    assert quality.near_duplicate_labels(many).count() == 0
-    assert quality.near_duplicate_labels(many.where("label < 'label080'")).count() == 5
+def test_no_label_is_too_many(spark):
+    made = [f"Chemical{i:03d}" for i in range(81)] + ["Furnace", "Furnac"]
+    pairs = quality.near_duplicate_labels(spark.createDataFrame([(x,) for x in made], "label string"))
+    assert pairs.where("b = 'Furnace' or a = 'Furnace'").count() == 1
+    twenty = spark.createDataFrame([(f"label{i:02d}",) for i in range(20)], "label string")
+    assert quality.near_duplicate_labels(twenty).count() == 190
+    assert quality.near_duplicate_labels(twenty, limit=5).count() == 5
+
+
+def test_a_common_start_is_no_block(spark):
+    names = spark.range(400).selectExpr("format_string('Customer#%09d', id) AS label")
+    marks = quality._deletions(names.selectExpr("'c' AS column", "label"))
+    met = marks.alias("x").join(marks.alias("y"), ["column", "mark"]).where("x.label < y.label")
+    true = quality.near_duplicate_labels(names).count()
+    assert true < met.select("x.label", "y.label").distinct().count() < 6 * true
 
 
 def test_rating(spark):

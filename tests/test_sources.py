@@ -90,3 +90,19 @@ def test_raw_frames_win(spark):
     assert used and chosen["a"] is raw and chosen["both"] is a
     assert sets.select_source({"a": a})[1] is False
     assert sets.select_source({}, {"a": raw}) == ({"a": raw}, True)
+
+
+def test_csv_keeps_its_rows(spark, tmp_path):
+    rows = [(1, 'a "quoted"\nbreak, and comma'), (2, "plain"), (3, "two\n\nbreaks"), (4, "tail\n")]
+    df = spark.createDataFrame(rows, "k bigint, t string")
+    writers.write_result(df, str(tmp_path / "x.csv"), "csv")
+    assert sorted(map(tuple, readers.load_csv(spark, str(tmp_path / "x.csv")).collect())) == rows
+
+
+def test_csv_with_surplus_fields_raises(spark, tmp_path):
+    (tmp_path / "short.csv").write_text("a,b\n1,2\n3\n")
+    assert [tuple(r) for r in readers.load_csv(spark, str(tmp_path / "short.csv")).collect()] == [(1, 2), (3, None)]
+    (tmp_path / "long.csv").write_text("a,b\n1,2\n3,4,5\n")
+    for infer in (True, False):
+        with pytest.raises(Exception, match="more fields"):
+            readers.load_csv(spark, str(tmp_path / "long.csv"), infer=infer).select("b").collect()

@@ -260,19 +260,54 @@ def volumetric_flag(spark, sf):
     )
 
 
+_KEYED = {
+    "bigkeys": ("o_orderkey + 1152921504606846976", "k"),
+    "nullkeys": ("nullif(o_orderkey, (SELECT min(o_orderkey) FROM orders))", "k NULLS LAST"),
+    "textkeys": ("'key-' || CAST(o_orderkey AS VARCHAR)", "k"),
+}
+
+
+def _keyed_sql(kind: str) -> str:
+    key, order = _KEYED[kind]
+    source = f"(SELECT date_trunc('year', o_orderdate) AS d, {key} AS k, o_totalprice FROM orders)"
+    return f"""SELECT first_avg, second_avg FROM (SELECT round(avg(o_totalprice) FILTER (early), 4) AS first_avg,
+ round(avg(o_totalprice) FILTER (NOT early), 4) AS second_avg FROM (SELECT *, row_number() OVER (ORDER BY d, {order})
+ <= (SELECT count(*) FROM orders) // 2 AS early FROM {source}))"""
+
+
+def _keyed(spark, sf, key):
+    orders = B.table(spark, sf, "orders").select(F.date_trunc("year", "o_orderdate").alias("d"), key.alias("k"), "o_totalprice")
+    return B.shown(trends.half_split_trend(orders, "d", "k", ["o_totalprice"], min_change=0).select("first_avg", "second_avg"))
+
+
+@B.query("half_split_trend_bigkeys", _keyed_sql("bigkeys"))
+def half_split_trend_bigkeys(spark, sf):
+    return _keyed(spark, sf, F.col("o_orderkey") + F.lit(1152921504606846976))
+
+
+@B.query("half_split_trend_nullkeys", _keyed_sql("nullkeys"))
+def half_split_trend_nullkeys(spark, sf):
+    least = B.table(spark, sf, "orders").agg(F.min("o_orderkey")).first()[0]
+    return _keyed(spark, sf, F.nullif(F.col("o_orderkey"), F.lit(least)))
+
+
+@B.query("half_split_trend_textkeys", _keyed_sql("textkeys"))
+def half_split_trend_textkeys(spark, sf):
+    return _keyed(spark, sf, F.concat(F.lit("key-"), F.col("o_orderkey").cast("string")))
+
+
 # ---- quality and comparisons --------------------------------------------------------------------
 
 
-def labels_sql(source: str, columns: list[str], limit: int | None = 5) -> str:
+def labels_sql(source: str, columns: list[str], limit: int | None = None) -> str:
     counted = B.each(
         columns, f"SELECT {{i}} AS o, '{{c}}' AS \"column\", {{q}} AS label, count(*) AS n FROM {source} WHERE {{q}} IS NOT NULL GROUP BY {{q}}"
     )
     tail = f" LIMIT {limit}" if limit else ""
-    return f"""SELECT "column", a, b, rows_a, rows_b, edits FROM (WITH l AS ({counted}),
- ok AS (SELECT "column" FROM l GROUP BY 1 HAVING count(*) BETWEEN 2 AND 80)
+    return f"""SELECT "column", a, b, rows_a, rows_b, edits FROM (WITH l AS ({counted})
  SELECT x.o, x."column", x.label AS a, y.label AS b, x.n AS rows_a, y.n AS rows_b, CAST(levenshtein(x.label, y.label) AS INT) AS edits
  FROM l x JOIN l y ON x."column" = y."column" AND (x.n > y.n OR (x.n = y.n AND x.label < y.label))
- WHERE x."column" IN (SELECT "column" FROM ok) AND length(x.label) >= 5 AND length(y.label) >= 5
+ WHERE length(x.label) >= 5 AND length(y.label) >= 5
  AND levenshtein(x.label, y.label) BETWEEN 1 AND 2 ORDER BY o, rows_a DESC, a, rows_b DESC, b{tail})"""
 
 
@@ -281,14 +316,19 @@ def near_duplicate_labels(spark, sf):
     return quality.near_duplicate_labels(B.table(spark, sf, "part"))
 
 
-@B.query("near_duplicate_labels_all", labels_sql("part", ["p_name", "p_brand", "p_type"], None))
+@B.query("near_duplicate_labels_top", labels_sql("part", ["p_name", "p_brand", "p_type"], 5))
+def near_duplicate_labels_top(spark, sf):
+    return quality.near_duplicate_labels(B.table(spark, sf, "part"), limit=5)
+
+
+@B.query("near_duplicate_labels_all", labels_sql("customer", ["c_name", "c_mktsegment"]))
 def near_duplicate_labels_all(spark, sf):
-    return quality.near_duplicate_labels(B.table(spark, sf, "part"), limit=None)
+    return quality.near_duplicate_labels(B.table(spark, sf, "customer"))
 
 
-@B.query("near_duplicate_labels_typos", labels_sql(f"({B.TYPO_LABELS})", ["label", "name"], None))
+@B.query("near_duplicate_labels_typos", labels_sql(f"({B.TYPO_LABELS})", ["label", "name"]))
 def near_duplicate_labels_typos(spark, sf):
-    return quality.near_duplicate_labels(B.typo_labels(spark, sf), limit=None)
+    return quality.near_duplicate_labels(B.typo_labels(spark, sf))
 
 
 def _rating_sql(name: str, nulls: str, spikes: str, labels: str) -> str:
@@ -510,25 +550,22 @@ def findings_table(spark, sf):
     return B.shown(findings.findings_table(analysis(spark, sf)), 2)
 
 
-_FILLERS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(V.FILLER_RECOMMENDATIONS))
 
 
 @B.query(
     "recommendations",
     f"""{_common_tables()}, c AS (
- SELECT pos, 0 AS ord, ordinal, distance_iqr * 10 AS score, 'outlier' AS kind, 'Triage the outlier in `' || "column" || '`' AS title, dataset, "column", "value"
+ SELECT pos, 0 AS ord, ordinal, distance_iqr * 10 AS score, 'outlier' AS kind, dataset, "column", NULL AS direction, "value"
   FROM all_spikes WHERE distance_iqr > 3
- UNION ALL SELECT pos, 1, ordinal, abs(change_pct) + 20, 'trend', 'Address the ' || direction || ' in `' || "column" || '`', dataset, "column", change_pct
+ UNION ALL SELECT pos, 1, ordinal, abs(change_pct) + 20, 'trend', dataset, "column", direction, change_pct
   FROM all_trends WHERE {_BAD} AND abs(change_pct) >= 5
- UNION ALL SELECT pos, 2, ordinal, abs(std / mean) * 50, 'volatility', 'Stabilise volatility in `' || "column" || '`', dataset, "column", abs(std / mean) * 100
+ UNION ALL SELECT pos, 2, ordinal, abs(std / mean) * 50, 'volatility', dataset, "column", NULL, abs(std / mean) * 100
   FROM all_stats WHERE mean <> 0 AND abs(std / mean) * 100 > 80
- UNION ALL SELECT pos, 3, 0, 15 + least(sum(nulls), 100) / 10, 'missing', 'Close data gaps in *' || dataset || '*', dataset,
-  arg_min("column", -nulls * 1000 + ordinal), sum(nulls) FROM all_nulls GROUP BY pos, dataset),
- f AS (SELECT *, row_number() OVER (PARTITION BY title ORDER BY score DESC, pos, ord, ordinal) AS nth FROM c),
- e AS (SELECT false AS standing, pos, ord, ordinal, score, kind, title, dataset, "column", "value" FROM f WHERE nth = 1
- UNION ALL SELECT true, NULL, 9, i, 0, 'standing', t, NULL, NULL, NULL FROM (VALUES {_FILLERS}) v(i, t))
- SELECT CAST(row_number() OVER (ORDER BY standing, score DESC, pos, ord, ordinal) AS INT) AS "rank", round(score, 4) AS score, kind, title, dataset, "column",
- round("value", 4) AS "value" FROM e ORDER BY standing, score DESC, pos, ord, ordinal LIMIT 4""",
+ UNION ALL SELECT pos, 3, 0, 15 + least(sum(nulls), 100) / 10, 'missing', dataset,
+  arg_min("column", -nulls * 1000 + ordinal), NULL, sum(nulls) FROM all_nulls GROUP BY pos, dataset),
+ f AS (SELECT *, row_number() OVER (PARTITION BY kind, "column" ORDER BY score DESC, pos, ord, ordinal) AS nth FROM c)
+ SELECT CAST(row_number() OVER (ORDER BY score DESC, pos, ord, ordinal) AS INT) AS "rank", round(score, 4) AS score, kind, dataset, "column",
+ CAST(direction AS VARCHAR) AS direction, round("value", 4) AS "value" FROM f WHERE nth = 1 ORDER BY score DESC, pos, ord, ordinal LIMIT 4""",
 )
 def recommendations(spark, sf):
     return B.shown(recommend.recommendations(analysis(spark, sf)))

@@ -25,6 +25,13 @@ def load_csv(spark, sf):
     return readers.load_csv(spark, path)
 
 
+@B.query("load_csv_documents", "SELECT * FROM documents")
+def load_csv_documents(spark, sf):
+    path = B.scratch(spark, "documents.csv")
+    writers.write_result(B.table(spark, sf, "documents"), path, "csv")
+    return readers.load_csv(spark, path)
+
+
 @B.query("load_json", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
 def load_json(spark, sf):
     path = B.scratch(spark, "orders.json")
