@@ -62,28 +62,39 @@ def pie_agg(df: DataFrame, x: str, y: str, func: str = "mean", limit: int = conf
 
 
 def _binned(df: DataFrame, x: str, bins: int) -> tuple[Column, DataFrame]:
-    """Bin number of a value, and the table of all bins.  Equal widths; the last bin is closed."""
+    """Bin number of a value, and the table of all bins.  Equal widths between the finite extremes; the last
+    bin is closed.  Infinite values have bin -1 or `bins`, which the table leaves out."""
     v = as_double(df, x)
-    low, high = df.agg(F.min(v), F.max(v)).first()
+    finite = F.when(F.abs(v) < float("inf"), v)
+    low, high = df.agg(F.min(finite), F.max(finite)).first()
+    beyond = F.when(v == float("-inf"), -1).when(v == float("inf"), bins)
     if low is None:
-        return F.lit(None).cast("int"), empty_table(df.sparkSession, "bin int, low double, high double")
-    width = (high - low) / bins
-    place = F.floor((v - low) / width).cast("int") if width > 0 else F.when(v.isNotNull(), F.lit(0))
+        return beyond, empty_table(df.sparkSession, "bin int, low double, high double")
+    width = high / bins - low / bins
+    place = F.floor(finite / width - low / width).cast("int") if width > 0 else F.when(finite.isNotNull(), F.lit(0))
     edges = df.sparkSession.range(bins).select(
         F.col("id").cast("int").alias("bin"),
         (F.lit(low) + F.col("id") * F.lit(width)).alias("low"),
         (F.lit(low) + (F.col("id") + 1) * F.lit(width)).alias("high"),
     )
-    return F.when(v.isNotNull(), F.least(F.lit(bins - 1), place)), edges
+    inner = F.when(finite.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(bins - 1), place)))
+    return F.coalesce(beyond, inner), edges
+
+
+def _with_bins(edges: DataFrame, per_bin: DataFrame, bins: int, value: str) -> DataFrame:
+    """All bins, and those of infinite values where there are any."""
+    joined = edges.join(per_bin.where("bin is not null"), "bin", "full")
+    edge = F.when(F.col("bin") == -1, float("-inf")).when(F.col("bin") == bins, float("inf"))
+    return joined.select(
+        "bin", F.coalesce("low", edge).alias("low"), F.coalesce("high", edge).alias("high"), value
+    ).orderBy("bin")
 
 
 def histogram(df: DataFrame, x: str, bins: int = config.HISTOGRAM_BINS) -> DataFrame:
     """(bin, low, high, count), empty bins included."""
     place, edges = _binned(df, x, bins)
     counted = df.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    return edges.join(counted, "bin", "left").select(
-        "bin", "low", "high", F.coalesce("count", F.lit(0)).cast("long").alias("count")
-    ).orderBy("bin")
+    return _with_bins(edges, counted, bins, "count").na.fill(0, ["count"])
 
 
 def histogram_agg(df: DataFrame, x: str, y: str, func: str = "mean", bins: int = config.HISTOGRAM_BINS) -> DataFrame:
@@ -94,7 +105,7 @@ def histogram_agg(df: DataFrame, x: str, y: str, func: str = "mean", bins: int =
         "count": F.count(v).cast("double"), "sum": F.sum(v), "min": F.min(v), "max": F.max(v),
     }.get(func, F.avg(v))
     per_bin = df.groupBy(place.alias("bin")).agg(value.alias("value"))
-    return edges.join(per_bin, "bin", "left").select("bin", "low", "high", "value").orderBy("bin")
+    return _with_bins(edges, per_bin, bins, "value")
 
 
 def _box_measures(v: Column, low: Column, high: Column) -> list[Column]:

@@ -12,13 +12,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colonnade import config
 from colonnade.functions import scalars as S
 from colonnade.functions.columns import (
     as_double,
     is_numeric,
-    is_profiled,
     nan_to_null,
     numeric_columns,
     present,
@@ -60,10 +60,31 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
+def _comparable(df: DataFrame) -> dict[str, Column]:
+    """For columns that cannot be grouped by, something that can: a map's entries in order, and the JSON text of
+    what holds maps or variants further down."""
+    found = {}
+    for f in df.schema:
+        if isinstance(f.dataType, T.MapType) and not _holds_map(f.dataType.keyType) and not _holds_map(f.dataType.valueType):
+            found[f.name] = F.array_sort(F.map_entries(quoted(f.name)))
+        elif _holds_map(f.dataType):
+            found[f.name] = F.to_json(F.struct(quoted(f.name)))
+    return found
+
+
 def has_duplicates(df: DataFrame) -> tuple[int, bool]:
     """(rows, may hold duplicates).  Equal rows share both hashes, so as many distinct hash pairs as
     rows proves that no row repeats; this shuffles 16 bytes per row instead of the row."""
-    cols = [quoted(c) for c in df.columns]
+    special = _comparable(df)
+    cols = [special.get(c, quoted(c)) for c in df.columns]
     row = df.agg(
         F.count(F.lit(1)),
         F.count_distinct(F.xxhash64(F.lit(1), *cols), F.xxhash64(F.lit(2), *cols)),
@@ -72,12 +93,13 @@ def has_duplicates(df: DataFrame) -> tuple[int, bool]:
 
 
 def dedupe_rows(df: DataFrame) -> DataFrame:
-    """One row of every set of equal rows; nulls count as equal."""
-    return df.dropDuplicates()
-
-
-def _can_dedupe(df: DataFrame) -> bool:
-    return all(is_profiled(f.dataType) for f in df.schema)
+    """One row of every set of equal rows; nulls count as equal, and so do maps of equal entries."""
+    special = _comparable(df)
+    if not special:
+        return df.dropDuplicates()
+    named = {f"__same_{i}": col for i, col in enumerate(special.values())}
+    plain = [c for c in df.columns if c not in special]
+    return df.withColumns(named).dropDuplicates([*plain, *named]).drop(*named)
 
 
 def numeric_text_columns(df: DataFrame) -> dict[str, str]:
@@ -235,27 +257,29 @@ def _outlier_counts(df: DataFrame, fences: dict[str, Fence]) -> dict[str, int]:
     return {c: row[i] for i, c in enumerate(fences) if row[i]}
 
 
-def clean(df: DataFrame, *, direct_rows: int = config.DIRECT_ROWS) -> tuple[DataFrame, CleaningLog]:
-    """The whole cleaning run.  Duplicate rows are dropped before typing, so '1' and '1.0' differ.
+def clean(
+    df: DataFrame, *, key: str | None = None, direct_rows: int = config.DIRECT_ROWS
+) -> tuple[DataFrame, CleaningLog]:
+    """The whole cleaning run.  Duplicate rows are dropped before typing, so '1' and '1.0' differ.  A `key`
+    column is neither filled nor capped.
 
     When rows do repeat, the deduplicated frame is written once to the checkpoint folder: the
     statistics passes and the result then read it instead of shuffling the input again.
     """
     log = CleaningLog()
     df = normalize_columns(nan_to_null(df))
-    if _can_dedupe(df):
-        log.rows_in, repeated = has_duplicates(df)
-        log.rows = log.rows_in
-        if repeated:
-            df = stage(dedupe_rows(df))
-            log.rows = df.count()
-    else:
-        log.rows_in = log.rows = df.count()
+    log.rows_in, repeated = has_duplicates(df)
+    log.rows = log.rows_in
+    if repeated:
+        df = stage(dedupe_rows(df))
+        log.rows = df.count()
     log.duplicates = log.rows_in - log.rows
     kinds = numeric_text_columns(df)
     log.converted = list(kinds)
     df = _as_numbers(df, kinds)
     rows, missing, bounds = gap_facts(df)
+    if key is not None:
+        missing, bounds = ({c: x for c, x in facts.items() if c != S.normalize_name(key)} for facts in (missing, bounds))
     df, log.filled = impute_values(df, (rows, missing, bounds), direct_rows=direct_rows)
     # A median lies between the extremes, so filling changes the counts only.
     bounds = {c: (rows if n else 0, low, high) for c, (n, low, high) in bounds.items()}
@@ -324,7 +348,8 @@ def lenient_numeric_coercion(df: DataFrame, share: float = 0.8) -> DataFrame:
 
 def capping_audit(raw: DataFrame, cleaned: DataFrame, key: str) -> DataFrame:
     """(column, changed): numeric cells present on both sides whose value differs after cleaning.
-    Rows are matched by `key`, columns by normalised name."""
+    Rows are matched by `key`, which cleaning should be told to leave alone, columns by normalised name.  A row
+    without column counts the rows of `raw` that have no partner, if there are any."""
     raw = lenient_numeric_coercion(raw)
     raw = raw.toDF(*[S.normalize_name(c) for c in raw.columns])
     cleaned = cleaned.toDF(*[S.normalize_name(c) for c in cleaned.columns])
@@ -337,10 +362,12 @@ def capping_audit(raw: DataFrame, cleaned: DataFrame, key: str) -> DataFrame:
         return empty_table(raw.sparkSession, schema)
     a = raw.select(key, *[as_double(raw, c).alias(f"a{i}") for i, c in enumerate(shared)])
     b = cleaned.select(key, *[as_double(cleaned, c).alias(f"b{i}") for i, c in enumerate(shared)])
-    both = a.join(b, key)
+    both = a.join(b.withColumn("__met", F.lit(True)), key, "left")
     changed = [F.count_if(~S.near_equal(F.col(f"a{i}"), F.col(f"b{i}"))) for i in range(len(shared))]
-    wide = both.agg(*[x.alias(f"n{i}") for i, x in enumerate(changed)])
+    lost = F.count_if(F.col("__met").isNull()).alias("lost")
+    wide = both.agg(lost, *[x.alias(f"n{i}") for i, x in enumerate(changed)])
     rows = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("changed")) for i, c in enumerate(shared)]
+        *[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("changed")) for i, c in enumerate(shared)],
+        F.struct(F.lit(None).cast("string").alias("column"), F.col("lost").alias("changed")),
     )
     return wide.select(F.inline(rows)).where("changed > 0")

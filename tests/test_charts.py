@@ -68,3 +68,13 @@ def test_pairings(spark):
     made = charts.auto_charts(df, "x")
     assert made["c"][:2] == ("pie", "loud")
     assert set(made) == {"x", "twin", "loud", "c"}
+
+
+def test_infinite_values_have_bins_of_their_own(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(x,) for x in (0.0, 1.0, 2.0, 4.0, inf, inf, -inf, float("nan"), None)], "v double")
+    rows = charts.histogram(df, "v", 4).collect()
+    assert [(r["bin"], r["count"]) for r in rows] == [(-1, 1), (0, 1), (1, 1), (2, 1), (3, 1), (4, 2)]
+    assert (rows[0]["low"], rows[1]["low"], rows[4]["high"], rows[5]["high"]) == (-inf, 0.0, 4.0, inf)
+    wide = spark.createDataFrame([(-1.7e308,), (1.7e308,)], "v double")
+    assert sum(r["count"] for r in charts.histogram(wide, "v", 4).collect()) == 2

@@ -118,3 +118,20 @@ def test_capping_audit_counts_changed_cells(spark):
     raw = spark.createDataFrame([(1, "$ 5"), (2, "$ 500"), (3, None)], "id int, Price string")
     cleaned = spark.createDataFrame([(1, 5.0), (2, 50.0), (3, 5.0)], "id int, price double")
     assert [tuple(r) for r in cleaning.capping_audit(raw, cleaned, "id").collect()] == [("price", 1)]
+
+
+def test_nested_rows_are_deduplicated(spark):
+    df = spark.range(40).selectExpr(
+        "id % 20 AS k", "array(id % 20, 1) AS a", "if(id < 20, map('x', 1, 'y', 2), map('y', 2, 'x', 1)) AS m", "struct(id % 20 AS s) AS t"
+    )
+    out, log = cleaning.clean(df)
+    assert (log.rows_in, log.rows, log.duplicates) == (40, 20, 20) and out.count() == 20 and out.columns == ["k", "a", "m", "t"]
+
+
+def test_audit_with_outlying_key(spark):
+    rows = [(i, float(i % 7)) for i in range(1, 60)] + [(-10_000, 1e6)]
+    raw = spark.createDataFrame(rows, "key int, v double")
+    cleaned = cleaning.clean(raw, key="key")[0]
+    assert [tuple(r) for r in cleaning.capping_audit(raw, cleaned, "key").collect()] == [("v", 1)]
+    lost = cleaning.capping_audit(raw, cleaned.where("key > 5"), "key").collect()
+    assert [(r["column"], r["changed"]) for r in lost] == [("v", 0)][:0] + [(None, 6)]
