@@ -107,7 +107,7 @@ def preview(spark, sf):
     return writers.preview(B.table(spark, sf, "nation"), "n_nationkey")
 
 
-@B.query("write_result")
+@B.query("write_result", 'SELECT c_mktsegment, count(*) AS "count" FROM customer GROUP BY c_mktsegment')
 def write_result(spark, sf):
     path = B.scratch(spark, "segments.parquet")
     result = aggregates.value_counts(B.table(spark, sf, "customer"), "c_mktsegment")
