@@ -26,6 +26,15 @@ def id_and_text(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     )
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """`docs`, after the session was told to send a thousand rows at a time to Python where it has Spark's default of
+    ten thousand: rows that hold texts would fill an executor's memory outside the heap, twice where they come back."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, "1000")
+    return docs
+
+
 def per_text(
     docs: DataFrame, prepare: Callable[[], Callable[[list[str]], dict[str, list]]], schema: str, id_column: str
 ) -> DataFrame:
@@ -44,7 +53,7 @@ def per_text(
     return docs.mapInArrow(run, out)
 
 
-def portions(batch: pa.RecordBatch, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in slices of a few megabytes, so that long texts don't pile up as Python strings."""
     rows = batch.num_rows
     if not rows:

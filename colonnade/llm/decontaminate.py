@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colonnade.llm.common import column, covered, id_and_text, portions, rolled, word_hashes
+from colonnade.llm.common import column, covered, id_and_text, portions, rolled, small_batches, word_hashes
 
 WINDOW = 10
 #: Benchmarks up to this many bytes of text are broadcast; larger ones are joined by window.
@@ -230,7 +230,7 @@ def remove_contaminated(
                 column_of = pa.array(texts, part.schema.field(place).type)
                 yield part.set_column(place, part.schema.field(place), column_of).filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def without_hits(text: str, windows: ItemWindows, most: float) -> str | None:
