@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from colonnade.llm.common import covered, id_and_text, per_text, portions, rolled, word_hashes
+from colonnade.llm.common import column, covered, id_and_text, per_text, portions, rolled, small_batches, word_hashes
 from colonnade.llm.samples import labelled_sample
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -107,35 +111,43 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(sparse: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, rounds: int = 200) -> Linear:
-    """Logistic regression with a little shrinkage on four fifths of the rows, calibrated on the fifth."""
+def fit(index: np.ndarray, value: np.ndarray, lengths: np.ndarray, labels: np.ndarray, weights: np.ndarray,
+        rounds: int = 200, stretch: int = 1 << 19) -> Linear:
+    """Logistic regression with a little shrinkage on four fifths of the rows, calibrated on the fifth.
+
+    Row after row, `lengths` of the features `index` have the shares `value`.  A round adds up the gradient over
+    stretches of rows with about so many features, so that only one stretch exists in working copies."""
     rows = len(labels)
     width = KINDS << BUCKET_BITS
     if rows == 0 or len(set(labels.tolist())) < 2:
         return Linear(np.zeros((KINDS, 1 << BUCKET_BITS)), 0.0, 8.0)
-    lengths = np.array([len(i) for i, _ in sparse])
-    # An unseen row looks like the mean of no features: every text has at least one here.
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    index = np.concatenate([i for i, _ in sparse])
-    value = np.concatenate([v for _, v in sparse]).astype(np.float64)
-    row = np.repeat(np.arange(rows), lengths)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], stretch)), [0, rows])).tolist()
+    parts = list(zip(cuts, cuts[1:]))
     learn = np.arange(rows) % 5 != 0
     held = np.where(learn, weights / weights[learn].sum(), 0)
     w, bias = np.zeros(width), 0.0
+
+    def sums(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(ends[a], ends[b])
+        row = np.repeat(np.arange(b - a, dtype=np.int32), lengths[a:b])
+        return row, np.bincount(row, value[part] * w[index[part]], b - a)
+
     first, second = np.zeros(width + 1), np.zeros(width + 1)
-    raw = np.zeros(rows)
     for step in range(1, rounds + 1):
-        raw = np.add.reduceat(value * w[index], starts) if len(index) else raw
-        raw[lengths == 0] = 0
-        error = (_logistic(raw + bias) - labels) * held
-        gradient = np.append(np.bincount(index, value * error[row], width) + 1e-7 * w, error.sum())
+        gradient = np.append(1e-7 * w, 0.0)
+        for a, b in parts:
+            part = slice(ends[a], ends[b])
+            row, raw = sums(a, b)
+            error = (_logistic(raw + bias) - labels[a:b]) * held[a:b]
+            gradient[:-1] += np.bincount(index[part], value[part] * error[row], width)
+            gradient[-1] += error.sum()
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
-        move = 1.0 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+        move = (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
         w -= move[:-1]
         bias -= move[-1]
-    raw = np.add.reduceat(value * w[index], starts)
-    raw[lengths == 0] = 0
+    raw = np.concatenate([sums(a, b)[1] for a, b in parts])
     slope, shift = _calibrated(raw[~learn], labels[~learn], weights[~learn], bias)
     return Linear(w.reshape(KINDS, -1), slope, shift)
 
@@ -163,7 +175,7 @@ def _calibrated(raw: np.ndarray, labels: np.ndarray, weights: np.ndarray, bias:
 
 def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_column: str = "doc_id",
           text_column: str = "text", sample_rows: int = SAMPLE_ROWS) -> Linear:
-    """The classifier, from at most `sample_rows` labelled documents; their features are counted on the executors."""
+    """The classifier, from at most `sample_rows` labelled documents; their features are counted in parallel and learnt from in one task."""
     chosen = labelled_sample(docs, labels, label_column, sample_rows, SAMPLE_TEXT_BYTES, id_column, text_column)
 
     def features(batches):
@@ -182,13 +194,29 @@ def train(docs: DataFrame, labels: DataFrame, label_column: str = "quality", id_
                     ["id", "label", "weight", "index", "value"],
                 )
 
-    rows = chosen.mapInArrow(features, "id string, label int, weight double, index binary, value binary").toArrow()
-    rows = rows.sort_by([("id", "ascending"), ("label", "ascending")])
-    sparse = [
-        (np.frombuffer(i.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32))
-        for i, v in zip(rows.column("index"), rows.column("value"))
-    ]
-    return fit(sparse, rows.column("label").to_numpy().astype(float), rows.column("weight").to_numpy())
+    found = chosen.mapInArrow(features, "id string, label int, weight double, index binary, value binary")
+
+    def learn(batches):
+        parts = list(batches)
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts).sort_by([("id", "ascending"), ("label", "ascending")])
+        known = rows.column("label").to_numpy().astype(float), rows.column("weight").to_numpy()
+        lengths = pc.binary_length(rows.column("index")).to_numpy().astype(np.int64) // 4
+        index, value = (
+            np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in rows.column(name)])
+            for name, kind in (("index", np.int32), ("value", np.float32))
+        )
+        model = fit(index, value, lengths, *known)
+        yield pa.RecordBatch.from_pydict(
+            {"weights": [model.weights.tobytes()], "slope": [model.slope], "shift": [model.shift]}
+        )
+
+    # The sample is bounded, so one task holds it; the driver gets the weights alone.
+    row = found.repartition(1).mapInArrow(learn, "weights binary, slope double, shift double").first()
+    if row is None:
+        return fit(*[np.zeros(0, np.int32)] * 3, np.zeros(0), np.zeros(0))
+    return Linear(np.frombuffer(row["weights"]).reshape(KINDS, -1), row["slope"], row["shift"])
 
 
 def judge(docs: DataFrame, model: Linear, least: float = LEAST_QUALITY, id_column: str = "doc_id",
@@ -225,15 +253,18 @@ def judge(docs: DataFrame, model: Linear, least: float = LEAST_QUALITY, id_colum
 def keep_good(docs: DataFrame, model: Linear, least: float = LEAST_QUALITY, text_column: str = "text") -> DataFrame:
     """The rows of `docs`, all columns as they are, that `judge` would keep."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_column)
 
-    def run(batches):
+    @F.pandas_udf("boolean")
+    def good(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # Only texts travel to Python and only verdicts come back.
         scorer = shared.value
         for whole in batches:
-            for part in portions(whole):
-                texts = [t or "" for t in part.column(place).to_pylist()]
+            kept: list[bool] = []
+            for at in range(0, len(whole), 250):
+                texts = whole.iloc[at : at + 250].tolist()
                 batch = Texts.of(texts)
                 failed = base_counts(texts, batch)["base_failed"]
-                yield part.filter(pa.array([not f and bool(q >= least) for f, q in zip(failed, scorer.probabilities(batch))]))
+                kept += [not f and bool(q >= least) for f, q in zip(failed, scorer.probabilities(batch))]
+            yield pd.Series(kept, dtype=bool)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).filter(good(F.coalesce(column(text_column).cast("string"), F.lit(""))))
