@@ -163,23 +163,29 @@ def _windows(rows: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
     return found.filter("w.size <= n").select(*keep, "w.*")
 
 
+def _met(rows: DataFrame, items: DataFrame, n: int) -> DataFrame | None:
+    """`print`, `at`, `size` and `items`: where the items' windows stand in the different texts of `rows`, which holds
+    `print` and `text`; None where no item has a word."""
+    texts = rows.select("print", "text").distinct().select("print", _word_array().alias("words"))
+    words = items.select("item", _word_array().alias("words")).filter(F.size("words") > 0)
+    sizes = [r["size"] for r in words.select(F.least(F.size("words"), F.lit(n)).alias("size")).distinct().collect()]
+    if not sizes:
+        return None
+    parts = [_windows(words.filter(F.least(F.size("words"), F.lit(n)) == size), [size], "item") for size in sizes]
+    wanted = parts[0]
+    for part in parts[1:]:
+        wanted = wanted.union(part)
+    wanted = wanted.groupBy("size", "low", "high").agg(F.collect_set("item").alias("items"))
+    return _windows(texts, sizes, "print").join(wanted, ["size", "low", "high"]).select("print", "at", "size", "items")
+
+
 def joined(docs: DataFrame, items: DataFrame, n: int, id_column: str, text_column: str) -> DataFrame:
     """The same result for a benchmark too large to broadcast: windows of items and documents meet in a join.
 
     Equal documents (id and text) are scanned once and share their result."""
     rows = id_and_text(docs, id_column, text_column).withColumn("print", F.sha2(F.col("text"), 256))
-    texts = rows.select("print", "text").distinct().select("print", _word_array().alias("words"))
-    words = items.select("item", _word_array().alias("words")).filter(F.size("words") > 0)
-    sizes = [r["size"] for r in words.select(F.least(F.size("words"), F.lit(n)).alias("size")).distinct().collect()]
-    if sizes:
-        parts = [
-            _windows(words.filter(F.least(F.size("words"), F.lit(n)) == size), [size], "item") for size in sizes
-        ]
-        wanted = parts[0]
-        for part in parts[1:]:
-            wanted = wanted.union(part)
-        wanted = wanted.groupBy("size", "low", "high").agg(F.collect_set("item").alias("items"))
-        met = _windows(texts, sizes, "print").join(wanted, ["size", "low", "high"])
+    met = _met(rows, items, n)
+    if met is not None:
         place = F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1))
         hits = met.select("print", place.alias("at")).groupBy("print").agg(F.count_distinct("at").alias("n_hit"))
         named = met.select("print", F.explode("items").alias("item")).groupBy("print").agg(
@@ -187,7 +193,7 @@ def joined(docs: DataFrame, items: DataFrame, n: int, id_column: str, text_colum
         )
         found = hits.join(named, "print")
     else:
-        found = texts.limit(0).select("print", F.lit(0).cast("long").alias("n_hit"), "words").toDF("print", "n_hit", "items")
+        found = rows.limit(0).select("print", F.lit(0).cast("long").alias("n_hit"), _word_array().alias("items"))
     none = F.array().cast("array<string>")
     n_hit, listed = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", none)
     return rows.withColumn("n_words", F.size(_word_array()).cast("long")).join(found, "print", "left").select(
@@ -206,14 +212,12 @@ def remove_contaminated(
     up to the next word; a document goes where more than `most` of its words are hit.
 
     All columns and rows without a hit stay as they are, null texts and repeated rows too.  A benchmark over
-    `broadcast_bytes` cannot be cut out of texts here: its contaminated documents go whole.
+    `broadcast_bytes` is joined by window, with the same result (see `_removed_by_join`).
     """
     items = _items(benchmark, item_column, item_text_column).distinct()
     size = items.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     if size > broadcast_bytes:
-        keyed = docs.withColumn("__print", F.sha2(F.coalesce(column(text_column).cast("string"), F.lit("")), 256))
-        bad = joined(keyed.select("__print", column(text_column).alias("text")).distinct(), items, n, "__print", "text")
-        return keyed.join(bad.filter("contaminated").select("__print"), "__print", "left_anti").drop("__print")
+        return _removed_by_join(docs, items, n, most, text_column)
     rows = items.toArrow().to_pylist()
     index = docs.sparkSession.sparkContext.broadcast(ItemWindows([(r["item"], r["text"]) for r in rows], n))
     place = docs.columns.index(text_column)
@@ -233,13 +237,51 @@ def remove_contaminated(
     return small_batches(docs).mapInArrow(run, docs.schema)
 
 
+def _removed_by_join(docs: DataFrame, items: DataFrame, n: int, most: float, text_column: str) -> DataFrame:
+    """What `remove_contaminated` gives, where windows met in a join: each text gets the windows it holds and is cut."""
+    text = F.coalesce(column(text_column).cast("string"), F.lit(""))
+    met = _met(docs.select(F.sha2(text, 256).alias("print"), text.alias("text")), items, n)
+    if met is None:
+        return docs
+    hits = met.groupBy(F.col("print").alias("__print")).agg(F.collect_set(F.struct("at", "size")).alias("__hits"))
+    told = docs.withColumn("__print", F.sha2(text, 256)).join(hits, "__print", "left").select(
+        *(column(c) for c in docs.columns), "__hits"
+    )
+    place = docs.columns.index(text_column)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in portions(batch):
+                texts, keep = [], []
+                found = part.column(part.num_columns - 1)
+                for k, text in enumerate(part.column(place).to_pylist()):
+                    cut = text
+                    if text and found[k].is_valid:
+                        words = words_of(text)
+                        at, size = (found[k].values.field(c).to_numpy() for c in ("at", "size"))
+                        hit = np.zeros(len(words), bool)
+                        for each in np.unique(size):
+                            hit |= covered(at[size == each] - 1, int(each), len(words))
+                        cut = without_words(text, hit, most)
+                    texts.append(text if cut is None else cut)
+                    keep.append(cut is not None or not text)
+                rest = pa.RecordBatch.from_arrays(part.columns[:-1], schema=pa.schema(list(part.schema)[:-1]))
+                cuts = pa.array(texts, part.schema.field(place).type)
+                yield rest.set_column(place, part.schema.field(place), cuts).filter(pa.array(keep))
+
+    return small_batches(told).mapInArrow(run, docs.schema)
+
+
 def without_hits(text: str, windows: ItemWindows, most: float) -> str | None:
     """The text without its hit words; None where too many are."""
-    words = words_of(text)
-    hit, _ = windows.scan(words)
+    return without_words(text, windows.scan(words_of(text))[0], most)
+
+
+def without_words(text: str, hit: np.ndarray, most: float) -> str | None:
+    """The text without the words that are `hit`; None where they are more than `most` of all."""
     if not hit.any():
         return text
-    if hit.sum() > most * len(words):
+    if hit.sum() > most * len(hit):
         return None
     raw = text.encode()
     is_word = np.frombuffer(raw.lower().translate(_SPACED), np.uint8) != 0x20

@@ -192,3 +192,22 @@ def test_passages_go(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(
         [(1, "Keep this. And this too, as there is more of it than of that.", 1), *rows[2:]], key=repr
     )
+
+
+@pytest.mark.parametrize("most", [0.5, 0.0, 1.0])
+def test_passages_go_alike_on_both_branches(spark, most):
+    rng = random.Random(8)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    clean = [f"w{rng.randint(0, 5_000)}" for _ in range(20_000)]
+    long = " ".join([*clean[:9_000], "A b, c d e f g h i j!", *clean[9_000:]])
+    rows = [(k, t, k) for k, t in enumerate(TEXTS)] + [(100, long, 1), (101, long, 2), (None, long, 3), (3, None, 4), (3, None, 4)]
+    rows += [(102, "Keep this. A b c d e f g h i j K! And this too, as there is more of it than of that.", 5)]
+    docs = frame(spark, rows, ", n_hit long")
+    cut = decontaminate.remove_contaminated(docs, items, most=most)
+    met = decontaminate.remove_contaminated(docs, items, most=most, broadcast_bytes=-1)
+    assert met.columns == docs.columns
+    assert sorted(map(tuple, met.collect()), key=repr) == sorted(map(tuple, cut.collect()), key=repr)
+    if most == 0.5:
+        assert [r.text for r in met.filter("doc_id = 100").collect()] == [" ".join(clean)]
+    empty = decontaminate.remove_contaminated(docs, items.limit(0), broadcast_bytes=-1)
+    assert empty.count() == len(rows)
