@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,9 +17,11 @@ from colonnade.llm.components import connected
 from colonnade.session import stage
 
 SHINGLE = 5
-#: A signature has so many parts of 16 bits.  Pairs at most DISTANCE parts apart are candidates: at a similarity of
-#: 0.85, 64 parts differ in 9.6 places on average and in more than 20 once in five thousand pairs.
-PARTS, DISTANCE, CHUNKS = 64, 20, 16
+#: A signature has so many parts of 16 bits.  Pairs at most `distance_for` parts apart are candidates: of
+#: pairs whose similarity is just the threshold, a share of MISSED at most differs in more.  At 0.85, 64 parts differ in 9.6 places
+#: on average and in more than 20 once in 3,500 pairs; at 0.80 in 12.8, and in more than 25 once in 7,900.
+PARTS, CHUNKS = 64, 16
+MISSED = 3e-4
 #: Groups are compared in blocks of so many documents and bytes of text.
 BLOCK_ROWS, BLOCK_BYTES = 1_000, 16 << 20
 #: Up to so many documents of candidate clusters are broadcast to pick their texts; more are joined.
@@ -46,7 +49,19 @@ def signature(found: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(48)).astype(np.uint16)
 
 
-def chunk_patterns(parts: int = PARTS, distance: int = DISTANCE, chunks: int = CHUNKS) -> list[tuple[int, ...]]:
+def distance_for(percent: int, missed: float = MISSED, parts: int = PARTS) -> int:
+    """The least distance that a pair of this similarity exceeds with a probability of at most `missed`."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"a similarity of {percent} percent")
+    same, beyond = percent / 100, 1.0
+    for distance in range(parts):
+        beyond -= math.comb(parts, distance) * (1 - same) ** distance * same ** (parts - distance)
+        if beyond <= missed:
+            return distance
+    return parts
+
+
+def chunk_patterns(parts: int = PARTS, distance: int = distance_for(85), chunks: int = CHUNKS) -> list[tuple[int, ...]]:
     """The sets of parts that serve as keys.
 
     Cut into `chunks`, of which the first few may hold r = distance // chunks errors and the rest r - 1, such that a
@@ -64,15 +79,12 @@ def chunk_patterns(parts: int = PARTS, distance: int = DISTANCE, chunks: int = C
     return patterns
 
 
-PATTERNS = chunk_patterns()
-
-
-def keys_of(signatures: np.ndarray) -> np.ndarray:
+def keys_of(signatures: np.ndarray, patterns: list[tuple[int, ...]]) -> np.ndarray:
     """One 64-bit key for each pattern, a column each."""
-    out = np.empty((len(signatures), len(PATTERNS)), np.uint64)
+    out = np.empty((len(signatures), len(patterns)), np.uint64)
     wide = signatures.astype(np.uint64) + np.uint64(1)
     with np.errstate(over="ignore"):
-        for k, parts in enumerate(PATTERNS):
+        for k, parts in enumerate(patterns):
             key = np.full(len(signatures), k + 1, np.uint64)
             for p in parts:
                 key = (key ^ wide[:, p]) * np.uint64(0x9E3779B97F4A7C15)
@@ -119,15 +131,16 @@ def describe(docs: DataFrame, id_column: str, text_column: str, n: int) -> DataF
     return rows.mapInArrow(run, schema)
 
 
-def _keys(classes: DataFrame) -> DataFrame:
+def _keys(classes: DataFrame, distance: int) -> DataFrame:
     """`node` and `key`, a row for each pattern."""
+    patterns = chunk_patterns(distance=distance)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 signatures = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, PARTS)
-                nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(PATTERNS))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(keys_of(signatures).reshape(-1))], ["node", "key"])
+                nodes = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), len(patterns))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(keys_of(signatures, patterns).reshape(-1))], ["node", "key"])
 
     return classes.select("node", "signature").mapInArrow(run, "node long, key long")
 
@@ -196,7 +209,7 @@ def _groups(table: pa.Table, group: str) -> np.ndarray:
     return np.append(np.flatnonzero(change), table.num_rows)
 
 
-def _pairs_within(signatures: np.ndarray, labels, meet) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _pairs_within(signatures: np.ndarray, labels, meet, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of rows, apart in `labels` when asked, that may `meet` and lie within the distance; by their lag."""
     rows = len(signatures)
     for lag in range(1, rows):
@@ -205,7 +218,7 @@ def _pairs_within(signatures: np.ndarray, labels, meet) -> Iterator[tuple[np.nda
         if not len(apart):
             continue
         far = (signatures[apart] != signatures[apart + lag]).sum(1)
-        near = far <= DISTANCE
+        near = far <= distance
         if near.any():
             yield apart[near], apart[near] + lag, far[near]
 
@@ -219,10 +232,10 @@ def _meeting(part: pa.Table):
     return lambda a, b: block[a] != block[b]
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
+def candidate_edges(classes: DataFrame, distance: int) -> DataFrame:
     """`u`, `v`: nodes whose signatures are within the distance and share a key; of each bucket as many as connect
     what is connected there."""
-    keys = _keys(classes)
+    keys = _keys(classes, distance)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = spread_join(keys, shared, ["key"], ["node"])
     rows = met.join(classes.select("node", "signature"), "node")
@@ -238,12 +251,13 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
         u, v = [], []
         two = bounds[:-1][sizes == 2]
         if len(two):
-            near = two[(signatures[two] != signatures[two + 1]).sum(1) <= DISTANCE]
+            near = two[(signatures[two] != signatures[two + 1]).sum(1) <= distance]
             u += nodes[near].tolist()
             v += nodes[near + 1].tolist()
         for a, b in zip(bounds[:-1][sizes > 2].tolist(), bounds[1:][sizes > 2].tolist()):
             joined = _Joined(b - a)
-            for x, y, _ in _pairs_within(signatures[a:b], lambda: joined.label, _meeting(table.slice(a, b - a))):
+            meet = _meeting(table.slice(a, b - a))
+            for x, y, _ in _pairs_within(signatures[a:b], lambda: joined.label, meet, distance):
                 for i, j in zip(x.tolist(), y.tolist()):
                     if joined.join(i, j):
                         u.append(int(nodes[a + i]))
@@ -268,6 +282,7 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def confirmed_links(texts: DataFrame, percent: int, n: int) -> DataFrame:
     """`u`, `v`, `alone`: links between the texts of a cluster whose full sets are similar enough, as many as connect
     what is connected in its block or pair of blocks; `alone` where that is the whole cluster."""
+    distance = distance_for(percent)
 
     def compute(table: pa.Table) -> Iterator[pa.RecordBatch]:
         bounds = _groups(table, "cluster")
@@ -281,7 +296,7 @@ def confirmed_links(texts: DataFrame, percent: int, n: int) -> DataFrame:
             _, hashes, starts = _split(part.column("text").to_pylist())
             sets = [shingles(hashes[p:q], n) for p, q in zip(starts[:-1], starts[1:])]
             joined = _Joined(b - a)
-            pairs = list(_pairs_within(signatures[a:b], lambda: joined.label, _meeting(part)))
+            pairs = list(_pairs_within(signatures[a:b], lambda: joined.label, _meeting(part), distance))
             if not pairs:
                 continue
             x, y, far = (np.concatenate(c) for c in zip(*pairs))
@@ -312,8 +327,8 @@ def near_duplicates(
     nothing, their component is their own id.  A null id is less than none: its component is the least other id, or
     null, and it is kept only there.  Rows equal in id and text are kept or not alike.  Other columns are not read.
 
-    Texts with the same words are one class.  Classes whose signatures differ in at most `DISTANCE` parts meet in some
-    bucket (see `chunk_patterns`); buckets and clusters beyond a block are compared block by block, and only links that
+    Texts with the same words are one class.  Classes whose signatures differ in at most `distance_for(percent)` parts
+    meet in some bucket (see `chunk_patterns`); buckets and clusters beyond a block are compared block by block, and only links that
     connect something new are given out.  All links come from full sets.
     """
     spark = docs.sparkSession
@@ -323,7 +338,7 @@ def near_duplicates(
         told.filter("print is not null").groupBy("print", "node", "signature")
         .agg(handle, F.max("bytes").alias("bytes"), F.count("*").alias("copies"))
     )
-    clusters = connected(candidate_edges(classes))
+    clusters = connected(candidate_edges(classes, distance_for(percent)))
     members = clusters.select("node", F.col("root").alias("cluster")).union(
         clusters.select(F.col("root").alias("node"), F.col("root").alias("cluster")).distinct()
     )

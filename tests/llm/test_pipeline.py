@@ -1,5 +1,7 @@
 """The pipeline's stages, each against brute force on its own input."""
 
+import random
+
 import corpus_pipeline
 import pytest
 from test_line_dedup import brute as brute_lines
@@ -52,6 +54,21 @@ def test_near_duplicates(steps):
     assert texts(steps[3]) == {k: before[k] for k, (_, _, kept) in brute_near(before).items() if kept}
 
 
+def test_near_duplicates_from_80_percent_on(spark, sf):
+    rng, docs = random.Random(12), {}
+    for k in range(0, 120, 2):
+        words = [f"w{rng.randint(0, 9_999)}" for _ in range(rng.randint(100, 300))]
+        docs[k] = " ".join(words)
+        # A stretch of other words takes its shingles and those across both its ends: a similarity of 0.70 to 0.95.
+        share = rng.uniform(0.025, 0.17)
+        at, length = len(words) // 3, max(1, int(share * len(words)) - 4)
+        docs[k + 1] = " ".join([*words[:at], *(f"x{k}y{n}" for n in range(length)), *words[at + length :]])
+    want = {k for k, (_, _, kept) in brute_near(docs, 80).items() if kept}
+    assert want < {k for k, (_, _, kept) in brute_near(docs).items() if kept}
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(list(docs.items()), "doc_id long, text string"), sf)
+    assert {r.doc_id for r in left.collect()} == want
+
+
 def test_benchmark(spark, sf, steps):
     before, after = texts(steps[3]), texts(steps[4])
     items = queries.table(spark, sf, "benchmark")
