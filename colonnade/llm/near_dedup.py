@@ -331,7 +331,14 @@ def near_duplicates(
     meet in some bucket (see `chunk_patterns`); buckets and clusters beyond a block are compared block by block, and only links that
     connect something new are given out.  All links come from full sets.
     """
-    spark = docs.sparkSession
+    told, classes, roots = _linked(docs, percent, n, id_column, text_column, broadcast_rows)
+    return _resolved(told, classes, roots, id_column)
+
+
+def _linked(
+    docs: DataFrame, percent: int, n: int, id_column: str, text_column: str, broadcast_rows: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The described rows, their classes, and `node` and `root` of all classes linked to a lesser one."""
     told = stage(describe(docs, id_column, text_column, n))
     handle = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("handle")
     classes = stage(
@@ -356,8 +363,7 @@ def near_duplicates(
         "cluster", "left", "right", "block", "blocks", "node", "signature", "text"
     )
     links = stage(confirmed_links(texts, percent, n))
-    roots = connected(links.select("u", "v"))
-    return _resolved(told, classes, roots, id_column)
+    return told, classes, connected(links.select("u", "v"))
 
 
 def _resolved(told: DataFrame, classes: DataFrame, roots: DataFrame, id_column: str) -> DataFrame:
@@ -380,11 +386,43 @@ def _resolved(told: DataFrame, classes: DataFrame, roots: DataFrame, id_column:
 
 def drop_near_duplicates(
     docs: DataFrame, percent: int = 85, n: int = SHINGLE, id_column: str = "doc_id", text_column: str = "text",
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS, one_row: bool = False,
 ) -> DataFrame:
-    """`docs` without the documents that `near_duplicates` doesn't keep; rows and columns that stay are as they were."""
+    """`docs` without the documents that `near_duplicates` doesn't keep; rows and columns that stay are as they were.
+
+    With `one_row`, a single row of each component stays whatever the ids: that with the least id (null last) and text
+    hash, and any one of the rows equal in both.  Texts without words have no component and stay."""
+    if one_row:
+        return _one_row_each(docs, percent, n, id_column, text_column, broadcast_rows)
     judged = near_duplicates(docs, percent, n, id_column, text_column, broadcast_rows)
     gone = stage(judged.filter("not kept").select(column(id_column).alias("__id"), F.col("mark").alias("__mark")).distinct())
     gone = F.broadcast(gone) if gone.count() <= broadcast_rows else gone
     mark = F.xxhash64(F.coalesce(column(text_column).cast("string"), F.lit("")))
     return docs.join(gone, column(id_column).eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_anti")
+
+
+def _one_row_each(
+    docs: DataFrame, percent: int, n: int, id_column: str, text_column: str, broadcast_rows: int
+) -> DataFrame:
+    told, classes, roots = _linked(docs, percent, n, id_column, text_column, broadcast_rows)
+    linked = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    chosen = linked.groupBy("root").agg(F.min("handle").alias("chosen"), F.sum("copies").alias("rows")).filter("rows > 1")
+    named = linked.join(chosen, "root").select("print", "chosen")
+    # Rows equal in id and text are counted first, so that what is joined holds each once.
+    each = told.filter("print is not null").groupBy("id", "mark", "print").agg(F.count("*").alias("times"))
+    judged = spread_join(each, named, ["print"], ["id", "mark"])
+    stays = F.col("id").eqNullSafe(F.col("chosen.id")) & (F.col("mark") == F.col("chosen.mark"))
+    judged = judged.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), stays.alias("__stays"), "times")
+    # What goes whole, and what stays in one row of several.
+    judged = stage(judged.filter("not __stays or times > 1").drop("times"))
+    few = {r["__stays"]: r["count"] for r in judged.groupBy("__stays").count().collect()}
+    judged = F.broadcast(judged) if sum(few.values()) <= broadcast_rows else judged
+    mark = F.xxhash64(F.coalesce(column(text_column).cast("string"), F.lit("")))
+    same = column(id_column).eqNullSafe(F.col("__id")) & (mark == F.col("__mark"))
+    if not few.get(True):
+        return docs.join(judged, same, "left_anti")
+    rows = docs.join(judged, same, "left")
+    alone = rows.filter("__stays is null").select(*(column(c) for c in docs.columns))
+    # Copies collapse within each task before they are shuffled.
+    first = rows.filter("__stays").groupBy("__id", "__mark").agg(F.first(F.struct(*(column(c) for c in docs.columns))).alias("row"))
+    return alone.union(first.select(*(F.col("row")[c].alias(c) for c in docs.columns)))

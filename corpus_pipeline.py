@@ -25,8 +25,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, of five words and a similarity of 0.8 or more."""
-    return near_dedup.drop_near_duplicates(docs, percent=80)
+    """One row of each group of near duplicates, of five words and a similarity of 0.8 or more."""
+    return near_dedup.drop_near_duplicates(docs, percent=80, one_row=True)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,6 +81,24 @@ def test_odd_rows(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_one_row_of_each_component(spark, broadcast):
+    text, far = "some words that are the same in each of them", "quite another text of which nobody knows the id"
+    words = [f"v{k}" for k in range(100)]
+    near = [" ".join(words), " ".join([*words, "more"]), " ".join(["less", *words])]
+    rows = [(7, text, 1), (None, text, 1), (3, text.upper(), 1), (3, text.upper(), 1), (3, text, 1)]
+    rows += [(None, far, 2)] * 40 + [(None, t, 3) for t in near] + [(None, near[0], 3)]
+    rows += [(5, "said twice", 4), (5, "said twice", 4), (5, "said once", 5), (6, None, 6), (6, None, 6), (None, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `component.id` long").repartition(5)
+    left = near_dedup.drop_near_duplicates(docs, broadcast_rows=broadcast, one_row=True)
+    assert left.columns == docs.columns
+    got = left.collect()
+    assert sorted(r[2] for r in got) == [1, 2, 3, 4, 5, 6, 6, 7]
+    assert all(tuple(r) in rows for r in got) and {r.doc_id for r in got if r[2] == 1} == {3}
+    unlike = docs.filter("doc_id = 5 and text = 'said once'")
+    assert near_dedup.drop_near_duplicates(unlike, one_row=True).collect() == unlike.collect()
+
+
 def test_every_pair_within_the_distance_shares_a_key():
     rng = np.random.default_rng(3)
     for parts, distance, chunks in ((64, 20, 16), (12, 5, 3), (10, 7, 4), (9, 2, 4)):

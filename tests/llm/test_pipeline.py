@@ -69,6 +69,12 @@ def test_near_duplicates_from_80_percent_on(spark, sf):
     assert {r.doc_id for r in left.collect()} == want
 
 
+def test_near_duplicates_leave_one_of_repeated_rows(spark, sf):
+    rows = [(1, "the same row again and again")] * 9 + [(None, "a text whose ids are lost")] * 9 + [(2, "one of its kind")]
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted(set(rows), key=repr)
+
+
 def test_benchmark(spark, sf, steps):
     before, after = texts(steps[3]), texts(steps[4])
     items = queries.table(spark, sf, "benchmark")
