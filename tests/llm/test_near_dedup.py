@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -108,6 +109,21 @@ def test_every_pair_within_the_distance_shares_a_key():
             assert any(not wrong & set(p) for p in patterns)
 
 
+def test_the_distance_follows_the_threshold(spark):
+    for percent in range(40, 100, 5):
+        distance, p = near_dedup.distance_for(percent), 1 - percent / 100
+        assert sum(math.comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(distance + 1, 65)) <= near_dedup.MISSED
+    assert (near_dedup.distance_for(85), near_dedup.distance_for(80), near_dedup.distance_for(100)) == (20, 25, 0)
+    with pytest.raises(ValueError):
+        near_dedup.distance_for(0)
+    rng, docs = random.Random(21), {}
+    for k in range(0, 160, 2):
+        words = [f"w{rng.randint(0, 9_999)}" for _ in range(200)]
+        docs[k], docs[k + 1] = " ".join(words), " ".join([*words[:60], *(f"x{k}y{n}" for n in range(rng.randint(22, 32))), *words[90:]])
+    got = near_dedup.near_duplicates(frame(spark, list(docs.items())), percent=70).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(docs, 70)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(9)
     a = rng.integers(0, 1 << 63, 2_000, dtype=np.uint64)
