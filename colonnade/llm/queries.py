@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colonnade.llm import attention, decontaminate, line_dedup, near_dedup, packing, quality_rules, secrets, substring_dedup, tokens, url_filter
+from colonnade.llm import (
+    attention, decontaminate, line_dedup, near_dedup, packing, quality_rules, secrets, substring_dedup, tokens, toxicity,
+    url_filter,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -163,3 +166,9 @@ def op8_suffix_dedup(spark, sf):
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op11_toxicity")
+def op11_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf, "labels")))
