@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.llm import (
-    attention, decontaminate, line_dedup, near_dedup, packing, quality_rules, secrets, substring_dedup, tokens, toxicity,
-    url_filter,
+    attention, decontaminate, lexical_search, line_dedup, near_dedup, packing, quality_rules, secrets, substring_dedup,
+    tokens, toxicity, url_filter,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,3 +172,24 @@ def op8_suffix_dedup(spark, sf):
 def op11_toxicity(spark, sf):
     docs = table(spark, sf, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf, "labels")))
+
+
+OP12 = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+ 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT DISTINCT q, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(
+ coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+ '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark)),
+c AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+m AS (SELECT r, doc_id, 10 + (90 * len(w) * n_docs) // n_terms AS m FROM d, c WHERE len(w) > 0),
+f AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+ FROM (SELECT t, count(*) AS df FROM f GROUP BY t), c),
+s AS (SELECT q, item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+ FROM i JOIN f USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY q, item_id, r, doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM o WHERE rank <= 10"""
+
+
+@query("op12_lexical_search", OP12)
+def op12_lexical_search(spark, sf):
+    return lexical_search.rank(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
