@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.llm import (
-    attention, decontaminate, lexical_search, line_dedup, near_dedup, packing, quality_rules, secrets, substring_dedup,
-    tokens, toxicity, url_filter,
+    attention, conversations, decontaminate, lexical_search, line_dedup, near_dedup, packing, quality_rules, secrets,
+    substring_dedup, tokens, toxicity, url_filter,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,3 +193,25 @@ SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM o WHERE rank <= 10
 @query("op12_lexical_search", OP12)
 def op12_lexical_search(spark, sf):
     return lexical_search.rank(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with the faults that the CRC-32 of `conv_id:turn` deals out; nulls count as one space."""
+    known = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    fault = F.crc32(F.concat(known[0], F.lit(":"), known[1])) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.translate(known[3], ".!?", "")).otherwise(known[3])
+    role = F.when(fault == 4, "user").otherwise(known[2])
+    copies = F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), copies))).drop("col")
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark, sf):
+    rows = table(spark, sf, "conversations")
+    found = conversations.repair(damaged(rows))
+    every = rows.select("conv_id", conversations.conversation_key("conv_id").alias("key")).distinct()
+    counts = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found.report, "key", "left").join(found.digests(), "key", "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
