@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from colonnade.functions.columns import nan_to_null, quoted, string_columns
 from colonnade.operators.cleaning import type_columns
+from colonnade.sources.splits import Splits
 
 # Texts a delimited file uses for a missing value.
 NA_TOKENS = (
@@ -41,14 +42,24 @@ def load_csv(
     """Comma-separated text with a header.  Columns come in as text and turn numeric only where every
     value is a number; dates stay text.  Short rows are padded; a row with more fields than the header
     raises when it is read.  With a `schema` the typing pass is skipped and rows must have just its fields.
-    Files known to hold no line break inside quotes can be read in parallel splits (`multi_line` off)."""
+    Files are read in parallel splits; a first pass finds out whether records cross line ends inside quotes.
+    It is spared for files known to hold no such line break (`multi_line` off)."""
     # The reader quotes with a doubled quote, as spreadsheets write it.
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    reader = spark.read.option("header", True).option("escape", '"')
+    splits = Splits(spark, path) if multi_line else None
+    records = splits.records() if splits and not splits.plain else None
+
+    def parsed(kind: str | T.StructType, **options) -> DataFrame:
+        if records is None:
+            return reader.options(**options).schema(kind).csv(path)
+        text = kind.toDDL() if isinstance(kind, T.StructType) else kind
+        return records.select(F.from_csv("record", text, {"escape": '"', **options}).alias("r")).select("r.*")
+
     if schema:
-        return nan_to_null(reader.option("mode", "FAILFAST").schema(schema).csv(path))
-    names = reader.option("inferSchema", False).csv(path).columns
-    text = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SURPLUS]])
-    wide = reader.option("enforceSchema", True).schema(text).csv(path)
+        return nan_to_null(parsed(schema, mode="FAILFAST"))
+    names = reader.option("multiLine", multi_line).option("inferSchema", False).csv(path).columns
+    reader = reader.option("multiLine", False)
+    wide = parsed(T.StructType([T.StructField(n, T.StringType()) for n in [*names, _SURPLUS]]))
     surplus = F.raise_error(F.lit(f"a row has more fields than the header of {path}")).cast("boolean")
     df = wide.where(F.when(F.col(_SURPLUS).isNotNull(), surplus).otherwise(True)).drop(_SURPLUS)
     df = _tokens_to_null(df)
