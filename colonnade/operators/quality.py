@@ -80,29 +80,35 @@ def _two_parts(labels: DataFrame, longer: Sequence[int], places: Sequence[tuple[
     return spots.where(F.col("length") >= LONG_LABEL).select("column", "label", mark.alias("mark")).distinct()
 
 
-def near_pairs(labels: DataFrame, limit: int | None = None) -> DataFrame:
-    """Pairs of labels of one column, five characters or longer, at most two edits apart, the more
-    frequent label first; all of them unless a display `limit` is asked for.
+def near_candidates(labels: DataFrame, short: bool = True) -> DataFrame:
+    """(column, p, q, edits) of labels of one column at most two edits apart, p < q.
 
-    Short labels meet by what is left without two characters, long ones by two intact parts of four: a common
-    start alone brings no two labels together, and no pair can be missed."""
-    labels = labels.where(F.length("label") >= MIN_LABEL)
-    marks = _deletions(labels)
-    short = marks.alias("x").join(marks.alias("y"), ["column", "mark"]).where("x.label < y.label").select(
-        "column", F.col("x.label").alias("p"), F.col("y.label").alias("q")
-    )
+    Short labels meet by what is left without two characters (unless they are not asked for), long ones by two intact
+    parts of four: a common start alone brings no two labels together, and no pair can be missed."""
     long = labels.where(F.length("label") >= LONG_LABEL - MAX_EDITS)
     here = _two_parts(long, [0], [p for p in _PLACES if p[2] == p[3] == 0])
     probes = _two_parts(long, _SHIFTS, _PLACES).withColumnRenamed("label", "other")
-    long = here.join(probes, ["column", "mark"]).where("label <> other").select(
+    found = here.join(probes, ["column", "mark"]).where("label <> other").select(
         "column", F.least("label", "other").alias("p"), F.greatest("label", "other").alias("q")
     )
+    if short:
+        marks = _deletions(labels)
+        met = marks.alias("x").join(marks.alias("y"), ["column", "mark"]).where("x.label < y.label")
+        found = met.select("column", F.col("x.label").alias("p"), F.col("y.label").alias("q")).union(found)
     # Several marks and both directions may lead to one pair.
-    near = (
-        short.union(long).distinct()
+    return (
+        found.distinct()
         .withColumn("edits", S.edit_distance(F.col("p"), F.col("q"), MAX_EDITS))
         .where(F.col("edits").between(1, MAX_EDITS))
     )
+
+
+def near_pairs(labels: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pairs of labels of one column, five characters or longer, at most two edits apart, the more
+    frequent label first; all of them unless a display `limit` is asked for.  Counting them takes no pairs
+    (`label_links`)."""
+    labels = labels.where(F.length("label") >= MIN_LABEL)
+    near = near_candidates(labels)
     counts = labels.select("column", "label", "n", "ordinal")
     near = near.join(counts.withColumnsRenamed({"label": "p", "n": "n_p"}), ["column", "p"])
     near = near.join(counts.drop("ordinal").withColumnsRenamed({"label": "q", "n": "n_q"}), ["column", "q"])

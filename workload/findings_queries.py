@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colonnade.functions import vocabulary as V
-from colonnade.operators import anomaly, compare, outliers, quality, segments, sets, similarity, statistics, trends
+from colonnade.operators import anomaly, compare, label_links, outliers, quality, segments, sets, similarity, statistics, trends
 from colonnade.operators.aggregates import segment_breakdown
 from colonnade.plans import findings, recommend
 from workload import base as B
@@ -331,6 +331,37 @@ def near_duplicate_labels_typos(spark, sf):
     return quality.near_duplicate_labels(B.typo_labels(spark, sf))
 
 
+def link_counts_sql(source: str, columns: list[str]) -> str:
+    counted = B.each(
+        columns, f"SELECT '{{c}}' AS \"column\", {{q}} AS label, count(*) AS n FROM {source} WHERE {{q}} IS NOT NULL GROUP BY {{q}}"
+    )
+    return f"""WITH RECURSIVE l AS (SELECT * FROM ({counted}) WHERE length(label) >= 5),
+ e AS (SELECT x."column", x.label AS u, y.label AS v FROM l x JOIN l y ON x."column" = y."column" AND x.label <> y.label
+ AND abs(length(x.label) - length(y.label)) <= 2 AND levenshtein(x.label, y.label) <= 2),
+ s AS (SELECT "column", u, least(u, min(v)) AS v FROM e GROUP BY "column", u),
+ r AS (SELECT "column", u, v FROM s UNION SELECT r."column", e.v, r.v FROM r JOIN e ON e."column" = r."column" AND e.u = r.u
+ JOIN s ON s."column" = e."column" AND s.u = e.v WHERE r.v < s.v),
+ f AS (SELECT "column", u, min(v) AS "first" FROM r GROUP BY "column", u),
+ k AS (SELECT "column", u, count(*) AS links FROM e GROUP BY "column", u)
+ SELECT l."column", l.label, n, links, "first", count(*) OVER (PARTITION BY l."column", "first") AS size
+ FROM l JOIN k ON k."column" = l."column" AND k.u = l.label JOIN f ON f."column" = l."column" AND f.u = l.label"""
+
+
+@B.query("near_duplicate_link_counts", link_counts_sql("customer", ["c_name", "c_mktsegment"]))
+def near_duplicate_link_counts(spark, sf):
+    return label_links.near_duplicate_link_counts(B.table(spark, sf, "customer"))
+
+
+@B.query("near_duplicate_link_counts_part", link_counts_sql("part", ["p_name", "p_brand", "p_type"]))
+def near_duplicate_link_counts_part(spark, sf):
+    return label_links.near_duplicate_link_counts(B.table(spark, sf, "part"))
+
+
+@B.query("near_duplicate_link_counts_typos", link_counts_sql(f"({B.TYPO_LABELS})", ["label", "name"]))
+def near_duplicate_link_counts_typos(spark, sf):
+    return label_links.near_duplicate_link_counts(B.typo_labels(spark, sf))
+
+
 def _rating_sql(name: str, nulls: str, spikes: str, labels: str) -> str:
     return f"""SELECT *, CASE WHEN severe > 0 OR duplicate_labels > 0 THEN 'Low' WHEN issues = 0 THEN 'High' WHEN issues <= 2 THEN 'Medium'
  ELSE 'Low' END AS rating FROM (SELECT *, null_columns + severe + CAST(moderate > 0 AS BIGINT) + duplicate_labels AS issues FROM (SELECT
