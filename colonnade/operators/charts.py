@@ -24,7 +24,7 @@ from colonnade.functions.columns import (
 from colonnade.functions.quantiles import group_quantiles, quantiles
 from colonnade.operators.aggregates import AGGREGATES, group_agg, value_counts
 from colonnade.operators.projections import sort_xy
-from colonnade.operators.statistics import bias_corrected_skew, tidy
+from colonnade.operators.statistics import bias_corrected_skew, nunique, tidy
 from colonnade.session import empty_table
 
 CHARTS = ("histogram", "box", "bar", "line", "scatter", "pie")
@@ -246,7 +246,7 @@ def guard_chart(chart: Column, kind: Column, unique: Column, time_like: Column)
 
 
 def _column_facts(df: DataFrame) -> DataFrame:
-    """(ordinal, column, kind, nunique, std, distribution) in one pass."""
+    """(ordinal, column, kind, nunique, std, distribution): one pass for the moments, one for the distinct values."""
     names = [c for c in profiled_columns(df) if c != SOURCE]
     numbers = set(numeric_columns(df))
     metrics = {}
@@ -258,11 +258,12 @@ def _column_facts(df: DataFrame) -> DataFrame:
             std, skew = F.lit(None).cast("double"), F.lit(None).cast("double")
         metrics[c] = {
             "kind": F.lit("numeric" if c in numbers else "categorical"),
-            "nunique": F.count_distinct(present(df, c)),
             "std": std,
             "skew": skew,
         }
-    return tidy(df, metrics).withColumn("distribution", S.skew_class(F.col("skew")))
+    facts = tidy(df, metrics).join(F.broadcast(nunique(df, names).drop("ordinal")), "column")
+    facts = facts.select("ordinal", "column", "kind", "nunique", "std", "skew")
+    return facts.withColumn("distribution", S.skew_class(F.col("skew")))
 
 
 def chart_choices(df: DataFrame, wanted: Column | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -240,6 +241,19 @@ def year_span(df: DataFrame) -> DataFrame:
     return tidy(df, metrics).where("share > 0.8").drop("share")
 
 
+def alternation(words: Sequence[str]) -> str:
+    """A regular expression for the longest of the words that begins at a place, shaped like their trie, so that a place
+    is left after as many characters as it shares with a word."""
+    branches: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        branches.setdefault(w[:1], []).append(w[1:])
+    ends = branches.pop("", None)
+    parts = [re.escape(first) + alternation(rest) for first, rest in branches.items()]
+    if len(parts) < 2 and not ends:
+        return "".join(parts)
+    return f"(?:{'|'.join(parts)})" + "?" * bool(ends) if parts else ""
+
+
 def keyword_hits(datasets: dict[str, DataFrame]) -> DataFrame:
     """(dataset, keyword) for every keyword found in a column name or text value.  Whole columns are
     read."""
@@ -254,9 +268,13 @@ def keyword_hits(datasets: dict[str, DataFrame]) -> DataFrame:
         text = F.lower(F.concat_ws(" ", *[quoted(c) for c in texts]))
         unnamed = [w for w in words if w not in named]
         if texts and unnamed:
-            hits = F.array_compact(F.array(*[F.when(F.col("text").contains(w), w) for w in unnamed]))
-            seen = df.select(text.alias("text")).select(F.explode(hits).alias("keyword"))
-            found = found.unionByName(seen.distinct())
+            # At each place the longest keyword that begins there; those it begins with itself are implied, and those
+            # that begin later are met at their own places.
+            met = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({alternation(unnamed)}))"), 1))
+            seen = df.select(F.explode(met).alias("longest")).distinct()
+            within = [(w, v) for w in unnamed for v in unnamed if w.startswith(v)]
+            implied = local_table(df.sparkSession, dict(zip(("longest", "keyword"), map(list, zip(*within)))), "longest string, keyword string")
+            found = found.unionByName(seen.join(F.broadcast(implied), "longest").select("keyword").distinct())
         parts.append(found.select(F.lit(name).alias("dataset"), "keyword"))
     return reduce(DataFrame.unionByName, parts)
 
