@@ -14,6 +14,7 @@ import math
 import sys
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +74,43 @@ def _narrow(rows: DataFrame, spans: DataFrame, targets: DataFrame, keys: list[st
     )
 
 
+#: Up to this many brackets are constants of the pass; their buckets, or this many single rows, go to the driver.
+_INLINE_SPANS = 48
+_INLINE_ROWS = 1 << 16
+
+
+def _narrow_inline(rows: DataFrame, spans: list[tuple[int, float, float]], targets: list[dict], by_value: bool) -> list[dict]:
+    """The same pass with the bounds as constants: one scan, one shuffle of bucket counts, no join.  Where a rank falls
+    among a bracket's buckets is found on the driver, from at most 4,096 counts a bracket."""
+    place = None
+    for k, (g, lo, hi) in enumerate(spans):
+        held = (F.col("g") == g) & F.col("v").between(lo, hi)
+        place = F.when(held, k) if place is None else place.when(held, k)
+    hits = rows.select("v", place.alias("s")).where("s is not null")
+    if by_value:
+        bucket = F.col("v")
+    else:
+        buckets = config.REFINE_BUCKETS
+        lows, widths = [lo for _, lo, _ in spans], []
+        for _, lo, hi in spans:
+            width = hi / buckets - lo / buckets
+            widths.append(width if width > 0 else hi - lo)
+        low, width = (F.element_at(F.array(*map(F.lit, values)), F.col("s") + 1) for values in (lows, widths))
+        at = F.try_divide(F.col("v") / 2 - low / 2, width / 2)
+        bucket = F.least(F.lit(buckets - 1), F.floor(F.coalesce(at, F.lit(0.0))).cast("int"))
+    bins = hits.groupBy("s", bucket.alias("bucket")).agg(
+        F.count(F.lit(1)).alias("inside"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    ).toArrow().sort_by([("s", "ascending"), ("bucket", "ascending")])
+    span, inside, lo, hi = (bins[c].to_numpy() for c in ("s", "inside", "lo", "hi"))
+    out = []
+    for t in targets:
+        mine = slice(*np.searchsorted(span, [k := spans.index((t["g"], t["lo"], t["hi"])), k + 1]))
+        ends = np.cumsum(inside[mine]) + t["below"]
+        k = mine.start + int(np.searchsorted(ends, t["rank"], side="right"))
+        out.append(t | {"lo": float(lo[k]), "hi": float(hi[k]), "below": int(ends[k - mine.start] - inside[k]), "inside": int(inside[k])})
+    return out
+
+
 _TARGET = "g int, probe int, rank long, lo double, below long"
 _SPAN = "g int, lo double, hi double"
 
@@ -85,8 +123,11 @@ def _search(rows: DataFrame, targets: list[dict], direct_rows: int) -> list[dict
     while open_ones := [t for t in targets if t["lo"] < t["hi"]]:
         settled = [t for t in targets if t["lo"] >= t["hi"]]
         by_value = max(t["inside"] for t in open_ones) <= direct_rows
+        if len(different := sorted({(t["g"], t["lo"], t["hi"]) for t in open_ones})) <= _INLINE_SPANS:
+            rows_left = sum({(t["g"], t["lo"], t["hi"]): t["inside"] for t in open_ones}.values())
+            targets = settled + _narrow_inline(rows, different, open_ones, by_value and rows_left <= _INLINE_ROWS)
+            continue
         wanted = {c: [t[c] for t in open_ones] for c in ("g", "probe", "rank", "lo", "below")}
-        different = sorted({(t["g"], t["lo"], t["hi"]) for t in open_ones})
         spans = dict(zip(("g", "lo", "hi"), map(list, zip(*different))))
         tables = local_table(spark, spans, _SPAN), local_table(spark, wanted, _TARGET)
         found = _narrow(rows, *map(F.broadcast, tables), ["g"], by_value)
