@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -209,6 +210,30 @@ def _refined(
     return {c: found.get(i, [None] * len(probs)) for i, c in enumerate(names)}
 
 
+def joint_quantiles(
+    asked: dict[str, tuple[DataFrame, Bounds]], probs: Sequence[float] = QUARTILES, direct_rows: int = config.DIRECT_ROWS
+) -> dict[str, dict[str, list[float | None]]]:
+    """Quantiles of columns of several frames, given each column's (count, minimum, maximum), by passes over all frames
+    at once."""
+    frames, bounds, place = [], {}, {}
+    for name, (df, known) in asked.items():
+        columns = list(known)
+        first = len(place)
+        for c in columns:
+            n, low, high = known[c]
+            if n:
+                bounds[len(place)] = (n, max(low, -_HUGE), min(high, _HUGE))
+            place[name, c] = len(place)
+        if columns:
+            values = F.array(*[_bounded(as_double(df, c)) for c in columns])
+            long = df.select(F.posexplode(values).alias("g", "v")).where("v is not null")
+            frames.append(long.select((F.col("g") + first).alias("g"), "v"))
+    found = _few_quantiles(reduce(DataFrame.union, frames), bounds, probs, direct_rows) if bounds else {}
+    return {
+        name: {c: found.get(place[name, c], [None] * len(probs)) for c in known} for name, (_, known) in asked.items()
+    }
+
+
 def _built_in(df: DataFrame, names: list[str], probs: Sequence[float]) -> dict[str, list[Column]]:
     points = F.array(*[F.lit(float(p)) for p in probs])
     return {c: [F.percentile(as_double(df, c), points)[i] for i in range(len(probs))] for c in names}

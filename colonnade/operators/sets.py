@@ -14,7 +14,6 @@ VIEW_A = "view_a"
 VIEW_B = "view_b"
 VIEW_BOTH = "view_intersection"
 VIEW_ALL = "unified"
-VIEW_ORDER = (VIEW_A, VIEW_B, VIEW_BOTH)
 
 
 def short_name(name: str) -> str:
@@ -53,7 +52,7 @@ def union_numeric(datasets: dict[str, DataFrame], complete: bool = True) -> Data
 
 
 def build_views(datasets: dict[str, DataFrame]) -> dict[str, dict[str, DataFrame]]:
-    """Two datasets give a view each and, where they share columns, one of both; any other number
+    """Two datasets give a view each and, where they share columns, one of both, in this order; any other number
     gives a single view holding all."""
     if len(datasets) != 2:
         return {VIEW_ALL: dict(datasets)}
@@ -64,14 +63,6 @@ def build_views(datasets: dict[str, DataFrame]) -> dict[str, dict[str, DataFrame
     return views
 
 
-def is_triple(views: dict) -> bool:
-    return VIEW_A in views or VIEW_B in views
-
-
-def view_keys(views: dict) -> list[str]:
-    return [k for k in VIEW_ORDER if k in views]
-
-
 def select_source(
     datasets: dict[str, DataFrame], raw: dict[str, DataFrame] | None = None
 ) -> tuple[dict[str, DataFrame], bool]:

@@ -1,6 +1,6 @@
 """The ranked report of a set of datasets, as plain tables.
 
-`analyse` makes a fixed number of passes over each dataset and keeps the results as small tables with
+`analyse` makes a fixed number of passes over all datasets together and keeps the results as small tables with
 one row per column, metric, label or segment; every report table is derived from those.
 """
 
@@ -16,12 +16,17 @@ from pyspark.sql import functions as F
 from colonnade import config
 from colonnade.functions import scalars as S
 from colonnade.functions.columns import SOURCE, categorical_columns, string_columns
-from colonnade.operators import outliers, profile, quality, segments, statistics, trends
+from colonnade.operators import label_links, profile, quality, segments, trends
 from colonnade.operators.aggregates import segment_breakdown
-from colonnade.operators.cleaning import Fence
+from colonnade.operators.cleaning import capping_audit
 from colonnade.operators.compare import gap_of_stats, source_comparison
+from colonnade.operators.sets import select_source
+from colonnade.plans import shared_profile
 from colonnade.session import empty_table, local_table, settle, stage
 
+PAIR_SCHEMA = "column string, a string, b string, rows_a long, rows_b long, edits int"
+#: Near-duplicate labels shown of each dataset; all are counted.
+SHOWN_PAIRS = 5
 SEGMENT_SCHEMA = "segment string, count long, sum double, mean double, median double, share double"
 
 
@@ -39,6 +44,7 @@ class DatasetFindings:
     spikes: DataFrame
     trends: DataFrame
     labels: DataFrame
+    label_pairs: int
     primary: str | None
     dimension: str | None
     segments: DataFrame
@@ -51,6 +57,7 @@ class Analysis:
     datasets: dict[str, DatasetFindings]
     gaps: DataFrame
     sources: dict[str, DataFrame]
+    capped: DataFrame
     _every: dict[str, DataFrame] = field(default_factory=dict)
 
     def every(self, table: str) -> DataFrame:
@@ -75,55 +82,38 @@ class Analysis:
                 "date_column": [d.date_column for d in found],
                 "dimension": [d.dimension for d in found],
                 "primary": [d.primary for d in found],
+                "label_pairs": [d.label_pairs for d in found],
             },
-            "position int, dataset string, rows long, cols int, date_column string, dimension string, primary string",
+            "position int, dataset string, rows long, cols int, date_column string, dimension string, primary string, label_pairs long",
         )
 
 
-def dataset_findings(
-    name: str,
-    about: profile.Survey,
-    key: str,
-    domain: str,
-    measures: Sequence[str] | None = None,
-    *,
-    direct_rows: int = config.DIRECT_ROWS,
-) -> DatasetFindings:
-    """`measures` names the metrics; by default every numeric column but rates and epochs is one.
-    `key` orders rows of equal date.  Segments follow the primary metric."""
-    df, facts, rows, date_column = about.df, about.facts, about.rows, about.date_column
-    spark = df.sparkSession
-    roles = profile.column_roles(df, date_column, facts)
-    kpis = [r["column"] for r in roles.orderBy("ordinal").collect() if r["role"] == "kpi"]
-    if measures is not None:
-        kpis = [c for c in measures if c in kpis]
-    stats = empty_table(spark, statistics.STATS_SCHEMA)
-    spikes = empty_table(spark, outliers.SPIKE_SCHEMA)
-    moves = empty_table(spark, trends.TREND_SCHEMA)
-    if kpis:
-        stats = settle(statistics.column_stats(df, kpis, rows=rows, direct_rows=direct_rows))
-        fences = {
-            r["column"]: Fence.around(r["q1"], r["median"], r["q3"], r["min"], r["max"]) for r in stats.where("iqr <> 0").collect()
-        }
-        spikes = settle(outliers.spike_value(df, kpis, fences=fences))
-    if kpis and date_column:
-        moves = settle(trends.half_split_trend(df, date_column, key, kpis, direct_rows=direct_rows))
-    best = segments.primary_kpi(stats, domain).first()
-    primary = best["column"] if best else None
-    labelled = [c for c in categorical_columns(df) if c not in (date_column, SOURCE)]
-    labels = stage(quality.label_counts(df, labelled))
-    texts = [c for c in labelled if c in string_columns(df)]
-    pairs = stage(quality.near_pairs(labels.where(F.col("column").isin(texts))))
-    chosen = segments.primary_dimension(df, labelled, labels=labels, rows=rows).first()
-    dimension = chosen["column"] if chosen else None
-    parts = empty_table(spark, SEGMENT_SCHEMA)
-    if dimension and primary:
-        split = segment_breakdown(df, dimension, primary, row_count=rows, direct_rows=direct_rows)
-        parts = settle(split.withColumn("segment", F.col("segment").cast("string")))
-    return DatasetFindings(
-        name, rows, len(df.columns), date_column, roles, facts.where("nulls > 0").select("ordinal", "column", "nulls"),
-        stats, spikes, moves, pairs, primary, dimension, parts,
-    )
+def _kpis(about: profile.Survey, measures: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
+    roles = profile.column_roles(about.df, about.date_column, about.facts)
+    found = [r["column"] for r in sorted(roles.collect(), key=lambda r: r["ordinal"]) if r["role"] == "kpi"]
+    return roles, [c for c in measures if c in found] if measures is not None else found
+
+
+def _pairs(labels: DataFrame, texts: dict[str, list[str]]) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """The first near-duplicate labels of each dataset, and how many pairs there are; all labels are searched together."""
+    place = {n: i for i, n in enumerate(texts)}
+    wanted = reduce(lambda x, y: x | y, [(F.col("dataset") == n) & shared_profile.among(cs) for n, cs in texts.items()])
+    # The column names the dataset too, and the order puts one dataset after the other.
+    number = F.create_map(*[F.lit(x) for n, i in place.items() for x in (n, i)])[F.col("dataset")]
+    named = F.concat(number.cast("string"), F.lit("\x1f"), F.col("column"))
+    found = label_links.linked(labels.where(wanted).select((number * 100_000 + F.col("ordinal")).alias("ordinal"), named.alias("column"), "label", "n"))
+    mine = lambda df, i: df.where(F.startswith("column", F.lit(f"{i}\x1f"))).withColumn("column", F.substring_index("column", "\x1f", -1))
+    if not found.labels.limit(1).count():
+        blank = empty_table(labels.sparkSession, PAIR_SCHEMA)
+        return {n: blank for n in texts}, dict.fromkeys(texts, 0)
+    links = label_links.link_counts(found).groupBy(F.substring_index("column", "\x1f", 1).cast("int").alias("d")).agg(F.sum("links").alias("links"))
+    totals = {r["d"]: r["links"] // 2 for r in links.collect()}
+    shown = []
+    for i in totals:
+        own = label_links.Linked(found.labels.where(F.startswith("column", F.lit(f"{i}\x1f"))), found.ties, found.pairs)
+        shown.append(label_links.first_pairs(own, SHOWN_PAIRS))
+    table = settle(reduce(DataFrame.unionByName, shown))
+    return {n: mine(table, i) for n, i in place.items()}, {n: totals.get(i, 0) for n, i in place.items()}
 
 
 def analyse(
@@ -133,24 +123,65 @@ def analyse(
     raw: dict[str, DataFrame] | None = None,
     *,
     domain: str | None = None,
+    prefer_raw: bool = False,
     direct_rows: int = config.DIRECT_ROWS,
 ) -> Analysis:
-    surveys = {n: profile.survey(df) for n, df in datasets.items()}
-    frames = {n: s.df for n, s in surveys.items()}
-    domain = domain or profile.detect_domain(frames)
-    found = {
-        n: dataset_findings(n, s, keys[n], domain, (measures or {}).get(n), direct_rows=direct_rows)
+    """`measures` names a dataset's metrics; by default every numeric column but rates and epochs is one.  `keys` order
+    rows of equal date.  Segments follow the primary metric.
+
+    With `prefer_raw` a dataset is read from its frame in `raw` where there is one, so that the report is of values as
+    they came, and its cells that cleaning has changed are counted against the frame given."""
+    chosen = select_source(datasets, raw)[0] if prefer_raw else datasets
+    shared = shared_profile.profile_all(chosen)
+    surveys = shared.surveys
+    spark = next(iter(surveys.values())).df.sparkSession
+    domain = domain or profile.detect_domain({n: s.df for n, s in surveys.items()})
+    roles, kpis = {}, {}
+    for n, about in surveys.items():
+        roles[n], kpis[n] = _kpis(about, (measures or {}).get(n))
+    stats = shared_profile.stats_of_all(shared, kpis, direct_rows=direct_rows)
+    spikes = shared_profile.spikes_of_all(shared, stats)
+    labelled = {n: [c for c in categorical_columns(s.df) if c not in (s.date_column, SOURCE)] for n, s in surveys.items()}
+    labels = stage(shared_profile.labels_of_all(shared, labelled))
+    texts = {n: [c for c in cs if c in string_columns(surveys[n].df)] for n, cs in labelled.items()}
+    pairs, totals = _pairs(labels, texts)
+    dims = shared_profile.tagged({
+        n: segments.primary_dimension(s.df, labelled[n], labels=labels.where(F.col("dataset") == n).drop("dataset"), rows=s.rows)
         for n, s in surveys.items()
-    }
-    tagged = [d.stats.withColumn("dataset", F.lit(n)) for n, d in found.items()]
+    })
+    dimension = {r["dataset"]: r["column"] for r in dims.collect()}
+    found, moves, parts = {}, {}, {}
+    primary = {}
+    for n, about in surveys.items():
+        best = segments.primary_kpi(stats[n], domain).first()
+        primary[n] = best["column"] if best else None
+        moves[n] = empty_table(spark, trends.TREND_SCHEMA)
+        if kpis[n] and about.date_column:
+            moves[n] = trends.half_split_trend(about.df, about.date_column, keys[n], kpis[n], direct_rows=direct_rows)
+        parts[n] = empty_table(spark, SEGMENT_SCHEMA)
+        if dimension.get(n) and primary[n]:
+            split = segment_breakdown(about.df, dimension[n], primary[n], row_count=about.rows, direct_rows=direct_rows)
+            parts[n] = split.withColumn("segment", F.col("segment").cast("string"))
+    every_move, every_part = settle(shared_profile.tagged(moves)), settle(shared_profile.tagged(parts))
+    for n, about in surveys.items():
+        mine = lambda table: table.where(F.col("dataset") == n).drop("dataset")  # noqa: B023, E731
+        nulls = about.facts.where("nulls > 0").select("ordinal", "column", "nulls")
+        found[n] = DatasetFindings(
+            n, about.rows, len(about.df.columns), about.date_column, roles[n], nulls, stats[n], spikes[n], mine(every_move),
+            pairs[n], totals[n], primary[n], dimension.get(n), mine(every_part),
+        )
     # A gap needs two datasets to lie between.
-    gaps = settle(gap_of_stats(reduce(DataFrame.unionByName, tagged), max(2, len(found))))
+    gaps = settle(gap_of_stats(shared_profile.tagged(stats), max(2, len(found))))
     sources = {
-        n: settle(source_comparison(df, found[n].primary, raw, direct_rows=direct_rows))
-        for n, df in frames.items()
-        if SOURCE in df.columns and found[n].primary
+        n: settle(source_comparison(s.df, primary[n], raw, direct_rows=direct_rows))
+        for n, s in surveys.items()
+        if SOURCE in s.df.columns and primary[n]
+    }
+    capped = {
+        n: capping_audit(chosen[n], df, keys[n]) for n, df in datasets.items() if prefer_raw and chosen[n] is not df
     }
-    return Analysis(gaps.sparkSession, domain, found, gaps, sources)
+    blank = empty_table(spark, "dataset string, column string, changed long")
+    return Analysis(spark, domain, found, gaps, sources, settle(shared_profile.tagged(capped)) if capped else blank)
 
 
 def _concentrations(a: Analysis, share: float = 50.0) -> DataFrame:
@@ -231,9 +262,9 @@ def findings_table(a: Analysis, ranked: int = 3) -> DataFrame:
     in_top = F.coalesce("ranked", F.lit(False))
     cv = S.variation(F.col("std"), F.col("mean"))
     severity = F.when(F.col("distance_iqr") > quality.SEVERE_IQR, "severe").otherwise("moderate")
-    every = overview.select("dataset")
-    issues = quality.issue_counts(a.every("nulls"), a.every("spikes"), a.every("labels"))
-    ratings = quality.rate(every.join(issues, "dataset", "left").na.fill(0))
+    pairs = overview.select("dataset", F.col("label_pairs").alias("duplicate_labels"))
+    issues = quality.issue_counts(a.every("nulls"), a.every("spikes"), a.every("labels")).drop("duplicate_labels")
+    ratings = quality.rate(pairs.join(issues, "dataset", "left").na.fill(0))
     parts = [
         _facts(
             overview,
@@ -270,6 +301,8 @@ def findings_table(a: Analysis, ranked: int = 3) -> DataFrame:
         ),
         _facts(a.every("nulls"), _fact("quality", "nulls", F.col("nulls"), column)),
         _facts(a.every("labels"), _fact("quality", "near_duplicate", F.col("edits"), column, F.concat_ws(" | ", "a", "b"))),
+        _facts(pairs, _fact("quality", "near_duplicate_pairs", F.col("duplicate_labels"), when=F.col("duplicate_labels") > 0)),
+        _facts(a.capped, _fact("quality", "capped", F.col("changed"), column)),
         _facts(ratings, _fact("quality", "rating", F.col("issues"), None, F.col("rating"))),
     ]
     for name, per in a.sources.items():
@@ -304,7 +337,7 @@ def summary_totals(a: Analysis) -> DataFrame:
             F.col("count").cast("double").alias("x"),
         ),
         tops.where("share >= 50").select(F.lit("share").alias("kind"), F.col("share").alias("x")),
-        a.every("labels").select(F.lit("label").alias("kind"), blank.alias("x")),
+        a.overview().select(F.lit("label").alias("kind"), F.col("label_pairs").cast("double").alias("x")),
         a.gaps.where("gap_ratio > 3").select(F.lit("gap").alias("kind"), F.col("gap_ratio").alias("x")),
     ]
 
@@ -323,6 +356,6 @@ def summary_totals(a: Analysis) -> DataFrame:
         F.coalesce(F.sum(of("severe", "moderate")), F.lit(0)).cast("long").alias("records_flagged"),
         count("severe").alias("severe"),
         F.max(of("share")).alias("top_concentration"),
-        count("label").alias("duplicate_labels"),
+        F.sum(of("label")).cast("long").alias("duplicate_labels"),
         F.max(of("gap")).alias("max_gap"),
     )

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
-from colonnade.operators import compare, sets
-from colonnade.plans import findings, recommend
+from colonnade.operators import compare, sets, statistics
+from colonnade.plans import findings, recommend, shared_profile
 
 
 def test_without_metrics(spark):
@@ -78,3 +78,49 @@ def test_only_sources_of_the_view_are_compared(spark):
     found = compare.source_comparison(pooled, "amount", {"a.csv": a, "b.csv": b, "c.csv": c}).collect()
     assert {r["source"]: r["share"] for r in found} == {"a": 25.0, "b": 75.0}
     assert compare.source_comparison(pooled.where("_source = 'a'"), "amount", {"c.csv": c}).count() == 0
+
+
+def _jobs(spark):
+    return spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+
+
+def test_profile_of_all_datasets_in_few_jobs(spark):
+    """Facts, moments and quartiles of several frames come from joint passes: as many jobs for four as for two, but for
+    one aggregation each."""
+    frames = {
+        f"d{k}": spark.range(3_000 + k).selectExpr("id", f"(id * 37 % 1000) * {k + 1}.5 AS amount", "concat('$', id % 90) AS price", "uuid() AS note")
+        for k in range(4)
+    }
+    used = []
+    for names in (["d0", "d1"], list(frames)):
+        before = _jobs(spark)
+        shared = shared_profile.profile_all({n: frames[n] for n in names})
+        stats = shared_profile.stats_of_all(shared, {n: ["id", "amount", "price"] for n in names}, direct_rows=100)
+        used.append(_jobs(spark) - before)
+        for n in names:
+            want = statistics.column_stats(shared.surveys[n].df, ["id", "amount", "price"]).orderBy("ordinal").collect()
+            got = stats[n].collect()
+            assert [r["column"] for r in got] == ["id", "amount", "price"]
+            assert all(abs(a[c] - b[c]) <= 1e-9 * (1 + abs(b[c])) for a, b in zip(got, want) for c in b.asDict() if c != "column")
+    assert used[0] <= 12 and used[1] <= used[0] + 4
+
+
+def test_raw_values_and_what_cleaning_changed(spark):
+    raw = spark.createDataFrame([(i, float(i if i else 9_000)) for i in range(40)], "key int, amount double")
+    cleaned = raw.withColumn("amount", F.least("amount", F.lit(60.0)))
+    keys, measures = {"x": "key"}, {"x": ["amount"]}
+    facts = findings.findings_table(findings.analyse({"x": cleaned}, keys, measures, {"x": raw}, prefer_raw=True)).collect()
+    found = {(r["metric"], r["column"]): r["value"] for r in facts if r["metric"] in ("capped", "max")}
+    assert found[("max", "amount")] == 9_000 and found[("capped", "amount")] == 1
+    plain = findings.findings_table(findings.analyse({"x": cleaned}, keys, measures, {"x": raw})).collect()
+    assert {r["value"] for r in plain if r["metric"] == "max" and r["column"] == "amount"} == {60.0}
+    assert not [r for r in plain if r["metric"] == "capped"]
+
+
+def test_label_pairs_are_counted_and_five_are_shown(spark):
+    rows = [(i, f"Station{i % 30:02d}", "a" if i % 2 else "b") for i in range(300)]
+    a = findings.analyse({"d": spark.createDataFrame(rows, "key int, name string, kind string")}, {"d": "key"})
+    facts = findings.findings_table(a).collect()
+    assert len([r for r in facts if r["metric"] == "near_duplicate"]) == 5
+    assert [r["value"] for r in facts if r["metric"] == "near_duplicate_pairs"] == [435.0]
+    assert findings.summary_totals(a).first()["duplicate_labels"] == 435

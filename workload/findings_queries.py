@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from colonnade.functions import vocabulary as V
-from colonnade.operators import anomaly, compare, label_links, outliers, quality, segments, sets, similarity, statistics, trends
+from colonnade.operators import anomaly, cleaning, compare, label_links, outliers, quality, segments, sets, similarity, statistics, trends
 from colonnade.operators.aggregates import segment_breakdown
 from colonnade.plans import findings, recommend
 from workload import base as B
@@ -565,7 +565,8 @@ def _findings_sql() -> str:
         fact(n, "findings", "concentration", "share", f"'{p['primary']}'", "segment",
              f"FROM (SELECT * FROM segs_{name} ORDER BY \"sum\" DESC, segment LIMIT 1) WHERE share >= 50")
         fact(n, "quality", "nulls", "nulls", '"column"', source=f"FROM nulls_{name}")
-        fact(n, "quality", "near_duplicate", "edits", '"column"', "a || ' | ' || b", f"FROM labels_{name}")
+        fact(n, "quality", "near_duplicate", "edits", '"column"', "a || ' | ' || b", f"FROM (SELECT * FROM labels_{name} LIMIT 5)")
+        fact(n, "quality", "near_duplicate_pairs", "(SELECT count(*) FROM labels_%s)" % name, source=f"WHERE EXISTS (FROM labels_{name})")
         fact(n, "quality", "outliers", '"count"', '"column"', "CASE WHEN distance_iqr > 5 THEN 'severe' ELSE 'moderate' END", f"FROM spikes_{name}")
         fact(n, "quality", "high_variability", cv, '"column"', source=f"FROM stats_{name} WHERE mean <> 0 AND {cv} > 50")
         rating = _rating_sql(name, f"SELECT * FROM nulls_{name}", f"SELECT * FROM spikes_{name}", f"SELECT * FROM labels_{name}")
@@ -600,3 +601,22 @@ def findings_table(spark, sf):
 )
 def recommendations(spark, sf):
     return B.shown(recommend.recommendations(analysis(spark, sf)))
+
+
+_CAPPED_EVENTS = """SELECT quantile_cont("value", 0.25) AS q1, quantile_cont("value", 0.75) AS q3 FROM events"""
+
+
+@B.query(
+    "findings_of_raw",
+    f"""WITH f AS ({_CAPPED_EVENTS}), c AS (SELECT "value" AS v, greatest(q1 - 1.5 * (q3 - q1), least(q3 + 1.5 * (q3 - q1), "value")) AS w
+ FROM events, f) SELECT 'events' AS dataset, 'quality' AS section, 'capped' AS metric, 'value' AS "column",
+ CAST(count(*) AS DOUBLE) AS "value", CAST(NULL AS VARCHAR) AS "text" FROM c WHERE abs(v - w) > 1e-6 + 1e-6 * abs(w)
+ UNION ALL SELECT 'events', 'findings', m, 'value', round(x, 2), NULL FROM (SELECT 'max' AS m, max(v) AS x FROM c
+ UNION ALL SELECT 'min', min(v) FROM c UNION ALL SELECT 'mean', avg(v) FROM c)""",
+)
+def findings_of_raw(spark, sf):
+    """The report of cleaned events, read from the raw ones: extremes as they came, and what capping has changed."""
+    events = B.table(spark, sf, "events").select("event_id", "user_id", "value")
+    report = findings.analyse({"events": cleaning.clean_table(events)}, {"events": "event_id"}, {"events": ["value"]}, {"events": events}, prefer_raw=True)
+    wanted = F.col("metric").isin("capped", "max", "min", "mean") & (F.col("dataset") == "events")
+    return B.shown(findings.findings_table(report).where(wanted), 2)

@@ -248,7 +248,7 @@ def dedupe_rows(spark, sf):
 def build_views(spark, sf):
     views = sets.build_views(B.shared_pair(spark, sf))
     out = None
-    for name in sets.view_keys(views):
+    for name in views:
         (df,) = views[name].values()
         part = df.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("acctbal"), 2).alias("total")).select(
             F.lit(name).alias("view"), "n", "total"
