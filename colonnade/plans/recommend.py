@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from colonnade.functions import scalars as S
 from colonnade.operators import segments
 from colonnade.plans.findings import Analysis
+from colonnade.session import local_table
+
+
+# Advice that always holds, given in this order where the findings call for less.
+GENERAL = ("monitoring", "targets", "definitions", "schedule")
 
 
 def recommendation_candidates(a: Analysis) -> DataFrame:
@@ -50,10 +55,20 @@ def recommendation_candidates(a: Analysis) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _general(a: Analysis) -> DataFrame:
+    places = range(len(GENERAL))
+    table = local_table(a.spark, {"ordinal": list(places), "kind": list(GENERAL)}, "ordinal int, kind string")
+    text, last = F.lit(None).cast("string"), F.lit((1 << 31) - 1)
+    return table.select(
+        last.alias("position"), F.lit(4).alias("order"), "ordinal", text.alias("dataset"), "kind", text.alias("column"),
+        text.alias("direction"), F.lit(None).cast("double").alias("value"), F.lit(0.0).alias("score"),
+    )
+
+
 def recommendations(a: Analysis, limit: int = 4) -> DataFrame:
     """The best `limit` candidates, one for each kind and column: rank, score, kind, dataset, column, direction of
-    a trend, value."""
-    found = recommendation_candidates(a)
+    a trend, value.  Where there are fewer, general ones with a score of 0 fill up to four."""
+    found = recommendation_candidates(a).unionByName(_general(a))
     best_first = [F.desc("score"), "position", "order", "ordinal"]
     alike = Window.partitionBy("kind", "column").orderBy(*best_first)
     kept = found.withColumn("nth", F.row_number().over(alike)).where("nth = 1")

@@ -8,7 +8,9 @@ def test_without_metrics(spark):
     df = spark.createDataFrame([(f"k{i}", "x") for i in range(5)], "key string, label string")
     a = findings.analyse({"d": df}, {"d": "key"})
     assert a.domain == "General Business" and findings.headline(a).count() == 0
-    assert recommend.recommendations(a).count() == 0
+    assert [tuple(r) for r in recommend.recommendations(a).select("rank", "kind", "score").collect()] == [
+        (k, kind, 0.0) for k, kind in enumerate(recommend.GENERAL, 1)
+    ]
     assert findings.summary_totals(a).first()["kpis"] == 0
     assert findings.findings_table(a).where("metric = 'rating'").first()["text"] == "High"
 
@@ -42,7 +44,7 @@ def test_recommendations(spark):
     )
     a = findings.analyse({"d": df}, {"d": "key"}, {"d": ["unit_cost", "gappy"]})
     recs = recommend.recommendations(a).collect()
-    assert [r["rank"] for r in recs] == [1, 2]
+    assert [(r["rank"], r["kind"]) for r in recs] == [(1, "trend"), (2, "missing"), (3, "monitoring"), (4, "targets")]
     assert (recs[0]["kind"], recs[0]["direction"], recs[0]["column"]) == ("trend", "increase", "unit_cost")
     assert (recs[1]["kind"], recs[1]["column"], recs[1]["score"]) == ("missing", "gappy", 18.0)
 

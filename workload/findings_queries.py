@@ -594,7 +594,8 @@ def findings_table(spark, sf):
  UNION ALL SELECT pos, 2, ordinal, abs(std / mean) * 50, 'volatility', dataset, "column", NULL, abs(std / mean) * 100
   FROM all_stats WHERE mean <> 0 AND abs(std / mean) * 100 > 80
  UNION ALL SELECT pos, 3, 0, 15 + least(sum(nulls), 100) / 10, 'missing', dataset,
-  arg_min("column", -nulls * 1000 + ordinal), NULL, sum(nulls) FROM all_nulls GROUP BY pos, dataset),
+  arg_min("column", -nulls * 1000 + ordinal), NULL, sum(nulls) FROM all_nulls GROUP BY pos, dataset
+ UNION ALL SELECT 1000, 4, o, 0, k, NULL, NULL, NULL, NULL FROM (VALUES (0, 'monitoring'), (1, 'targets'), (2, 'definitions'), (3, 'schedule')) AS g(o, k)),
  f AS (SELECT *, row_number() OVER (PARTITION BY kind, "column" ORDER BY score DESC, pos, ord, ordinal) AS nth FROM c)
  SELECT CAST(row_number() OVER (ORDER BY score DESC, pos, ord, ordinal) AS INT) AS "rank", round(score, 4) AS score, kind, dataset, "column",
  CAST(direction AS VARCHAR) AS direction, round("value", 4) AS "value" FROM f WHERE nth = 1 ORDER BY score DESC, pos, ord, ordinal LIMIT 4""",
