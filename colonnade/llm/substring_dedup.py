@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from colonnade.session import stage
 LENGTH = 200
 #: Bytes of an anchor.
 GRAM = 16
-#: Anchors with more occurrences are resolved by hashes of whole strings instead of in one group.
+#: The contexts of anchors with more occurrences are cut into parts before they are sorted, so that no group is larger.
 HOT = 20_000
 #: Up to so many repeated anchors are broadcast; more are joined.
 BROADCAST_ANCHORS = 4_000_000
@@ -118,27 +119,22 @@ def _all_anchors(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("low", "high", "text").mapInArrow(run, _PLACES)
 
 
-_CONTEXTS = (
-    "anchor long, hot boolean, low long, high long, place int, before int, times int, context binary"
-)
+Occurrence = tuple[int, int, int, int, int, int, bytes]  # anchor, low, high, copies, place, before, context
+Reader = Callable[[Iterable[pa.RecordBatch], "bool | None"], Iterator[list[Occurrence]]]
 
 
-def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["anchor", "hot", "low", "high", "place", "before", "times", "context"]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    columns = zip(*rows) if rows else [[]] * 8
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
-
-
-def _contexts(texts: DataFrame, repeated: DataFrame, length: int, hot: int, broadcast_anchors: int) -> DataFrame:
-    """What surrounds each occurrence of a repeated anchor: the bytes of all strings it stands for."""
+def _occurrences(
+    texts: DataFrame, repeated: DataFrame, length: int, hot: int, broadcast_anchors: int
+) -> tuple[DataFrame, Reader]:
+    """A frame, and a function from its batches to the occurrences of repeated anchors: all, those of anchors met over
+    `hot` times, or the others.  An occurrence's context is the bytes of all strings it stands for."""
     if repeated.count() <= broadcast_anchors:
         known = repeated.select("anchor", (F.col("n") > hot).alias("hot")).toArrow().sort_by("anchor")
         index = texts.sparkSession.sparkContext.broadcast(
             (known.column("anchor").to_numpy(), known.column("hot").to_numpy())
         )
 
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def look_up(batches: Iterable[pa.RecordBatch], which: bool | None) -> Iterator[list[Occurrence]]:
             wanted, is_hot = index.value
             for whole in batches:
                 for batch in portions(whole, 1 << 21):
@@ -149,12 +145,15 @@ def _contexts(texts: DataFrame, repeated: DataFrame, length: int, hot: int, broa
                             continue
                         found, place, first, last = anchors(raw, length)
                         at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-                        for k in np.flatnonzero(wanted[at] == found).tolist():
+                        taken = wanted[at] == found
+                        if which is not None:
+                            taken &= is_hot[at] == which
+                        for k in np.flatnonzero(taken).tolist():
                             p, a, b = int(place[k]), int(first[k]), int(last[k])
-                            rows.append((int(found[k]), bool(is_hot[at[k]]), low, high, p, p - a, copies, raw[a : b + length]))
-                    yield _context_batch(rows)
+                            rows.append((int(found[k]), low, high, copies, p, p - a, raw[a : b + length]))
+                    yield rows
 
-        return texts.select("low", "high", "text").mapInArrow(run, _CONTEXTS)
+        return texts.select("low", "high", "text"), look_up
 
     places = spread_join(
         _all_anchors(texts, length), repeated, ["anchor"], ["low", "high", "place"]
@@ -162,22 +161,95 @@ def _contexts(texts: DataFrame, repeated: DataFrame, length: int, hot: int, broa
         F.collect_set(F.struct("anchor", (F.col("n") > hot).alias("hot"), "place", "first", "last")).alias("places"),
     )
     copies = texts.groupBy("low", "high").agg(F.count("*").cast("int").alias("copies"), F.first("text").alias("text"))
+    joined = stage(copies.join(places, ["low", "high"]).select("low", "high", "copies", "text", "places"))
 
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterable[pa.RecordBatch], which: bool | None) -> Iterator[list[Occurrence]]:
         for whole in batches:
             for batch in portions(whole, 1 << 20):
                 rows = []
                 for low, high, times, text, found in zip(*(c.to_pylist() for c in batch.columns)):
                     raw = text.encode()
                     rows += [
-                        (f["anchor"], f["hot"], low, high, f["place"], f["place"] - f["first"], times,
-                         raw[f["first"] : f["last"] + length])
+                        (f["anchor"], low, high, times, f["place"], f["place"] - f["first"], raw[f["first"] : f["last"] + length])
                         for f in found
+                        if which is None or f["hot"] == which
                     ]
-                yield _context_batch(rows)
+                yield rows
+
+    return joined, cut
+
+
+def _id(before: int, context: bytes) -> bytes:
+    """128 bits that stand for a context and the place of the anchor in it."""
+    return hashlib.blake2b(before.to_bytes(4, "little") + context, digest_size=16).digest()
+
+
+class _Seen:
+    """What a task has passed on lately, so that it passes nothing on a third time: whoever gathers the rows asks only
+    whether a context was met once or more often.  Forgets all beyond a bound, which costs rows and changes no result."""
+
+    def __init__(self, most: int = 1 << 17):
+        self.times: dict = {}
+        self.most = most
+
+    def before(self, key, times: int) -> int:
+        """How often `key` was seen until now."""
+        known = self.times.get(key, 0)
+        if len(self.times) >= self.most and not known:
+            self.times.clear()
+        if known < 2:
+            self.times[key] = known + times
+        return known
+
 
-    joined = copies.join(places, ["low", "high"]).select("low", "high", "copies", "text", "places")
-    return joined.mapInArrow(cut, _CONTEXTS)
+_NODES = "group long, id binary, before int, times int, context binary"
+_KINDS = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+
+
+def _batch(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
+
+
+def _nodes(rows: Iterable[tuple], seen: _Seen) -> pa.RecordBatch | None:
+    """Those (group, id, before, times, context) that tell something new; the bytes only at first sight."""
+    kept = []
+    for group, key, before, times, context in rows:
+        known = seen.before(key, times)
+        if known < 2:
+            kept.append((group, key, before, times, None if known else context))
+    return _batch(kept, _KINDS, ["group", "id", "before", "times", "context"]) if kept else None
+
+
+def _contexts(source: DataFrame, read: Reader, which: bool) -> DataFrame:
+    """The different contexts of hot or of other anchors, combined within each task: a row with the bytes, and perhaps
+    more with the same id that only count."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for rows in read(batches, which):
+            out = _nodes(((anchor, _id(before, c), before, copies, c) for anchor, _, _, copies, _, before, c in rows), seen)
+            if out:
+                yield out
+
+    return source.mapInArrow(run, _NODES)
+
+
+def _places(source: DataFrame, read: Reader) -> DataFrame:
+    """`id` of the context, `low`, `high` and `place` of every occurrence; a task names each text once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+        for rows in read(batches, None):
+            out = [
+                (_id(before, context), low, high, place)
+                for _, low, high, _, place, before, context in rows
+                if not seen.before((low, high, place), 1)
+            ]
+            if out:
+                yield _batch(out, kinds, ["id", "low", "high", "place"])
+
+    return source.mapInArrow(run, "id binary, low long, high long, place int")
 
 
 def resolve(contexts: list[bytes], before: list[int], length: int) -> list[tuple[int, int] | None]:
@@ -217,98 +289,135 @@ def resolve(contexts: list[bytes], before: list[int], length: int) -> list[tuple
     return [(int(a), int(b)) if a >= 0 else None for a, b in zip(reach_left, reach_right)]
 
 
-_SPANS = "low long, high long, start int, end int"
+_REACH = "id binary, left int, right int"
 
 
-def _spans_of_groups(contexts: DataFrame, length: int) -> DataFrame:
-    """Repeated stretches around the occurrences of anchors, group by group in sorted partitions.
-
-    Occurrences of one context stand together: from the second on they are passed on as they come, so that a group
-    holds its different contexts only."""
+def _reach_of_groups(contexts: DataFrame, length: int) -> DataFrame:
+    """How far repeated strings reach to the left and right of the anchor in each context, group by group in sorted
+    partitions.  A group holds its different contexts only; one met twice is repeated as a whole."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans: list[tuple[int, int, int, int]] = []
-        anchor = last = None
-        held: list[tuple] = []  # (low, high, place, before, context)
-        repeated: list[bool] = []
-
-        def span(entry, to_left, to_right):
-            spans.append((entry[0], entry[1], entry[2] - to_left, entry[2] + to_right))
+        reached: list[tuple] = []
+        group = None
+        held: list[list] = []  # [id, before, times, context]
 
         def close():
-            if len(held) > 1 and not all(repeated):
+            whole = [times > 1 for _, _, times, _ in held]
+            for again, (key, before, _, context) in zip(whole, held):
+                if again:
+                    reached.append((key, before, len(context) - before))
+            if len(held) > 1 and not all(whole):
                 if len(held) == 2:
-                    (a, b), (x, y) = ([h[k] for h in held] for k in (4, 3))
+                    (a, b), (x, y) = ([h[k] for h in held] for k in (3, 1))
                     right, left = common(a[x:], b[y:]), common(a[:x][::-1], b[:y][::-1])
                     reach = [(left, right)] * 2 if left + right >= length else [None] * 2
                 else:
-                    reach = resolve([h[4] for h in held], [h[3] for h in held], length)
-                for entry, again, found in zip(held, repeated, reach):
+                    reach = resolve([h[3] for h in held], [h[1] for h in held], length)
+                for again, entry, found in zip(whole, held, reach):
                     if found and not again:
-                        span(entry, *found)
+                        reached.append((entry[0], *found))
             held.clear()
-            repeated.clear()
 
         def written():
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([s[k] for s in spans], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
-                ["low", "high", "start", "end"],
-            )
-            spans.clear()
+            out = _batch(reached, [pa.binary(), pa.int32(), pa.int32()], ["id", "left", "right"])
+            reached.clear()
             return out
 
         for batch in batches:
-            for found, low, high, place, before, times, context in zip(*(c.to_pylist() for c in batch.columns)):
-                if found != anchor:
+            for at, key, before, times, context in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != group:
                     close()
-                    anchor, last = found, None
-                entry = (low, high, place, before, context)
-                if last is not None and last == (before, context):
-                    if not repeated[-1]:
-                        repeated[-1] = True
-                        span(held[-1], before, len(context) - before)
-                    span(entry, before, len(context) - before)
+                    group = at
+                if held and held[-1][0] == key:
+                    held[-1][2] += times
+                    held[-1][3] = held[-1][3] if context is None else context
                 else:
-                    last = (before, context)
-                    held.append(entry)
-                    repeated.append(times > 1)
-                    if times > 1:
-                        span(entry, before, len(context) - before)
-            if spans:
+                    held.append([key, before, times, context])
+            if reached:
                 yield written()
         close()
-        if spans:
+        if reached:
             yield written()
 
-    columns = ["anchor", "low", "high", "place", "before", "times", "context"]
-    dealt = contexts.select(*columns).repartition("anchor").sortWithinPartitions("anchor", "before", "context")
-    return dealt.mapInArrow(run, _SPANS)
+    columns = ["group", "id", "before", "times", "context"]
+    dealt = contexts.select(*columns).repartition("group").sortWithinPartitions("group", "id")
+    return dealt.mapInArrow(run, _REACH)
 
 
-def _spans_of_strings(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many occurrences: whole strings meet by 128 bits of hash, combined before the
-    shuffle, so no group is gathered."""
+def parts(before: int, context: bytes, length: int, width: int) -> Iterator[tuple[int, int, bytes]]:
+    """A context cut by how many bytes its strings have ahead of the anchor, `width` such numbers at a time: a hash of
+    the bytes that all strings of the part share with any equal one, and the part's own `before` and context."""
+    lowest = length - (len(context) - before)
+    for start in range(max(lowest, 0) // width * width, before + 1, width):
+        low, high = max(start, lowest), min(start + width - 1, before)
+        end = min(start + width - 1, length - 1)
+        shared = hashlib.blake2b(
+            start.to_bytes(4, "little") + context[before - start : before + length - end], digest_size=8
+        ).digest()
+        yield int.from_bytes(shared, "little", signed=True), high, context[before - high : before + length - low]
+
+
+#: How many places of the anchor within a string are taken together when groups are split, step by step.
+WIDTHS = (24, 3, 1)
+
+
+def _merged(nodes: DataFrame) -> DataFrame:
+    """One row for each context, with its bytes and its count."""
+    return nodes.groupBy("group", "id").agg(
+        F.first("before").alias("before"), F.sum("times").alias("times"), F.first("context", ignorenulls=True).alias("context")
+    ).select("group", "id", "before", F.least("times", F.lit(2)).cast("int").alias("times"), "context")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
 
+def _reach_of_large(nodes: DataFrame, length: int, hot: int, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """The same for contexts whose groups are too large to be held.
+
+    Each context is cut into parts (see `parts`), which meet in groups of their own: equal strings lie in equal parts'
+    groups, and what differs outside a part no longer tells contexts apart.  Groups still too large are cut finer; at
+    a width of 1 a part is one string, and equal strings are one row.  A context reaches as far as any of its parts."""
+    width, finer = widths[0], widths[1:]
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            found = (
+                (group, _id(b, part), b, times, part)
+                for before, times, context in rows
+                for group, b, part in parts(before, context, length, width)
+            )
+            out = _nodes(found, seen)
+            if out:
+                yield out
+
+    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[] for _ in range(6)]
-            for low, high, place, before, times, context in zip(*(c.to_pylist() for c in batch.columns)):
-                for at in range(len(context) - length + 1):
-                    digest = hashlib.blake2b(context[at : at + length], digest_size=16).digest()
-                    one, two = (int.from_bytes(digest[k : k + 8], "little", signed=True) for k in (0, 8))
-                    for o, v in zip(out, (one, two, low, high, place - before + at, times)):
-                        o.append(v)
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds)], ["one", "two", "low", "high", "start", "times"])
-
-    strings = contexts.select("low", "high", "place", "before", "times", "context").mapInArrow(
-        run, "one long, two long, low long, high long, start int, times int"
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            out = [(key, _id(b, part)) for key, before, context in rows for _, b, part in parts(before, context, length, width)]
+            if out:
+                yield _batch(out, [pa.binary(), pa.binary()], ["whole", "id"])
+
+    cuts = stage(_merged(nodes.select("before", "times", "context").mapInArrow(cut, _NODES)))
+    if finer:
+        large = stage(cuts.groupBy("group").count().filter(F.col("count") > hot).select("group", F.lit(True).alias("large")))
+        if large.limit(1).count():
+            each = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+            dealt = cuts.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(8)).cast("int"))
+            cuts = stage(dealt.join(each, ["group", "salt"], "left").drop("salt"))
+            reach = _reach_of_groups(cuts.filter("large IS NULL"), length).unionByName(
+                _reach_of_large(cuts.filter("large"), length, hot, finer)
+            )
+        else:
+            reach = _reach_of_groups(cuts, length)
+    else:
+        reach = cuts.filter("times > 1").select("id", F.col("before").alias("left"), (F.lit(length) - F.col("before")).alias("right"))
+    links = nodes.filter("times = 1").select("id", "before", "context").mapInArrow(link, "whole binary, id binary")
+    reached = spread_join(links, reach, ["id"], ["whole"]).groupBy(F.col("whole").alias("id")).agg(
+        F.max("left").alias("left"), F.max("right").alias("right")
     )
-    again = strings.groupBy("one", "two").agg(F.sum("times").alias("n")).filter("n > 1").select("one", "two")
-    met = spread_join(strings, again, ["one", "two"], ["low", "high", "start"])
-    return met.select("low", "high", "start", (F.col("start") + length).alias("end"))
+    twice = nodes.filter("times > 1").select(
+        "id", F.col("before").alias("left"), (F.octet_length("context") - F.col("before")).alias("right")
+    )
+    return reached.unionByName(twice)
 
 
 def find_repeats(
@@ -322,16 +431,21 @@ def find_repeats(
     empty texts, and those of fewer than `length` bytes, have no spans.  Equal texts get equal results; null ids give a
     row each; other columns are not read.
 
-    Anchors (see `anchors`) that occur once are dropped; around the others, the suffixes of each anchor's occurrences are
-    sorted (see `resolve`).  `length` is at least 2.
+    Anchors (see `anchors`) that occur once are dropped; around the others, the suffixes of each anchor's different
+    contexts are sorted (see `resolve`), after those of anchors with over `hot` occurrences were cut into parts (see
+    `_reach_of_large`).  `length` is at least 2.
     """
     texts = _texts(docs, id_column, text_column)
     counted = _all_anchors(texts, length).groupBy("anchor").agg(F.sum("times").alias("n"))
     repeated = stage(counted.filter("n > 1"))
-    contexts = _contexts(texts, repeated, length, hot, broadcast_anchors)
-    spans = _spans_of_groups(contexts.filter("not hot"), length)
+    source, read = _occurrences(texts, repeated, length, hot, broadcast_anchors)
+    reach = _reach_of_groups(_contexts(source, read, False), length)
     if repeated.filter(F.col("n") > hot).limit(1).count():
-        spans = spans.unionByName(_spans_of_strings(contexts.filter("hot"), length))
+        large = stage(_merged(_contexts(source, read, True)))
+        reach = reach.unionByName(_reach_of_large(large, length, hot))
+    spans = spread_join(_places(source, read), reach, ["id"], ["low", "high", "place"]).select(
+        "low", "high", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end")
+    )
     found = spans.groupBy("low", "high").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     salts = 8
     each = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
