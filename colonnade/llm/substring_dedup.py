@@ -15,8 +15,8 @@ from colonnade.llm.suffix_sort import common, sorted_with_shared
 from colonnade.session import stage
 
 LENGTH = 200
-#: Bytes of an anchor.
-GRAM = 16
+#: Bytes of an anchor: longer ones repeat less often by chance, shorter ones stand farther apart.
+GRAM = 32
 #: The contexts of anchors with more occurrences are cut into parts before they are sorted, so that no group is larger.
 HOT = 20_000
 #: Up to so many repeated anchors are broadcast; more are joined.
