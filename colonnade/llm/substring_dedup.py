@@ -443,7 +443,7 @@ def find_repeats(
     if repeated.filter(F.col("n") > hot).limit(1).count():
         large = stage(_merged(_contexts(source, read, True)))
         reach = reach.unionByName(_reach_of_large(large, length, hot))
-    spans = spread_join(_places(source, read), reach, ["id"], ["low", "high", "place"]).select(
+    spans = spread_join(_places(source, read), reach, ["id"], ["low", "high", "place"], salts=4).select(
         "low", "high", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("end")
     )
     found = spans.groupBy("low", "high").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
