@@ -29,14 +29,26 @@ CLASSES = {
     "entropy_hex": (re.compile(r"[0-9a-fA-F]+"), 20, 3.0),
     "entropy_base64": (re.compile(r"[A-Za-z0-9+/_-]+"), 20, 3.9),
 }
-#: Stretches that look random and are none: UUIDs, dates and times, joined words with a number, plain numbers.
+
+
+def _beginning(row: str, least: int) -> str:
+    """A pattern for the first `least` or more characters of a row."""
+    pattern = ""
+    for character in reversed(row[least:]):
+        pattern = f"(?:{character}{pattern})?"
+    return row[:least] + pattern
+
+
+_ROWS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "1234567890")
+#: Stretches that look random and are none: UUIDs, dates and times, joined words with a number, plain numbers, the
+#: alphabet and digits in order.  None is open at an end, so that nothing hides behind them.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"[0-9]{4}-[0-9]{2}-[0-9]{2}.*",
+    r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T/_-][0-9]{1,6})*Z?(?:[/_-][A-Za-z]+)*/?",
     r"(?:[A-Z]?[a-z]+|[A-Z]+)(?:[-_/][A-Za-z]+)*[-_/]?[0-9]{1,8}(?:[-_/][0-9]{1,8})*/?",
     r"(?:[A-Za-z]+|[0-9]{1,5})(?:[-_/](?:[A-Za-z]+|[0-9]{1,5}))+/?",
     r"[0-9+/_-]+",
-    r".*(?:abcdefgh|ABCDEFGH|0123456789|1234567890).*",
+    "(?:(?:" + "|".join(_beginning(row, 8) for row in _ROWS) + ")[+/_-]{0,2})+",
 )
 
 
@@ -94,7 +106,11 @@ class Scanner:
             for kind, (members, width, least) in self.classes.items():
                 for run in members.finditer(m[0]):
                     base = m.start() + run.start()
-                    spans += [(base + a, KINDS.index(kind), base + b) for a, b in windows_above(run[0], width, least)]
+                    spans += [
+                        (base + a, KINDS.index(kind), base + b)
+                        for a, b in windows_above(run[0], width, least)
+                        if not (self.allowed and self.allowed.fullmatch(run[0][a:b]))
+                    ]
         return spans
 
 
@@ -110,8 +126,8 @@ def scan_secrets(
     joined by commas; the first is the SHA-256 of the known shapes' part).
 
     The entropy test slides a window over every candidate, once for each character class, and keeps the maximal
-    stretches of windows above the class's limit, unless the whole candidate fits an `allowed` pattern.  A null
-    or empty text has no spans; equal rows and null ids give a row each; other columns are not read.
+    stretches of windows above the class's limit, unless the stretch or the whole candidate fits an `allowed`
+    pattern.  A null or empty text has no spans; equal rows and null ids give a row each; other columns are not read.
     """
 
     def prepare():

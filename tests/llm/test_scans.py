@@ -71,6 +71,27 @@ def test_secrets_of_odd_texts(spark):
     assert not any(added[t] for t in made[-3:])
 
 
+@pytest.mark.parametrize("before", ["", "2024-01-01/dump/", "2024-01-01T00-", "v/0123456789/", "abcdefgh-", "build_12/"])
+def test_planted_keys(before):
+    rng, scanner = random.Random(4), secrets.Scanner()
+    symbols = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    found = 0
+    for _ in range(200):
+        text = f"see {before}{''.join(rng.choices(symbols, k=40))} there"
+        start, end = 4 + len(before), len(text) - 6
+        found += any(a <= start + 10 and b >= end - 10 for a, _, b in scanner.random(text))
+    assert found >= 190
+
+
+def test_no_secrets():
+    plain = [
+        "2024-01-01/11111111/22/archive/files/list", "2024-01-02T030405Z", "abcdefghijklmnopqrstuvwxyz0123456789",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "2024-01-01" + "1" * 5_000 + "x",
+        "12345678901234567890", "550e8400-e29b-41d4-a716-446655440000", "report-of-the-second-quarter-2024/12",
+    ]
+    assert [t for t in plain if secrets.Scanner().random(t)] == []
+
+
 def test_secrets_null_ids_repeats_and_clashes(spark):
     rows = [(None, "token=abcdef", 1), (5, "x", 2), (5, "x", 2)]
     got = secrets.scan_secrets(frame(spark, rows, ", spans long")).collect()
