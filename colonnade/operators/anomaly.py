@@ -90,46 +90,46 @@ def path_lengths(x: np.ndarray, trees: list, levels: int) -> np.ndarray:
     return total
 
 
-def _draw(rows: DataFrame, key: Column, names: list[str], n: int, trees: int, sample: int, seed: int) -> DataFrame:
-    """(tree, h, features): up to `sample` rows per tree.  Membership hangs on the row key alone, so
-    neither the partitioning nor a retry changes it."""
-    features = [F.col(c).alias(f"x{i}") for i, c in enumerate(names)]
-    margin = 1.5
-    scale = float(1 << 53)
-
-    def uniform(*parts) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11).cast("double") / scale
-
-    if n <= 4 * trees * sample:
-        # Small data: every tree draws from all rows.
-        drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        drawn = drawn.withColumn("h", uniform(F.col("tree"), key))
-        drawn = drawn.where(F.col("h") < min(1.0, margin * sample / n))
-    else:
-        # Large data: one draw for all trees, then each drawn row goes to one tree.
-        picked = rows.withColumn("p", uniform(F.lit("pick"), key))
-        picked = picked.where(F.col("p") < min(1.0, margin * sample * trees / n))
-        drawn = picked.withColumns(
-            {
-                "tree": F.pmod(F.xxhash64(F.lit(seed), F.lit("tree"), key), F.lit(trees)).cast("int"),
-                "h": uniform(F.lit("order"), key),
-            }
-        )
-    # Rows that share their key and values are drawn together.  They are counted before any tree is
-    # gathered and come back as at most `sample` copies, so repeats cannot flood a tree.
+def _draw(
+    rows: DataFrame, key: Column, names: list[str], n: int, trees: int, sample: int, seed: int, unique: bool = True
+) -> DataFrame:
+    """(tree, features): of every tree the `sample` rows with the least draws, a draw being an exponential number
+    hashed from tree and key.  The same at every size, and neither the partitioning nor a retry changes it.
+
+    Where the key is not `unique`, equal rows are counted first; of m equal rows the least draw is the first one's
+    divided by m, and the next ones follow in steps that are divided by m - 1, m - 2 and so on."""
     points = [f"x{i}" for i in range(len(names))]
-    counted = drawn.select("tree", "h", *features).groupBy("tree", "h", *points).agg(F.count(F.lit(1)).alias("m"))
-    copies = F.explode(F.sequence(F.lit(1), F.least(F.col("m"), F.lit(sample)).cast("int")))
-    order = Window.partitionBy("tree").orderBy("h", *points, "copy")
-    spread = counted.withColumn("copy", copies).drop("m")
-    return spread.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample)
+    values = rows.select(key.alias("k"), *[F.col(c).alias(x) for c, x in zip(names, points)])
+    if unique:
+        counted = values.withColumn("m", F.lit(1))
+    else:
+        counted = values.withColumn("k", F.xxhash64("k", *points)).groupBy("k", *points).agg(F.count(F.lit(1)).alias("m"))
+    # Only draws that can be among the least go on: eight deviations above the expected number of them.
+    rate = min(1.0, (sample + 8 * math.sqrt(sample) + 16) / n)
+
+    def uniform(*copy: str) -> Column:
+        hashed = F.xxhash64(F.lit(seed), "tree", "k", *copy)
+        return F.shiftrightunsigned(hashed, 11).cast("double") / float(1 << 53)
+
+    each = counted.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    near = each.where(uniform() < (F.lit(rate) if unique else 1 - F.pow(F.lit(1 - rate), F.col("m"))))
+    # Rows that share key and values come together, and as at most `sample` copies, so that they cannot flood a tree.
+    met = near.groupBy("tree", "k", *points).agg(F.sum("m").alias("m"))
+    copies = met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("m"), F.lit(sample)).cast("int"))))
+    turn = F.when(F.col("copy") == 1, uniform()).otherwise(uniform("copy"))
+    step = -F.log1p(-turn) / (F.col("m") - F.col("copy") + 1)
+    upward = Window.partitionBy("tree", "k", *points).orderBy("copy").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("tree").orderBy("draw", "k", *points, "copy")
+    drawn = copies.withColumn("draw", F.sum(step).over(upward))
+    return drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("tree", "r", *points)
 
 
 def isolation_forest(
     df: DataFrame,
-    key: str | Sequence[str],
+    key: str | Sequence[str] | None = None,
     features: Sequence[str] | None = None,
     *,
+    unique: bool = True,
     contamination: float = config.CONTAMINATION,
     trees: int = config.FOREST_TREES,
     sample: int = config.FOREST_SAMPLE,
@@ -137,15 +137,16 @@ def isolation_forest(
     direct_rows: int = config.DIRECT_ROWS,
 ) -> DataFrame:
     """Rows complete in the features with `anomaly_score` in (0, 1) and `status`: the rows scoring
-    above the (1 - contamination) quantile are anomalies.  `key` names columns that tell rows apart."""
-    keys = [key] if isinstance(key, str) else list(key)
+    above the (1 - contamination) quantile are anomalies.  `key` names columns that tell rows apart;
+    without it, or where it is not `unique`, rows equal in key and features are told apart by number."""
+    keys = [key] if isinstance(key, str) else list(key or [])
     names = list(features) if features is not None else [c for c in numeric_columns(df) if c not in keys]
     if not names:
         raise ValueError("no numeric feature")
     held = reduce(and_, [is_present(df, c) for c in names])
     rows = df.where(held)
     plain = rows.select(
-        *[F.xxhash64(*[quoted(k) for k in keys]).alias(KEY)],
+        (F.xxhash64(*[quoted(k) for k in keys]) if keys else F.lit(0)).alias(KEY),
         *[as_double(df, c).alias(f"f{i}") for i, c in enumerate(names)],
     )
     inputs = [f"f{i}" for i in range(len(names))]
@@ -165,7 +166,7 @@ def isolation_forest(
         out.insert(0, "tree", tree)
         return out
 
-    drawn = _draw(plain, F.col(KEY), inputs, n, trees, sample, seed)
+    drawn = _draw(plain, F.col(KEY), inputs, n, trees, sample, seed, unique and bool(keys))
     # At most 2 * sample nodes per tree: the whole forest is a few megabytes at any data size.
     forest = drawn.groupBy("tree").applyInPandas(train, _NODE_SCHEMA).toPandas()
     packed = [lay_out(nodes, levels) for _, nodes in forest.groupby("tree")]
@@ -190,11 +191,8 @@ def _numeric_part(name: str, df: DataFrame, key: str | Sequence[str] | None) ->
     names = [c for c in numeric_columns(df) if c != SOURCE]
     if not names:
         return None
-    if key is None:
-        # Without a key equal rows could not be told apart, and the draw would take all or none.
-        told_apart = [F.monotonically_increasing_id()]
-    else:
-        told_apart = [quoted(k) for k in ([key] if isinstance(key, str) else key)]
+    told_apart = names if key is None else [key] if isinstance(key, str) else key
+    told_apart = [quoted(k) for k in told_apart]
     tag = F.xxhash64(F.lit(name), *told_apart).alias(KEY)
     part = nan_to_null(df.select(tag, *[quoted(c) for c in names])).na.drop(subset=names)
     return part.withColumn(SOURCE, F.lit(name))
@@ -204,8 +202,8 @@ def unified_anomaly(
     datasets: dict[str, DataFrame], keys: dict[str, str | Sequence[str]] | None = None, **options
 ) -> tuple[DataFrame, list[str]]:
     """The numeric rows of all datasets, complete within their dataset, scored by one forest on the
-    columns common to all; or by a forest per dataset where none is common.  Without a key rows are
-    told apart by their place in the input.  Returns the scored rows and the common columns."""
+    columns common to all; or by a forest per dataset where none is common.  Without a key equal rows
+    are told apart by number.  Returns the scored rows and the common columns."""
     keys = keys or {}
     parts = {n: _numeric_part(n, df, keys.get(n)) for n, df in datasets.items()}
     parts = {n: p for n, p in parts.items() if p is not None}
@@ -215,7 +213,8 @@ def unified_anomaly(
     if not common:
         return isolation_forest_per_source(datasets, keys, **options), []
     pooled = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts.values())
-    return isolation_forest(pooled, KEY, common, **options).drop(KEY), common
+    unique = all(keys.get(n) is not None for n in parts)
+    return isolation_forest(pooled, KEY, common, unique=unique, **options).drop(KEY), common
 
 
 def isolation_forest_per_source(
@@ -228,7 +227,7 @@ def isolation_forest_per_source(
         part = _numeric_part(name, df, keys.get(name))
         if part is not None:
             features = [c for c in part.columns if c not in (KEY, SOURCE)]
-            scored.append(isolation_forest(part, KEY, features, **options).drop(KEY))
+            scored.append(isolation_forest(part, KEY, features, unique=keys.get(name) is not None, **options).drop(KEY))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scored)
 
 

@@ -40,6 +40,43 @@ def test_large_draw_serves_every_tree(spark):
     assert scored.where(f"{anomaly.STATUS} = 'Anomaly'").count() == pytest.approx(n * 0.05, rel=0.1)
 
 
+@pytest.mark.parametrize("n", [3 * 40, 5 * 40, 60 * 40])
+def test_draw_is_the_least_of_all(spark, n):
+    """Below and above four times what all trees hold, each tree has just the rows of least draw."""
+    trees, sample = 10, 4
+    rows = spark.range(n).select(F.col("id").alias("_key"), F.col("id").cast("double").alias("f0"))
+    for parts in (1, 8, 200):
+        drawn = anomaly._draw(rows.repartition(parts), F.col("_key"), ["f0"], n, trees, sample, 42)
+        got = {}
+        for r in drawn.collect():
+            got.setdefault(r["tree"], set()).add(int(r["x0"]))
+        each = spark.range(trees).withColumnRenamed("id", "t").crossJoin(rows).select(
+            F.col("t").cast("int"), "_key", F.shiftrightunsigned(F.xxhash64(F.lit(42), F.col("t").cast("int"), "_key"), 11).alias("u")
+        )
+        least = {}
+        for r in sorted(each.collect(), key=lambda r: r["u"]):
+            if len(least.setdefault(r["t"], set())) < sample:
+                least[r["t"]].add(r["_key"])
+        assert got == least
+
+
+def test_equal_rows_are_drawn_by_number(spark):
+    """A value that two thirds of the rows share makes up two thirds of what trees without a key see."""
+    n, trees, sample = 3_000, 40, 64
+    rows = spark.range(n).select(F.lit(0).alias("_key"), F.when(F.col("id") % 3 > 0, -1.0).otherwise(F.col("id").cast("double")).alias("f0"))
+    one, many = (anomaly._draw(rows.repartition(p), F.col("_key"), ["f0"], n, trees, sample, 7, False).collect() for p in (1, 23))
+    assert sorted(one) == sorted(many) and len(one) == trees * sample
+    assert np.mean([r["x0"] == -1 for r in one]) == pytest.approx(2 / 3, abs=0.05)
+
+
+def test_no_key_and_any_partitioning(spark):
+    df = spark.createDataFrame(cloud())
+    one = anomaly.isolation_forest(df, None, ["a", "b"])
+    other = anomaly.isolation_forest(df.repartition(13, "b"), None, ["a", "b"])
+    assert flags(one) == flags(other)
+    assert flags(anomaly.unified_anomaly({"d": df})[0]) == flags(anomaly.unified_anomaly({"d": df.repartition(7, "a")})[0])
+
+
 def test_tree_isolates_every_point():
     x = np.array([[0.0], [1.0], [2.0], [50.0]])
     levels = 2
