@@ -57,6 +57,33 @@ def test_made_texts(spark, hot, broadcast, length):
     assert sorted(found(got)) == sorted(brute(texts, length))
 
 
+def test_large_groups_are_cut(spark):
+    """Copies that differ in a word each, with groups that fit only when cut to the finest."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(500)}" for _ in range(90)]
+    texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(0, 90, 4)] * 2
+    texts += [" ".join(base[k : k + 50]) for k in range(0, 40, 3)] + ["own " * 9 + "text", None]
+    rows = list(enumerate(texts))
+    got = substring_dedup.find_repeats(frame(spark, rows), 200, hot=2).collect()
+    assert sorted(found(got)) == sorted(brute(rows))
+
+
+@pytest.mark.parametrize("width", [1, 3, 24])
+def test_parts_hold_every_string_once(width):
+    rng = random.Random(width)
+    length, seen = 40, Counter()
+    for _ in range(30):
+        before, after = rng.randint(0, 24), rng.randint(0, 24)
+        after = max(after, length - before)
+        context = bytes(rng.choices(b"ab", k=before + after))
+        strings = [context[at : at + length] for at in range(len(context) - length + 1)]
+        cut = []
+        for _, ahead, part in substring_dedup.parts(before, context, length, width):
+            cut += [part[at : at + length] for at in range(len(part) - length + 1)]
+            assert len(part) - length < width and ahead <= before
+        assert Counter(cut) == Counter(strings)
+
+
 def test_documents(spark, sf):
     texts = [(r.doc_id, r.text) for r in queries.table(spark, sf, "documents").collect()]
     got = substring_dedup.find_repeats(queries.table(spark, sf, "documents")).collect()
