@@ -37,6 +37,13 @@ def label_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counted.select(place["i"].alias("ordinal"), place["c"].alias("column"), "label", "n")
 
 
+def with_lengths(labels: DataFrame) -> DataFrame:
+    """Labels with the lengths (`lengths`) there are in their column: one row a column is broadcast, of short labels only."""
+    some = labels.where(F.length("label") <= SHORT_LABEL)
+    each = some.groupBy("column").agg(F.array_sort(F.collect_set(F.length("label"))).alias("lengths"))
+    return labels.join(F.broadcast(each), "column")
+
+
 def _without(text: Column, place: Column) -> Column:
     """The text without the character at the place; whole where the place is 0."""
     return F.when(place == 0, text).otherwise(
@@ -84,16 +91,19 @@ def near_candidates(labels: DataFrame, short: bool = True) -> DataFrame:
     """(column, p, q, edits) of labels of one column at most two edits apart, p < q.
 
     Short labels meet by what is left without two characters (unless they are not asked for), long ones by two intact
-    parts of four: a common start alone brings no two labels together, and no pair can be missed."""
+    parts of four: a common start alone brings no two labels together, and no pair can be missed.
+
+    A small file of labels makes marks of a thousand times its size, and no estimate says so: they are shuffled and merged,
+    never broadcast, so that nothing of them passes the driver."""
     long = labels.where(F.length("label") >= LONG_LABEL - MAX_EDITS)
     here = _two_parts(long, [0], [p for p in _PLACES if p[2] == p[3] == 0])
     probes = _two_parts(long, _SHIFTS, _PLACES).withColumnRenamed("label", "other")
-    found = here.join(probes, ["column", "mark"]).where("label <> other").select(
+    found = here.join(probes.hint("merge"), ["mark", "column"]).where("label <> other").select(
         "column", F.least("label", "other").alias("p"), F.greatest("label", "other").alias("q")
     )
     if short:
         marks = _deletions(labels)
-        met = marks.alias("x").join(marks.alias("y"), ["column", "mark"]).where("x.label < y.label")
+        met = marks.alias("x").join(marks.alias("y").hint("merge"), ["mark", "column"]).where("x.label < y.label")
         found = met.select("column", F.col("x.label").alias("p"), F.col("y.label").alias("q")).union(found)
     # Several marks and both directions may lead to one pair.
     return (
@@ -110,8 +120,8 @@ def near_pairs(labels: DataFrame, limit: int | None = None) -> DataFrame:
     labels = labels.where(F.length("label") >= MIN_LABEL)
     near = near_candidates(labels)
     counts = labels.select("column", "label", "n", "ordinal")
-    near = near.join(counts.withColumnsRenamed({"label": "p", "n": "n_p"}), ["column", "p"])
-    near = near.join(counts.drop("ordinal").withColumnsRenamed({"label": "q", "n": "n_q"}), ["column", "q"])
+    near = near.join(counts.withColumnsRenamed({"label": "p", "n": "n_p"}).hint("merge"), ["column", "p"])
+    near = near.join(counts.drop("ordinal").withColumnsRenamed({"label": "q", "n": "n_q"}).hint("merge"), ["column", "q"])
     first = F.col("n_p") >= F.col("n_q")
     pairs = near.select(
         "ordinal", "column", F.when(first, F.col("p")).otherwise(F.col("q")).alias("a"),

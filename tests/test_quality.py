@@ -60,6 +60,13 @@ def test_a_common_start_is_no_block(spark):
     assert true < met.select("x.label", "y.label").distinct().count() < 6 * true
 
 
+def test_marks_are_never_broadcast(spark):
+    """A small file of labels makes marks of a thousand times its size, which no estimate tells the planner."""
+    names = spark.range(400).selectExpr("format_string('Customer#%09d', id) AS label")
+    plan = quality.near_duplicate_labels(names)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 4 and "Broadcast" not in plan
+
+
 def test_rating(spark):
     nulls = spark.createDataFrame([("a",)], "column string")
     spikes = spark.createDataFrame([("a", 4.0), ("b", 5.0)], "column string, distance_iqr double")
