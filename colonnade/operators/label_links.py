@@ -10,7 +10,7 @@ and its number of links is a sum of entries of that table, with signs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Collection, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -57,31 +57,39 @@ def entries(a: str) -> Iterator[str]:
             yield _two(i, j + 1, _cut(rest, j))
 
 
-def links(a: str) -> tuple[dict[str, int], int]:
-    """The entries whose counts, with these signs, and a constant add up to the number of labels one or two edits away."""
+def links(a: str, lengths: Collection[int] | None = None) -> tuple[dict[str, int], int]:
+    """The entries whose counts, with these signs, and a constant add up to the number of labels one or two edits away.
+    Every entry counts labels of one length; with `lengths`, those of the column, entries of other lengths are left out."""
     out: dict[str, int] = {}
 
     def add(sign: int, key: str) -> None:
         out[key] = out.get(key, 0) + sign
 
     n = len(a)
+    two_less, one_less, same, one_more, two_more = (lengths is None or n + k in lengths for k in range(-2, 3))
     less = [_cut(a, i) for i in range(n)]
     twice = [a[: i + 1] + a[i:] for i in range(n)]
     here = [_one(i, a) for i in range(n + 1)]
     constant = n * (n - 1) // 2 - n
     for i in range(n):
         # One character replaced, each also taken off by the pairs of places below; one left out; one inserted.
-        add(1 - (n - 1), _one(i, less[i]))
-        if i == 0 or a[i] != a[i - 1]:
+        if same:
+            add(1 - (n - 1), _one(i, less[i]))
+        if one_less and (i == 0 or a[i] != a[i - 1]):
             add(1, _whole(less[i]))
-        add(1, here[i])
-        add(-1, _whole(twice[i]))
-    add(1, here[n])
+        if one_more:
+            add(1, here[i])
+            add(-1, _whole(twice[i]))
+    if one_more:
+        add(1, here[n])
     gone = set()
-    for i in range(n):
+    for i in range(n if same or two_less else 0):
         for j in range(i + 1, n):
             rest = less[i][: j - 1] + a[j + 1 :]
-            gone.add(rest)
+            if two_less:
+                gone.add(rest)
+            if not same:
+                continue
             # Two replaced.
             add(1, _two(i, j, rest))
             if j < i + 2:
@@ -100,7 +108,7 @@ def links(a: str) -> tuple[dict[str, int], int]:
     for rest in gone:
         # Two left out.
         add(1, _whole(rest))
-    for i in range(n):
+    for i in range(n if one_more else 0):
         for j in range(i, n):
             # One inserted and one replaced, in either order.
             add(1, _two(i, j + 1, less[j]))
@@ -112,7 +120,7 @@ def links(a: str) -> tuple[dict[str, int], int]:
                 add(-1, here[j + 1])
                 add(-1, _one(i, a[:i] + a[i + 1 : j + 1] + a[j:]))
                 add(1, _whole(twice[j]))
-    for i in range(n - 1):
+    for i in range(n - 1 if one_less else 0):
         # One left out and one replaced, in either order: side by side, or apart.
         add(1, _one(i, a[:i] + a[i + 2 :]))
         add(-1, _whole(less[i]))
@@ -129,7 +137,7 @@ def links(a: str) -> tuple[dict[str, int], int]:
                 add(-1, _whole(less[j + 1]))
             if first and last and _alike(a[i + 1 : j + 1]):
                 add(-1, _whole(a[:i] + a[i + 1] * (j - i + 1) + a[j + 2 :]))
-    for i in range(n + 1):
+    for i in range(n + 1 if two_more else 0):
         # Two inserted.
         add(1, _two(i, i + 1, a))
         if i < n:
@@ -142,28 +150,34 @@ def links(a: str) -> tuple[dict[str, int], int]:
     return out, constant
 
 
-def ties(a: str) -> Iterator[tuple[bool, str]]:
+def ties(a: str, lengths: Collection[int] | None = None) -> Iterator[tuple[bool, str]]:
     """Sets of labels in which all are at most two edits apart, and whether this one is of the kind it takes one of:
-    left without a character, replaced in two places, left without one and replaced in another, left without two."""
+    left without a character, replaced in two places, left without one and replaced in another, left without two.
+    With `lengths`, those of the column, sets are left out that would join labels of lengths it doesn't have."""
     n = len(a)
-    yield True, "d|" + a
-    yield True, "e|" + a
+    two_less, one_less, one_more, two_more = (lengths is None or n + k in lengths for k in (-2, -1, 1, 2))
+    if one_more:
+        yield True, "d|" + a
+    if two_more:
+        yield True, "e|" + a
     for i in range(n):
         rest = _cut(a, i)
         yield True, "d|" + rest
-        yield True, f"x,{i}|{rest}"
-        if i == 0 or a[i] != a[i - 1]:
+        if one_more:
+            yield True, f"x,{i}|{rest}"
+        if one_less and (i == 0 or a[i] != a[i - 1]):
             for k in range(n - 1):
                 yield False, f"x,{k}|{_cut(rest, k)}"
         for j in range(i, n - 1):
             both = _cut(rest, j)
             yield True, f"w,{i},{j}|{both}"
-            yield False, "e|" + both
+            if two_less:
+                yield False, "e|" + both
 
 
-def _keyed(labels: DataFrame, of: Callable[[str], Iterator[tuple]], extra: str = "") -> DataFrame:
-    """Rows (`id`, `column`, `one`, `two` and one more column) made from every label; `one` and `two` are a 128-bit hash
-    of the key, so that keys don't travel as texts."""
+def _keyed(labels: DataFrame, of: Callable[[str, Collection[int]], Iterator[tuple]], extra: str = "") -> DataFrame:
+    """Rows (`id`, `column`, `one`, `two` and one more column) made from every label and the lengths there are in its
+    column; `one` and `two` are a 128-bit hash of the key, so that keys don't travel as texts."""
     kinds = [n.split() for n in ("key string", extra) if n]
     arrow = {"int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}
 
@@ -172,8 +186,10 @@ def _keyed(labels: DataFrame, of: Callable[[str], Iterator[tuple]], extra: str =
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 columns: list[list] = [[], [], *[[] for _ in kinds]]
-                for i, c, a in zip(*(part.column(k).to_pylist() for k in range(3))):
-                    rows = list(zip(*of(a)))
+                for i, c, a, lengths in zip(*(part.column(k).to_pylist() for k in range(4))):
+                    rows = list(zip(*of(a, lengths)))
+                    if not rows:
+                        continue
                     columns[0] += [i] * len(rows[0])
                     columns[1] += [c] * len(rows[0])
                     for out, more in zip(columns[2:], rows):
@@ -181,7 +197,7 @@ def _keyed(labels: DataFrame, of: Callable[[str], Iterator[tuple]], extra: str =
                 types = [pa.int64(), pa.string(), *[arrow[kind] for _, kind in kinds]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types)], ["id", "column", *[n for n, _ in kinds]])
 
-    rows = labels.select("id", "column", "label").mapInArrow(run, ", ".join(["id long", "column string", *map(" ".join, kinds)]))
+    rows = labels.select("id", "column", "label", "lengths").mapInArrow(run, ", ".join(["id long", "column string", *map(" ".join, kinds)]))
     return rows.select(
         "id", "column", F.xxhash64("key").alias("one"), F.xxhash64(F.lit(1), "key").alias("two"), *[n for n, _ in kinds[1:]]
     )
@@ -191,24 +207,24 @@ def _spread(labels: DataFrame) -> DataFrame:
     """Labels are few megabytes where they make gigabytes of keys: deal them over all cores."""
     spark = labels.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return labels.repartition(parts, "column", "label")
+    return quality.with_lengths(labels).repartition(parts, "column", "label")
 
 
-def _entered(a: str) -> Iterator[tuple]:
+def _entered(a: str, _: Collection[int]) -> Iterator[tuple]:
     return ((key,) for key in entries(a))
 
 
-def _asked(a: str) -> Iterator[tuple]:
-    found, constant = links(a)
+def _asked(a: str, lengths: Collection[int]) -> Iterator[tuple]:
+    found, constant = links(a, lengths)
     # The constant goes with the label's own entry, which is there once.
     found[_whole(a)] = found.get(_whole(a), 0) + constant
     return (row for row in found.items() if row[1])
 
 
-def _tied(a: str) -> Iterator[tuple]:
+def _tied(a: str, lengths: Collection[int]) -> Iterator[tuple]:
     # A label that is of both kinds in one set counts as the one it takes one of.
     kinds: dict[str, bool] = {}
-    for base, key in ties(a):
+    for base, key in ties(a, lengths):
         kinds[key] = kinds.get(key, False) or base
     return iter(kinds.items())
 
@@ -219,8 +235,8 @@ def _long_pairs(labels: DataFrame) -> DataFrame:
     pairs = quality.near_candidates(long, short=False)
     ids = long.select("column", "label", "id")
     pairs = pairs.where((F.length("p") > COUNTED) | (F.length("q") > COUNTED))
-    met = pairs.join(ids.withColumnsRenamed({"label": "p", "id": "u"}), ["column", "p"])
-    return met.join(ids.withColumnsRenamed({"label": "q", "id": "v"}), ["column", "q"]).select("u", "v")
+    met = pairs.join(ids.withColumnsRenamed({"label": "p", "id": "u"}).hint("merge"), ["column", "p"])
+    return met.join(ids.withColumnsRenamed({"label": "q", "id": "v"}).hint("merge"), ["column", "q"]).select("u", "v")
 
 
 @dataclass
@@ -252,7 +268,7 @@ def linked(labels: DataFrame) -> Linked:
     else:
         pairs = empty_table(labels.sparkSession, "u long, v long")
     ids = ties.select("id").union(pairs.select("u")).union(pairs.select("v")).distinct()
-    return Linked(stage(labels.join(ids, "id", "left_semi")), ties, pairs)
+    return Linked(stage(labels.join(ids.hint("merge"), "id", "left_semi")), ties, pairs)
 
 
 def link_counts(found: Linked) -> DataFrame:
@@ -260,20 +276,21 @@ def link_counts(found: Linked) -> DataFrame:
     or longer, one or two edits away.  No pair of labels up to 32 characters is formed."""
     short = _spread(found.labels.where(F.length("label") <= COUNTED))
     key = ["column", "one", "two"]
-    table = _keyed(short, _entered).groupBy(*key).agg(F.count("*").alias("count"))
+    # Small files of labels make tables of a thousand times their size: these must not be broadcast.
+    table = _keyed(short, _entered).groupBy(*key).agg(F.count("*").alias("count")).hint("merge")
     counted = _keyed(short, _asked, "sign int").join(table, key).groupBy("id").agg(F.sum(F.col("sign") * F.col("count")).alias("links"))
     either = found.pairs.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     links = counted.union(either).groupBy("id").agg(F.sum("links").alias("links"))
-    return found.labels.join(links, "id").select("id", "ordinal", "column", "label", "n", "links")
+    return found.labels.join(links.hint("merge"), "id").select("id", "ordinal", "column", "label", "n", "links")
 
 
 def groups(found: Linked) -> DataFrame:
     """(id, first, size): the least label that each linked one is connected with by close ones, and how many these are."""
     stars = found.ties.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v"))
     roots = connected(stars.union(found.pairs)).withColumnRenamed("node", "id")
-    named = found.labels.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = found.labels.join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     each = named.groupBy("root").agg(F.min("label").alias("first"), F.count("*").alias("size"))
-    return named.join(each, "root").select("id", "first", "size")
+    return named.join(each.hint("merge"), "root").select("id", "first", "size")
 
 
 def first_pairs(found: Linked, limit: int) -> DataFrame:
@@ -295,4 +312,4 @@ def near_duplicate_link_counts(df: DataFrame, columns: Sequence[str] | None = No
     first, size), the rows, the number of close labels, and the least label and size of the group they form."""
     names = [c for c in (columns if columns is not None else string_columns(df)) if c.lower() != SOURCE]
     found = linked(quality.label_counts(df, names))
-    return link_counts(found).join(groups(found), "id").drop("id", "ordinal")
+    return link_counts(found).join(groups(found).hint("merge"), "id").drop("id", "ordinal")

@@ -34,6 +34,39 @@ def test_signed_counts_equal_brute_force(seed, alphabet):
         assert grown == grouped(labels, lambda a, b: frozenset((a, b)) in tied)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_only_lengths_that_are_there_are_asked_for(seed):
+    rng = random.Random(seed)
+    pool = ["".join(t) for n in rng.sample(range(5, 9), 1 + seed % 3) for t in itertools.product("ab", repeat=n)]
+    labels = rng.sample(pool, min(len(pool), 60))
+    lengths = {len(a) for a in labels}
+    table = Counter(key for a in labels for key in label_links.entries(a))
+    sets = {}
+    for a in labels:
+        signs, constant = label_links.links(a, lengths)
+        assert sum(s * table[k] for k, s in signs.items()) + constant == sum(1 <= distance(a, b) <= 2 for b in labels)
+        for base, key in label_links.ties(a, lengths):
+            sets.setdefault(key, [set(), False])
+            sets[key][0].add(a)
+            sets[key][1] |= base
+    tied = {frozenset((a, b)) for members, base in sets.values() if base for a in members for b in members if a != b}
+    assert grouped(labels, lambda a, b: distance(a, b) <= 2) == grouped(labels, lambda a, b: frozenset((a, b)) in tied)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_are_never_broadcast(spark):
+    """A small file of labels makes a table of counts of a thousand times its size."""
+    names = spark.range(300).selectExpr("format_string('Customer#%09d', id) AS label")
+    found = label_links.linked(quality.label_counts(names, ["label"]))
+    plan = plan_of(label_links.link_counts(found))
+    # One row a column alone: the lengths of its labels, on both sides of the join.
+    assert plan.count("SortMergeJoin") >= 2 and plan.count("BroadcastExchange") <= 2
+    assert "BroadcastExchange" not in plan_of(label_links.groups(found))
+
+
 def grouped(labels, close):
     root = {a: a for a in labels}
 
