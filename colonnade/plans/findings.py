@@ -25,7 +25,7 @@ from colonnade.plans import shared_profile
 from colonnade.session import empty_table, local_table, settle, stage
 
 PAIR_SCHEMA = "column string, a string, b string, rows_a long, rows_b long, edits int"
-#: Near-duplicate labels shown of each dataset; all are counted.
+#: Near-duplicate labels shown of each dataset where nothing else is asked for; all are counted.
 SHOWN_PAIRS = 5
 SEGMENT_SCHEMA = "segment string, count long, sum double, mean double, median double, share double"
 
@@ -94,8 +94,11 @@ def _kpis(about: profile.Survey, measures: Sequence[str] | None) -> tuple[DataFr
     return roles, [c for c in measures if c in found] if measures is not None else found
 
 
-def _pairs(labels: DataFrame, texts: dict[str, list[str]]) -> tuple[dict[str, DataFrame], dict[str, int]]:
-    """The first near-duplicate labels of each dataset, and how many pairs there are; all labels are searched together."""
+def _pairs(
+    labels: DataFrame, texts: dict[str, list[str]], limit: int | None
+) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """The first near-duplicate labels of each dataset, or without a `limit` all, and how many pairs there are; all labels
+    are searched together.  All pairs are a plan to be run where they are read, and never gathered."""
     place = {n: i for i, n in enumerate(texts)}
     wanted = reduce(lambda x, y: x | y, [(F.col("dataset") == n) & shared_profile.among(cs) for n, cs in texts.items()])
     # The column names the dataset too, and the order puts one dataset after the other.
@@ -108,10 +111,13 @@ def _pairs(labels: DataFrame, texts: dict[str, list[str]]) -> tuple[dict[str, Da
         return {n: blank for n in texts}, dict.fromkeys(texts, 0)
     links = label_links.link_counts(found).groupBy(F.substring_index("column", "\x1f", 1).cast("int").alias("d")).agg(F.sum("links").alias("links"))
     totals = {r["d"]: r["links"] // 2 for r in links.collect()}
+    if limit is None:
+        table = quality.near_pairs(found.labels)
+        return {n: mine(table, i) for n, i in place.items()}, {n: totals.get(i, 0) for n, i in place.items()}
     shown = []
     for i in totals:
         own = label_links.Linked(found.labels.where(F.startswith("column", F.lit(f"{i}\x1f"))), found.ties, found.pairs)
-        shown.append(label_links.first_pairs(own, SHOWN_PAIRS))
+        shown.append(label_links.first_pairs(own, limit))
     table = settle(reduce(DataFrame.unionByName, shown))
     return {n: mine(table, i) for n, i in place.items()}, {n: totals.get(i, 0) for n, i in place.items()}
 
@@ -124,10 +130,12 @@ def analyse(
     *,
     domain: str | None = None,
     prefer_raw: bool = False,
+    shown_pairs: int | None = SHOWN_PAIRS,
     direct_rows: int = config.DIRECT_ROWS,
 ) -> Analysis:
     """`measures` names a dataset's metrics; by default every numeric column but rates and epochs is one.  `keys` order
-    rows of equal date.  Segments follow the primary metric.
+    rows of equal date.  Segments follow the primary metric.  `shown_pairs` near-duplicate labels of a dataset are listed, all
+with None.
 
     With `prefer_raw` a dataset is read from its frame in `raw` where there is one, so that the report is of values as
     they came, and its cells that cleaning has changed are counted against the frame given."""
@@ -144,7 +152,7 @@ def analyse(
     labelled = {n: [c for c in categorical_columns(s.df) if c not in (s.date_column, SOURCE)] for n, s in surveys.items()}
     labels = stage(shared_profile.labels_of_all(shared, labelled))
     texts = {n: [c for c in cs if c in string_columns(surveys[n].df)] for n, cs in labelled.items()}
-    pairs, totals = _pairs(labels, texts)
+    pairs, totals = _pairs(labels, texts, shown_pairs)
     dims = shared_profile.tagged({
         n: segments.primary_dimension(s.df, labelled[n], labels=labels.where(F.col("dataset") == n).drop("dataset"), rows=s.rows)
         for n, s in surveys.items()
@@ -263,7 +271,9 @@ def findings_table(a: Analysis, ranked: int = 3) -> DataFrame:
     cv = S.variation(F.col("std"), F.col("mean"))
     severity = F.when(F.col("distance_iqr") > quality.SEVERE_IQR, "severe").otherwise("moderate")
     pairs = overview.select("dataset", F.col("label_pairs").alias("duplicate_labels"))
-    issues = quality.issue_counts(a.every("nulls"), a.every("spikes"), a.every("labels")).drop("duplicate_labels")
+    # Pairs are counted already: none need be listed for it.
+    unlisted = a.every("labels").where(F.lit(False))
+    issues = quality.issue_counts(a.every("nulls"), a.every("spikes"), unlisted).drop("duplicate_labels")
     ratings = quality.rate(pairs.join(issues, "dataset", "left").na.fill(0))
     parts = [
         _facts(

@@ -446,6 +446,7 @@ def analysis(spark, sf) -> findings.Analysis:
         {"energy": B.energy_mix(spark, sf), "docs": B.doc_labels(spark, sf)},
         {"energy": "reading", "docs": "doc_id"},
         {"energy": _ENERGY_KPIS, "docs": _DOC_KPIS},
+        shown_pairs=None,
     )
 
 
@@ -565,7 +566,7 @@ def _findings_sql() -> str:
         fact(n, "findings", "concentration", "share", f"'{p['primary']}'", "segment",
              f"FROM (SELECT * FROM segs_{name} ORDER BY \"sum\" DESC, segment LIMIT 1) WHERE share >= 50")
         fact(n, "quality", "nulls", "nulls", '"column"', source=f"FROM nulls_{name}")
-        fact(n, "quality", "near_duplicate", "edits", '"column"', "a || ' | ' || b", f"FROM (SELECT * FROM labels_{name} LIMIT 5)")
+        fact(n, "quality", "near_duplicate", "edits", '"column"', "a || ' | ' || b", f"FROM labels_{name}")
         fact(n, "quality", "near_duplicate_pairs", "(SELECT count(*) FROM labels_%s)" % name, source=f"WHERE EXISTS (FROM labels_{name})")
         fact(n, "quality", "outliers", '"count"', '"column"', "CASE WHEN distance_iqr > 5 THEN 'severe' ELSE 'moderate' END", f"FROM spikes_{name}")
         fact(n, "quality", "high_variability", cv, '"column"', source=f"FROM stats_{name} WHERE mean <> 0 AND {cv} > 50")
