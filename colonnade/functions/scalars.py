@@ -16,6 +16,9 @@ NUMBER_PATTERN = (
 WHOLE_PATTERN = r"^\s*[+-]?[0-9]{1,18}\s*$"
 MISSING_TOKENS = ("nan", "None", "", "NaN")
 MONEY_MARKS = r"[,\s$€£¥%]"
+# All characters of texts that become numbers (`$` in a pattern allows one line end of any kind): other texts, most labels
+# among them, fail at their first other character and are not rewritten.
+NUMBER_CHARACTERS = r"^[-+0-9.eEiInNfFtTyY,\s$€£¥%\u0085\u2028\u2029]*$"
 
 # Date layouts, each with the shape of the text it is tried on.
 DATE_LAYOUTS = {
@@ -32,6 +35,9 @@ DATE_LAYOUTS = {
     "MMM d, yyyy": r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$",
 }
 
+# Every layout has a year: texts without four digits in a row are tried on none.
+YEAR = r"[0-9]{4}"
+
 # Fixed value: date and time with a fraction, a `Z` or an offset, of which at least one is there.
 ISO_TIME = r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{2}:\d{2}:\d{2}(\.\d{1,9}|(\.\d{1,9})? ?(Z|[+-]\d{2}:?\d{2}))$"
 
@@ -65,7 +71,7 @@ def null_tokens(col: Column, tokens: Iterable[str] = MISSING_TOKENS) -> Column:
 def clean_number(col: Column) -> Column:
     """Drop thousands separators, blanks and currency or percent marks, then read the number.
     A percentage keeps its face value."""
-    return to_number(F.regexp_replace(col, MONEY_MARKS, ""))
+    return F.when(col.rlike(NUMBER_CHARACTERS), to_number(F.regexp_replace(col, MONEY_MARKS, "")))
 
 
 def contains_any(col: Column, words: Iterable[str]) -> Column:
@@ -83,12 +89,12 @@ def edit_distance(a: Column, b: Column, limit: int = 2) -> Column:
 
 def parse_date(col: Column, layouts: dict[str, str] = DATE_LAYOUTS) -> Column:
     """Text to timestamp by the first layout that reads it, else NULL; a time with an offset becomes the
-    session's time.  The shape test keeps other texts away from the parser."""
+    session's time.  The shape test keeps other texts away from the parser; every layout has a year of four digits."""
     text = F.trim(col)
     tries = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f))) for f, shape in layouts.items()]
     plain = F.regexp_replace(F.regexp_replace(text, r" ?([+-]\d{2}):?(\d{2})$", "$1:$2"), r" Z$", "Z")
     iso = F.when(text.rlike(ISO_TIME), plain.try_cast("timestamp"))
-    return F.coalesce(*tries, iso)
+    return F.when(text.rlike(YEAR), F.coalesce(*tries, iso))
 
 
 def clip(col: Column, low: Column, high: Column) -> Column:

@@ -24,6 +24,10 @@ from colonnade.operators.statistics import STATS_SCHEMA, moment_metrics, tidy
 from colonnade.session import empty_table, local_table, settle
 
 
+#: Columns whose facts and moments are aggregated side by side.
+TOGETHER = 3
+
+
 def tagged(parts: dict[str, DataFrame]) -> DataFrame:
     """Frames of one schema as one, with the dataset's name."""
     return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("dataset"), "*") for n, df in parts.items()])
@@ -53,7 +57,12 @@ def _measured(df: DataFrame) -> DataFrame:
             "dated": date_share(c) if c in texts else F.lit(None).cast("double"),
             **{k: m.cast("long" if k == "n" else "double") for k, m in moment_metrics(x).items()},
         }
-    return tidy(rows, metrics).withColumn("needed", date_share_needed(F.col("column")))
+    # Aggregates of many columns side by side make code too large to be compiled: a few columns each, in one job.
+    parts = [
+        tidy(rows, {c: metrics[c] for c in names[at : at + TOGETHER]}).withColumn("ordinal", F.col("ordinal") + at)
+        for at in range(0, len(names), TOGETHER)
+    ]
+    return reduce(DataFrame.unionByName, parts).withColumn("needed", date_share_needed(F.col("column")))
 
 
 def profile_all(datasets: dict[str, DataFrame], share: float = 0.8) -> Profile:

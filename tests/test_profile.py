@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from colonnade.functions import scalars as S
 from colonnade.operators import profile, segments
+from colonnade.plans import shared_profile
 
 
 def test_date_layouts(spark):
@@ -104,3 +105,16 @@ def test_times_as_files_carry_them(spark):
     got = [r[0] for r in df.select(F.date_format(S.parse_date(F.col("t")), "yyyy-MM-dd HH:mm:ss.SSSSSS")).collect()]
     base = "2024-01-02 03:04:05."
     assert got == [base + "000000", base + "000000", base + "123456", base + "000000", base + "500000", base + "000000", base + "000000", None, None, None]
+
+
+def test_short_tests_before_parsing_turn_no_text_away(spark):
+    """What is read as a number or a date is what the patterns read, and a few columns at a time are aggregated."""
+    odd = ["12", "$ 1,200.50", "-3e4 ", "5%", "+inf", "Infinity", "iNf", "1-URGENT", "n/a", "", "7\n", "8 ", "£9", ".5", "e5", "1 2", "tiny"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    plain = S.to_number(F.regexp_replace("t", S.MONEY_MARKS, ""))
+    assert df.where(~S.clean_number(F.col("t")).eqNullSafe(plain)).count() == 0
+    assert all("yyyy" in f for f in S.DATE_LAYOUTS) and r"\d{4}" in S.ISO_TIME
+    wide = spark.range(20).select(*[(F.col("id") * k).alias(f"c{k}") for k in range(1, 8)])
+    plan = shared_profile._measured(wide)
+    assert [(r["ordinal"], r["column"], r["max"]) for r in plan.orderBy("ordinal").collect()] == [(k, f"c{k + 1}", 19.0 * (k + 1)) for k in range(7)]
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 3
