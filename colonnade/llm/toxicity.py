@@ -6,11 +6,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colonnade.llm.common import column, portions, word_hashes
-from colonnade.llm.samples import held_out, sampled_rows
+from colonnade.llm.samples import held_out, labelled_rows
 
 #: A word is the sum of DRAWS rows of one table, so that words sharing a row still differ.
 SLOT_BITS, DRAWS, SIZE = 18, 3, 12
@@ -20,12 +21,21 @@ WIDTHS, FILTERS = (1, 2, 3), 8
 POOLED = len(WIDTHS) * FILTERS
 #: Words a window may reach beyond the last one of its text: empty ones stand between texts.
 GAP = max(WIDTHS) - 1
-#: Labelled rows learnt from at most, and words of them at most (always one text of each label).
-SAMPLE_ROWS, SAMPLE_WORDS = 6_000, 8_000_000
+#: Words of labelled texts that a task learns from, and bytes of text to a word; there are as many tasks as all the
+#: labelled texts need.
+SHARE_WORDS, WORD_BYTES = 4_000_000, 6
 #: Words scored together; a longer text is pooled from several stretches.
 STRETCH = 1 << 16
-ROUNDS, BATCH, FORGET = 12, 32, 0.5
+BATCH, FORGET = 32, 0.5
+#: Every round goes through all texts: at least and at most so many, between them until a task has seen VISITS texts.
+LEAST_ROUNDS, ROUNDS, VISITS = 4, 12, 36_000
 CUT, LEAST_ROWS = 0.3, 40
+#: One labelled text in so many is for calibration and thresholds, the others are learnt from.
+CHECKED = 5
+#: Rows of the learnt state that are averaged as one group.
+BLOCK = 1024
+#: Parts in which scores are ranked side by side.
+RANKED = 200
 FOLDS, FOLD = 4, 2
 
 #: Letters and digits of ASCII in lower case, and every other byte beyond ASCII, belong to words.
@@ -129,15 +139,12 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _start(model: Convolution, texts: list[np.ndarray], labels: np.ndarray) -> None:
+def _start(model: Convolution, seen: np.ndarray, total: np.ndarray) -> None:
     """Set the table's first coordinate to how much more often a slot stands in texts of label 1 (smoothed log-odds),
     and one filter of each width to read it, so that training begins from words and not from noise.  Slots met in one
-    text or none start at zero: names and slips are no evidence."""
-    seen = np.zeros((2, SLOTS))
-    for slots, label in zip(texts, labels):
-        seen[int(label), np.unique(slots)] += 1
-    total = np.array([[(labels == k).sum()] for k in (0, 1)])
-    rate = np.log((seen + 0.5) / (total + 1))
+    text or none start at zero: names and slips are no evidence.  `seen` has the texts of each label that hold a slot,
+    `total` all of them."""
+    rate = np.log((seen + 0.5) / (total[:, None] + 1))
     model.table[:SLOTS, 0] = np.clip((rate[1] - rate[0]) / 4, -0.5, 1.5)
     model.table[:SLOTS][seen.sum(0) < 2] = 0
     at = 0
@@ -181,68 +188,84 @@ def gradients(model: Convolution, texts: list[np.ndarray], labels: np.ndarray, s
     return found | {"filters": grad, "slots": np.concatenate(touched), "rows": np.concatenate(rows)}
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, langs: list[str | None], seed: int = 5,
-        rounds: int = ROUNDS) -> Convolution:
-    """Trained on four of five texts, with part of the words left out anew in every round; calibrated on the fifth
-    (Platt), where the languages get their thresholds.  A constant score where there is only one label."""
-    model = Convolution.fresh(seed)
-    labels = np.asarray(labels, float)
-    if len(set(labels.tolist())) < 2:
-        model.c[:] = 0
-        model.shift = 4.0 if len(labels) and labels[0] == 1 else -4.0
-        return model
-    rng = np.random.default_rng(seed)
-    learn = np.arange(len(labels)) % 5 != 0
-    if len(set(labels[learn].tolist())) < 2 or len(set(labels[~learn].tolist())) < 2:
-        learn = np.ones(len(labels), bool)
-    chosen = np.flatnonzero(learn)
-    share = weights / weights[chosen].mean()
-    _start(model, [texts[k] for k in chosen], labels[chosen])
-    bias = np.zeros(1)
-    slow = {"table": np.full((SLOTS + 1, 1), 1e-6), "filters": 1e-6, "b": 1e-6, "c": 1e-6, "bias": 1e-6}
-    for epoch in range(rounds):
-        rate = 0.05 * (1 - epoch / rounds) + 0.005
-        order = rng.permutation(chosen)
+@dataclass
+class Learner:
+    """A model in training: its parameters, the bias of its raw scores, and the sums of squares that slow each down."""
+
+    model: Convolution
+    bias: np.ndarray
+    slow: dict[str, np.ndarray]
+
+    @classmethod
+    def of(cls, model: Convolution) -> Learner:
+        small = {"filters": model.filters, "b": model.b, "c": model.c, "bias": np.zeros(1, np.float32)}
+        slow = {name: np.full_like(values, 1e-6) for name, values in small.items()}
+        return cls(model, small["bias"], slow | {"table": np.full((SLOTS + 1, 1), 1e-6, np.float32)})
+
+    @property
+    def small(self) -> dict[str, np.ndarray]:
+        return {"filters": self.model.filters, "b": self.model.b, "c": self.model.c, "bias": self.bias}
+
+    def state(self) -> np.ndarray:
+        """All of it as rows of one width: first the table's, each with its sum of squares, then the others."""
+        others = np.concatenate([x.ravel() for n, v in self.small.items() for x in (v, self.slow[n])])
+        others = np.pad(others, (0, -len(others) % (SIZE + 1))).reshape(-1, SIZE + 1)
+        return np.concatenate([np.hstack([self.model.table[:SLOTS], self.slow["table"][:SLOTS]]), others]).astype(np.float32)
+
+    @classmethod
+    def from_state(cls, state: np.ndarray) -> Learner:
+        one = cls.of(Convolution(
+            np.zeros((SLOTS + 1, SIZE), np.float32), np.zeros((SIZE, sum(WIDTHS) * FILTERS), np.float32),
+            np.zeros(POOLED, np.float32), np.zeros(POOLED, np.float32),
+        ))
+        one.model.table[:SLOTS], one.slow["table"][:SLOTS] = state[:SLOTS, :SIZE], state[:SLOTS, SIZE:]
+        others, at = state[SLOTS:].ravel(), 0
+        for name, values in one.small.items():
+            for into in (values, one.slow[name]):
+                into[...] = others[at : at + into.size].reshape(into.shape)
+                at += into.size
+        return one
+
+    def learn(self, texts: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator, rate: float) -> None:
+        """One round through the texts, with part of the words left out anew."""
+        model, order = self.model, rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
             kept = [texts[k][rng.random(len(texts[k])) >= FORGET] for k in part]
-            g = gradients(model, kept, labels[part], share[part] / len(part), float(bias[0]))
-            for name, values in (("filters", model.filters), ("b", model.b), ("c", model.c), ("bias", bias)):
+            g = gradients(model, kept, labels[part], np.full(len(part), 1 / len(part)), float(self.bias[0]))
+            for name, values in self.small.items():
                 step = g[name] + 1e-4 * values
-                slow[name] = slow[name] + step * step
-                values -= rate * step / np.sqrt(slow[name])
+                self.slow[name] += step * step
+                values -= rate * step / np.sqrt(self.slow[name])
             slots, where = np.unique(g["slots"], return_inverse=True)
             rows = np.zeros((len(slots), SIZE))
             for k in range(DRAWS):
                 np.add.at(rows, where.reshape(-1, DRAWS)[:, k], g["rows"])
-            slow["table"][slots] += (rows * rows).mean(1, keepdims=True)
-            model.table[slots] -= (rate * rows / np.sqrt(slow["table"][slots])).astype(np.float32)
+            self.slow["table"][slots] += (rows * rows).mean(1, keepdims=True)
+            model.table[slots] -= (rate * rows / np.sqrt(self.slow["table"][slots])).astype(np.float32)
             model.table[SLOTS] = 0
-    check = np.flatnonzero(~learn) if not learn.all() else chosen
-    raw = model.raw([texts[k] for k in check])
-    model.slope, model.shift = calibrated(raw, labels[check], weights[check])
-    scores = model.score(raw)
-    model.threshold = best_threshold(scores, labels[check], weights[check])
-    for lang in {langs[k] for k in check if langs[k] is not None}:
-        own = np.array([langs[k] == lang for k in check])
-        if own.sum() >= LEAST_ROWS and 0 < labels[check][own].sum() < own.sum():
-            model.thresholds[lang] = best_threshold(scores[own], labels[check][own], weights[check][own])
-    return model
 
 
-def calibrated(raw: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic curve through smoothed targets, by damped Newton steps."""
-    centre, spread = float(raw.mean()), float(raw.std()) or 1.0
-    x = np.stack([(raw - centre) / spread, np.ones(len(raw))], 1)
-    positive, negative = (labels == 1).sum(), (labels == 0).sum()
-    target = np.where(labels == 1, (positive + 1) / (positive + 2), 1 / (negative + 2))
-    share, beta = weights / weights.sum(), np.array([1.0, -1.0])
+def calibrated(sums) -> tuple[float, float]:
+    """Slope and shift of the logistic curve through smoothed targets (Platt), by damped Newton steps.  `sums` adds up
+    what a function gives for the raw scores and labels of each share."""
+    count, positive, total = sums(lambda raw, y: np.array([len(y), y.sum(), raw.sum()]))
+    centre, negative = total / count, count - positive
+    spread = float(np.sqrt(sums(lambda raw, y: np.array([((raw - centre) ** 2).sum()]))[0] / count)) or 1.0
+    high, low = (positive + 1) / (positive + 2), 1 / (negative + 2)
+    beta = np.array([1.0, -1.0])
     for _ in range(100):
-        p = _logistic(x @ beta)
-        slope = x.T @ (share * (p - target)) + 1e-4 * beta * [1, 0]
-        curve = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-4 * np.eye(2)
+        def slopes(raw, y, beta=beta):
+            x = np.stack([(raw - centre) / spread, np.ones(len(raw))], 1)
+            p = _logistic(x @ beta)
+            return np.concatenate([x.T @ (p - np.where(y == 1, high, low)), ((x * (p * (1 - p))[:, None]).T @ x).ravel()])
+
+        found = sums(slopes) / count
+        slope, curve = found[:2] + 1e-4 * beta * [1, 0], found[2:].reshape(2, 2) + 1e-4 * np.eye(2)
         step = np.linalg.solve(curve, slope)
         beta = beta - step / max(1.0, float(np.abs(step).max()))
+        if np.abs(step).max() < 1e-9:
+            break
     return max(float(beta[0]), 1e-3) / spread, float(beta[1]) - max(float(beta[0]), 1e-3) * centre / spread
 
 
@@ -258,63 +281,231 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray, weights: np.ndarray)
     return float((s[k] + below) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_column: str = "doc_id",
-          text_column: str = "text", lang_column: str | None = "lang", sample_rows: int = SAMPLE_ROWS,
-          sample_words: int = SAMPLE_WORDS) -> Convolution:
-    """The model, learnt from at most `sample_rows` labelled documents that aren't held out, in the order of a hash,
-    until they have `sample_words` words; a long text is taken whole.
+def best_thresholds(scored: DataFrame) -> dict[str | None, float]:
+    """`best_threshold` of all rows of `lang, label, score` (under None), and of every language with enough rows and
+    both labels.  Scores are ranked in parts whose bounds only deal the work: what is above a part is added to it."""
+    each = F.explode(F.array_distinct(F.array(F.lit(""), F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))))
+    bounds = scored.approxQuantile("score", [k / RANKED for k in range(1, RANKED)], 1 / RANKED / 4)
+    if not bounds:
+        return {}
+    counted = scored.select(each.alias("scope"), "score", "label").groupBy("scope", "score").agg(
+        F.count("*").alias("n"), F.sum("label").alias("hits")
+    ).withColumn("part", F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b > F.col("score"))))
+    whole = Window.partitionBy("scope")
+    above = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counted.groupBy("scope", "part").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.max("score").alias("top")).select(
+        "scope", "part", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"),
+        F.coalesce(F.sum("hits").over(above), F.lit(0)).alias("above_hits"),
+        F.lead("top").over(whole.orderBy("part")).alias("next"),
+        F.sum("n").over(whole).alias("rows"), F.sum("hits").over(whole).alias("positive"),
+    )
+    own = Window.partitionBy("scope", "part").orderBy(F.desc("score"))
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.join(parts, ["scope", "part"]).select(
+        "scope", "score", "rows", "positive", F.coalesce(F.lead("score").over(own), "next", F.lit(0.0)).alias("below"),
+        (F.col("above") + F.sum("n").over(so_far)).alias("n"), (F.col("above_hits") + F.sum("hits").over(so_far)).alias("hits"),
+    )
+    f1 = 2 * F.col("hits") / (F.col("n") + F.col("positive"))
+    best = ranked.groupBy("scope", "rows", "positive").agg(F.max(F.struct(f1.alias("f1"), "score", "below")).alias("best"))
+    usable = (F.col("scope") == "") | ((F.col("rows") >= LEAST_ROWS) & (F.col("positive") > 0) & (F.col("positive") < F.col("rows")))
+    return {
+        r["scope"][1:] if r["scope"] else None: (r["best"]["score"] + r["best"]["below"]) / 2
+        for r in best.filter(usable).collect()
+    }
+
+
+def _blocks(share: int, weight: int, state: np.ndarray, which: np.ndarray):
+    """The chosen rows of a state, in blocks, as `_gathered` takes them."""
+    for block in np.unique(which // BLOCK).tolist():
+        mine = which[which // BLOCK == block]
+        yield pa.RecordBatch.from_pydict({
+            "block": pa.array([block], pa.int32()), "share": pa.array([share], pa.int32()),
+            "weight": pa.array([weight], pa.int64()), "rows": pa.array([mine.astype(np.int32).tobytes()], pa.binary()),
+            "state": pa.array([state[mine].astype(np.float32).tobytes()], pa.binary()),
+        })
+
+
+#: Tells Spark to drop the shuffle files of a query at its end; else those of all rounds pile up.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BLOCK = "block int, share int, weight long, rows binary, state binary"
+
+
+def _gathered(shares: DataFrame, work, into: np.ndarray, mean: bool) -> None:
+    """Puts into each row of a state the sum or weighted mean over the shares that gave one; other rows stay.  Blocks of
+    rows are added up in parallel, in the order of shares; what comes to the driver is one state, however many shares."""
+    width = into.shape[1]
+
+    def added(table: pa.Table) -> pa.Table:
+        parts = table.sort_by("share").to_pylist()
+        base = parts[0]["block"] * BLOCK
+        total, weights = np.zeros((BLOCK, width)), np.zeros(BLOCK)
+        for part in parts:
+            rows = np.frombuffer(part["rows"], np.int32) - base
+            total[rows] += np.frombuffer(part["state"], np.float32).reshape(-1, width).astype(float) * part["weight"]
+            weights[rows] += part["weight"]
+        met = np.flatnonzero(weights)
+        found = total[met] / weights[met, None] if mean else total[met]
+        return pa.table({"rows": [(met + base).astype(np.int32).tobytes()], "state": [found.astype(np.float32).tobytes()]})
+
+    gathered = shares.mapInArrow(work, _BLOCK).groupBy("block").applyInArrow(added, "rows binary, state binary")
+    conf, old = shares.sparkSession.conf, shares.sparkSession.conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        for row in gathered.collect():
+            into[np.frombuffer(row["rows"], np.int32)] = np.frombuffer(row["state"], np.float32).reshape(-1, width)
+    finally:
+        conf.set(_CLEANUP, old)
+
+
+def _texts(batches, checked: bool | None):
+    """Share, slots, label and language of the texts that are for checking, or for learning, or of all (None)."""
+    for batch in batches:
+        for k, check in enumerate(batch.column("checked").to_pylist()):
+            if checked is None or check == checked:
+                n, words = batch.column("n")[k].as_py(), batch.column("words")[k].as_buffer()
+                hashes = np.frombuffer(pa.decompress(words, decompressed_size=8 * n, codec="zstd"), np.uint64)
+                yield batch.column("share")[k].as_py(), slots_of(hashes), batch.column("label")[k].as_py(), batch.column("lang")[k].as_py()
+
+
+def _seen(shares: DataFrame, checked: bool | None) -> np.ndarray:
+    """How many texts of each label hold a slot."""
+    def count(batches):
+        found, share = np.zeros((SLOTS, 2), np.float32), 0
+        for share, slots, label, _ in _texts(batches, checked):
+            found[np.unique(slots), label] += 1
+        yield from _blocks(share, 1, found, np.flatnonzero(found.any(1)))
+
+    seen = np.zeros((SLOTS, 2), np.float32)
+    _gathered(shares, count, seen, mean=False)
+    return seen.T
+
+
+def _learn(shares: DataFrame, state: np.ndarray, checked: bool | None, rounds: list[int], of: int, seed: int) -> None:
+    """Puts every share's texts through `rounds` from the same state of a learner, and the mean of what each share made
+    of it, by their numbers of texts, into `state`.  A slot's row is the mean over the shares that changed it."""
+    shared = shares.sparkSession.sparkContext.broadcast(state)
+
+    def learn(batches):
+        texts, labels, share = [], [], 0
+        for share, slots, label, _ in _texts(batches, checked):
+            texts.append(slots)
+            labels.append(label)
+        if not texts:
+            return
+        own = Learner.from_state(shared.value)
+        for number in rounds:
+            rate = 0.05 * (1 - number / of) + 0.005
+            own.learn(texts, np.array(labels, float), np.random.default_rng([seed, number, share]), rate)
+        made = own.state()
+        changed = (made != shared.value).any(1)
+        changed[SLOTS:] = True
+        yield from _blocks(share, len(texts), made, np.flatnonzero(changed))
 
-    Words are hashed in parallel; one task learns, from the bounded sample.  Null ids, texts and labels are not learnt
-    from; a null language has the threshold of all.
+    _gathered(shares, learn, state, mean=True)
+    shared.destroy()
+
+
+def train(docs: DataFrame, labels: DataFrame, label_column: str = "toxic", id_column: str = "doc_id",
+          text_column: str = "text", lang_column: str | None = "lang", sample_words: int = SHARE_WORDS,
+          seed: int = 5) -> Convolution:
+    """The model, learnt from all labelled documents that aren't held out, whole: four of five are learnt from, the fifth
+    is for calibration and the thresholds of the languages.  A constant score where there is only one label.
+
+    The documents are dealt by their ids into shares of about `sample_words` words.  In every round each share trains on
+    its own texts from the same state, and the states are averaged; a single share does all rounds at once.  Null ids,
+    texts and labels are not learnt from; a null language has the threshold of all.
     """
     mine = F.coalesce(F.crc32(F.col("id").cast("string")) % FOLDS != FOLD, F.lit(False))
     others = {"lang": column(lang_column) if lang_column else F.lit(None)}
-    chosen = sampled_rows(docs, labels, label_column, sample_rows, id_column, text_column, mine, others)
+    rows = labelled_rows(docs, labels, label_column, sample_words * WORD_BYTES, id_column, text_column, mine, others)
 
     def hashed(batches):
         for whole in batches:
             for part in portions(whole):
-                hashes = [word_hashes(words_of(t)).tobytes() for t in part.column("text").to_pylist()]
+                hashes = [word_hashes(words_of(t)) for t in part.column("text").to_pylist()]
+                words = [pa.compress(h.tobytes(), codec="zstd", asbytes=True) for h in hashes]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").cast(pa.string()), part.column("order"), part.column("label"), part.column("weight"),
-                     part.column("lang"), pa.array(hashes, pa.large_binary()).cast(pa.binary())],
-                    ["id", "order", "label", "weight", "lang", "words"],
+                    [part.column("id").cast(pa.string()), part.column("order"), part.column("label"), part.column("lang"),
+                     pa.array([len(h) for h in hashes], pa.int64()), pa.array(words, pa.binary())],
+                    ["id", "order", "label", "lang", "n", "words"],
                 )
 
-    found = chosen.withColumn("lang", F.col("lang").cast("string")).mapInArrow(
-        hashed, "id string, order long, label int, weight double, lang string, words binary"
-    )
+    # Dealt by the ids and sorted by their hash, so that a share's texts and their order don't depend on the cluster.
+    shares = rows.withColumn("lang", F.col("lang").cast("string")).mapInArrow(
+        hashed, "id string, order long, label int, lang string, n long, words binary"
+    ).sortWithinPartitions("order", "id", "label").select(
+        F.spark_partition_id().alias("share"), (F.pmod("order", F.lit(CHECKED)) == 0).alias("checked"), "label", "lang", "n", "words"
+    ).persist(StorageLevel.DISK_ONLY)
+    counted = shares.groupBy("share", "checked", "label").count().collect()
+    texts = lambda checked: np.array([
+        sum(r["count"] for r in counted if r["label"] == label and checked in (r["checked"], None)) for label in (0, 1)
+    ])
+    parts = len({r["share"] for r in counted})
+    model = Convolution.fresh(seed)
+    if not texts(None).all():
+        shares.unpersist()
+        model.c[:] = 0
+        model.shift = 4.0 if texts(None)[1] else -4.0
+        return model
+    learn, check = (False, True) if texts(False).all() and texts(True).all() else (None, None)
+    _start(model, _seen(shares, learn), texts(learn))
+    state = Learner.of(model).state()
+    del model
+    rounds = int(np.clip(np.ceil(VISITS * parts / texts(learn).sum()), LEAST_ROUNDS, ROUNDS))
+    for numbers in [list(range(rounds))] if parts == 1 else [[k] for k in range(rounds)]:
+        _learn(shares, state, learn, numbers, rounds, seed)
+    model = Learner.from_state(state).model
+    del state
 
-    def learn(batches):
-        texts, known, size = [], [], 0
-        for batch in batches:
-            for row in batch.to_pylist():
-                n = len(row["words"]) // 8
-                if size + n <= sample_words or row["label"] not in {k[0] for k in known}:
-                    texts.append(slots_of(np.frombuffer(row["words"], np.uint64)))
-                    known.append((row["label"], row["weight"], row["lang"]))
-                    size += n
-        if not texts:
-            return
-        model = fit(texts, np.array([k[0] for k in known]), np.array([k[1] for k in known]), [k[2] for k in known])
-        yield pa.RecordBatch.from_pydict({
-            "table": [model.table.tobytes()], "filters": [model.filters.tobytes()], "b": [model.b.tobytes()],
-            "c": [model.c.tobytes()], "slope": [model.slope], "shift": [model.shift], "threshold": [model.threshold],
-            "langs": [list(model.thresholds)], "thresholds": [list(model.thresholds.values())],
-        })
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    # Sorted by the hash, so that the words kept don't depend on the order of arrival; the sort spills, the sample doesn't grow.
-    row = found.repartition(1).sortWithinPartitions("order", "id", "label").mapInArrow(
-        learn, "table binary, filters binary, b binary, c binary, slope double, shift double, threshold double, "
-        "langs array<string>, thresholds array<double>"
-    ).first()
-    if row is None:
-        return fit([], np.zeros(0), np.zeros(0), [])
-    load = lambda name: np.frombuffer(row[name], np.float32)
-    return Convolution(
-        load("table").reshape(-1, SIZE), load("filters").reshape(SIZE, -1), load("b"), load("c"), row["slope"],
-        row["shift"], dict(zip(row["langs"], row["thresholds"])), row["threshold"],
-    )
+    def scored(batches):
+        size, group = 0, []
+        for one in _texts(batches, check):
+            group.append(one)
+            size += len(one[1])
+            if size >= STRETCH:
+                yield raws(group)
+                size, group = 0, []
+        if group:
+            yield raws(group)
+
+    def raws(group):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([g[0] for g in group], pa.int32()), pa.array([g[2] for g in group], pa.int32()),
+             pa.array([g[3] for g in group], pa.string()), pa.array(shared.value.raw([g[1] for g in group]))],
+            ["share", "label", "lang", "raw"],
+        )
+
+    raw = shares.mapInArrow(scored, "share int, label int, lang string, raw double").persist(StorageLevel.DISK_ONLY)
+
+    def sums(work):
+        def of_share(batches):
+            found, share = None, 0
+            for batch in (b for b in batches if b.num_rows):
+                share = batch.column("share")[0].as_py()
+                values = work(batch.column("raw").to_numpy(), batch.column("label").to_numpy())
+                found = values if found is None else found + values
+            if found is not None:
+                yield pa.RecordBatch.from_pydict({"share": pa.array([share], pa.int32()), "sums": [found.tolist()]})
+
+        parts = raw.mapInArrow(of_share, "share int, sums array<double>").collect()
+        return np.sum([r["sums"] for r in sorted(parts, key=lambda r: r["share"])], axis=0)
+
+    model.slope, model.shift = calibrated(sums)
+    slope, shift = model.slope, model.shift
+
+    def judged(batches):
+        for batch in batches:
+            values = _logistic(slope * batch.column("raw").to_numpy() + shift)
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("label"), pa.array(values)], ["lang", "label", "score"])
+
+    model.thresholds = best_thresholds(raw.mapInArrow(judged, "lang string, label int, score double"))
+    model.threshold = model.thresholds.pop(None)
+    raw.unpersist()
+    shares.unpersist()
+    shared.destroy()
+    return model
 
 
 def score(docs: DataFrame, model: Convolution, cut: float = CUT, id_column: str = "doc_id", text_column: str = "text",

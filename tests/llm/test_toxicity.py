@@ -2,8 +2,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from colonnade.llm import queries, toxicity
+from colonnade.llm import queries, samples, toxicity
 from colonnade.llm.common import word_hashes
 
 ODD = [None, "", "x", "a b", "é" * 900, "word " * 5_000, "no end " * 90_000, "\u0000 ퟿", "!?"]
@@ -83,6 +84,62 @@ def test_long_labelled_texts_are_learnt_from_whole(spark):
     assert all(r.predicted == r.doc_id % 2 for r in got)
 
 
+def marked(spark, texts=400, kinds=40):
+    """Texts of thirty words; every other one holds one of forty words that no other kind has."""
+    rows = [(k, " ".join(f"w{(k * 7 + j * j) % 97}" for j in range(29)) + (f" vile{k // 2 % kinds}" if k % 2 else " kind"),
+             ["xx", "yy", None][k % 3]) for k in range(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    return docs, spark.createDataFrame([(k, k % 2) for k in range(texts)], "doc_id long, toxic int")
+
+
+def test_all_labelled_texts_are_learnt_from(spark):
+    docs, labels = marked(spark)
+    got = toxicity.score(docs, toxicity.train(docs, labels, sample_words=1_500)).collect()
+    learnt = [r for r in got if not r.held_out and r.doc_id % 2]
+    assert len(learnt) > 100 and np.mean([r.predicted for r in learnt]) > 0.97
+    assert np.mean([r.predicted for r in got if r.doc_id % 2 == 0]) < 0.03
+
+
+def test_parts_of_the_input_do_not_matter(spark):
+    docs, labels = marked(spark)
+    one = toxicity.train(docs, labels, sample_words=3_000)
+    two = toxicity.train(docs.repartition(5, "text"), labels.repartition(3), sample_words=3_000)
+    assert np.array_equal(one.table, two.table) and np.array_equal(one.filters, two.filters)
+    assert (one.slope, one.shift, one.threshold, one.thresholds) == (two.slope, two.shift, two.threshold, two.thresholds)
+
+
+def test_thresholds_are_those_of_all_rows_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    labels, langs = rng.integers(0, 2, 900), rng.choice(["a", "b", "few", "", None], 900, p=[0.4, 0.3, 0.02, 0.18, 0.1])
+    scores = np.round(np.clip(rng.normal(0.4 + 0.2 * labels, 0.2), 0, 1), 2)
+    scored = spark.createDataFrame(
+        [(lang, int(y), float(s)) for lang, y, s in zip(langs, labels, scores)], "lang string, label int, score double"
+    )
+    for ranked in (200, 4):
+        monkeypatch.setattr(toxicity, "RANKED", ranked)
+        got = toxicity.best_thresholds(scored)
+        assert set(got) == {None, "a", "b", ""}
+        for lang, threshold in got.items():
+            own = np.ones(900, bool) if lang is None else langs == lang
+            assert threshold == pytest.approx(toxicity.best_threshold(scores[own], labels[own], np.ones(own.sum())))
+
+
+def test_labels_too_many_to_broadcast_give_the_same_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"t{k}") for k in range(50)] + [(3, "a"), (4, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame(
+        [(k, k % 2) for k in range(0, 50, 3)] + [(6, 1), (9, 1), (4, 1), (12, None), (None, 1), (99, 1)], "doc_id int, toxic int"
+    )
+    found = []
+    for most in (samples.BROADCAST_LABELS, 0):
+        monkeypatch.setattr(samples, "BROADCAST_LABELS", most)
+        for size in (7, 10_000):
+            rows = samples.labelled_rows(docs, labels, "toxic", size, "doc_id", "text", F.col("id") < 40)
+            found.append(sorted(tuple(r) for r in rows.select("id", "label", "text").collect()))
+            assert samples.labelled_rows(docs.limit(0), labels, "toxic", size, "doc_id", "text").count() == 0
+    assert [r[:2] for r in found[0]] == sorted([(k, k % 2) for k in range(0, 40, 3) if k != 6] + [(4, 1)])
+    assert all(f == found[0] for f in found)
+
+
 def test_odd_rows(spark):
     rows = [(k, t, "xx") for k, t in enumerate(ODD)] + [(None, "x", None), (2, "x", "yy"), (2, "x", "xx")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS score", "2 AS label", "3 AS `order`")
