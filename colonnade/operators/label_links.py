@@ -232,9 +232,8 @@ def _tied(a: str, lengths: Collection[int]) -> Iterator[tuple]:
 def _long_pairs(labels: DataFrame) -> DataFrame:
     """Pairs of labels, as ids, of which one at least is longer than the counted ones."""
     long = labels.where(F.length("label") > COUNTED - quality.MAX_EDITS)
-    pairs = quality.near_candidates(long, short=False)
+    pairs = quality.near_candidates(long)
     ids = long.select("column", "label", "id")
-    pairs = pairs.where((F.length("p") > COUNTED) | (F.length("q") > COUNTED))
     met = pairs.join(ids.withColumnsRenamed({"label": "p", "id": "u"}).hint("merge"), ["column", "p"])
     return met.join(ids.withColumnsRenamed({"label": "q", "id": "v"}).hint("merge"), ["column", "q"]).select("u", "v")
 

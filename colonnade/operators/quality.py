@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from functools import reduce
 from itertools import combinations
 
@@ -11,16 +11,21 @@ from pyspark.sql import functions as F
 
 from colonnade.functions import scalars as S
 from colonnade.functions.columns import SOURCE, present, string_columns
+from colonnade.operators import label_arrays
 from colonnade.session import empty_table, local_table, stage
 
 MAX_EDITS = 2
 MIN_LABEL = 5
-# Labels up to SHORT_LABEL meet by deletions, those from LONG_LABEL on by parts; labels two characters apart
-# in length are always together in one of them.
+# Labels up to SHORT_LABEL meet in arrays where their lengths are equal and by deletions where not, those from LONG_LABEL on
+# by parts; labels two characters apart in length are always together in one of them.
 SHORT_LABEL = 32
 LONG_LABEL = 31
 SEVERE_IQR = 5.0
 LABEL_SCHEMA = "ordinal int, column string, label string, n long"
+PAIR_SCHEMA = "ordinal int, column string, a string, b string, rows_a long, rows_b long, edits int"
+# Labels of a block when pairs are listed: no fewer than these, and where there are many about as many as those.
+BLOCK_LEAST = 256
+BLOCK_LABELS = 2048
 
 
 def label_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -51,14 +56,15 @@ def _without(text: Column, place: Column) -> Column:
     )
 
 
-def _deletions(labels: DataFrame) -> DataFrame:
-    """For short labels a hash of every text that is left when up to two characters go.  Two labels at most two
-    edits apart have one in common: leave out what either has changed, inserted or lost."""
-    spots = F.sequence(F.lit(0), F.length("label"))
-    once = F.array_distinct(F.transform(spots, lambda k: _without(F.col("label"), k)))
-    short = labels.where(F.length("label") <= SHORT_LABEL).select("column", "label", F.explode(once).alias("text"))
-    again = F.transform(F.sequence(F.lit(0), F.length("text")), lambda k: F.xxhash64(_without(F.col("text"), k)))
-    return short.select("column", "label", F.explode(F.array_distinct(again)).alias("mark")).distinct()
+def _deletions(labels: DataFrame, fewest: int = 0, most: int = MAX_EDITS) -> DataFrame:
+    """For short labels a hash of every text that is left when up to two characters go, or as many as said.  Two labels at
+    most two edits apart have one in common: leave out what either has changed, inserted or lost."""
+    texts = labels.where(F.length("label") <= SHORT_LABEL).select("column", "label", F.col("label").alias("text"))
+    for k in range(most):
+        spots = F.sequence(F.lit(1 if most - k <= fewest else 0), F.length("text"))
+        cut = F.array_distinct(F.transform(spots, lambda at: _without(F.col("text"), at)))
+        texts = texts.select("column", "label", F.explode(cut).alias("text"))
+    return texts.select("column", "label", F.xxhash64("text").alias("mark")).distinct()
 
 
 def _part(text: Column, length: Column, part: Column, shift: Column) -> Column:
@@ -87,24 +93,36 @@ def _two_parts(labels: DataFrame, longer: Sequence[int], places: Sequence[tuple[
     return spots.where(F.col("length") >= LONG_LABEL).select("column", "label", mark.alias("mark")).distinct()
 
 
-def near_candidates(labels: DataFrame, short: bool = True) -> DataFrame:
-    """(column, p, q, edits) of labels of one column at most two edits apart, p < q.
+def _unequal(labels: DataFrame, lengths: dict[str, Collection[int]]) -> DataFrame:
+    """(column, p, q) of short labels of one column and different lengths that have a mark in common: the longer one without
+    two characters, the shorter one whole or without one.  Labels without others of a length that near take no part."""
+    def beside(steps: Sequence[int]) -> DataFrame:
+        wanted = [F.lit(f"{n} {c}") for c, ns in lengths.items() for n in ns if any(n + k in ns for k in steps)]
+        return labels.where(F.array_contains(F.array(*wanted).cast("array<string>"), F.concat_ws(" ", F.length("label"), "column")))
 
-    Short labels meet by what is left without two characters (unless they are not asked for), long ones by two intact
-    parts of four: a common start alone brings no two labels together, and no pair can be missed.
+    longer, shorter = _deletions(beside([-1, -2]), fewest=2), _deletions(beside([1, 2]), most=1)
+    met = longer.alias("x").join(shorter.alias("y").hint("merge"), ["mark", "column"])
+    return met.select("column", F.least("x.label", "y.label").alias("p"), F.greatest("x.label", "y.label").alias("q"))
+
+
+def near_candidates(labels: DataFrame, lengths: dict[str, Collection[int]] | None = None) -> DataFrame:
+    """(column, p, q, edits) of labels of one column at most two edits apart, p < q, of which one at least is longer than the
+    short ones; with the `lengths` of each column's short labels also short ones of different lengths.
+
+    Short labels meet by what is left without two characters, long ones by two intact parts of four: a common start alone
+    brings no two labels together, and no pair can be missed.
 
     A small file of labels makes marks of a thousand times its size, and no estimate says so: they are shuffled and merged,
     never broadcast, so that nothing of them passes the driver."""
     long = labels.where(F.length("label") >= LONG_LABEL - MAX_EDITS)
     here = _two_parts(long, [0], [p for p in _PLACES if p[2] == p[3] == 0])
     probes = _two_parts(long, _SHIFTS, _PLACES).withColumnRenamed("label", "other")
-    found = here.join(probes.hint("merge"), ["mark", "column"]).where("label <> other").select(
+    beyond = (F.length("label") > SHORT_LABEL) | (F.length("other") > SHORT_LABEL)
+    found = here.join(probes.hint("merge"), ["mark", "column"]).where((F.col("label") != F.col("other")) & beyond).select(
         "column", F.least("label", "other").alias("p"), F.greatest("label", "other").alias("q")
     )
-    if short:
-        marks = _deletions(labels)
-        met = marks.alias("x").join(marks.alias("y").hint("merge"), ["mark", "column"]).where("x.label < y.label")
-        found = met.select("column", F.col("x.label").alias("p"), F.col("y.label").alias("q")).union(found)
+    if lengths is not None:
+        found = found.union(_unequal(labels, lengths))
     # Several marks and both directions may lead to one pair.
     return (
         found.distinct()
@@ -113,23 +131,56 @@ def near_candidates(labels: DataFrame, short: bool = True) -> DataFrame:
     )
 
 
+def _blocks(labels: DataFrame) -> tuple[DataFrame, int]:
+    """Labels in the order in which pairs name them first, with a number in that order (`id`) and that of a block of
+    neighbours (`block`), and the number of blocks: some for each core, and more where they would be large."""
+    spark = labels.sparkSession
+    total = labels.count()
+    blocks = max(1, min(total // BLOCK_LEAST, max(4 * spark.sparkContext.defaultParallelism, total // BLOCK_LABELS)))
+    order = ["ordinal", F.desc("n"), "label"]
+    placed = labels.repartitionByRange(blocks, *order).sortWithinPartitions(*order)
+    return stage(placed.select("*", F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("id"))), blocks
+
+
+def _all_pairs(labels: DataFrame) -> DataFrame:
+    """Pairs of labels, all of them and in their order, with the place of their column (`ordinal`).
+
+    There are far more of them than labels: no pair is shuffled.  Each task has a block of labels that come first in pairs,
+    meets the short ones of later places in turn, a few thousand at a time, and merges its pairs with the few found by marks.
+    A block holds its pairs as numbers until it sorts them, and the labels that are in one."""
+    short = F.length("label") <= SHORT_LABEL
+    found, blocks = _blocks(labels)
+    lengths = found.where(short).groupBy("column").agg(F.collect_set(F.length("label")).alias("lengths"))
+    near = near_candidates(found, {r["column"]: set(r["lengths"]) for r in lengths.collect()})
+    own = found.select("column", "label", "n", "ordinal", "id", "block")
+    for k in ("p", "q"):
+        side = own.withColumnsRenamed({"label": k, "n": f"n_{k}", "id": f"id_{k}", "block": f"block_{k}"})
+        near = near.join((side if k == "p" else side.drop("ordinal")).hint("merge"), ["column", k])
+    first = F.col("id_p") < F.col("id_q")
+    one, other = (lambda x: F.when(first, F.col(f"{x}p")).otherwise(F.col(f"{x}q"))), (lambda x: F.when(first, F.col(f"{x}q")).otherwise(F.col(f"{x}p")))
+    of = lambda block, kind: [block.cast("int").alias("block"), F.lit(kind).alias("kind")]
+    none = F.lit(None)
+    rows = (
+        found.select(*of(F.col("block"), 0), "ordinal", "column", "id", "label", "n", none.cast("long").alias("first"), none.cast("int").alias("edits"))
+        .union(near.select(*of(one("block_"), 1), "ordinal", none.cast("string"), other("id_"), other(""), other("n_"), one("id_"), "edits"))
+        .union(
+            found.where(short).select(F.explode(F.sequence(F.lit(0), "block")).alias("to"), "*")
+            .select(*of(F.col("to"), 2), "ordinal", none.cast("string"), "id", "label", "n", none.cast("long"), none.cast("int"))
+        )
+    )
+    # Ranges of blocks keep the order from one task to the next.
+    dealt = rows.repartitionByRange(blocks, "block").sortWithinPartitions("block", "kind", "id")
+    return dealt.mapInArrow(label_arrays.listed, PAIR_SCHEMA)
+
+
 def near_pairs(labels: DataFrame, limit: int | None = None) -> DataFrame:
     """Pairs of labels of one column, five characters or longer, at most two edits apart, the more
     frequent label first; all of them unless a display `limit` is asked for.  Counting them takes no pairs
     (`label_links`)."""
-    labels = labels.where(F.length("label") >= MIN_LABEL)
-    near = near_candidates(labels)
-    counts = labels.select("column", "label", "n", "ordinal")
-    near = near.join(counts.withColumnsRenamed({"label": "p", "n": "n_p"}).hint("merge"), ["column", "p"])
-    near = near.join(counts.drop("ordinal").withColumnsRenamed({"label": "q", "n": "n_q"}).hint("merge"), ["column", "q"])
-    first = F.col("n_p") >= F.col("n_q")
-    pairs = near.select(
-        "ordinal", "column", F.when(first, F.col("p")).otherwise(F.col("q")).alias("a"),
-        F.when(first, F.col("q")).otherwise(F.col("p")).alias("b"),
-        F.greatest("n_p", "n_q").alias("rows_a"), F.least("n_p", "n_q").alias("rows_b"), "edits",
-    )
-    shown = pairs.orderBy("ordinal", F.desc("rows_a"), "a", F.desc("rows_b"), "b")
-    return (shown.limit(limit) if limit else shown).select("column", "a", "b", "rows_a", "rows_b", "edits")
+    pairs = _all_pairs(labels.select("ordinal", "column", "label", "n").where(F.length("label") >= MIN_LABEL))
+    if limit:
+        pairs = pairs.orderBy("ordinal", F.desc("rows_a"), "a", F.desc("rows_b"), "b").limit(limit)
+    return pairs.select("column", "a", "b", "rows_a", "rows_b", "edits")
 
 
 def near_duplicate_labels(
