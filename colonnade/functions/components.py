@@ -11,25 +11,24 @@ from colonnade.session import stage
 def connected(edges: DataFrame) -> DataFrame:
     """`node` and `root` (the least node of its component) of every node of `edges` (`u`, `v`: long) but the roots.
 
-    Each round links the least neighbours of both ends of an edge, hooks every node onto the least node it has heard of
-    and jumps to that one's own, so the rounds grow with the logarithm of the longest path.  Minima are combined
-    before the shuffle; no node's neighbours are gathered.  Rounds are written to the shared folder."""
-    links = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    nodes = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    roots = stage(nodes.select("node", F.col("node").alias("root")))
+    Each round hooks every node onto its least neighbour, if that is lower, follows these chains to their ends, and goes on
+    with the edges between different ends only, which are few after the first round.  Minima are combined before the
+    shuffle; no node's neighbours are gathered.  Rounds are written to the shared folder; `edges` are read twice."""
+    ordered = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
+    links, roots = ordered(edges), None
     while True:
-        at = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(name + "_root"))
-        ends = links.join(at("u"), "u").join(at("v"), "v").where("u_root <> v_root")
-        low, high = F.least("u_root", "v_root"), F.greatest("u_root", "v_root")
-        hooks = ends.select(high.alias("node"), low.alias("root")).groupBy("node").agg(F.min("root").alias("hook"))
-        hooked = stage(roots.where("node = root").join(hooks, "node", "left").select("node", F.coalesce("hook", "root").alias("root")))
-        if not hooked.where("node <> root").limit(1).count():
-            return roots.where("node <> root")
-        # Roots hang on lower roots by now; follow these chains to their ends.
+        hooked = stage(links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")))
+        if roots is not None and not hooked.limit(1).count():
+            return roots
         while True:
             up = hooked.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-            higher = stage(hooked.join(up, "root").select("node", F.col("upper").alias("root"), (F.col("upper") != F.col("root")).alias("moved")))
+            higher = hooked.join(up.hint("merge"), "root", "left")
+            higher = stage(higher.select("node", F.coalesce("upper", "root").alias("root"), F.col("upper").isNotNull().alias("moved")))
             hooked = higher.drop("moved")
             if not higher.where("moved").limit(1).count():
                 break
-        roots = stage(roots.join(hooked.select(F.col("node").alias("root"), F.col("root").alias("upper")), "root").select("node", F.col("upper").alias("root")))
+        end = lambda df, of: df.join(
+            hooked.select(F.col("node").alias(of), F.col("root").alias("end")).hint("merge"), of, "left"  # noqa: B023
+        ).withColumn(of, F.coalesce("end", of)).drop("end")
+        links = stage(ordered(end(end(links, "u"), "v")).distinct())
+        roots = hooked if roots is None else stage(end(roots, "root").select("node", "root").union(hooked.select("node", "root")))

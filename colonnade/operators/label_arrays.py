@@ -125,6 +125,13 @@ PAIRS_OUT = 16_384
 _FIRST, _OTHER = 34, (1 << 33) - 1
 
 
+def classes(rows: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    """Rows by ordinal and length of the label."""
+    codes = rows["ordinal"].to_numpy().astype(np.int64) << 32 | pc.utf8_length(rows["label"]).to_numpy()
+    for code in np.unique(codes).tolist():
+        yield (code >> 32, code & 0xFFFFFFFF), np.flatnonzero(codes == code)
+
+
 class Block:
     """Labels that come first in pairs, the others that they met, and the pairs."""
 
@@ -137,17 +144,11 @@ class Block:
         self.met: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
         self.known = 0
 
-    def classes(self, rows: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
-        """Rows by ordinal and length of the label."""
-        codes = rows["ordinal"].to_numpy().astype(np.int64) << 32 | pc.utf8_length(rows["label"]).to_numpy()
-        for code in np.unique(codes).tolist():
-            yield (code >> 32, code & 0xFFFFFFFF), np.flatnonzero(codes == code)
-
     def indexed(self) -> dict[tuple[int, int], tuple[np.ndarray, Index]]:
         if self.index is None:
             self.first = pa.Table.from_batches(self.own).combine_chunks().to_batches()[0]
             self.ids, self.index = self.first["id"].to_numpy(), {}
-            for (ordinal, n), rows in self.classes(self.first):
+            for (ordinal, n), rows in classes(self.first):
                 texts = Texts(letters(self.first["label"].take(pa.array(rows)).to_pylist(), n))
                 self.index[ordinal, n] = rows, Index(self.ids[rows], texts)
         return self.index
@@ -157,7 +158,7 @@ class Block:
             (self.ready if kind else self.own).append(rows)
             return
         known = self.indexed()
-        for key, at in self.classes(rows):
+        for key, at in classes(rows):
             if key in known:
                 some = rows.take(pa.array(at))
                 waiting = self.waiting.setdefault(key, [])
@@ -231,3 +232,279 @@ def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block.add(int(code[start] & 3), batch.slice(start, end - start))
     if block:
         yield from block.sorted()
+
+
+# ---- counts of pairs, without the pairs -------------------------------------------------------------
+
+#: Places of a label are dealt into so many segments; what a bucket holds agrees in all but two of them.
+SEGMENTS = 4
+ROUTES = list(combinations(range(SEGMENTS), 2))
+#: Rows that are worked on at a time, and those a bucket may have to be worked on in one task.
+ROWS = 1 << 16
+HOT_ROWS = 1 << 18
+#: A row of a rest: its second hash, the place of the cut, and `run`, `back` and `swings` there; then three flags.
+_HASH, _PLACE, _RUN, _BACK, _SWINGS, _STARTS, _ENDS, _TURNS = 32, 27, 22, 17, 12, 11, 10, 9
+_FIVE = 31
+
+
+def letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each character stands at each place of labels (`ordinal`, `label`) of a column and length."""
+    for batch in batches:
+        rows: list[tuple] = []
+        for (ordinal, n), at in classes(batch):
+            chars = letters(batch["label"].take(pa.array(at)).to_pylist(), n)
+            for place in range(n):
+                rows += [(ordinal, n, place, c, k) for c, k in zip(*(x.tolist() for x in np.unique(chars[:, place], return_counts=True)))]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)], ["ordinal", "length", "place", "letter", "count"]
+        )
+
+
+def segments(weights: dict[int, float]) -> dict[int, int]:
+    """Segment of each place by its weight, how much its character tells, such that all segments tell as much."""
+    total, out, below = sum(weights.values()), {}, 0.0
+    for place, weight in sorted(weights.items()):
+        out[place] = min(SEGMENTS - 1, int(SEGMENTS * (below + weight / 2) / total))
+        below += weight
+    return out
+
+
+def places_of(route: int, segment: dict[int, int]) -> list[tuple[int, int]]:
+    """Pairs of places in which labels of a bucket are compared: one in each of the route's two segments, or both in its
+    first, or last, one where no route before has had them."""
+    s, t = ROUTES[route]
+    both = {(s, t)} | {(k, k) for k in (s, t) if next(r for r, x in enumerate(ROUTES) if k in x) == route}
+    return [(i, j) for i, j in combinations(sorted(segment), 2) if (segment[i], segment[j]) in both]
+
+
+def _class_hash(ordinal: int, n: int, more: int = 0) -> np.uint64:
+    return _hashed(np.array([ordinal], np.uint64), np.array([1000 + 64 * n + more]))[0]
+
+
+def rests_of(kinds: dict[tuple[int, int], dict[int, int]]):
+    """For labels (`id`, `ordinal`, `label`) a row for each place that differs in their column and length: a hash of the
+    rest, and what counting takes.  Cuts elsewhere make no pair: the other label would differ at that place."""
+
+    def run(batches):
+        for batch in batches:
+            for key, at in classes(batch):
+                if key not in kinds:
+                    continue
+                ids, texts = batch["id"].to_numpy()[at], batch["label"].take(pa.array(at)).to_pylist()
+                places = np.array(sorted(kinds[key]))
+                t, again = Texts(letters(texts, key[1])), Texts(letters(texts, key[1]) + np.uint32(0x200000))
+                turns = np.zeros(t.chars.shape, dtype=bool)
+                turns[:, 2:] = (t.chars[:, 2:] == t.chars[:, :-2]) & t.ends[:, 2:]
+                packed = (again.rests >> np.uint64(_HASH)).view(np.int64) << _HASH
+                for value, shift in ((np.arange(key[1]), _PLACE), (t.run, _RUN), (t.back, _BACK), (t.swings, _SWINGS), (t.starts, _STARTS), (t.ends, _ENDS), (turns, _TURNS)):
+                    packed |= value.astype(np.int64) << shift
+                one = (t.rests + _class_hash(*key)).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(one[:, places].ravel()), pa.array(packed[:, places].ravel()), pa.array(np.repeat(ids, len(places)))], ["one", "two", "id"]
+                )
+
+    return run
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], most: int = 0) -> Iterator[tuple[pa.Table, bool]]:
+    """Sorted rows in tables of some `ROWS` that no group of the keys crosses; with `most`, parts of a group that has more
+    rows come alone, told by the flag."""
+    waiting: list[pa.RecordBatch] = []
+    rows, large = 0, None
+
+    def key_of(batch, at):
+        return tuple(batch[k][at].as_py() for k in keys)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        rows += batch.num_rows
+        if rows < ROWS:
+            continue
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        last = key_of(table, rows - 1)
+        new = np.zeros(rows - 1, dtype=bool)
+        for k in keys:
+            column = table[k].to_numpy()
+            new |= column[1:] != column[:-1]
+        cuts = np.flatnonzero(new) + 1
+        cut = int(cuts[-1]) if len(cuts) else 0
+        start = 0
+        if large is not None:
+            start = int(cuts[0]) if len(cuts) else rows
+            yield table.slice(0, start), True
+            large = last if not len(cuts) else None
+        if cut > start:
+            yield table.slice(start, cut - start), False
+        start = max(start, cut)
+        if most and rows - start > most:
+            yield table.slice(start), True
+            start, large = rows, last
+        waiting = table.slice(start).to_batches()
+        rows -= start
+    if rows:
+        table = pa.Table.from_batches(waiting).combine_chunks()
+        yield from _rest_of_large(table, keys, large) if large is not None else [(table, False)]
+
+
+def _rest_of_large(table: pa.Table, keys: Sequence[str], large: tuple) -> Iterator[tuple[pa.Table, bool]]:
+    own = np.logical_and.reduce([table[k].to_numpy() == v for k, v in zip(keys, large)])
+    end = int(own.sum())
+    if end:
+        yield table.slice(0, end), True
+    if end < table.num_rows:
+        yield table.slice(end), False
+
+
+#: Columns of counts and ties, and of rows that go on by two places.
+COUNTS = ["id", "links", "other"]
+PLACES = [*COUNTS, "one", "two", "letters"]
+
+
+def _out(ids: np.ndarray, links: np.ndarray | None, other: np.ndarray | None, places: bool = False) -> pa.RecordBatch:
+    """Counts or ties of labels; with `places` beside columns that rows of two places have."""
+    columns = [pa.array(ids), *[pa.nulls(len(ids), pa.int64()) if x is None else pa.array(x, pa.int64()) for x in (links, other)]]
+    return pa.RecordBatch.from_arrays(columns + [pa.nulls(len(ids), pa.int64())] * 3 if places else columns, PLACES if places else COUNTS)
+
+
+def rest_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows of `rests_of`, sorted by both hashes: with how many labels of the group each one is a pair that differs in
+    one place, or by a character that goes and one that comes elsewhere (`links`), and the group's least label (`other`)."""
+    five = lambda two, shift: two >> shift & _FIVE
+
+    def groups():
+        for batch in batches:
+            yield batch.append_column("high", pa.array(batch["two"].to_numpy() >> _HASH))
+
+    for table, _ in whole_groups(groups(), ["one", "high"]):
+        one, two, high, ids = (table[c].to_numpy() for c in ("one", "two", "high", "id"))
+        new = np.ones(len(one), dtype=bool)
+        new[1:] = (one[1:] != one[:-1]) | (high[1:] != high[:-1])
+        number = np.cumsum(new) - 1
+        alone = np.bincount(number)[number] == 1
+        two, ids, number = two[~alone], ids[~alone], number[~alone]
+        if not len(ids):
+            continue
+        base, place = number * 32, five(two, _PLACE)
+        key = base + place
+        starts, ends, turns = (two >> k & 1 for k in (_STARTS, _ENDS, _TURNS))
+        sums = [np.concatenate([[0], np.cumsum(x)]) for x in (starts, ends, turns)]
+
+        def between(what, low, high):  # noqa: B023
+            a, b = np.searchsorted(key, low), np.searchsorted(key, high)  # noqa: B023
+            return np.where(b > a, sums[what][b] - sums[what][np.minimum(a, b)], 0)  # noqa: B023
+
+        links = np.searchsorted(key, key, "right") - np.searchsorted(key, key) - 1
+        links += starts * between(1, base + five(two, _RUN) + 1, base + 32)
+        links += ends * between(0, base, base + five(two, _BACK))
+        links -= starts * between(2, key + 2, base + five(two, _SWINGS) + 1)
+        first = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+        least = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(ids))))
+        kept = (links > 0) | (least < ids)
+        if kept.any():
+            yield _out(ids[kept], links[kept], least[kept])
+
+
+def buckets_of(kinds: dict[tuple[int, int], dict[int, int]]):
+    """For labels (`id`, `ordinal`, `label`, `root`) a row for each route with a hash of all other segments."""
+
+    def run(batches):
+        for batch in batches:
+            for key, at in classes(batch):
+                if key not in kinds:
+                    continue
+                some, segment = batch.take(pa.array(at)), kinds[key]
+                t = Texts(letters(some["label"].to_pylist(), key[1]))
+                for route, two in enumerate(ROUTES):
+                    if not places_of(route, segment):
+                        continue
+                    free = [i for i, s in segment.items() if s in two]
+                    mark = t.whole - t.marks[:, free].sum(axis=1, dtype=np.uint64) + _class_hash(*key, route + 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(mark.view(np.int64)), pa.array(np.full(len(at), route), pa.int32()), some["ordinal"], some["id"], some["root"], some["label"]],
+                        ["mark", "route", "ordinal", "id", "root", "label"],
+                    )
+
+    return run
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each key how many are equal to it, the order of the keys, and which of these begin a new one."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    first = np.append(np.flatnonzero(new), len(keys))
+    count = np.empty(len(keys), dtype=np.int64)
+    count[order] = np.repeat(np.diff(first), np.diff(first))
+    return count, order, new
+
+
+def _chains(roots: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Different roots that follow each other within a group, as rows of two."""
+    step = np.flatnonzero(~new[1:] & (roots[1:] != roots[:-1]))
+    return np.stack([roots[step], roots[step + 1]], axis=1)
+
+
+def bucket_counts(kinds: dict[tuple[int, int], dict[int, int]]):
+    """From rows of `buckets_of`, sorted by route and hash: with how many labels each one is a pair that differs in just two
+    places (`links`); and pairs of different roots (`id`, `other`, no `links`) that such labels, or some that differ in one,
+    connect.  Of buckets too large for a task the rows come back for each two places (`one`, `two`, `letters`)."""
+
+    def run(batches):
+        for table, large in whole_groups(batches, ["route", "mark"], HOT_ROWS):
+            route, mark = table["route"].to_numpy(), table["mark"].to_numpy()
+            if not large:
+                same = (mark[1:] == mark[:-1]) & (route[1:] == route[:-1])
+                table = table.filter(pa.array(np.append(same, False) | np.append(False, same)))
+                route = table["route"].to_numpy()
+            for r in np.unique(route).tolist():
+                rows = table.filter(pa.array(route == r)).combine_chunks()
+                for key, at in classes(rows.to_batches()[0]):
+                    some = rows.take(pa.array(at))
+                    ids, roots = some["id"].to_numpy(), some["root"].to_numpy()
+                    t = Texts(letters(some["label"].to_pylist(), key[1]))
+                    if large:
+                        again = _hashed(t.chars + np.uint32(0x200000), np.arange(key[1]))
+                        for i, j in places_of(r, kinds[key]):
+                            one = t.whole - t.marks[:, i] - t.marks[:, j] + _class_hash(*key, 8)
+                            two = again.sum(axis=1, dtype=np.uint64) - again[:, i] - again[:, j] + np.uint64(32 * i + j)
+                            pair = t.chars[:, i].astype(np.int64) << 32 | t.chars[:, j]
+                            columns = [ids, None, roots, one.view(np.int64), two.view(np.int64), pair]
+                            yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()) if x is None else pa.array(x) for x in columns], PLACES)
+                        continue
+                    open_ = t.chars.min(axis=0) < t.chars.max(axis=0)
+                    links, chains, single = np.zeros(len(ids), dtype=np.int64), [], {}
+                    for i, j in places_of(r, kinds[key]):
+                        if not (open_[i] and open_[j]):
+                            continue
+                        for k in {i, j} - single.keys():
+                            single[k] = _counted(t.whole - t.marks[:, k])[0]
+                        count, order, new = _counted(t.whole - t.marks[:, i] - t.marks[:, j])
+                        links += count - single[i] - single[j] + 1
+                        chains.append(_chains(roots[order], new))
+                    kept = links > 0
+                    yield _out(ids[kept], links[kept], None, places=True)
+                    if chains:
+                        pairs = np.unique(np.concatenate(chains), axis=0)
+                        yield _out(pairs[:, 0], None, pairs[:, 1], places=True)
+
+    return run
+
+
+def place_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same from rows of large buckets, sorted by both hashes: labels of a group agree but in two places."""
+    for table, _ in whole_groups(batches, ["one", "two"]):
+        one, two, letter, ids, roots = (table[c].to_numpy() for c in ("one", "two", "letters", "id", "other"))
+        new = np.ones(len(one), dtype=bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        number = np.cumsum(new) - 1
+        links = np.bincount(number)[number] + 1
+        for part in (letter >> 32, letter & 0xFFFFFFFF):
+            links -= _counted(number << 32 | part)[0]
+        chains = _chains(roots, new)
+        kept = links > 0
+        yield _out(ids[kept], links[kept], None)
+        yield _out(chains[:, 0], None, chains[:, 1])

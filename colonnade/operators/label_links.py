@@ -6,6 +6,8 @@ edits left stand at both ends of what remains, in one of a few ways.  For each p
 that agree with this one where nothing was edited, which is one count; those where an edit changes nothing are taken off
 again, by other counts.  So every label enters a table of counts whole, without each one and without each two characters,
 and its number of links is a sum of entries of that table, with signs.
+
+That is how labels of different lengths are counted.  Those of one length take far fewer rows, in arrays (`label_arrays`).
 """
 
 from __future__ import annotations
@@ -14,12 +16,12 @@ from collections.abc import Callable, Collection, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colonnade.functions.columns import SOURCE, string_columns
 from colonnade.functions.components import connected
-from colonnade.operators import quality
+from colonnade.operators import label_arrays, quality
 from colonnade.session import empty_table, stage
 
 #: Labels up to this length are counted; pairs with a longer one are found one by one, as there are few.
@@ -203,11 +205,15 @@ def _keyed(labels: DataFrame, of: Callable[[str, Collection[int]], Iterator[tupl
     )
 
 
-def _spread(labels: DataFrame) -> DataFrame:
-    """Labels are few megabytes where they make gigabytes of keys: deal them over all cores."""
-    spark = labels.sparkSession
-    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return quality.with_lengths(labels).repartition(parts, "column", "label")
+def _parts(spark: SparkSession) -> int:
+    """Labels are few megabytes where they make gigabytes of keys: they are dealt over all cores."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _beside(labels: DataFrame) -> DataFrame:
+    """Labels that others of their column come near in length without having it; the lengths there are go with them."""
+    near = F.arrays_overlap("lengths", F.array(*[F.length("label") + k for k in (-2, -1, 1, 2)]))
+    return quality.with_lengths(labels).where(near).repartition(_parts(labels.sparkSession), "column", "label")
 
 
 def _entered(a: str, _: Collection[int]) -> Iterator[tuple]:
@@ -215,20 +221,61 @@ def _entered(a: str, _: Collection[int]) -> Iterator[tuple]:
 
 
 def _asked(a: str, lengths: Collection[int]) -> Iterator[tuple]:
-    found, constant = links(a, lengths)
-    # The constant goes with the label's own entry, which is there once.
-    found[_whole(a)] = found.get(_whole(a), 0) + constant
+    """Entries for the labels of other lengths; those of its own are counted in arrays."""
+    found, _ = links(a, [n for n in lengths if n != len(a)])
     return (row for row in found.items() if row[1])
 
 
 def _tied(a: str, lengths: Collection[int]) -> Iterator[tuple]:
+    """Sets that may join the label with one of another length."""
     # A label that is of both kinds in one set counts as the one it takes one of.
     kinds: dict[str, bool] = {}
     for base, key in ties(a, lengths):
+        if key.startswith("w") or key.startswith("d") and key != "d|" + a and len(a) - 1 not in lengths:
+            continue
         kinds[key] = kinds.get(key, False) or base
     return iter(kinds.items())
 
 
+def _segments(labels: DataFrame) -> dict[tuple[int, int], dict[int, int]]:
+    """By ordinal and length of the labels the places at which they differ, each with a segment: four that tell labels apart
+    about as well as each other.  One row comes back for a column, length and place."""
+    counts = labels.mapInArrow(label_arrays.letter_counts, "ordinal int, length int, place int, letter long, count long")
+    place = ["ordinal", "length", "place"]
+    counts = counts.groupBy(*place, "letter").agg(F.sum("count").alias("count"))
+    alike = F.sum(F.col("count").cast("double") * F.col("count")) / F.pow(F.sum("count"), 2)
+    weights: dict[tuple[int, int], dict[int, float]] = {}
+    for r in counts.groupBy(*place).agg((-F.log2(alike)).alias("weight"), F.count("*").alias("letters")).where("letters > 1").collect():
+        weights.setdefault((r["ordinal"], r["length"]), {})[r["place"]] = r["weight"]
+    return {k: label_arrays.segments(w) for k, w in weights.items()}
+
+
+def _of_one_length(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For short labels (`id`, `ordinal`, `label`) the number of close ones of the same length (`id`, `links`), and what ties
+    them (`id`, `least`).
+
+    Labels that differ in one place, or by a character that goes and one that comes, have a rest in common: a row for every
+    place that differs in their column.  Labels that differ in two places agree in two of four segments at least: a row for
+    each two segments, whose buckets are compared in arrays where they are found.  So a label makes a few rows more than it has
+    such places, and no key for two places, unless a bucket is too large for a task: then its rows do.  What the rests tie is
+    known before, and of buckets only ties between different roots are kept."""
+    kinds = _segments(labels.select("ordinal", "label"))
+    labels = labels.repartition(_parts(labels.sparkSession), "id")
+    counted = "id long, links long, other long"
+    rests = labels.mapInArrow(label_arrays.rests_of(kinds), "one long, two long, id long")
+    met = stage(rests.repartition("one").sortWithinPartitions("one", "two").mapInArrow(label_arrays.rest_counts, counted))
+    roots = connected(met.where("other < id").select(F.col("id").alias("u"), F.col("other").alias("v")))
+    rooted = labels.join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    buckets = rooted.mapInArrow(label_arrays.buckets_of(kinds), "mark long, route int, ordinal int, id long, root long, label string")
+    buckets = buckets.repartition("route", "mark").sortWithinPartitions("route", "mark")
+    found = stage(buckets.mapInArrow(label_arrays.bucket_counts(kinds), f"{counted}, one long, two long, letters long"))
+    large = found.where("one IS NOT NULL").repartition("one").sortWithinPartitions("one", "two")
+    differ = found.where("one IS NULL").select("id", "links", "other").union(stage(large.mapInArrow(label_arrays.place_counts, counted)))
+    links = met.select("id", "links").union(differ.where("links IS NOT NULL").select("id", "links"))
+    ties = roots.union(differ.where("links IS NULL").select("id", "other")).toDF("id", "least")
+    return stage(links.groupBy("id").agg(F.sum("links").alias("links")).where("links > 0")), stage(ties)
+
+
 def _long_pairs(labels: DataFrame) -> DataFrame:
     """Pairs of labels, as ids, of which one at least is longer than the counted ones."""
     long = labels.where(F.length("label") > COUNTED - quality.MAX_EDITS)
@@ -242,44 +289,48 @@ def _long_pairs(labels: DataFrame) -> DataFrame:
 class Linked:
     """Labels that are close to another one of their column, by number (`id`), and what ties them.
 
-    `labels`: those labels.  `ties`: each with the least one of every set it is in; `pairs`: those with a long label."""
+    `labels`: those labels.  `ties`: labels with another one of their group, which all are connected by; `pairs`: those with a
+    long label; `counts`: the number of close labels of the same length."""
 
     labels: DataFrame
     ties: DataFrame
     pairs: DataFrame
+    counts: DataFrame | None = None
 
 
 def linked(labels: DataFrame) -> Linked:
-    """Find the labels of `label_counts` that have links: a set of labels within two edits of each other has two members,
-    and one of the kind it asks for.  The work for a label depends on its length alone."""
+    """Find the labels of `label_counts` that have links: those close to one of the same length are counted; of different
+    lengths, a set of labels within two edits of each other has two members, and one of the kind it asks for.  The work for a
+    label depends on its length alone."""
     labels = labels.where(F.length("label") >= quality.MIN_LABEL)
     labels = stage(labels.withColumn("id", F.monotonically_increasing_id()))
     short = labels.where(F.length("label") <= COUNTED)
-    member = _keyed(_spread(short), _tied, "base boolean")
+    counts, ties = _of_one_length(short.select("id", "ordinal", "label"))
+    member = _keyed(_beside(short), _tied, "base boolean")
     together = Window.partitionBy("column", "one", "two")
     sets = member.select(
         "id", F.min("id").over(together).alias("least"), F.count("*").over(together).alias("members"),
         F.bool_or("base").over(together).alias("based"),
     )
-    ties = stage(sets.where("based AND members > 1").select("id", "least").distinct())
+    across = stage(sets.where("based AND members > 1").select("id", "least").distinct())
     if labels.where(F.length("label") > COUNTED).limit(1).count():
         pairs = stage(_long_pairs(labels))
     else:
         pairs = empty_table(labels.sparkSession, "u long, v long")
-    ids = ties.select("id").union(pairs.select("u")).union(pairs.select("v")).distinct()
-    return Linked(stage(labels.join(ids.hint("merge"), "id", "left_semi")), ties, pairs)
+    ids = counts.select("id").union(across.select("id")).union(pairs.select("u")).union(pairs.select("v")).distinct()
+    return Linked(stage(labels.join(ids.hint("merge"), "id", "left_semi")), ties.union(across), pairs, counts)
 
 
 def link_counts(found: Linked) -> DataFrame:
     """(id, ordinal, column, label, n, links) of every linked label: the number of labels of its column, five characters
     or longer, one or two edits away.  No pair of labels up to 32 characters is formed."""
-    short = _spread(found.labels.where(F.length("label") <= COUNTED))
+    short = _beside(found.labels.where(F.length("label") <= COUNTED))
     key = ["column", "one", "two"]
     # Small files of labels make tables of a thousand times their size: these must not be broadcast.
     table = _keyed(short, _entered).groupBy(*key).agg(F.count("*").alias("count")).hint("merge")
-    counted = _keyed(short, _asked, "sign int").join(table, key).groupBy("id").agg(F.sum(F.col("sign") * F.col("count")).alias("links"))
+    across = _keyed(short, _asked, "sign int").join(table, key).groupBy("id").agg(F.sum(F.col("sign") * F.col("count")).alias("links"))
     either = found.pairs.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    links = counted.union(either).groupBy("id").agg(F.sum("links").alias("links"))
+    links = found.counts.union(across).union(either).groupBy("id").agg(F.sum("links").alias("links"))
     return found.labels.join(links.hint("merge"), "id").select("id", "ordinal", "column", "label", "n", "links")
 
 

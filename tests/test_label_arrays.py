@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from colonnade.operators import quality
+from colonnade.operators import label_arrays, label_links, quality
 from colonnade.operators.label_arrays import Index, Texts, letters
 from test_quality import distance
 
@@ -55,3 +56,68 @@ def test_pairs_are_not_shuffled(spark):
     counted = quality.label_counts(names, ["label"])
     assert quality._unequal(counted, {"label": {18}}).count() == 0
     assert quality.near_duplicate_labels(names).count() > 200_000
+
+
+def in_batches(batches, by, size):
+    """The rows sorted, as they come to a task."""
+    table = pa.Table.from_batches(list(batches))
+    return table.sort_by([(c, "ascending") for c in by]).to_batches(max_chunksize=size) if table.num_rows else []
+
+
+@pytest.mark.parametrize("rows, hot", [(1 << 16, 1 << 18), (60, 1 << 18), (20, 25), (1, 1)])
+@pytest.mark.parametrize("alphabet", ["ab", "aab", "abcd", "0123456789"])
+def test_counts_and_ties_without_pairs(monkeypatch, alphabet, rows, hot):
+    """Whole buckets, buckets over many batches, and buckets too large for a task."""
+    monkeypatch.setattr(label_arrays, "ROWS", rows)
+    monkeypatch.setattr(label_arrays, "HOT_ROWS", hot)
+    labels = [(k, a) for k, n in ((0, 6), (1, 6), (1, 8)) for a in words(7 + k, alphabet, n, 130)]
+    labels += [(2, f"No. {k:03d}") for k in range(0, 130, 2)] + [(2, "alone within")]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(labels))), pa.array([o for o, _ in labels], pa.int32()), pa.array([a for _, a in labels])], ["id", "ordinal", "label"]
+    )
+    letters_at = {}
+    for r in (r for b in label_arrays.letter_counts([batch]) for r in b.to_pylist()):
+        letters_at.setdefault((r["ordinal"], r["length"]), {}).setdefault(r["place"], []).append(r["count"])
+    kinds = {
+        k: label_arrays.segments({i: -np.log2(sum(c * c for c in cs) / sum(cs) ** 2) for i, cs in at.items() if len(cs) > 1})
+        for k, at in letters_at.items() if max(map(len, at.values())) > 1
+    }
+    out = list(label_arrays.rest_counts(in_batches(label_arrays.rests_of(kinds)([batch]), ["one", "two"], 17)))
+    ties = {(r["id"], r["other"]) for b in out for r in b.to_pylist()}
+    rooted = batch.append_column("root", batch["id"])
+    buckets = in_batches(label_arrays.buckets_of(kinds)([rooted]), ["route", "mark"], 17)
+    found = list(label_arrays.bucket_counts(kinds)(buckets))
+    large = [b.filter(b["one"].is_valid()) for b in found]
+    assert any(b.num_rows for b in large) if hot == 1 else hot < 1000 or not any(b.num_rows for b in large)
+    out += [b.filter(b["one"].is_null()).select(["id", "links", "other"]) for b in found]
+    out += list(label_arrays.place_counts(in_batches(large, ["one", "two"], 17)))
+    links = dict.fromkeys(range(len(labels)), 0)
+    for r in (r for b in out for r in b.to_pylist()):
+        links[r["id"]] += r["links"] or 0
+        if r["other"] is not None:
+            ties.add((r["id"], r["other"]))
+    close = {x: [y for y, b in enumerate(labels) if x != y and a[0] == b[0] and len(a[1]) == len(b[1]) and distance(a[1], b[1]) <= 2] for x, a in enumerate(labels)}
+    assert links == {x: len(ys) for x, ys in close.items()} and sum(links.values()) > 100
+
+    def groups(edges):
+        root = list(range(len(labels)))
+
+        def top(x):
+            return x if root[x] == x else top(root[x])
+
+        for x, y in edges:
+            root[max(top(x), top(y))] = min(top(x), top(y))
+        return [top(x) for x in root]
+
+    assert groups(ties) == groups((x, y) for x, ys in close.items() for y in ys)
+
+
+def test_a_label_makes_few_rows(spark):
+    """Names with six digits that differ: six rests and six buckets each, where keys for two places were 740."""
+    names = spark.range(3_000).selectExpr("id", "0 AS ordinal", "format_string('Customer#%09d', id * 331) AS label")
+    kinds = label_links._segments(names.select("ordinal", "label"))
+    assert sorted(kinds[0, 18]) == list(range(12, 18)) and set(kinds[0, 18].values()) == {0, 1, 2, 3}
+    rows = names.mapInArrow(label_arrays.rests_of(kinds), "one long, two long, id long").count()
+    marked = names.selectExpr("*", "id AS root").mapInArrow(label_arrays.buckets_of(kinds), "mark long, route int, ordinal int, id long, root long, label string")
+    assert (rows, marked.count()) == (18_000, 18_000)
+    assert not label_links._beside(names.selectExpr("*", "'c' AS column")).count()
